@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from graphloom.llm.decontaminate import MASKS, WINDOW, contaminated
 from graphloom.llm.jaccard_join import jaccard_classes
+from graphloom.llm.sharding import shard_by_bytes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,13 +19,36 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(_table(spark, sf_dir, "documents"), words=4, num=85, den=100)
 
 
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_by_bytes(_table(spark, sf_dir, "documents"), shards=8)
+
+
 #: name -> query
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op5_benchmark_decontamination": op5_benchmark_decontamination,
+    "op8_sharding": op8_sharding,
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
+
+
+def _kept(mask: str, words: str, at: str) -> str:
+    return " || ' ' || ".join(f"{words}[{at} + {i}]" for i, c in enumerate(mask) if c == "1")
+
+
+def _seeds(table: str, key: str) -> str:
+    return " UNION ALL ".join(
+        f"SELECT {key}, i AS at, {len(m)} AS span, '{m} ' || {_kept(m, 'words', 'i')} AS seed FROM (SELECT {key}, words, unnest(range(1, len(words) - {len(m) - 2})) AS i FROM {table})" for m in MASKS)
+
+
+_PLAIN = r"trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g'))"
+
 #: name -> SQL for DuckDB
 SQL: dict[str, str] = {
     "op2_ngram_jaccard_join": f"""
@@ -39,4 +64,27 @@ reach(x, y) AS (SELECT x, y FROM adj UNION SELECT r.x, a.y FROM reach r JOIN adj
 least_of AS (SELECT x, min(y) AS y FROM reach GROUP BY x)
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, CAST(coalesce(least(l.y, s.doc_id), s.doc_id) AS BIGINT) AS component_id
 FROM sets s LEFT JOIN least_of l ON l.x = s.doc_id""",
+    "op5_benchmark_decontamination": f"""
+WITH d AS (SELECT doc_id, string_split({_PLAIN}, ' ') AS words FROM documents),
+b AS (SELECT item_id, string_split({_PLAIN}, ' ') AS words FROM benchmark),
+ds AS ({_seeds("d", "doc_id")}), bs AS ({_seeds("b", "item_id")}),
+hits AS (SELECT DISTINCT ds.doc_id, bs.item_id, ds.at - 1 AS p, bs.at - 1 AS j, bs.span FROM ds JOIN bs USING (seed)),
+w AS (SELECT h.doc_id, h.item_id, d.words AS x, b.words AS y, least({WINDOW}, len(b.words)) AS n, p, j,
+      greatest(0, least(j + span // 2 - {WINDOW // 2}, len(b.words) - least({WINDOW}, len(b.words)))) AS a
+      FROM hits h JOIN d USING (doc_id) JOIN b USING (item_id)),
+m AS (SELECT doc_id, item_id, n, p - j + a AS start,
+      len(list_filter(range(0, n), lambda i: p - j + a + i >= 0 AND coalesce(x[p - j + a + i + 1] = y[a + i + 1], false))) AS same FROM w)
+SELECT doc_id, item_id, CAST(min(start) AS BIGINT) AS first_word, CAST(max(same) AS BIGINT) AS matched, CAST(max(n) AS BIGINT) AS "window",
+       round(max(same) / max(n), 6) AS similarity
+FROM m WHERE 5 * same >= 4 * n GROUP BY doc_id, item_id""",
+    "op8_sharding": """
+WITH crc AS (SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n) ORDER BY n) AS t FROM range(256) r(n)),
+d AS (SELECT doc_id, CAST(coalesce(strlen(text), 0) + 1 AS BIGINT) AS size,
+      list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: CAST('0x' || h AS BIGINT)) AS b FROM documents),
+c AS (SELECT doc_id, size, CAST(xor(list_reduce(b, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295), 4294967295) AS BIGINT) AS text_crc32 FROM d, crc),
+p AS (SELECT *, sum(size) OVER (ORDER BY doc_id, size, text_crc32 ROWS UNBOUNDED PRECEDING) AS upto, sum(size) OVER () AS total FROM c),
+s AS (SELECT *, CAST((2 * upto - size) * 8 // (2 * total) AS INTEGER) AS shard FROM p)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
+       CAST(row_number() OVER (PARTITION BY shard ORDER BY doc_id, size, text_crc32) - 1 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM s""",
 }
