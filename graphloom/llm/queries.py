@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.llm.decontaminate import MASKS, WINDOW, contaminated
 from graphloom.llm.jaccard_join import jaccard_classes
+from graphloom.llm.line_dedup import CELLS, DEPTH, MIN_DOCS, dedup_lines
+from graphloom.llm.quality import classify
 from graphloom.llm.sharding import shard_by_bytes
 
 
@@ -19,6 +21,10 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(_table(spark, sf_dir, "documents"), words=4, num=85, den=100)
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -27,11 +33,17 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(_table(spark, sf_dir, "documents"), shards=8)
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 #: name -> query
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op4_line_dedup": op4_line_dedup,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op8_sharding": op8_sharding,
+    "op9_quality_classifier": op9_quality_classifier,
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
@@ -87,4 +99,22 @@ s AS (SELECT *, CAST((2 * upto - size) * 8 // (2 * total) AS INTEGER) AS shard F
 SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
        CAST(row_number() OVER (PARTITION BY shard ORDER BY doc_id, size, text_crc32) - 1 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
 FROM s""",
+    "op4_line_dedup": rf"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
+k AS (SELECT doc_id, pos, line, list_transform(regexp_extract_all(line, '\S+'), lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS t FROM l),
+c AS (SELECT doc_id, pos, line, array_to_string(t, ' ') AS whole, len(t) || ' ' || array_to_string(t[1:{DEPTH}], ' ') AS leaf, t, (len(t) + {CELLS} - 1) // {CELLS} AS step FROM k WHERE len(t) > 0),
+d AS (SELECT leaf, whole, count(DISTINCT doc_id) AS docs, min(doc_id) AS first,
+      any_value(list_transform(range(0, len(t), step), lambda i: array_to_string(t[i+1:i+step], ' '))) AS cells FROM c GROUP BY leaf, whole),
+v AS (SELECT leaf FROM d GROUP BY leaf HAVING count(*) > 1 AND sum(docs) >= {MIN_DOCS}),
+e AS (SELECT leaf, whole, docs, unnest(cells) AS token, generate_subscripts(cells, 1) AS place FROM d SEMI JOIN v USING (leaf)),
+f AS (SELECT leaf, place, token FROM e GROUP BY ALL HAVING sum(docs) >= {MIN_DOCS}),
+s AS (SELECT leaf, whole, leaf || ' / ' || string_agg(place || ':' || f.token, ' / ' ORDER BY place) AS template FROM e LEFT JOIN f USING (leaf, place, token)
+      GROUP BY leaf, whole HAVING 10 * count(f.token) >= 7 * count(*)),
+u AS (SELECT d.leaf, d.whole, coalesce(s.template, d.leaf || ' // ' || d.whole) AS template, d.first FROM d LEFT JOIN s USING (leaf, whole)),
+r AS (SELECT u.template, count(DISTINCT c.doc_id) AS docs, min(u.first) AS keep FROM u JOIN c USING (leaf, whole) GROUP BY u.template HAVING count(DISTINCT c.doc_id) >= {MIN_DOCS}),
+g AS (SELECT DISTINCT c.doc_id, c.pos FROM c JOIN u USING (leaf, whole) JOIN r USING (template) WHERE c.doc_id <> r.keep),
+a AS (SELECT l.doc_id, count(*) AS n_lines, count(g.pos) AS n_dropped, string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (g.pos IS NULL) AS kept
+      FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.pos = g.pos GROUP BY l.doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(a.kept, '') END AS text, coalesce(a.n_lines, 0) AS n_lines, coalesce(a.n_dropped, 0) AS n_dropped
+FROM documents d LEFT JOIN a USING (doc_id)""",
 }
