@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.shared import WordCodes, discard, materialise, mix, shingles, width
 
-SMALL = 12  # members up to which a signature's pairs are listed at once; larger ones go by blocks
 BLOCK = 256  # sets in a block
-BROADCAST = 2_000_000  # ids up to which the list of candidates is broadcast
-NODES = "fp long, n int"
+BROADCAST = 500_000  # candidates up to which their list is broadcast
+COMMON = 0.002  # share of documents from which on a shingle is left out of signatures
+SAMPLE = 20_000  # documents by which that share is estimated
 
 
 @lru_cache(maxsize=None)
@@ -34,32 +34,48 @@ def bands(num: int, den: int, top: int) -> tuple[tuple[int, int, int], ...]:
         high = max(low, low * den // num)
         k = 2 * high * (den - num) // (den + num)
         least = max(1, low * num // den)
-        mean = (k + 2) * math.exp(-least / (k + 2))
-        spare = 1 if k < 4 else 2 if k < 10 else 1 + math.ceil(mean + 4 * math.sqrt(mean))
+        mean = (k + 2) * math.exp(-0.8 * least / (k + 2))
+        spare = 1 if k < 4 else 2 if k < 10 else 1 + math.ceil(mean + 3 * math.sqrt(mean))
         out.append((low, k, k + 1 + spare if k else 0))
         low = high + 1
     return tuple(out)
 
 
-def part_enum(codes: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Signatures of a set: for its band and the next one, a hash of each part's content."""
+def part_enum(codes: np.ndarray, common: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Signatures of a set: for its band and the next one, a hash of each part's content.
+
+    Features in ``common`` (sorted) are left out: that can't enlarge a difference, and parts
+    filled by them alone would match in too many sets. A set with more empty parts than there are to spare
+    is matched with its like by the parts of all its features.
+    """
     n, found = len(codes), []
     plan = bands(num, den, 1 << max(4, (4 * n).bit_length()))
     at = next(i for i in range(len(plan) - 1, -1, -1) if plan[i][0] <= n) if n else 0
-    for i in (at, at + 1):
-        _, k, parts = plan[i]
-        if not k or not n:
-            continue  # in such a band only equal sets are similar enough; these are one node
-        salt = np.uint64((i + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-        hashed = mix(codes ^ salt)
+    if not plan[at + 1][1]:
+        return codes[:0]  # in such bands only equal sets are similar enough; these are one node
+    rare = codes[common[np.minimum(np.searchsorted(common, codes), len(common) - 1)] != codes] if len(common) else codes
+
+    def of(features: np.ndarray, i: int, parts: int, kind: int) -> tuple[np.ndarray, np.ndarray]:
+        salt = np.uint64((2 * i + kind + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+        hashed = mix(features ^ salt)
         part = (hashed >> np.uint64(32)) % np.uint64(parts)
         order = np.argsort(part, kind="stable")
         part, hashed = part[order], hashed[order]
-        starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-        found.append(mix(np.add.reduceat(hashed, starts) + mix(part[starts] + salt)))
-        if parts - len(starts) > parts - k - 1:  # more empty parts than there are to spare
-            empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), part[starts])
-            found.append(mix(mix(empty + salt) + np.uint64(7)))
+        starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])[: len(part)]
+        return mix(np.add.reduceat(hashed, starts) + mix(part[starts] + salt)) if len(part) else hashed, part[starts]
+
+    for i in (at, at + 1):
+        _, k, parts = plan[i]
+        if not k:
+            continue
+        own, filled = of(rare, i, parts, 0)
+        found.append(own)
+        if parts - len(filled) > parts - k - 1:
+            own, filled = of(codes, i, parts, 1)
+            found.append(own)
+            if parts - len(filled) > parts - k - 1:
+                empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), filled)
+                found.append(mix(mix(empty + np.uint64(i << 32)) + np.uint64(7)))
     return np.concatenate(found) if found else codes[:0]
 
 
@@ -71,7 +87,7 @@ def _fingerprint(codes: np.ndarray) -> int:
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(codes.tobytes(), seed=len(codes) % 4096)))) if len(codes) else 0
 
 
-def _signed(words: int, num: int, den: int, parts: int):
+def _signed(words: int, num: int, den: int, parts: int, common: np.ndarray):
     """Documents to rows of themselves, and per batch to rows that pack signatures by part of the hash range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,7 +124,7 @@ def _signed(words: int, num: int, den: int, parts: int):
                     if len(seen) >= 500_000:
                         seen.clear()
                     seen.add(fp)
-                    if len(sig := part_enum(codes, num, den)):
+                    if len(sig := part_enum(codes, common, num, den)):
                         held.append((fp, sig))
                         load += len(sig)
                 if load >= 2_000_000:
@@ -133,91 +149,57 @@ def _unpacked(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Signatures of one part of the hash range to candidate pairs.
+    """Signatures of one part of the hash range to stars: each member of a signature with its hub.
 
-    ``big`` marks pairs of a signature with many members: each with that signature's hub, the
-    member that meets most others here. Their other pairs are taken by blocks of the group.
+    The hub is the member with the least hash, so signatures of one group share few hubs.
     """
     blobs = [x.as_py() for batch in batches for x in batch.column(0)]
     if not blobs:
         return
     sig, node = _unpacked(blobs)
     del blobs
-    order = np.lexsort((node, sig))
+    order = np.lexsort((mix(node.view(np.uint64)), sig))
     sig, node = sig[order], node[order]
-    fresh = np.r_[True, (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])]
-    sig, node = sig[fresh], node[fresh]
-    start = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
-    size = np.diff(np.r_[start, len(sig)])
-    each = np.repeat(size, size)
-    some = (each > 1) & (each <= SMALL)
-    s, m = sig[some], node[some]
-    pairs = [np.empty((0, 2), np.int64)]
-    for gap in range(1, SMALL):
-        if len(s) <= gap:
-            break
-        same = s[gap:] == s[:-gap]
-        pairs.append(np.stack([m[:-gap][same], m[gap:][same]], 1))
-    stars = [np.empty((0, 2), np.int64)]
-    large = each > SMALL
-    if large.any():
-        s, m = sig[large], node[large]
-        _, back = np.unique(m, return_inverse=True)
-        met = np.bincount(back, weights=each[large])[back]
-        order = np.lexsort((m, -met, s))
-        s, m = s[order], m[order]
-        first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
-        hub = np.repeat(m[first], np.diff(np.r_[first, len(s)]))
-        stars.append(np.stack([hub[hub != m], m[hub != m]], 1))
-    for big, found in ((False, np.concatenate(pairs)), (True, np.concatenate(stars))):
-        found = np.unique(np.sort(found, axis=1), axis=0)
-        for at in range(0, len(found), 50_000):
-            piece = found[at : at + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(piece[:, 0]), pa.array(piece[:, 1]), pa.array(np.full(len(piece), big))], ["a", "b", "big"])
+    first = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
+    hub = np.repeat(node[first], np.diff(np.r_[first, len(sig)]))
+    found = np.unique(np.stack([hub, node], 1)[hub != node], axis=0)
+    for at in range(0, len(found), 50_000):
+        piece = found[at : at + 50_000]
+        yield pa.RecordBatch.from_arrays([pa.array(piece[:, 0]), pa.array(piece[:, 1])], ["a", "b"])
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
-    """(node, root): the smallest node reachable over undirected ``edges`` (a, b); nodes without edges are absent.
+    """(node, root): one root, a node itself, for all nodes connected by ``edges`` (a, b); nodes without edges are absent.
 
-    Labels fall to the least label of the neighbours and then to their own label's label, so a
-    chain of length n takes about log n rounds; each round's table is written to the shared folder.
+    Every round hooks each node to its least neighbour, jumps once and contracts the edges to
+    the roots, which at least halves the nodes that still have edges; the rounds' tables are written to the shared
+    folder.
     """
-    both = materialise(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), f"{name}-adj")
-    label = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("root")), f"{name}-0")
-    for step in range(1, 1000):
-        near = both.join(label, both.b == label.node).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("low"))
-        lower = label.join(near, "node").select("node", F.col("root").alias("was"), F.least("root", "low").alias("root"))
-        up = label.select(F.col("node").alias("root"), F.col("root").alias("top"))
-        # every root is itself a node, so the jump loses no row
-        new = materialise(lower.join(up, "root").select("node", "was", F.least("root", "top").alias("root")), f"{name}-{step}")
-        done = new.filter("root <> was").isEmpty()
-        discard(label)
-        label = new.select("node", "root")
-        label._graphloom_path = new._graphloom_path
-        if done:
+    left = materialise(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}-edges")
+    label = None
+    for step in range(1000):
+        if left.isEmpty():
             break
-    discard(both)
-    return label
-
-
-def _linked(num: int, den: int):
-    """Rows with two packed sets to those whose similarity is at least num / den."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if min(len(p), len(q)) * den < num * max(len(p), len(q)):
-                    keep.append(False)
-                    continue
-                both = np.concatenate([p, q])
-                both.sort(kind="stable")
-                same = int((both[1:] == both[:-1]).sum())
-                keep.append(den * same >= num * (len(both) - same))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    return run
+        both = left.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b")
+        hook = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("up")), f"{name}-hook")
+        jump = hook.join(hook.select(F.col("node").alias("up"), F.col("up").alias("root")), "up").select("node", "root")
+        jump = materialise(jump, f"{name}-jump")
+        discard(hook)
+        of = lambda c: jump.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))  # noqa: B023, E731
+        rest = left.join(of("a"), "a").join(of("b"), "b").filter("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
+        rest = materialise(rest, f"{name}-edges")
+        discard(left)
+        left = rest
+        if label is None:
+            label = jump
+        else:
+            # a node whose root has no edges left keeps it
+            next_ = materialise(label.join(jump.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root")), f"{name}-label")
+            discard(label)
+            discard(jump)
+            label = next_
+    discard(left)
+    return label if label is not None else edges.select(F.col("a").alias("node"), F.col("a").alias("root")).limit(0)
 
 
 def _block(num: int, den: int):
@@ -264,6 +246,25 @@ def _block(num: int, den: int):
     return run
 
 
+def _common(source: DataFrame, words: int) -> np.ndarray:
+    """Codes of the shingles in at least ``COMMON`` of the documents, by a sample of about ``SAMPLE``.
+
+    At most the mean set size / COMMON of them. Which they are bears on the number of candidates only, never on
+    the result.
+    """
+    fraction = min(1.0, SAMPLE / max(1, source.count()))
+
+    def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordCodes()
+        for batch in batches:
+            found = [_codes(x.as_py(), words, known) for x in batch.column(1)] or [np.empty(0, np.uint64)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["code"])
+
+    least = max(3, int(COMMON * SAMPLE)) if fraction < 1 else max(3, int(COMMON * source.count()))
+    rows = source.sample(fraction=fraction, seed=1).mapInArrow(codes, "code long").groupBy("code").count().filter(F.col("count") >= least).select("code").toArrow()
+    return np.sort(rows.column(0).to_numpy().astype(np.int64).view(np.uint64))
+
+
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """Classes of documents joined by links of shingle Jaccard similarity at least num / den.
 
@@ -271,64 +272,51 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reachable over links, itself included). Words are runs of bytes other than ASCII white
     space, A-Z in lower case; a text with fewer than ``words`` words is one shingle; null, empty
     or blank texts have no shingle, link to nothing and are their own class. Equal sets are one
-    node from the start (rows that repeat an id share a class; a null id stays null and counts
-    as larger than any other). Other columns are left out.
+    node from the start (rows that repeat an id share a class; a class of null ids only has a null class
+    id). Other columns are left out.
 
     PartEnum: every node signs the parts of its size band's feature domain; nodes that share a
-    signature are candidates and each candidate is verified on its whole set, so no link is lost
-    (codes are 64 bits). Signatures with more than ``SMALL`` members are not expanded: such members
-    form groups, compared by pairs of blocks that return joining links only.
+    signature are candidates, and no link is lost (codes are 64 bits). Candidates aren't listed
+    as pairs: each signature joins its members to a hub, the connected groups of these stars are
+    compared whole, by pairs of blocks of at most BLOCK sets in the mean, and a pair of blocks returns only links
+    that join its members.
     """
     spark = docs.sparkSession
     parts = 4 * width(spark)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    signed = materialise(source.mapInArrow(_signed(words, num, den, parts), "id long, fp long, n int, part int, packed binary"), "signed")
+    common = _common(source, words)
+    signed = materialise(source.mapInArrow(_signed(words, num, den, parts, common), "id long, fp long, n int, part int, packed binary"), "signed")
     meta = materialise(signed.filter("part is null").select("id", "fp", "n"), "meta")
-    # n narrows what 64 bits tell apart; a null id is ordered after all others
     nodes = meta.filter("n > 0").groupBy("fp").agg(F.min("id").alias("rep"))
-    pairs = materialise(
-        signed.filter("part is not null").select("part", "packed").repartition(parts, "part").select("packed").mapInArrow(_matched, "a long, b long, big boolean")
-        .groupBy("a", "b").agg(F.max("big").alias("big")), "pairs")
+    stars = materialise(signed.filter("part is not null").select("part", "packed").repartition(parts, "part").select("packed").mapInArrow(_matched, "a long, b long"), "stars")
     discard(signed)
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    wanted = materialise(wanted.join(nodes, "fp").filter("rep is not null").select("fp", "rep"), "wanted")
-    few = wanted.count() <= BROADCAST
-    chosen = F.broadcast(wanted) if few else wanted
+    group = components(stars, "groups")
+    sizes = group.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    # blocks by hash: no order over a group is needed
+    member = group.join(sizes, "root").select(F.col("node").alias("fp"), F.col("root").alias("grp"), "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("own"))
+    member = materialise(member.join(nodes, "fp").filter("rep is not null"), "members")
+    chosen = F.broadcast(member) if member.count() <= BROADCAST else member
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordCodes()
         for batch in batches:
-            own, blobs = [], []
-            for fp, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                codes = _codes(text.as_py(), words, known)
-                if _fingerprint(codes) == fp:  # else another row has the same id
-                    own.append(fp)
-                    blobs.append(codes.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(blobs, pa.binary())], ["fp", "codes"])
-
-    sets = materialise(source.join(chosen, source.id == wanted.rep).select("fp", "text").mapInArrow(packed, "fp long, codes binary").dropDuplicates(["fp"]), "sets")
-    small = pairs.filter("not big").select("a", "b")
-    joined = small.join(sets.withColumnsRenamed({"fp": "a", "codes": "x"}), "a").join(sets.withColumnsRenamed({"fp": "b", "codes": "y"}), "b")
-    links = joined.select("a", "b", "x", "y").mapInArrow(_linked(num, den), "a long, b long")
-    big = pairs.filter("big")
-    if not big.isEmpty():
-        group = components(big, "groups")
-        ranked = materialise(group.select("root", F.col("node").alias("fp")), "members")
-        sizes = ranked.groupBy("root").agg(F.count("*").alias("members"))
-        # hashed blocks: no order over a group is needed
-        placed = ranked.join(sizes, "root").select("root", "fp", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"), F.pmod(F.xxhash64("fp"), F.ceil(F.col("members") / BLOCK)).cast("int").alias("own"))
-        spread = placed.join(sets, "fp").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        spread = spread.select("root", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), F.when(F.col("own") == F.col("other"), 0).otherwise(F.when(F.col("own") < F.col("other"), 1).otherwise(2)).alias("side"), "fp", "codes")
-        # the diagonal holds a block once; off it, only pairs across the two blocks count
-        blocks = spread.groupBy("root", "p", "q").applyInArrow(_block(num, den), "a long, b long")
-        links = links.unionByName(blocks)
-    links = materialise(links, "links")
+            sets = [_codes(x.as_py(), words, known) for x in batch.column(4)]
+            # another row may have the same id
+            keep = pa.array([_fingerprint(c) == fp for c, fp in zip(sets, batch.column(0).to_pylist(), strict=True)], pa.bool_())
+            cols = [batch.column(i) for i in range(4)] + [pa.array([c.tobytes() for c in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["fp", "grp", "blocks", "own", "codes"]).filter(keep)
+
+    sets = source.join(chosen, source.id == member.rep).select("fp", "grp", "blocks", "own", "text")
+    sets = sets.mapInArrow(packed, "fp long, grp long, blocks int, own int, codes binary").dropDuplicates(["fp"])
+    spread = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    spread = spread.select("grp", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), F.signum(F.col("other") - F.col("own")).cast("int").alias("side"), "fp", "codes")
+    links = materialise(spread.groupBy("grp", "p", "q").applyInArrow(_block(num, den), "a long, b long"), "links")
     root = components(links, "classes")
     named = nodes.join(root, nodes.fp == root.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    found = materialise(named.join(least, "root").select("fp", "component_id"), "classes")
-    for x in (pairs, wanted, sets, links, root):
+    found = materialise(named.join(least, "root").select("fp", "component_id"), "found")
+    for x in (stars, group, member, links, root):
         discard(x)
     # a hot class is one row here and many in meta: AQE splits the skewed side of the join
     return meta.join(found, "fp", "left").select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
