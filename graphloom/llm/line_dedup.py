@@ -125,6 +125,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             out.append({"text": text if len(kept) == len(own) else "\n".join(kept), "n_lines": len(own), "n_dropped": len(own) - len(kept)})
         return pa.array(out, pa.struct([("text", pa.string()), ("n_lines", pa.int64()), ("n_dropped", pa.int64())]))
 
-    joined = docs.join(gone, docs[id_col] == gone["_id"], "left").withColumn("_cut", cut(F.col(text_col), F.col("_gone")))
+    # the documents that lose lines grow with the corpus, so their list is never broadcast
+    joined = docs.join(gone.hint("merge"), docs[id_col] == gone["_id"], "left").withColumn("_cut", cut(F.col(text_col), F.col("_gone")))
     kept = [F.col("_cut.text").alias(text_col) if c == text_col else F.col(c) for c in docs.columns]
     return joined.select(*kept, F.col("_cut.n_lines").alias("n_lines"), F.col("_cut.n_dropped").alias("n_dropped"))
