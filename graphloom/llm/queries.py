@@ -4,23 +4,38 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from graphloom.llm import secrets
 from graphloom.llm.decontaminate import MASKS, WINDOW, contaminated
+from graphloom.llm.fingerprints import compare_with_next
+from graphloom.llm.html_text import extract
 from graphloom.llm.jaccard_join import jaccard_classes
 from graphloom.llm.line_dedup import CELLS, DEPTH, MIN_DOCS, dedup_lines
+from graphloom.llm.pieces import tokenize
 from graphloom.llm.quality import classify
 from graphloom.llm.sharding import shard_by_bytes
+from graphloom.llm.token_counts import count_with_edits
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = secrets.train(secrets.labelled_findings(spark))
+    return secrets.scan(_table(spark, sf_dir, "documents"), model)
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(_table(spark, sf_dir, "documents"), words=4, num=85, den=100)
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -29,6 +44,22 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def edits() -> Column:
+    """Three edits of each text: a replacement at a third, a cut at two thirds, an addition at the end."""
+    n = F.coalesce(F.length("text"), F.lit(0))
+    row = lambda start, end, put: F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), F.lit(put).alias("put"))
+    third, cut = (n / 3).cast("int"), (2 * n / 3).cast("int")
+    return F.array(row(third, third + 12, " edited passage, 1st "), row(cut, cut + 30, ""), row(n + 100, n + 100, " The end."))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_with_edits(_table(spark, sf_dir, "documents"), edits())
+
+
+def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_with_next(_table(spark, sf_dir, "documents"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(_table(spark, sf_dir, "documents"), shards=8)
 
@@ -37,13 +68,22 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenize(_table(spark, sf_dir, "documents"))
+
+
 #: name -> query
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secret_scans": op1_secret_scans,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op3_html_extraction": op3_html_extraction,
     "op4_line_dedup": op4_line_dedup,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
+    "op6_token_counts": op6_token_counts,
+    "op7_document_fingerprints": op7_document_fingerprints,
     "op8_sharding": op8_sharding,
     "op9_quality_classifier": op9_quality_classifier,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
