@@ -42,7 +42,7 @@ def relevance(query: str, memories: DataFrame, now, keys: list[str] | None = Non
     q = F.array(*[F.lit(w) for w in sorted(set(query.lower().split()))])
     own = F.array_distinct(T.words(F.lower("content")))
     shared = F.size(F.array_intersect(q, own)) / F.greatest(F.size(q), F.lit(1))
-    days = F.greatest(F.lit(0.0), (F.unix_seconds(F.lit(now).cast("timestamp")) - F.unix_seconds("ts")) / 86400.0)
+    days = F.greatest(F.lit(0.0), (F.unix_seconds(F.lit(now).cast("timestamp")) - F.unix_seconds(F.col("ts").cast("timestamp"))) / 86400.0)
     k = F.lit(0.0) if not keys else F.size(F.array_intersect(F.map_keys("metadata"), F.array(*[F.lit(x) for x in keys]))) / len(keys)
     score = 0.2 * shared + 0.3 * F.col("importance") + 0.2 / (1 + F.floor(days)) + 0.1 * F.least(F.lit(1.0), F.col("access_count") / 10) + 0.2 * k
     return memories.select("id", F.round(F.least(F.lit(1.0), score), 6).alias("relevance"))
@@ -204,7 +204,7 @@ def hypotheses(items: DataFrame, least: int = 2) -> DataFrame:
 def award(bids: DataFrame, load: Column | None = None) -> DataFrame:
     """Per task the best bid, its score divided by 1 + 0.2 load where a load is given; ties to the least bidder."""
     s = F.col("score") / (1 + 0.2 * load) if load is not None else F.col("score")
-    rated = bids.withColumn("bid", F.round(s, 6))
+    rated = bids.withColumn("bid", F.round(s, 4))
     return rated.groupBy("task").agg(F.min_by("bidder", F.struct(-F.col("bid"), F.col("bidder"))).alias("bidder"), F.max("bid").alias("bid"))
 
 
