@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.shared import mix, width
+from graphloom.llm.shared import bound_batches, mix, trim, width
 
 CHAIN = 3
 # Common words of English, German, French and Spanish, the anchors.
@@ -124,6 +124,8 @@ def _printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols = list(zip(*rows, strict=True)) if rows else [()] * 7
         types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+    known.clear()
+    trim()
 
 
 def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -140,6 +142,7 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     below it. What comes to the driver is a bound and a greatest id per range.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     ranges = 4 * width(spark)
     low = F.lit(_LOWEST).cast("long")
     light = docs.select(F.coalesce(F.col(id_col).cast("long"), low).alias("key"))

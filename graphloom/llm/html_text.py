@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.shared import bound_batches
+
 # Elements by their role in HTML.
 DROPPED = ("script", "style", "noscript", "template", "svg", "iframe", "object", "canvas", "select", "button", "textarea", "datalist", "audio", "video", "title")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -207,6 +209,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", k
     empty text; repeated rows repeat; other columns are left out.
     """
 
+    bound_batches(pages.sparkSession)
+
     @F.arrow_udf("string")
     def text_of(batch: pa.Array) -> pa.Array:
         return pa.array([main_text(x.as_py()) for x in batch], pa.string())

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.shared import WordCodes, discard, materialise, mix, shingles, width
+from graphloom.llm.shared import WordCodes, bound_batches, discard, materialise, mix, shingles, trim, width
 
 BLOCK = 256  # sets in a block
 BROADCAST = 500_000  # candidates up to which their list is broadcast
@@ -121,19 +121,23 @@ def _signed(words: int, num: int, den: int, parts: int, common: np.ndarray):
                 fps.append(fp)
                 ns.append(len(codes))
                 if len(codes) and fp not in seen:
-                    if len(seen) >= 500_000:
+                    if len(seen) >= 200_000:
                         seen.clear()
                     seen.add(fp)
                     if len(sig := part_enum(codes, common, num, den)):
                         held.append((fp, sig))
                         load += len(sig)
-                if load >= 2_000_000:
+                if load >= 1_000_000:
                     yield from pack(held)
                     held, load = [], 0
             none = pa.nulls(len(ids))
             yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(fps, pa.int64()), pa.array(ns, pa.int32()), none.cast(pa.int32()), none.cast(pa.binary())], ["id", "fp", "n", "part", "packed"])
         if held:
             yield from pack(held)
+        known.clear()
+        seen.clear()
+        held.clear()
+        trim()
 
     return run
 
@@ -166,6 +170,8 @@ def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for at in range(0, len(found), 50_000):
         piece = found[at : at + 50_000]
         yield pa.RecordBatch.from_arrays([pa.array(piece[:, 0]), pa.array(piece[:, 1])], ["a", "b"])
+    del sig, node, hub, found, order
+    trim()
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
@@ -282,6 +288,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     that join its members.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     parts = 4 * width(spark)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
     common = _common(source, words)

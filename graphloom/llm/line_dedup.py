@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.shared import discard, materialise
+from graphloom.llm.shared import bound_batches, discard, materialise, trim
 
 DEPTH = 3  # leading tokens that, after the token count, make the tree's fixed levels
 CELLS = 16  # positions a line is compared by; in longer lines a position is a run of tokens
@@ -49,6 +49,7 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     lines.append(found[1])
                     cells.append(found[2])
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(leaves, pa.int64()), pa.array(lines, pa.int64()), pa.array(cells, pa.binary())], ["id", "leaf", "line", "cells"])
+    trim()
 
 
 def _unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,6 +72,7 @@ def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     leading ones counted, are constant; lines beyond that are templates of their own. All counts come from
     partial sums over every document, so the outcome doesn't depend on the order of rows.
     """
+    bound_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     lines = materialise(source.mapInArrow(_lines, LINE), "lines")
     distinct = materialise(lines.groupBy("leaf", "line").agg(F.count("*").alias("docs"), F.min("id").alias("first"), F.min("cells").alias("cells")), "distinct")

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.shared import mix
+from graphloom.llm.shared import bound_batches, mix, trim
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -235,7 +235,7 @@ def _draw(base, step: int):
 _STEP = np.uint64(0x9FB21C651E98DF25)
 TABLE = 22  # bits of the tables from hash to piece
 TABLED = 32  # longest word, in characters, that goes by tables
-CHUNK = 250_000  # words handled at once
+CHUNK = 200_000  # words handled at once
 #: a line end, up to 16 spaces with up to 4000 characters of the word after them, or spaces
 _WORD = re.compile(r"\n| {0,16}[^ \n]{1,4000}| {1,32}")
 
@@ -259,7 +259,9 @@ def _lists(found: list[np.ndarray | None]) -> pa.ListArray:
 def _sampled(own: Lattice, keys: pa.Array, texts: pa.Array, salt: int) -> list[np.ndarray | None]:
     raw, valid = texts.to_pylist(), texts.is_valid().to_pylist()
     ids = iter(own.encode_all([t for t in raw if t is not None], [seed_of(k, salt) for k, v in zip(keys.to_pylist(), valid, strict=True) if v]))
-    return [next(ids) if v else None for v in valid]
+    out = [next(ids) if v else None for v in valid]
+    trim()
+    return out
 
 
 def encode(key: Column, text: Column, model: str = MODEL, alpha: float = ALPHA, salt: int = 0) -> Column:
@@ -302,5 +304,6 @@ def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mo
         same = [None if x is None else x == t.as_py() for x, t in zip(back, texts, strict=True)]
         return pa.StructArray.from_arrays([_lists(ids), pa.array(sha, pa.string()), pa.array(same, pa.bool_())], ["ids", "decoded_sha256", "lossless"])
 
+    bound_batches(docs.sparkSession)
     done = docs.select(F.col(id_col), F.coalesce(F.length(text_col), F.lit(0)).cast("long").alias("n_chars"), coded(F.col(id_col), F.col(text_col)).alias("c"))
     return done.select(id_col, "c.ids", F.coalesce(F.size("c.ids"), F.lit(0)).cast("long").alias("n_pieces"), "n_chars", "c.decoded_sha256", "c.lossless")

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from graphloom.llm.shared import bound_batches, trim
+
 SHAPES, WORDS, EXTRA = 384, 128, 16
 TERMS = SHAPES + WORDS + EXTRA
 SAMPLE = 6000  # labelled documents that are fitted and broadcast, at most
@@ -37,7 +39,7 @@ class _Terms(dict):
     """Word to its two term numbers packed in one, remembered within bounds."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 300_000:
+        if len(self) > 200_000:
             self.clear()
         a = xxhash.xxh32_intdigest(_shape(word)) % SHAPES
         plain = word.strip(".,;:!?*#$%&|\"'()[]").lower()
@@ -114,6 +116,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     holds whatever the number of labels; ids without a text, and null labels or ids, aren't used. The
     labelled vectors (sample x LATENT floats) are what is broadcast.
     """
+    bound_batches(docs.sparkSession)
     usable = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 != 0))
     chosen = usable.groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_label")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
     held = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id")
@@ -123,6 +126,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for batch in batches:
             found = [term_shares(x.as_py(), known).tobytes() for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), batch.column(2)], ["_id", "shares", "label"])
+        known.clear()
+        trim()
 
     kept = held.select(F.col("_id").cast("long"), "_text", F.col("_label").cast("int")).mapInArrow(shares, "_id long, shares binary, label int")
     rows = sorted({(r["_id"], bytes(r["shares"]), r["label"]) for r in kept.collect()})
@@ -136,6 +141,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sco
     Only the whole text counts, so equal texts score alike. Null, empty and blank texts share one
     term and score as their labelled like do; with no labelled rows at all every score is 0.5.
     """
+    bound_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @arrow_udf("double")
@@ -147,6 +153,8 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sco
                 piece = np.array([term_shares(x.as_py(), known) for x in batch.slice(at, BLOCK)], np.float32).reshape(-1, TERMS)
                 found.append(vote(latent(piece, own), own))
             yield pa.array(np.round(np.concatenate(found), 6) if found else [], pa.float64())
+        known.clear()
+        trim()
 
     return docs.withColumn(out, scored(F.col(text_col)))
 

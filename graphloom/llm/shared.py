@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -41,6 +42,21 @@ def discard(df: DataFrame) -> None:
         target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Send whole texts to Python in smaller batches than Spark's default of 10,000 rows; a session's own setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
+
+
+def trim() -> None:
+    """Give freed memory back to the system: Python workers live on after their task, beside the next stage's."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def width(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
@@ -58,7 +74,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordCodes(dict):
     """Word (bytes) to 64-bit code, remembered; emptied when it holds ``most`` words."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 250_000):
         super().__init__()
         self.most = most
 

@@ -12,6 +12,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.shared import bound_batches
+
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: the vocabulary's public pre-token pattern: it looks ahead by one character and never back
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -179,6 +181,7 @@ def count_with_edits(docs: DataFrame, edits: Column, id_col: str = "doc_id", tex
     Returns id, n_chars, n_tokens, n_leaves, edited_n_chars, edited_n_tokens, n_encoded. Null texts
     count as empty; repeated rows repeat; other columns are left out.
     """
+    bound_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     built = docs.select(F.col(id_col), text.alias("_text"), edits.alias("_edits")).withColumn("_tree", token_tree(F.col("_text"), ranks))
     new = built.withColumn("_new", recount(F.col("_text"), F.col("_tree"), F.col("_edits"), ranks))
