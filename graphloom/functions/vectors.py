@@ -15,11 +15,6 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
-def unit(a: Column) -> Column:
-    n = norm(a)
-    return F.transform(a, lambda x: x.cast("double") / F.when(n == 0, 1.0).otherwise(n))
-
-
 def cosine(a: Column, b: Column) -> Column:
     n = norm(a) * norm(b)
     return F.when(n == 0, 0.0).otherwise(dot(a, b) / n)

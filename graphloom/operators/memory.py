@@ -204,7 +204,7 @@ def hypotheses(items: DataFrame, least: int = 2) -> DataFrame:
 def award(bids: DataFrame, load: Column | None = None) -> DataFrame:
     """Per task the best bid, its score divided by 1 + 0.2 load where a load is given; ties to the least bidder."""
     s = F.col("score") / (1 + 0.2 * load) if load is not None else F.col("score")
-    rated = bids.withColumn("bid", F.round(s, 4))
+    rated = bids.withColumn("bid", F.round(s, 9))
     return rated.groupBy("task").agg(F.min_by("bidder", F.struct(-F.col("bid"), F.col("bidder"))).alias("bidder"), F.max("bid").alias("bid"))
 
 

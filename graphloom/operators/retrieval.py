@@ -87,9 +87,8 @@ def vector_top(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "ve
     n = queries.count()
     if n > 4096:
         raise ValueError("queries are broadcast; ask at most 4096 at once")
-    q = queries.select("query_id", V.unit(F.col("q")).alias("q"))
-    pairs = vectors.select(id_col, V.unit(F.col("embedding")).alias("e")).join(F.broadcast(q))
-    scored = pairs.select("query_id", id_col, F.round(V.dot(F.col("e"), F.col("q")), 6).alias("score"))
+    pairs = vectors.select(id_col, F.col("embedding").alias("e")).join(F.broadcast(queries.select("query_id", "q")))
+    scored = pairs.select("query_id", id_col, F.round(V.cosine(F.col("e"), F.col("q")), 6).alias("score"))
     w = W.partitionBy("query_id").orderBy(F.desc("score"), id_col)
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 

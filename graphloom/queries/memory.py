@@ -150,7 +150,7 @@ def hypothesis_generation(spark, sf):
 _BIDS = "b AS (SELECT l_partkey AS task, l_suppkey AS bidder, max(l_extendedprice / 1000) AS score FROM lineitem GROUP BY ALL)"
 
 
-@query(f"WITH {_BIDS} SELECT task, arg_min(bidder, (-round(score, 4), bidder)) AS bidder, max(round(score, 4)) AS bid FROM b GROUP BY task")
+@query(f"WITH {_BIDS} SELECT task, arg_min(bidder, (-round(score, 9), bidder)) AS bidder, max(round(score, 9)) AS bid FROM b GROUP BY task")
 def contract_award(spark, sf):
     return M.award(_bids(spark, sf))
 
@@ -159,7 +159,7 @@ def _bids(spark, sf):
     return K.table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("task"), F.col("l_suppkey").alias("bidder")).agg(F.max(F.col("l_extendedprice") / 1000).alias("score"))
 
 
-@query(f"WITH {_BIDS}, w AS (SELECT *, round(score / (1 + 0.2::DOUBLE * (bidder % 7)), 4) AS bid FROM b) SELECT task, arg_min(bidder, (-bid, bidder)) AS bidder, max(bid) AS bid FROM w GROUP BY task")
+@query(f"WITH {_BIDS}, w AS (SELECT *, round(score / (1 + 0.2::DOUBLE * (bidder % 7)), 9) AS bid FROM b) SELECT task, arg_min(bidder, (-bid, bidder)) AS bidder, max(bid) AS bid FROM w GROUP BY task")
 def load_balanced_assign(spark, sf):
     return M.award(_bids(spark, sf), F.col("bidder") % 7)
 
