@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from graphloom.llm.shared import WordCodes, bound_batches, discard, materialise, mix, shingles, trim, width
 
 BLOCK = 256  # sets in a block
+PLACE = ("grp", "cls", "b", "up", "down", "single", "own")
 BROADCAST = 500_000  # candidates up to which their list is broadcast
 COMMON = 0.002  # share of documents from which on a shingle is left out of signatures
 SAMPLE = 20_000  # documents by which that share is estimated
@@ -284,8 +285,8 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     PartEnum: every node signs the parts of its size band's feature domain; nodes that share a
     signature are candidates, and no link is lost (codes are 64 bits). Candidates aren't listed
     as pairs: each signature joins its members to a hub, the connected groups of these stars are
-    compared whole, by pairs of blocks of at most BLOCK sets in the mean, and a pair of blocks returns only links
-    that join its members.
+    compared whole, by pairs of blocks of about BLOCK sets of the same or of neighbouring size classes, and a pair of
+    blocks returns only links that join its members.
     """
     spark = docs.sparkSession
     bound_batches(spark)
@@ -294,31 +295,50 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     common = _common(source, words)
     signed = materialise(source.mapInArrow(_signed(words, num, den, parts, common), "id long, fp long, n int, part int, packed binary"), "signed")
     meta = materialise(signed.filter("part is null").select("id", "fp", "n"), "meta")
-    nodes = meta.filter("n > 0").groupBy("fp").agg(F.min("id").alias("rep"))
     stars = materialise(signed.filter("part is not null").select("part", "packed").repartition(parts, "part").select("packed").mapInArrow(_matched, "a long, b long"), "stars")
     discard(signed)
 
+    nodes = meta.filter("n > 0").groupBy("fp").agg(F.min("id").alias("rep"), F.min("n").alias("n"))
     group = components(stars, "groups")
-    sizes = group.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    # sizes a factor of num / den apart are in the same or the next size class; the width allows for rounding
+    size_class = F.floor(F.log(F.col("n").cast("double")) / (math.log(den / num) * 1.0001)).cast("int")
+    member = group.select(F.col("node").alias("fp"), F.col("root").alias("grp")).join(nodes, "fp").filter("rep is not null").withColumn("cls", size_class)
+    member = materialise(member.select("fp", "grp", "rep", "cls"), "grouped")
+    own = member.groupBy("grp", "cls").agg(F.count("*").alias("m"))
+    blocks = own.select("grp", "cls", F.ceil(F.col("m") / BLOCK).cast("int").alias("b"))
+    whole = own.groupBy("grp").agg((F.sum("m") <= BLOCK).alias("single"))
+    plan = blocks.join(blocks.select("grp", (F.col("cls") - 1).alias("cls"), F.col("b").alias("up")), ["grp", "cls"], "left")
+    plan = plan.join(blocks.select("grp", (F.col("cls") + 1).alias("cls"), F.col("b").alias("down")), ["grp", "cls"], "left").join(whole, "grp").fillna(0, ["up", "down"])
     # blocks by hash: no order over a group is needed
-    member = group.join(sizes, "root").select(F.col("node").alias("fp"), F.col("root").alias("grp"), "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("own"))
-    member = materialise(member.join(nodes, "fp").filter("rep is not null"), "members")
+    placed = member.join(plan, ["grp", "cls"]).withColumn("own", F.pmod(F.xxhash64("fp"), "b").cast("int"))
+    member = materialise(placed.select("fp", "rep", "grp", "cls", "b", "up", "down", "single", "own"), "members")
     chosen = F.broadcast(member) if member.count() <= BROADCAST else member
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordCodes()
         for batch in batches:
-            sets = [_codes(x.as_py(), words, known) for x in batch.column(4)]
+            sets = [_codes(x.as_py(), words, known) for x in batch.column(1)]
             # another row may have the same id
             keep = pa.array([_fingerprint(c) == fp for c, fp in zip(sets, batch.column(0).to_pylist(), strict=True)], pa.bool_())
-            cols = [batch.column(i) for i in range(4)] + [pa.array([c.tobytes() for c in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, ["fp", "grp", "blocks", "own", "codes"]).filter(keep)
-
-    sets = source.join(chosen, source.id == member.rep).select("fp", "grp", "blocks", "own", "text")
-    sets = sets.mapInArrow(packed, "fp long, grp long, blocks int, own int, codes binary").dropDuplicates(["fp"])
-    spread = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.select("grp", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), F.signum(F.col("other") - F.col("own")).cast("int").alias("side"), "fp", "codes")
-    links = materialise(spread.groupBy("grp", "p", "q").applyInArrow(_block(num, den), "a long, b long"), "links")
+            yield pa.RecordBatch.from_arrays([*batch.columns[:1], *batch.columns[2:], pa.array([c.tobytes() for c in sets], pa.binary())], ["fp", *PLACE, "codes"]).filter(keep)
+        known.clear()
+        trim()
+
+    sets = source.join(chosen, source.id == member.rep).select("fp", "text", *PLACE)
+    sets = sets.mapInArrow(packed, "fp long, grp long, cls int, b int, up int, down int, single boolean, own int, codes binary").dropDuplicates(["fp"])
+
+    def to(cls, cross, p, q, side):
+        return F.struct(cls.alias("cls"), F.lit(cross).alias("cross"), p.cast("int").alias("p"), q.cast("int").alias("q"), side.cast("int").alias("side"))
+
+    def each(n: str, f):
+        return F.when(F.col(n) > 0, F.transform(F.sequence(F.lit(0), F.col(n) - 1), f)).otherwise(F.array().cast("array<struct<cls:int,cross:boolean,p:int,q:int,side:int>>"))
+
+    o, k, zero = F.col("own"), F.col("cls"), F.lit(0)
+    pairs = F.concat(
+        each("b", lambda j: to(k, False, F.least(o, j), F.greatest(o, j), F.signum(j - o))), each("up", lambda j: to(k, True, o, j, zero)), each("down", lambda j: to(k - 1, True, j, o, F.lit(1))))
+    goes = F.when(F.col("single"), F.array(to(zero, False, zero, zero, zero))).otherwise(pairs)
+    spread = sets.select("grp", "fp", "codes", F.explode(goes).alias("x")).select("grp", "x.*", "fp", "codes")
+    links = materialise(spread.groupBy("grp", "cls", "cross", "p", "q").applyInArrow(_block(num, den), "a long, b long"), "links")
     root = components(links, "classes")
     named = nodes.join(root, nodes.fp == root.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
