@@ -209,13 +209,15 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     return label if label is not None else edges.select(F.col("a").alias("node"), F.col("a").alias("root")).limit(0)
 
 
-def _block(num: int, den: int):
-    """Sets of a pair of blocks to linked pairs, no more than join their members."""
+def _block(words: int, num: int, den: int):
+    """Texts of a pair of blocks to linked pairs, no more than join their members."""
 
     def run(table: pa.Table) -> pa.Table:
         node = table.column("fp").to_numpy()
         side = table.column("side").to_numpy()
-        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("codes")]
+        known = WordCodes()
+        sets = [_codes(x.as_py(), words, known) for x in table.column("text")]
+        known.clear()
         size = np.array([len(x) for x in sets], np.int64)
         flat = np.concatenate(sets)
         owner = np.repeat(np.arange(len(sets)), size)
@@ -248,6 +250,8 @@ def _block(num: int, den: int):
             if (p := top(i)) != (q := top(j)):
                 root[max(p, q)] = min(p, q)
                 out.append((int(node[i]), int(node[j])))
+        del same, whole, link, flat, owner, code
+        trim()
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
     return run
@@ -314,18 +318,19 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     member = materialise(placed.select("fp", "rep", "grp", "cls", "b", "up", "down", "single", "own"), "members")
     chosen = F.broadcast(member) if member.count() <= BROADCAST else member
 
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordCodes()
         for batch in batches:
             sets = [_codes(x.as_py(), words, known) for x in batch.column(1)]
             # another row may have the same id
             keep = pa.array([_fingerprint(c) == fp for c, fp in zip(sets, batch.column(0).to_pylist(), strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:1], *batch.columns[2:], pa.array([c.tobytes() for c in sets], pa.binary())], ["fp", *PLACE, "codes"]).filter(keep)
+            yield batch.filter(keep)
         known.clear()
         trim()
 
     sets = source.join(chosen, source.id == member.rep).select("fp", "text", *PLACE)
-    sets = sets.mapInArrow(packed, "fp long, grp long, cls int, b int, up int, down int, single boolean, own int, codes binary").dropDuplicates(["fp"])
+    # texts move, not their codes: they shrink in a shuffle, and a code is as long as a word
+    sets = sets.mapInArrow(checked, "fp long, text binary, grp long, cls int, b int, up int, down int, single boolean, own int").dropDuplicates(["fp"])
 
     def to(cls, cross, p, q, side):
         return F.struct(cls.alias("cls"), F.lit(cross).alias("cross"), p.cast("int").alias("p"), q.cast("int").alias("q"), side.cast("int").alias("side"))
@@ -337,8 +342,8 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = F.concat(
         each("b", lambda j: to(k, False, F.least(o, j), F.greatest(o, j), F.signum(j - o))), each("up", lambda j: to(k, True, o, j, zero)), each("down", lambda j: to(k - 1, True, j, o, F.lit(1))))
     goes = F.when(F.col("single"), F.array(to(zero, False, zero, zero, zero))).otherwise(pairs)
-    spread = sets.select("grp", "fp", "codes", F.explode(goes).alias("x")).select("grp", "x.*", "fp", "codes")
-    links = materialise(spread.groupBy("grp", "cls", "cross", "p", "q").applyInArrow(_block(num, den), "a long, b long"), "links")
+    spread = sets.select("grp", "fp", "text", F.explode(goes).alias("x")).select("grp", "x.*", "fp", "text")
+    links = materialise(spread.groupBy("grp", "cls", "cross", "p", "q").applyInArrow(_block(words, num, den), "a long, b long"), "links")
     root = components(links, "classes")
     named = nodes.join(root, nodes.fp == root.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
