@@ -138,18 +138,22 @@ def chain_seeds(edges: DataFrame, seeds: DataFrame, cutoff: int = 5) -> DataFram
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component): the least name reachable; nodes without edges are absent.
 
-    Rounds of hooking to the least neighbour with a jump, on edges contracted to the roots, so
-    the edges shrink every round and the number of rounds is about the logarithm of the longest shortest path.
+    Rounds of hooking to the neighbour of least rank with a jump, on edges contracted to the
+    roots. Ranks are hashes of the names: whatever the order of names along a chain, a fixed share of
+    the nodes is contracted in a round, so rounds grow as the logarithm of their number.
     """
-    left = cut(canonical(edges.select("src", "tgt")).filter("src <> tgt").distinct())
-    label = edges.select(F.explode(F.array("src", "tgt")).alias("node")).distinct().withColumn("component", F.col("node"))
+    rank = lambda c: F.concat(F.lpad(F.hex(F.xxhash64(c)), 16, "0"), F.lit(":"), c)
+    ranked = edges.select(rank("src").alias("src"), rank("tgt").alias("tgt"))
+    left = cut(canonical(ranked).filter("src <> tgt").distinct())
+    label = ranked.select(F.explode(F.array("src", "tgt")).alias("node")).distinct().withColumn("root", F.col("node"))
     while not left.isEmpty():
         hook = adjacency(left).groupBy("src").agg(F.least(F.min("tgt"), F.col("src")).alias("up"))
         jump = cut(hook.join(hook.select(F.col("src").alias("up"), F.col("up").alias("top")), "up").select("src", "top"))
-        label = cut(label.join(jump.select(F.col("src").alias("component"), "top"), "component", "left").select("node", F.coalesce("top", "component").alias("component")))
+        label = cut(label.join(jump.select(F.col("src").alias("root"), "top"), "root", "left").select("node", F.coalesce("top", "root").alias("root")))
         a, b = jump.select("src", F.col("top").alias("a")), jump.select(F.col("src").alias("tgt"), F.col("top").alias("b"))
         left = cut(canonical(left.join(a, "src").join(b, "tgt").filter("a <> b").select(F.col("a").alias("src"), F.col("b").alias("tgt"))).distinct())
-    return label
+    named = label.select(F.expr("substring(node, 18)").alias("node"), "root")
+    return named.join(named.groupBy("root").agg(F.min("node").alias("component")), "root").select("node", "component")
 
 
 def largest_component(edges: DataFrame) -> DataFrame:
