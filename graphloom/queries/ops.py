@@ -90,9 +90,9 @@ def entity_resolve_names(spark, sf):
     return E.resolve(K.nodes(spark, sf), asked)
 
 
-@query("""SELECT * FROM (VALUES ('the 17 supplier', 'supplier:17', 2), ('part 5 blue', 'part:5', 2), ('region 2', 'region:2', 2)) v(name, entity_name, shared)""")
+@query("""SELECT * FROM (VALUES ('the 4 supplier', 'supplier:4', 2), ('part 5 blue', 'part:5', 2), ('region 2', 'region:2', 2)) v(name, entity_name, shared)""")
 def entity_resolve_fuzzy(spark, sf):
-    asked = spark.createDataFrame([("the 17 supplier",), ("part 5 blue",), ("region 2",)], "name string")
+    asked = spark.createDataFrame([("the 4 supplier",), ("part 5 blue",), ("region 2",)], "name string")
     return E.resolve_fuzzy(K.nodes(spark, sf), asked).withColumn("shared", F.col("shared").cast("int"))
 
 
