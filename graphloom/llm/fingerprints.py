@@ -29,7 +29,7 @@ class _Codes(dict):
     """Word to a 64-bit code whose two lowest bits tell anchors and words without a letter or digit."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= 300_000:
+        if len(self) >= 150_000:
             self.clear()
         plain = word.strip(_EDGES).lower()
         code = xxhash.xxh3_64_intdigest(plain.encode("utf-8", "surrogatepass")) & ~3

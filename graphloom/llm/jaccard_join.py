@@ -122,13 +122,13 @@ def _signed(words: int, num: int, den: int, parts: int, common: np.ndarray):
                 fps.append(fp)
                 ns.append(len(codes))
                 if len(codes) and fp not in seen:
-                    if len(seen) >= 200_000:
+                    if len(seen) >= 100_000:
                         seen.clear()
                     seen.add(fp)
                     if len(sig := part_enum(codes, common, num, den)):
                         held.append((fp, sig))
                         load += len(sig)
-                if load >= 1_000_000:
+                if load >= 400_000:
                     yield from pack(held)
                     held, load = [], 0
             none = pa.nulls(len(ids))

@@ -233,7 +233,7 @@ def _draw(base, step: int):
 
 
 _STEP = np.uint64(0x9FB21C651E98DF25)
-TABLE = 22  # bits of the tables from hash to piece
+TABLE = 20  # bits of the tables from hash to piece
 TABLED = 32  # longest word, in characters, that goes by tables
 CHUNK = 200_000  # words handled at once
 #: a line end, up to 16 spaces with up to 4000 characters of the word after them, or spaces

@@ -39,7 +39,7 @@ class _Terms(dict):
     """Word to its two term numbers packed in one, remembered within bounds."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 200_000:
+        if len(self) > 120_000:
             self.clear()
         a = xxhash.xxh32_intdigest(_shape(word)) % SHAPES
         plain = word.strip(".,;:!?*#$%&|\"'()[]").lower()

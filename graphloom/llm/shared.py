@@ -74,7 +74,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordCodes(dict):
     """Word (bytes) to 64-bit code, remembered; emptied when it holds ``most`` words."""
 
-    def __init__(self, most: int = 250_000):
+    def __init__(self, most: int = 120_000):
         super().__init__()
         self.most = most
 

@@ -42,7 +42,7 @@ class _Known(dict):
         self.coder = coder
 
     def __missing__(self, part: str) -> int:
-        if len(self) >= 300_000:
+        if len(self) >= 150_000:
             self.clear()
         n = self[part] = len(self.coder.encode_ordinary(part))
         return n
