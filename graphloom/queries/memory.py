@@ -8,7 +8,7 @@ from graphloom.functions import text as T
 from graphloom.operators import graph as G
 from graphloom.operators import memory as M
 from graphloom.operators import server as S
-from graphloom.queries.registry import query
+from graphloom.queries.registry import query, whole
 from graphloom.sources import commerce as K
 
 _NOW = "2024-02-01 00:00:00"
@@ -215,11 +215,12 @@ def memory_recall(spark, sf):
     return M.recall(G.adjacency(e.select("src", "tgt")).select(F.col("src").alias("id"), F.col("tgt").alias("other")), "nation:3")
 
 
+@whole("o_orderkey < 100")
 @query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'comparison' WHEN 1 THEN 'factual' WHEN 2 THEN 'causal' ELSE 'general' END AS kind FROM orders WHERE o_orderkey < 100")
-def query_classification(spark, sf):
+def query_classification(spark, sf, rows="o_orderkey < 100"):
     k = F.col("o_orderkey") % 4
     q = F.when(k == 0, "How do A versus B differ").when(k == 1, "Who won?").when(k == 2, "why did it fail").otherwise("status")
-    return K.table(spark, sf, "orders").filter("o_orderkey < 100").select("o_orderkey", M.query_type(q).alias("kind"))
+    return K.table(spark, sf, "orders").filter(rows).select("o_orderkey", M.query_type(q).alias("kind"))
 
 
 # server
@@ -271,9 +272,10 @@ def date_mentions(spark, sf):
     return S.dates(o.select(F.col("o_orderkey").alias("chunk_id"), t.alias("content")))
 
 
+@whole("o_orderkey < 300")
 @query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 2 THEN false ELSE true END AS supported FROM orders WHERE o_orderkey < 300")
-def answer_span_support(spark, sf):
-    o = K.table(spark, sf, "orders").filter("o_orderkey < 300")
+def answer_span_support(spark, sf, rows="o_orderkey < 300"):
+    o = K.table(spark, sf, "orders").filter(rows)
     k = F.col("o_orderkey") % 3
     span = F.when(k == 0, F.concat(F.lit("order "), F.col("o_orderkey").cast("string"))).when(k == 1, F.concat(F.lit("ORDER-"), F.col("o_orderkey").cast("string"))).otherwise("nowhere")
     return S.span_support(o.select(F.col("o_orderkey").alias("id"), span.alias("span"), F.array(F.concat(F.lit("order:"), F.col("o_orderkey").cast("string")), F.lit("order:none")).alias("chunk_ids")), K.chunks(spark, sf))
@@ -292,19 +294,21 @@ def bridge_disambiguate(spark, sf):
     return S.bridge_score(n.select(F.col("n_name").alias("entity_name"), F.concat("n_name", F.lit(" lies in region "), F.col("n_regionkey").cast("string")).alias("context")), "region 3 mountains")
 
 
+@whole("o_orderkey < 200")
 @query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'yes_no' WHEN 1 THEN 'entity' WHEN 2 THEN 'date' ELSE 'number' END AS kind, o_orderkey % 2 = 0 AS fits FROM orders WHERE o_orderkey < 200")
-def answer_kinds(spark, sf):
+def answer_kinds(spark, sf, rows="o_orderkey < 200"):
     k = F.col("o_orderkey") % 4
     q = F.when(k == 0, "Is it open?").when(k == 1, "Who was born in 1990?").when(k == 2, "When did it end?").otherwise("How many are there?")
     said = F.when(k == 0, "Yes").when(k == 1, " ").when(k == 2, "May 1990").otherwise("many")
-    o = K.table(spark, sf, "orders").filter("o_orderkey < 200").select("o_orderkey", T.answer_kind(q).alias("kind"), said.alias("said"))
+    o = K.table(spark, sf, "orders").filter(rows).select("o_orderkey", T.answer_kind(q).alias("kind"), said.alias("said"))
     return o.select("o_orderkey", "kind", T.matches_kind(F.col("said"), F.col("kind")).alias("fits"))
 
 
+@whole("o_orderkey < 90")
 @query("SELECT o_orderkey, o_orderkey % 3 = 0 AS dated, o_orderkey % 3 = 1 AS person FROM orders WHERE o_orderkey < 90")
-def name_kinds(spark, sf):
+def name_kinds(spark, sf, rows="o_orderkey < 90"):
     k = F.col("o_orderkey") % 3
-    o = K.table(spark, sf, "orders").filter("o_orderkey < 90").select("o_orderkey", F.when(k == 0, "in March of 1999").when(k == 1, "Ada Lovelace").otherwise("the x").alias("n"))
+    o = K.table(spark, sf, "orders").filter(rows).select("o_orderkey", F.when(k == 0, "in March of 1999").when(k == 1, "Ada Lovelace").otherwise("the x").alias("n"))
     return o.select("o_orderkey", T.looks_like_date(F.col("n")).alias("dated"), T.looks_like_person(F.col("n")).alias("person"))
 
 

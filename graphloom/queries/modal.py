@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import crossmodal as X
 from graphloom.operators import evaluate as V
-from graphloom.queries.registry import query
+from graphloom.queries.registry import query, whole
 from graphloom.sources import commerce as K
 
 _COS = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]) * list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))"
@@ -157,9 +157,10 @@ def qa_str_hit(spark, sf):
     return _answers(spark, sf).join(en, "doc_id", "left_semi").select("item_id", "doc_id", V.string_hits(F.col("predicted"), groups).alias("s")).select("item_id", "doc_id", "s.*")
 
 
+@whole("o_orderkey < 400")
 @query("SELECT o_orderkey, chr(65 + (o_orderkey % 5)::INT) AS option, chr(65 + (o_orderkey % 5)::INT) = 'B' AS right FROM orders WHERE o_orderkey < 400")
-def qa_close_set(spark, sf):
-    o = K.table(spark, sf, "orders").filter("o_orderkey < 400")
+def qa_close_set(spark, sf, rows="o_orderkey < 400"):
+    o = K.table(spark, sf, "orders").filter(rows)
     letter = F.char(65 + F.col("o_orderkey") % 5)
     said = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("The answer is ("), letter, F.lit(") as before"))).otherwise(F.concat(letter, F.lit(". because")))
     return o.select("o_orderkey", V.option_of(said).alias("option")).withColumn("right", F.col("option") == "B")
@@ -192,9 +193,10 @@ def eval_tool_errors(spark, sf):
     return V.tool_errors(e)
 
 
+@whole("o_orderkey < 500")
 @query("""SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN false WHEN 3 THEN true ELSE NULL END AS correct FROM orders WHERE o_orderkey < 500""")
-def eval_judge_verdicts(spark, sf):
-    o = K.table(spark, sf, "orders").filter("o_orderkey < 500")
+def eval_judge_verdicts(spark, sf, rows="o_orderkey < 500"):
+    o = K.table(spark, sf, "orders").filter(rows)
     k = F.col("o_orderkey") % 5
     said = (F.when(k == 0, 'Here: ```json\n{"correct": true, "why": "no doubt"}\n```').when(k == 1, 'I think {"verdict": "incorrect"} fits').when(k == 2, "Although true at first, it is wrong.").when(k == 3, "Yes, that is correct.").otherwise("Undecided."))
     return o.select("o_orderkey", V.verdict(said).alias("correct"))

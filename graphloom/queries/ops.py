@@ -8,7 +8,7 @@ from graphloom.operators import communities as CO
 from graphloom.operators import entities as E
 from graphloom.operators import graph as G
 from graphloom.operators import relations as L
-from graphloom.queries.registry import query
+from graphloom.queries.registry import query, whole
 from graphloom.sources import commerce as K
 
 _COS = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]) * list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))"
@@ -153,9 +153,10 @@ def relationship_agent(spark, sf):
     return L.agent_relations(K.edges(spark, sf), "nation:5", ["in_region"], 3)
 
 
+@whole("o_orderkey < 50")
 @query("SELECT o_orderkey, 'ships to' AS relation, 0.7::DOUBLE AS score FROM orders WHERE o_orderkey < 50 UNION ALL SELECT o_orderkey, o_orderpriority, 0.25 FROM orders WHERE o_orderkey < 50")
-def relation_score_parse(spark, sf):
-    o = K.table(spark, sf, "orders").filter("o_orderkey < 50")
+def relation_score_parse(spark, sf, rows="o_orderkey < 50"):
+    o = K.table(spark, sf, "orders").filter(rows)
     said = F.concat(F.lit("1. {ships to (Score: 0.7)}: likely. 2. {"), "o_orderpriority", F.lit(" (Score: 0.25)} less so; {not scored}"))
     return o.select("o_orderkey", F.explode(L.parse_scores(said)).alias("s")).select("o_orderkey", "s.*")
 
@@ -209,10 +210,11 @@ def chunk_aggregate(spark, sf):
     return L.aggregate_chunks(_scores(spark, sf), G.incidence(e, key), G.edge_chunks(e, key, K.chunks(spark, sf)), 20)
 
 
+@whole("o_orderkey < 300", old="7.0 / 300", new="7.0 / (SELECT count(*) FROM orders)")
 @query("""WITH s AS (SELECT * FROM (VALUES ('supplies', 2.0::DOUBLE), ('bought', 1.0), ('urgent', 4.0)) v(edge_id, score)), c AS (SELECT 'order:' || o_orderkey AS chunk_id, CASE WHEN o_orderkey % 3 = 0 THEN ['supplies'] WHEN o_orderkey % 3 = 1 THEN ['bought', 'other'] ELSE ['none'] END AS ids, lower(o_orderpriority) AS text FROM orders WHERE o_orderkey < 300),
 h AS (SELECT chunk_id, (SELECT sum(CASE WHEN list_contains(ids, edge_id) THEN score WHEN contains(text, edge_id) THEN 0.5 * score ELSE 0 END) FROM s) AS h FROM c) SELECT chunk_id, round(CASE WHEN h > 0 THEN h ELSE 7.0 / 300 END, 6) AS score FROM h ORDER BY score DESC, chunk_id LIMIT 200""")
-def chunk_aggregate_by_edges(spark, sf):
-    o = K.table(spark, sf, "orders").filter("o_orderkey < 300")
+def chunk_aggregate_by_edges(spark, sf, rows="o_orderkey < 300"):
+    o = K.table(spark, sf, "orders").filter(rows)
     k = F.col("o_orderkey") % 3
     c = o.select(F.concat(F.lit("order:"), F.col("o_orderkey").cast("string")).alias("chunk_id"), F.when(k == 0, F.array(F.lit("supplies"))).when(k == 1, F.array(F.lit("bought"), F.lit("other"))).otherwise(F.array(F.lit("none"))).alias("edge_ids"), F.lower("o_orderpriority").alias("text"))
     return L.aggregate_by_edges(c, spark.createDataFrame([("supplies", 2.0), ("bought", 1.0), ("urgent", 4.0)], "edge_id string, score double"), 200)

@@ -10,7 +10,7 @@ from graphloom.operators import trees as T
 from graphloom.plans import methods
 from graphloom.plans.operators import Context
 from graphloom.queries.ops import _membership, _reports
-from graphloom.queries.registry import query
+from graphloom.queries.registry import query, whole
 from graphloom.sources import commerce as K
 from graphloom.sources import files as S
 
@@ -80,11 +80,12 @@ def graph_sample(spark, sf):
     return S.sample_graph(K.nodes(spark, sf, ("nation", "region")), K.place_edges(spark, sf), 30, 8)[1].select("src", "tgt")
 
 
+@whole("o_orderkey < 60")
 @query("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'ok' WHEN 1 THEN 'yes' ELSE NULL END AS status FROM orders WHERE o_orderkey < 60")
-def json_recovery(spark, sf):
+def json_recovery(spark, sf, rows="o_orderkey < 60"):
     k = F.col("o_orderkey") % 3
     said = F.when(k == 0, 'Sure:\n```json\n{"status": "ok"}\n```').when(k == 1, "status: yes\nmore").otherwise("nothing here")
-    return K.table(spark, sf, "orders").filter("o_orderkey < 60").select("o_orderkey", S.json_field(said, "$.status").alias("status"))
+    return K.table(spark, sf, "orders").filter(rows).select("o_orderkey", S.json_field(said, "$.status").alias("status"))
 
 
 def _questions(spark, sf):

@@ -18,3 +18,22 @@ def query(sql: str | None = None):
         return f
 
     return add
+
+
+def whole(cut: str, **more: str):
+    """Registers a query over few keys a second time, as ``NAME_whole`` over the whole table.
+
+    The query takes a filter as its third argument, by default ``cut``; the whole form passes ``true``. Its SQL is the
+    query's own with ``true`` for ``cut``, and with ``new`` for ``old`` where a figure in it depends on the cut.
+    """
+
+    def add(f):
+        name = f"{f.__name__}_whole"
+        QUERIES[name] = lambda spark, sf: f(spark, sf, "true")
+        assert cut in SQL[f.__name__]
+        SQL[name] = SQL[f.__name__].replace(cut, "true")
+        if more:
+            SQL[name] = SQL[name].replace(more["old"], more["new"])
+        return f
+
+    return add

@@ -9,7 +9,7 @@ from graphloom.operators import chunking as C
 from graphloom.operators import enrich as A
 from graphloom.operators import merge as M
 from graphloom.operators import retrieval as R
-from graphloom.queries.registry import query
+from graphloom.queries.registry import query, whole
 from graphloom.sources import commerce as K
 
 
@@ -80,9 +80,9 @@ def clean_entity_names(spark, sf):
     return p.union(n).select(T.clean(F.col("n")).alias("name"))
 
 
-def _records(spark, sf):
+def _records(spark, sf, rows):
     """An extraction's output: per order line delimited records about its part and supplier."""
-    l = K.table(spark, sf, "lineitem").filter("l_orderkey < 3000")  # noqa: E741
+    l = K.table(spark, sf, "lineitem").filter(rows)  # noqa: E741
     s = lambda c: F.col(c).cast("string")
     record = F.concat(
         F.lit('("entity"<|>"PART '), s("l_partkey"), F.lit('"<|>"'), F.col("l_returnflag"), F.lit('"<|>"sold by '), s("l_linenumber"), F.lit('")##("relationship"<|>"Part '), s("l_partkey"), F.lit('"<|>"Supplier #'), s("l_suppkey"),
@@ -90,42 +90,48 @@ def _records(spark, sf):
     return l.select(F.concat(F.lit("order:"), s("l_orderkey")).alias("chunk_id"), record.alias("content"))
 
 
+@whole("l_orderkey < 3000")
 @query("SELECT 'part ' || l_partkey AS entity_name, lower(l_returnflag) AS entity_type, 'sold by ' || l_linenumber AS description, 'order:' || l_orderkey AS source_id FROM lineitem WHERE l_orderkey < 3000")
-def parse_entity_records(spark, sf):
-    return M.parse_records(_records(spark, sf))[0]
+def parse_entity_records(spark, sf, rows="l_orderkey < 3000"):
+    return M.parse_records(_records(spark, sf, rows))[0]
 
 
+@whole("l_orderkey < 3000")
 @query("SELECT 'part ' || l_partkey AS src_id, 'supplier  ' || l_suppkey AS tgt_id, '' AS relation_name, 'line ' || l_linestatus AS description, 'sale' AS keywords, l_linenumber::DOUBLE AS weight, 'order:' || l_orderkey AS source_id FROM lineitem WHERE l_orderkey < 3000")
-def parse_relation_records(spark, sf):
-    return M.parse_records(_records(spark, sf), keywords=True)[1]
+def parse_relation_records(spark, sf, rows="l_orderkey < 3000"):
+    return M.parse_records(_records(spark, sf, rows), keywords=True)[1]
 
 
+@whole("l_orderkey < 3000")
 @query("""WITH m AS (SELECT 'part ' || l_partkey AS entity_name, lower(l_returnflag) AS entity_type, 'sold by ' || l_linenumber AS description, 'order:' || l_orderkey AS source_id FROM lineitem WHERE l_orderkey < 3000),
 c AS (SELECT entity_name, entity_type, row_number() OVER (PARTITION BY entity_name ORDER BY count(*) DESC, entity_type) AS r FROM m GROUP BY entity_name, entity_type)
 SELECT m.entity_name, any_value(c.entity_type) AS entity_type, array_to_string(list_sort(list_distinct(list(description))), '<SEP>') AS description, array_to_string(list_sort(list_distinct(list(source_id))), ',') AS source_ids
 FROM m JOIN c ON m.entity_name = c.entity_name AND r = 1 GROUP BY m.entity_name""")
-def merge_entities(spark, sf):
-    return M.merge_nodes(M.parse_records(_records(spark, sf))[0]).withColumn("source_ids", F.array_join("source_ids", ","))
+def merge_entities(spark, sf, rows="l_orderkey < 3000"):
+    return M.merge_nodes(M.parse_records(_records(spark, sf, rows))[0]).withColumn("source_ids", F.array_join("source_ids", ","))
 
 
+@whole("l_orderkey < 3000")
 @query("""WITH m AS (SELECT 'part ' || l_partkey AS a, 'supplier  ' || l_suppkey AS b, 'line ' || l_linestatus AS d, l_linenumber::DOUBLE AS w, 'order:' || l_orderkey AS s FROM lineitem WHERE l_orderkey < 3000)
 SELECT least(a, b) AS src, greatest(a, b) AS tgt, sum(w) AS weight, '' AS relation_name, array_to_string(list_sort(list_distinct(list(d))), '<SEP>') AS description, 'sale' AS keywords, array_to_string(list_sort(list_distinct(list(s))), ',') AS source_ids FROM m GROUP BY ALL""")
-def merge_edges_undirected(spark, sf):
-    return M.merge_edges(M.parse_records(_records(spark, sf), keywords=True)[1]).withColumn("source_ids", F.array_join("source_ids", ","))
+def merge_edges_undirected(spark, sf, rows="l_orderkey < 3000"):
+    return M.merge_edges(M.parse_records(_records(spark, sf, rows), keywords=True)[1]).withColumn("source_ids", F.array_join("source_ids", ","))
 
 
+@whole("l_orderkey < 3000")
 @query("""WITH l AS (SELECT * FROM lineitem WHERE l_orderkey < 3000) SELECT 'supplier  ' || l_suppkey AS entity_name, '' AS entity_type, array_to_string(list_sort(list_distinct(list('order:' || l_orderkey))), ',') AS source_ids FROM l GROUP BY ALL""")
-def backfill_endpoints(spark, sf):
-    e, r = M.parse_records(_records(spark, sf))
+def backfill_endpoints(spark, sf, rows="l_orderkey < 3000"):
+    e, r = M.parse_records(_records(spark, sf, rows))
     return M.backfill(M.merge_nodes(e), M.merge_edges(r)).filter("entity_type = ''").select("entity_name", "entity_type", F.array_join("source_ids", ",").alias("source_ids"))
 
 
+@whole("l_orderkey < 3000")
 @query("""WITH l AS (SELECT 'part ' || l_partkey AS entity_name, lower(l_returnflag) AS t, 'sold by ' || l_linenumber AS d, 'order:' || l_orderkey AS s, l_orderkey < 2000 AS old FROM lineitem WHERE l_orderkey < 3000),
 oc AS (SELECT entity_name, t, row_number() OVER (PARTITION BY entity_name ORDER BY count(*) DESC, t) AS r FROM l WHERE old GROUP BY entity_name, t), types AS (SELECT entity_name, t FROM oc WHERE r = 1 UNION ALL SELECT entity_name, t FROM l WHERE NOT old),
 c AS (SELECT entity_name, t, row_number() OVER (PARTITION BY entity_name ORDER BY count(*) DESC, t) AS r FROM types GROUP BY entity_name, t)
 SELECT l.entity_name, any_value(c.t) AS entity_type, array_to_string(list_sort(list_distinct(list(d))), '<SEP>') AS description, array_to_string(list_sort(list_distinct(list(s))), ',') AS source_ids FROM l JOIN c ON l.entity_name = c.entity_name AND r = 1 GROUP BY l.entity_name""")
-def upsert_entities(spark, sf):
-    e = M.parse_records(_records(spark, sf))[0]
+def upsert_entities(spark, sf, rows="l_orderkey < 3000"):
+    e = M.parse_records(_records(spark, sf, rows))[0]
     before = F.split("source_id", ":")[1].cast("int") < 2000
     return M.upsert_nodes(M.merge_nodes(e.filter(before)), e.filter(~before)).withColumn("source_ids", F.array_join("source_ids", ","))
 
