@@ -20,6 +20,25 @@ def overlap(a: Column, b: Column) -> Column:
     return bind(lambda a, b: F.aggregate(F.array_intersect(a, b), F.lit(0), lambda s, x: s + F.least(count(a, x), count(b, x))), a, b)
 
 
+def passages_held(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", run: int = 8) -> DataFrame:
+    """(item, document) wherever a document holds ``run`` consecutive words of an item, or all words of a shorter one.
+
+    Whole texts are read; words are runs of letters and digits in lower case. Nulls and texts without words hold nothing.
+    """
+    plain = lambda rows, key: rows.select(key, F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")).alias("plain")).filter("plain <> ''")
+    d, i = plain(docs, doc_id), plain(items, item_id)
+    words = F.split("plain", " ")
+
+    def runs(rows, key):
+        w = rows.select(key, words.alias("w")).filter(F.size("w") >= run)
+        return w.select(key, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - run), lambda at: F.array_join(F.slice("w", at + 1, run), " ")))).alias("run"))
+
+    padded = F.concat(F.lit(" "), "plain", F.lit(" "))
+    short = i.filter(F.size(words) < run).select(item_id, padded.alias("all"))
+    few = d.select(doc_id, padded.alias("within")).join(short, F.contains(F.col("within"), F.col("all"))).select(item_id, doc_id)
+    return runs(d, doc_id).join(runs(i, item_id), "run").select(item_id, doc_id).unionByName(few).distinct()
+
+
 def answer_scores(pred: Column, gold: Column, special: bool = True) -> Column:
     """Struct of em, f1, precision, recall and accuracy (gold inside prediction).
 

@@ -112,6 +112,13 @@ def _answers(spark, sf):
     return b.join(d, F.col("doc_id") % 40 == F.col("item_id") % 40).select("item_id", "doc_id", "gold", "predicted")
 
 
+def _whole_answers(spark, sf):
+    """Whole texts: each document with each item that it holds a passage of."""
+    b, d = K.table(spark, sf, "benchmark").select("item_id", "text"), K.table(spark, sf, "documents").select("doc_id", "text")
+    held = V.passages_held(d, b).join(b.withColumnRenamed("text", "gold"), "item_id").join(d.withColumnRenamed("text", "predicted"), "doc_id")
+    return held.select("item_id", "doc_id", "gold", "predicted")
+
+
 _ASCII = r"trim(regexp_replace(regexp_replace(regexp_replace(lower({0}), '[!-/:-@\[-`{{-~]', '', 'g'), '\b(a|an|the)\b', ' ', 'g'), '\s+', ' ', 'g'))"
 _ROWS = "r AS (SELECT item_id, doc_id, b.text AS gold, d.text[1:400] AS predicted FROM benchmark b JOIN documents d ON doc_id % 40 = item_id % 40 AND d.lang = 'en')"
 _F1 = f"""WITH {_ROWS}, n AS (SELECT item_id, doc_id, {_ASCII.format('predicted')} AS p, {_ASCII.format('gold')} AS g FROM r), t AS (SELECT *, CASE WHEN p = '' THEN [] ELSE string_split(p, ' ') END AS a, CASE WHEN g = '' THEN [] ELSE string_split(g, ' ') END AS b FROM n),
@@ -146,7 +153,7 @@ def qa_bleu1(spark, sf):
 
 @query()
 def qa_bleu4_rouge_l(spark, sf):
-    return V.rouge_l(_answers(spark, sf).withColumn("bleu4", V.bleu(F.col("predicted"), F.col("gold"), 4, True))).select("item_id", "doc_id", "bleu4", "rouge_l")
+    return V.rouge_l(_whole_answers(spark, sf).withColumn("bleu4", V.bleu(F.col("predicted"), F.col("gold"), 4, True))).select("item_id", "doc_id", "bleu4", "rouge_l")
 
 
 @query(f"""WITH {_ROWS}, n AS (SELECT item_id, doc_id, {_ASCII.format('predicted')} AS p FROM r), h AS (SELECT item_id, doc_id, (contains(p, 'of and') OR contains(p, 'thing'))::INT::DOUBLE AS x, contains(p, 'tion')::INT::DOUBLE AS y FROM n)
@@ -157,6 +164,30 @@ def qa_str_hit(spark, sf):
     return _answers(spark, sf).join(en, "doc_id", "left_semi").select("item_id", "doc_id", V.string_hits(F.col("predicted"), groups).alias("s")).select("item_id", "doc_id", "s.*")
 
 
+# the SQL above reads the first characters of English texts; these read whole texts of all languages and are held against brute force
+
+
+@query()
+def qa_em_f1_whole(spark, sf):
+    return _whole_answers(spark, sf).select("item_id", "doc_id", V.answer_scores(F.col("predicted"), F.col("gold")).alias("s")).select("item_id", "doc_id", "s.*")
+
+
+@query()
+def qa_short_form_whole(spark, sf):
+    return V.short_form(_whole_answers(spark, sf))
+
+
+@query()
+def qa_bleu1_whole(spark, sf):
+    return _whole_answers(spark, sf).select("item_id", "doc_id", V.bleu(F.col("predicted"), F.col("gold")).alias("bleu1"))
+
+
+@query()
+def qa_str_hit_whole(spark, sf):
+    groups = F.array(F.array(F.lit("of and"), F.lit("Thing!")), F.array(F.lit("the tion")))
+    return K.table(spark, sf, "documents").select("doc_id", V.string_hits(F.col("text"), groups).alias("s")).select("doc_id", "s.*")
+
+
 @whole("o_orderkey < 400")
 @query("SELECT o_orderkey, chr(65 + (o_orderkey % 5)::INT) AS option, chr(65 + (o_orderkey % 5)::INT) = 'B' AS right FROM orders WHERE o_orderkey < 400")
 def qa_close_set(spark, sf, rows="o_orderkey < 400"):
