@@ -16,12 +16,14 @@ from graphloom.llm.shared import bound_batches, discard, materialise, trim
 DEPTH = 3  # leading tokens that, after the token count, make the tree's fixed levels
 CELLS = 16  # positions a line is compared by; in longer lines a position is a run of tokens
 MIN_DOCS = 3
+LONG = 50  # a line of more tokens is a passage; where asked, its repetition in PAIR documents is enough
+PAIR = 2
 _DIGIT = regex.compile(r"[0-9]")
-LINE = "id long, leaf long, line long, cells binary"
+LINE = "id long, leaf long, line long, passage boolean, cells binary"
 
 
-def parse(line: str) -> tuple[int, int, bytes] | None:
-    """(leaf, whole line, its cells) as 64-bit codes; tokens with a digit are the variable <*>. None for a blank line."""
+def parse(line: str) -> tuple[int, int, bool, bytes] | None:
+    """(leaf, whole line, its cells) as 64-bit codes, before the cells whether it has more than LONG tokens; tokens with a digit are the variable <*>. None for a blank line."""
     tokens = line.split()
     n = len(tokens)
     if not n:
@@ -33,12 +35,12 @@ def parse(line: str) -> tuple[int, int, bytes] | None:
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     leaf = signed(code(f"{n} {' '.join(tokens[:DEPTH])}"))
     cells = b"".join(xxhash.xxh3_64_digest(" ".join(tokens[i : i + step])) for i in range(0, n, step))
-    return leaf, signed(code(f"{n} {' '.join(tokens)}")), cells
+    return leaf, signed(code(f"{n} {' '.join(tokens)}")), n > LONG, cells
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, leaves, lines, cells = [], [], [], []
+        ids, leaves, lines, passages, cells = [], [], [], [], []
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             seen = set()
             for line in (text.as_py() or "").split("\n"):
@@ -47,8 +49,9 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     ids.append(key)
                     leaves.append(found[0])
                     lines.append(found[1])
-                    cells.append(found[2])
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(leaves, pa.int64()), pa.array(lines, pa.int64()), pa.array(cells, pa.binary())], ["id", "leaf", "line", "cells"])
+                    passages.append(found[2])
+                    cells.append(found[3])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(leaves, pa.int64()), pa.array(lines, pa.int64()), pa.array(passages, pa.bool_()), pa.array(cells, pa.binary())], ["id", "leaf", "line", "passage", "cells"])
     trim()
 
 
@@ -63,19 +66,20 @@ def _unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pc.take(batch.column(0), rows), pc.take(batch.column(1), rows), pc.take(batch.column(2), rows), place, token], ["leaf", "line", "docs", "place", "token"])
 
 
-def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> tuple[DataFrame, DataFrame]:
+def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, passage_docs: int = MIN_DOCS) -> tuple[DataFrame, DataFrame]:
     """(lines by document, recurring lines with the document that keeps them).
 
     The tree's levels are a line's token count and its first DEPTH tokens (tokens with digits are
     variable). Within a leaf a token is constant at its place if lines of at least ``min_docs`` documents
     have it there, else variable. Lines with equal constants are one template, if seven tenths of the places, the
-    leading ones counted, are constant; lines beyond that are templates of their own. All counts come from
+    leading ones counted, are constant; lines beyond that are templates of their own. A line of more than LONG
+    tokens under no recurring template recurs by itself in ``passage_docs`` documents. All counts come from
     partial sums over every document, so the outcome doesn't depend on the order of rows.
     """
     bound_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     lines = materialise(source.mapInArrow(_lines, LINE), "lines")
-    distinct = materialise(lines.groupBy("leaf", "line").agg(F.count("*").alias("docs"), F.min("id").alias("first"), F.min("cells").alias("cells")), "distinct")
+    distinct = materialise(lines.groupBy("leaf", "line").agg(F.count("*").alias("docs"), F.min("id").alias("first"), F.first("passage").alias("passage"), F.min("cells").alias("cells")), "distinct")
     # a leaf with one line, or with too few documents, has nothing to generalise
     leaves = distinct.groupBy("leaf").agg(F.count("*").alias("variants"), F.sum("docs").alias("all")).filter(f"variants > 1 and all >= {int(min_docs)}").select("leaf")
     tree = materialise(distinct.join(leaves, "leaf", "left_semi").select("leaf", "line", "docs", "cells").mapInArrow(_unfold, "leaf long, line long, docs long, place int, token long"), "tree")
@@ -85,7 +89,7 @@ def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
         F.count("*").alias("places"), F.count("fixed").alias("constant"),
         F.sum(F.when(F.col("fixed") == 1, F.xxhash64("place", "token").cast("decimal(20,0)"))).alias("template"))
     shape = shape.filter("10 * constant >= 7 * places").select("leaf", "line", F.xxhash64("leaf", F.col("template").cast("string"), "constant").alias("template"))
-    templates = distinct.select("leaf", "line", "docs", "first").join(shape, ["leaf", "line"], "left").withColumn("template", F.coalesce("template", "line"))
+    templates = distinct.select("leaf", "line", "docs", "first", "passage").join(shape, ["leaf", "line"], "left").withColumn("template", F.coalesce("template", "line"))
     templates = materialise(templates, "templates")
     # lines of one template in one document count once: exact where a template has several lines
     many = templates.groupBy("template").agg(F.count("*").alias("variants"), F.sum("docs").alias("all"), F.min("first").alias("keep")).filter(f"all >= {int(min_docs)}")
@@ -93,23 +97,28 @@ def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     exact = templates.join(several, "template", "left_semi").select("leaf", "line", "template").join(lines.select("id", "leaf", "line"), ["leaf", "line"])
     exact = exact.groupBy("template", F.coalesce("id", F.lit(-1)).alias("id")).agg(F.lit(1)).groupBy("template").agg(F.count("*").alias("exact"))
     kept = many.join(exact, "template", "left").filter(F.coalesce("exact", "all") >= min_docs).select("template", "keep")
-    found = materialise(templates.join(kept, "template").select("leaf", "line", "template", "keep"), "recurring")
+    found = templates.join(kept, "template").select("leaf", "line", "template", "keep")
+    if passage_docs < min_docs:
+        passages = templates.filter(F.col("passage") & (F.col("docs") >= passage_docs))
+        found = found.unionByName(passages.join(kept, "template", "left_anti").select("leaf", "line", F.col("line").alias("template"), F.col("first").alias("keep")))
+    found = materialise(found, "recurring")
     for x in (distinct, tree, templates):
         discard(x)
     return lines, found
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, passage_docs: int = MIN_DOCS) -> DataFrame:
     """``docs`` in all its columns, without the lines whose template recurs, plus n_lines and n_dropped.
 
-    A template recurs if lines of at least ``min_docs`` documents fall under it. The document
+    A template recurs if lines of at least ``min_docs`` documents fall under it; a line of more than LONG
+    tokens also if ``passage_docs`` documents have it, its tokens with digits aside. The document
     with the smallest id keeps its lines of it, every other document loses them, so each
     passage stays once. Lines are cut at \\n and otherwise untouched; blank lines and a
     document's own repetitions stay. A null text stays null with n_lines 0, an empty one has one line.
     Rows that repeat an id are one document here; null ids have nothing dropped and count as documents.
     A document may end with an empty text.
     """
-    lines, found = recurring(docs, id_col, text_col, min_docs)
+    lines, found = recurring(docs, id_col, text_col, min_docs, passage_docs)
     gone = lines.filter("id is not null").join(found.select("leaf", "line", "keep"), ["leaf", "line"]).filter("keep is null or id <> keep")
     gone = materialise(gone.groupBy(F.col("id").alias("_id")).agg(F.collect_set("line").alias("_gone")), "gone")
     discard(lines)

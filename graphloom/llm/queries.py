@@ -12,7 +12,7 @@ from graphloom.llm.decontaminate import MASKS, WINDOW, contaminated
 from graphloom.llm.fingerprints import compare_with_next
 from graphloom.llm.html_text import extract
 from graphloom.llm.jaccard_join import jaccard_classes
-from graphloom.llm.line_dedup import CELLS, DEPTH, MIN_DOCS, dedup_lines
+from graphloom.llm.line_dedup import CELLS, DEPTH, LONG, MIN_DOCS, PAIR, dedup_lines
 from graphloom.llm.pieces import tokenize
 from graphloom.llm.quality import classify
 from graphloom.llm.sharding import shard_by_bytes
@@ -40,6 +40,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_line_dedup_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), passage_docs=PAIR)
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_html_extraction": op3_html_extraction,
     "op4_line_dedup": op4_line_dedup,
+    "op4_line_dedup_passages": op4_line_dedup_passages,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_token_counts": op6_token_counts,
     "op7_document_fingerprints": op7_document_fingerprints,
@@ -158,3 +163,10 @@ a AS (SELECT l.doc_id, count(*) AS n_lines, count(g.pos) AS n_dropped, string_ag
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(a.kept, '') END AS text, coalesce(a.n_lines, 0) AS n_lines, coalesce(a.n_dropped, 0) AS n_dropped
 FROM documents d LEFT JOIN a USING (doc_id)""",
 }
+
+_G = "g AS (SELECT DISTINCT c.doc_id, c.pos FROM c JOIN u USING (leaf, whole) JOIN r USING (template) WHERE c.doc_id <> r.keep)"
+assert _G in SQL["op4_line_dedup"]
+SQL["op4_line_dedup_passages"] = SQL["op4_line_dedup"].replace(_G, f"""
+p AS (SELECT leaf, whole, keep FROM u JOIN r USING (template) UNION ALL SELECT leaf, whole, u.first FROM u JOIN d USING (leaf, whole) ANTI JOIN r USING (template)
+      WHERE d.docs >= {PAIR} AND CAST(split_part(leaf, ' ', 1) AS INTEGER) > {LONG}),
+g AS (SELECT DISTINCT c.doc_id, c.pos FROM c JOIN p USING (leaf, whole) WHERE c.doc_id <> p.keep)""")

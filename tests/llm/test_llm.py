@@ -113,6 +113,21 @@ def test_line_dedup(spark, odd, none):
     assert [r["text"] for r in out.filter("doc_id = 1").collect()] == [None]
 
 
+def test_passage_of_two_documents(spark):
+    passage, brief = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(L.LONG + 1)), " ".join(f"other{chr(97 + i)}" for i in range(20))
+    rows = [(i, f"{chr(97 + i) * 9} line of its own\n{x}") for i, x in enumerate((passage, passage, brief, brief, passage.replace("worda", "0")))] + [(None, passage)]
+    docs = spark.createDataFrame(rows[:5], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in L.dedup_lines(docs, passage_docs=L.PAIR).collect()}
+    assert got == {**dict(rows[:5]), 1: rows[1][1].split("\n")[0]}
+    assert {r["doc_id"]: r["text"] for r in L.dedup_lines(docs).collect()} == dict(rows[:5])
+    again = spark.createDataFrame([rows[0], rows[0], rows[5]], "doc_id long, text string")  # one document twice, and one without an id
+    assert all(r["n_dropped"] == 0 for r in L.dedup_lines(again, passage_docs=L.PAIR).collect())
+    import corpus_pipeline
+
+    full = docs.selectExpr("doc_id", "text", "'en' AS lang", "'s' AS source", "0L AS n_chars")
+    assert {r["doc_id"]: r["text"] for r in corpus_pipeline.line_stage(spark, full, SF).collect()} == got
+
+
 def test_decontamination(spark, odd, none):
     item = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(40))
     swapped = item.split()
