@@ -11,11 +11,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TREES, DEPTH, SEED = 24, 7, 11
-LEAST = 16  # characters of a candidate; after a telling name, 8
+LEAST = 16  # characters of a run; near a telling name 8, and a value given to one may have any
 THRESHOLD = 0.5
 
 # Words by what they say of a value next to them, common words and letter pairs.
 TELLING = "token|secret|password|passwd|pwd|passphrase|apikey|api_key|access_key|private_key|secret_key|client_secret|auth|authorization|bearer|credential|credentials"
+# A telling name with its sign, and that with its value: quoted, or up to the next space. Authors, tokenizers and secretaries tell nothing.
+NAME = rf"(?i:{TELLING})(?!(?i:(?<=auth)or(?!iz)|(?<=token)i[sz]|(?<=secret)a))[A-Za-z0-9_.\-]*+[\"'`\]]{{0,2}}[ \t]*+(?:=>|:=|==?|:)[ \t]*+"
+ASSIGNED = NAME + "(?:" + "|".join(rf"{q}[^{q}\\\n]*+(?:\\.[^{q}\\\n]*+)*+{q}" for q in "\"'`") + r"|\S++)"
 HARMLESS = "sha|sha1|sha256|md5|commit|checksum|hash|digest|revision|integrity|etag|uuid|guid|id|build|version|tree|parent|blob|example|sample|dummy|isbn|phone|tel|card|order|invoice"
 TEST_PATH = "test|tests|spec|example|examples|sample|samples|fixture|fixtures|mock|mocks|doc|docs|vendor|node_modules|lock"
 CONFIG_PATH = "env|conf|config|settings|credentials|secrets|pem|key|yaml|yml|ini|properties"
@@ -46,18 +49,15 @@ def with_features(found: DataFrame) -> DataFrame:
     t, low = F.col("token"), F.lower("token")
     n = F.greatest(F.length(t), F.lit(1))
     letters = F.split(t, "")
-    kind = lambda c: F.when(c.rlike("[a-z]"), 0).when(c.rlike("[A-Z]"), 1).when(c.rlike("[0-9]"), 2).otherwise(3)
-    steps = F.sequence(F.lit(1), F.greatest(F.length(t) - 1, F.lit(1)))
-    pairs = F.array(*[F.lit(p) for p in PAIRS.split()])
     near = F.lower(F.concat_ws(" ", "before", F.expr("substring_index(within, token, 1)")))
     named = lambda words: near.rlike(rf"(?:^|[^a-z0-9])[a-z0-9_.\-]*(?:{words})[a-z0-9_]*[^a-z0-9]*(?:[=:][^a-z0-9]*)?$")
     # the word that names the value: the last one before it
     return found.withColumns({
         "length": n.cast("double"),
-        "changes": F.aggregate(F.transform(steps, lambda i: (kind(F.get(letters, i - 1)) != kind(F.get(letters, i))).cast("double")), F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0))) / n,
+        "changes": F.greatest(F.regexp_count(t, F.lit("[a-z]+|[A-Z]+|[0-9]+|[^a-zA-Z0-9]+")) - 1, F.lit(0)) / n,
         "digits": _share(t, "[0-9]"), "uppers": _share(t, "[A-Z]"), "hex": _share(low, "[0-9a-f]"),
         "variety": F.size(F.array_distinct(letters)) / n,
-        "pairs": F.aggregate(F.transform(steps, lambda i: F.array_contains(pairs, F.substring(low, i, F.lit(2))).cast("double")), F.lit(0.0), lambda s, x: s + x) / n,
+        "pairs": F.regexp_count(low, F.lit(f"(?={'|'.join(PAIRS.split())})")) / n,
         "dictionary": _share(low, DICTIONARY),
         "telling": _flag(named(TELLING)), "harmless": _flag(named(HARMLESS)),
         "assigned": _flag(near.rlike(r"[=:]\s*[\"']?$")), "quoted": _flag(F.col("within").rlike("[\"'`]") | F.col("before").rlike("[\"'`]$")),
@@ -70,8 +70,8 @@ def with_features(found: DataFrame) -> DataFrame:
 def labelled_findings(spark: SparkSession, rows: int = 3000) -> DataFrame:
     """A table of labelled findings made by rule from hashes of the row number: token, before, within, after, path, label.
 
-    Label 1: hexadecimal and base-64 credentials, prefixed keys and passwords where they are
-    assigned or passed. Label 0: commits, checksums, identifiers, numbers, file and word-like names, placeholders.
+    Label 1: hexadecimal and base-64 credentials, prefixed keys, signed tokens, passwords and passphrases where they are
+    assigned or passed. Label 0: commits, checksums, identifiers, numbers, file, host and word-like names, placeholders, references, words.
     """
     h = F.sha2(F.col("id").cast("string"), 256)
     b = F.regexp_replace(F.base64(F.unhex(F.sha2(F.concat(F.lit("b"), F.col("id").cast("string")), 512))), "[+/=]", "")
@@ -96,6 +96,13 @@ def labelled_findings(spark: SparkSession, rows: int = 3000) -> DataFrame:
         (F.substring(digits, 1, 16), pick(22, "card", "order", "call", "the", "tel:", "number ="), F.lit(""), 0), (F.concat_ws("_", word(2), word(3), F.substring(digits, 1, 4)), pick(23, "the", "file =", "see", "name =", "src =", "token ="), pick(24, "", '"'), 0),
         (F.concat_ws("-", word(4), word(5), word(6), F.substring(digits, 1, 2)), pick(25, "to", "/", "href =", "password ="), pick(26, "", '"'), 0), (F.concat(F.lit("your_"), word(7), F.lit("_here_"), F.substring(digits, 1, 3)), key, quote, 0),
         (F.concat(F.repeat(pick(27, "x", "X", "0", "a", "1"), 20), F.substring(digits, 1, 1)), key, quote, 0), (F.concat(word(8), word(9), word(10), F.substring(digits, 1, 2)), pick(28, "of", "the", "and", "a"), F.lit(""), 0),
+        (F.concat(word(11), F.initcap(word(12)), F.initcap(word(13)), F.initcap(word(14))), key, quote, 1), (F.concat_ws(" ", word(15), word(16), word(17), word(18)), key, quote, 1),
+        (F.concat(pick(30, "P@ss", "S3cr3t!", "h#T$", "qW!9-", ""), F.substring(b, 1, 5), pick(31, "!", "#2024$x", "$x", "%&", "?Pa55")), key, pick(32, "", '"', "'"), 1),
+        (F.concat(F.lit("eyJ"), F.substring(b, 1, 20), F.lit(".eyJ"), F.substring(b, 21, 30), F.lit("."), F.substring(b, 51, 30)), pick(33, "Bearer", "token:", "jwt =", "auth_token ="), pick(34, "", '"'), 1),
+        (F.substring(F.regexp_replace(b, "[0-9]", ""), 1, 24), key, quote, 1),
+        (F.concat_ws(".", word(19), word(20), word(21)), key, F.lit(""), 0), (F.concat(pick(35, "${", "<", "{{", "get(", "$"), word(22), F.lit("_"), word(23), pick(36, "}", ">", "}}", ")", "")), key, pick(37, "", '"'), 0),
+        (word(24), key, pick(38, "", "", '"'), 0), (pick(39, "true", "null", "None", "Bearer", "Basic", "1", "3600", "the", "it", "{"), key, F.lit(""), 0),
+        (F.concat(pick(40, "www.", "docs.", "img-1."), word(25), word(26), F.substring(digits, 1, 2), pick(41, ".com", ".org/index.html", ".tar.gz")), pick(42, "see", "at", "file:", "src =", "the"), pick(43, "", '"'), 0),
     ]
     at = F.pmod("id", F.lit(len(kinds)))
     build = lambda i: reduce(lambda c, k: c.when(at == k, kinds[k][i]), range(1, len(kinds)), F.when(at == 0, kinds[0][i]))
@@ -112,21 +119,44 @@ def train(labelled: DataFrame) -> RandomForestClassificationModel:
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
-    """(id, word_at, token, before, within, after, path) of every run of key characters that may be a secret.
+    """(id, word_at, token, before, within, after, path) of every value given to a telling name and every run of key characters that may be a secret.
 
-    A run of letters, digits and + / = _ - . with a digit in it, of 16 characters or more, or of 8
+    A value follows a telling name and = or : on its line, in quotes (then with its spaces) or up to the next space; it may have
+    any characters and any length. A run is of letters, digits and + / = _ - . with a digit in it, of 16 characters or more, or of 8
     or more where a telling name is in its word or the two words before. Words are cut at white space; word_at counts them from 0.
     """
-    runs = rf"[A-Za-z0-9][A-Za-z0-9+/_\-]{{6,}}[A-Za-z0-9]=?=?"
-    words = docs.select(F.col(id_col).alias("id"), (F.col(path_col) if path_col else F.lit(None).cast("string")).alias("path"), F.split(F.coalesce(F.col(text_col), F.lit("")), r"\s+").alias("words"))
+    runs = rf"[A-Za-z0-9][A-Za-z0-9+/_.\-]{{6,}}[A-Za-z0-9]=?=?"
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    words = docs.select(
+        F.col(id_col).alias("id"), (F.col(path_col) if path_col else F.lit(None).cast("string")).alias("path"), F.split(text, r"\s+").alias("words"),
+        F.split(text, ASSIGNED).alias("between"), F.regexp_extract_all(text, F.lit(ASSIGNED), F.lit(0)).alias("given"))
+    spaces = lambda c: F.size(F.split(c, r"\s+")) - 1
+    total = lambda texts: F.aggregate(texts, F.lit(0), lambda n, x: n + spaces(x))
+    at_word = lambda i: F.get("words", i)
+
+    def value(given: Column, i: Column) -> Column:
+        name = F.regexp_extract(given, "^" + NAME, 0)
+        rest = F.substring(given, F.length(name) + 1, F.length(given))
+        quoted = (F.length(rest) >= 2) & rest.rlike("^([\"'`])[\\s\\S]*\\1$")
+        token = F.when(quoted, F.substring(rest, F.lit(2), F.length(rest) - 2)).otherwise(F.regexp_replace(rest, "^[\"'`]+|[\"'`,;]+$", ""))
+        p = total(F.slice("between", F.lit(1), i + 1)) + total(F.slice("given", F.lit(1), i)) + spaces(name)
+        last = p + spaces(rest)
+        return F.struct(
+            p.cast("long").alias("word_at"), token.alias("token"), F.concat_ws(" ", at_word(p - 3), at_word(p - 2), at_word(p - 1)).alias("before"),
+            F.concat(F.regexp_extract(name, r"\S*$", 0), rest).alias("within"), F.concat_ws(" ", at_word(last + 1), at_word(last + 2)).alias("after"))
+
+    words = words.select("id", "path", "words", F.filter(F.transform("given", value), lambda v: v["token"] != "").alias("values"))
+    values = words.select("id", "path", F.explode("values").alias("v")).select("id", "v.word_at", "v.token", "v.before", "v.within", "v.after", "path")
     at = words.withColumn("p", F.explode(F.sequence(F.lit(0), F.size("words") - 1)))
     word = F.get("words", F.col("p"))
     some = at.filter((F.length(word) >= 8) & word.rlike("[0-9]"))
     before = F.concat_ws(" ", F.get("words", F.col("p") - 3), F.get("words", F.col("p") - 2), F.get("words", F.col("p") - 1))
-    found = some.select("id", "path", "p", before.alias("before"), word.alias("within"), F.concat_ws(" ", F.get("words", F.col("p") + 1), F.get("words", F.col("p") + 2)).alias("after"))
+    found = some.select("id", "path", "values", "p", before.alias("before"), word.alias("within"), F.concat_ws(" ", F.get("words", F.col("p") + 1), F.get("words", F.col("p") + 2)).alias("after"))
     found = found.withColumn("token", F.explode(F.array_distinct(F.regexp_extract_all("within", F.lit(runs), F.lit(0)))))
     told = F.lower(F.concat_ws(" ", "before", "within")).rlike(TELLING)
-    return found.filter(F.col("token").rlike("[0-9]") & ((F.length("token") >= LEAST) | told)).select("id", F.col("p").cast("long").alias("word_at"), "token", "before", "within", "after", "path")
+    known = F.exists("values", lambda v: (v["word_at"] == F.col("p")) & (v["token"] == F.col("token")))
+    found = found.filter(F.col("token").rlike("[0-9]") & ((F.length("token") >= LEAST) | told) & ~known)
+    return found.select("id", F.col("p").cast("long").alias("word_at"), "token", "before", "within", "after", "path").unionByName(values)
 
 
 def scan(docs: DataFrame, model: RandomForestClassificationModel, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:

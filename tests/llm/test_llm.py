@@ -253,6 +253,20 @@ def test_secrets(spark, odd, none):
     assert S.scan(odd, model, path_col="a").count() == 0 and S.scan(none, model, path_col="a").count() == 0
 
 
+def test_secrets_of_any_characters(spark):
+    jwt = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9PlFUP0THsR8U"
+    want = {
+        1: ('before it password = "correctHorseBatteryStaple" after', 4, "correctHorseBatteryStaple"), 2: ("password: P@ss!w0rd#2024$x", 1, "P@ss!w0rd#2024$x"), 3: ("db\n the db_password='S3cr3t!Pa55', end", 2, "S3cr3t!Pa55"),
+        4: (f"see Authorization: Bearer {jwt} now", 3, jwt), 5: ("a = 1\npassphrase := 'correct horse battery staple' x", 5, "correct horse battery staple"), 6: ('{"user": "me", "client_secret":"abcXYZqrsTUVmnoKLM"}', 2, "abcXYZqrsTUVmnoKLM")}
+    rows = [(i, x[0], "src") for i, x in want.items()] + [(7, 'author: "Jane Doe" and tokenizer = words', "src"), (8, "password: required", "src"), (9, "token = config.auth.value", "src"), (10, 'token = "' + "x\\\"" * 20_000, "src")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = [(r["id"], r["word_at"], r["token"]) for r in S.candidates(docs).collect()]
+    assert len(found) == len(set(found)) and {(i, p, t) for i, (_, p, t) in want.items()} <= set(found) and 7 not in {x[0] for x in found}
+    got = {(r["doc_id"], r["token_sha256"]): r["is_secret"] for r in S.scan(docs, S.train(S.labelled_findings(spark))).collect()}
+    assert all(got[i, hashlib.sha256(t.encode()).hexdigest()] for i, (_, _, t) in want.items())
+    assert not any(v for (i, _), v in got.items() if i in (8, 9))
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
