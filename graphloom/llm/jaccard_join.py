@@ -9,45 +9,65 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.shared import WordCodes, bound_batches, discard, materialise, mix, shingles, trim, width
 
-BLOCK = 256  # sets in a block
-PLACE = ("grp", "cls", "b", "up", "down", "single", "own")
-BROADCAST = 500_000  # candidates up to which their list is broadcast
+INNER, KEPT = 3, 2  # second-level parts of a first-level part, and how many of them make a subset
+KINDS = 4  # partitions tried, with other hashes, until a set has few empty subsets
+BLOCK = 256  # sets in a block; texts that go to one centre at a time
+CROSS = 4  # open pairs for each member up to which a group's pairs are listed; beyond, it is compared by blocks
+PART_BYTES = 16_000_000  # bytes of text whose signatures make one part of the hash range
+BUFFER = 300_000  # signatures that a task holds and groups before they move
+BROADCAST = 500_000  # rows of 64-bit numbers up to which a table is broadcast
 COMMON = 0.002  # share of documents from which on a shingle is left out of signatures
 SAMPLE = 20_000  # documents by which that share is estimated
 
 
 @lru_cache(maxsize=None)
-def bands(num: int, den: int, top: int) -> tuple[tuple[int, int, int], ...]:
-    """(smallest size, k, parts) of each size band up to ``top``, for similarity num / den.
+def bands(num: int, den: int, top: int) -> tuple[tuple[int, int, int, int], ...]:
+    """(smallest size, k, first-level parts, spare ones) of each size band up to ``top``, for similarity num / den.
 
     Sets that are similar enough lie in one band or in neighbouring ones, so band i compares
     sizes from band i-1's start to its own end r, whose symmetric difference is at most
-    k = floor((1-s)/(1+s) * 2r). Of k + 1 + spare parts of the feature domain at least
-    spare + 1 agree, hence one that isn't empty unless a set has more than ``spare`` empty parts.
+    k = floor((1-s)/(1+s) * 2r). A first-level part tolerates INNER - KEPT = 1 difference, so at most k // 2
+    parts differ by more, and of k // 2 + 1 + spare parts at least spare + 1 share a subset.
     """
     out, low = [], 1
     while low <= top:
         high = max(low, low * den // num)
         k = 2 * high * (den - num) // (den + num)
-        least = max(1, low * num // den)
-        mean = (k + 2) * math.exp(-0.8 * least / (k + 2))
-        spare = 1 if k < 4 else 2 if k < 10 else 1 + math.ceil(mean + 3 * math.sqrt(mean))
-        out.append((low, k, k + 1 + spare if k else 0))
+        need = k // (INNER - KEPT + 1) + 1
+        mean = need * INNER * math.exp(-0.9 * low * KEPT / INNER / need)
+        out.append((low, k, need, 0 if k < 4 else 1 + math.ceil(mean + math.sqrt(mean))))
         low = high + 1
     return tuple(out)
 
 
+def subsets(features: np.ndarray, outer: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
+    """(signature, is empty) by first-level part and by the second-level part that its subset leaves out."""
+    s = np.uint64(salt * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    hashed = mix(features ^ s)
+    cell = ((hashed >> np.uint64(32)) % np.uint64(outer * INNER)).astype(np.int64)
+    order = np.argsort(cell, kind="stable")
+    inside = np.bincount(cell, minlength=outer * INNER)
+    content = np.zeros(outer * INNER, np.uint64)
+    if len(features):
+        starts = np.cumsum(inside) - inside
+        content[inside > 0] = np.add.reduceat(hashed[order], starts[inside > 0])
+    content, inside = content.reshape(outer, INNER), inside.reshape(outer, INNER)
+    name = mix(np.arange(1, outer * INNER + 1, dtype=np.uint64) + s).reshape(outer, INNER)
+    return mix(content.sum(1, keepdims=True) - content + name), inside.sum(1, keepdims=True) == inside
+
+
 def part_enum(codes: np.ndarray, common: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Signatures of a set: for its band and the next one, a hash of each part's content.
+    """Signatures of a set: for its band and the next one, of each first-level part's subsets of second-level parts.
 
-    Features in ``common`` (sorted) are left out: that can't enlarge a difference, and parts
-    filled by them alone would match in too many sets. A set with more empty parts than there are to spare
-    is matched with its like by the parts of all its features.
+    Features in ``common`` (sorted) are left out at first: that can't enlarge a difference, and subsets
+    filled by them alone would match in too many sets. Empty subsets make no signature, which loses nothing while a set has
+    them in no more than the spare parts. Sets with more are matched with their like under other partitions of all
+    their features, at last with the empty subsets as signatures.
     """
     n, found = len(codes), []
     plan = bands(num, den, 1 << max(4, (4 * n).bit_length()))
@@ -55,28 +75,17 @@ def part_enum(codes: np.ndarray, common: np.ndarray, num: int, den: int) -> np.n
     if not plan[at + 1][1]:
         return codes[:0]  # in such bands only equal sets are similar enough; these are one node
     rare = codes[common[np.minimum(np.searchsorted(common, codes), len(common) - 1)] != codes] if len(common) else codes
-
-    def of(features: np.ndarray, i: int, parts: int, kind: int) -> tuple[np.ndarray, np.ndarray]:
-        salt = np.uint64((2 * i + kind + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-        hashed = mix(features ^ salt)
-        part = (hashed >> np.uint64(32)) % np.uint64(parts)
-        order = np.argsort(part, kind="stable")
-        part, hashed = part[order], hashed[order]
-        starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])[: len(part)]
-        return mix(np.add.reduceat(hashed, starts) + mix(part[starts] + salt)) if len(part) else hashed, part[starts]
-
     for i in (at, at + 1):
-        _, k, parts = plan[i]
+        _, k, need, spare = plan[i]
         if not k:
             continue
-        own, filled = of(rare, i, parts, 0)
-        found.append(own)
-        if parts - len(filled) > parts - k - 1:
-            own, filled = of(codes, i, parts, 1)
-            found.append(own)
-            if parts - len(filled) > parts - k - 1:
-                empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), filled)
-                found.append(mix(mix(empty + np.uint64(i << 32)) + np.uint64(7)))
+        for kind in range(KINDS):
+            sig, empty = subsets(codes if kind else rare, need + spare, i * KINDS + kind + 1)
+            found.append(sig[~empty])
+            if empty.any(1).sum() <= spare:
+                break
+        else:
+            found.append(sig[empty])
     return np.concatenate(found) if found else codes[:0]
 
 
@@ -88,35 +97,47 @@ def _fingerprint(codes: np.ndarray) -> int:
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(codes.tobytes(), seed=len(codes) % 4096)))) if len(codes) else 0
 
 
+def _grouped(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ordered (signatures, nodes), the hub of each one's signature, and which nodes are hubs: the least by hash, so that signatures of one group share few."""
+    order = np.lexsort((mix(node.view(np.uint64)), sig))
+    sig, node = sig[order], node[order]
+    first = np.r_[True, sig[1:] != sig[:-1]][: len(sig)]
+    return sig, node, node[first][np.cumsum(first) - 1], first
+
+
+_SIGNED = "id long, tk long, fp long, n int, part int, packed binary, sig long, hub long"
+_ROW = [x.split()[0] for x in _SIGNED.split(", ")]
+_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
+
+
+def _rows(**given: object) -> pa.RecordBatch:
+    size = max(len(x) for x in given.values())
+    return pa.RecordBatch.from_arrays([pa.array(given[c], t) if c in given else pa.nulls(size, t) for c, t in zip(_ROW, _TYPES, strict=True)], _ROW)
+
+
 def _signed(words: int, num: int, den: int, parts: int, common: np.ndarray):
-    """Documents to rows of themselves, and per batch to rows that pack signatures by part of the hash range."""
+    """Documents (id, text key, text) to rows of themselves, of the signatures their task shares, and of its hubs' signatures, packed by part of the hash range."""
+
+    def pack(held: list[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        sig = np.concatenate([s for _, s in held])
+        node = np.repeat(np.array([f for f, _ in held], np.int64), [len(s) for _, s in held])
+        # a part's number over 32 bits of the signature
+        sig = ((sig % np.uint64(parts)) << np.uint64(32) | sig >> np.uint64(32)).astype(np.int64)
+        sig, node, hub, first = _grouped(sig, node)
+        if not first.all():
+            yield _rows(sig=sig[~first], fp=node[~first], hub=hub[~first])
+        sig, node = sig[first], node[first]
+        part = sig >> 32
+        cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True])
+        low = (sig & 0xFFFFFFFF).astype(np.uint32)
+        yield _rows(part=part[cuts[:-1]].astype(np.int32), packed=[node[a:b].tobytes() + low[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, seen = WordCodes(), set()
-
-        def pack(held: list[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-            sizes = np.array([len(s) for _, s in held], np.int64)
-            sig = np.concatenate([s for _, s in held])
-            node = np.repeat(np.array([f for f, _ in held], np.int64), sizes)
-            p = (sig % np.uint64(parts)).astype(np.int32)
-            order = np.argsort(p, kind="stable")
-            sig, node, p = sig[order], node[order], p[order]
-            cuts = np.flatnonzero(np.r_[True, p[1:] != p[:-1], True])
-            own, blobs = [], []
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                m = node[a:b]
-                first = np.flatnonzero(np.r_[True, m[1:] != m[:-1]])
-                counts = np.diff(np.r_[first, b - a]).astype(np.int32)
-                own.append(int(p[a]))
-                blobs.append(np.int32(len(first)).tobytes() + m[first].tobytes() + counts.tobytes() + sig[a:b].tobytes())
-            none = pa.nulls(len(own))
-            yield pa.RecordBatch.from_arrays(
-                [none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.int32()), pa.array(own, pa.int32()), pa.array(blobs, pa.binary())], ["id", "fp", "n", "part", "packed"])
-
         held, load = [], 0
         for batch in batches:
-            ids, fps, ns = batch.column(0), [], []
-            for text in batch.column(1):
+            fps, ns = [], []
+            for text in batch.column(2):
                 codes = _codes(text.as_py(), words, known)
                 fp = _fingerprint(codes)
                 fps.append(fp)
@@ -128,50 +149,42 @@ def _signed(words: int, num: int, den: int, parts: int, common: np.ndarray):
                     if len(sig := part_enum(codes, common, num, den)):
                         held.append((fp, sig))
                         load += len(sig)
-                if load >= 400_000:
+                if load >= BUFFER:
                     yield from pack(held)
                     held, load = [], 0
-            none = pa.nulls(len(ids))
-            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(fps, pa.int64()), pa.array(ns, pa.int32()), none.cast(pa.int32()), none.cast(pa.binary())], ["id", "fp", "n", "part", "packed"])
+            yield _rows(id=batch.column(0), tk=batch.column(1), fp=fps, n=ns)
         if held:
             yield from pack(held)
         known.clear()
         seen.clear()
-        held.clear()
         trim()
 
     return run
 
 
-def _unpacked(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    sigs, nodes = [], []
-    for x in blobs:
-        m = int(np.frombuffer(x, np.int32, 1)[0])
-        fp, counts = np.frombuffer(x, np.int64, m, 4), np.frombuffer(x, np.int32, m, 4 + 8 * m)
-        sigs.append(np.frombuffer(x, np.uint64, int(counts.sum()), 4 + 12 * m))
-        nodes.append(np.repeat(fp, counts))
-    return np.concatenate(sigs), np.concatenate(nodes)
-
-
 def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Signatures of one part of the hash range to stars: each member of a signature with its hub.
-
-    The hub is the member with the least hash, so signatures of one group share few hubs.
-    """
-    blobs = [x.as_py() for batch in batches for x in batch.column(0)]
-    if not blobs:
-        return
-    sig, node = _unpacked(blobs)
-    del blobs
-    order = np.lexsort((mix(node.view(np.uint64)), sig))
-    sig, node = sig[order], node[order]
-    first = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
-    hub = np.repeat(node[first], np.diff(np.r_[first, len(sig)]))
-    found = np.unique(np.stack([hub, node], 1)[hub != node], axis=0)
-    for at in range(0, len(found), 50_000):
-        piece = found[at : at + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(piece[:, 0]), pa.array(piece[:, 1])], ["a", "b"])
-    del sig, node, hub, found, order
+    """Packed signatures, in order of their part, to stars: each member of a signature but the hub, with the hub."""
+
+    def stars(part: int, held: list[bytes]) -> Iterator[pa.RecordBatch]:
+        sizes = [len(x) // 12 for x in held]
+        node = np.concatenate([np.frombuffer(x, np.int64, m) for x, m in zip(held, sizes, strict=True)])
+        low = np.concatenate([np.frombuffer(x, np.uint32, m, 8 * m) for x, m in zip(held, sizes, strict=True)])
+        sig, node, hub, first = _grouped(low, node)
+        more = ~first & (node != hub)
+        sig, node, hub = (part << 32 | sig[more].astype(np.int64)), node[more], hub[more]
+        for at in range(0, len(sig), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 50_000]) for x in (sig, hub, node)], ["sig", "hub", "fp"])
+
+    own, held = None, []
+    for batch in batches:
+        for part, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if part != own and held:
+                yield from stars(own, held)
+                held = []
+            own = part
+            held.append(blob.as_py())
+    if held:
+        yield from stars(own, held)
     trim()
 
 
@@ -184,9 +197,7 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     """
     left = materialise(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}-edges")
     label = None
-    for step in range(1000):
-        if left.isEmpty():
-            break
+    while not left.isEmpty():
         both = left.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b")
         hook = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("up")), f"{name}-hook")
         jump = hook.join(hook.select(F.col("node").alias("up"), F.col("up").alias("root")), "up").select("node", "root")
@@ -209,6 +220,46 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     return label if label is not None else edges.select(F.col("a").alias("node"), F.col("a").alias("root")).limit(0)
 
 
+def _sent(df: DataFrame) -> DataFrame:
+    """Broadcast, up to a counted size."""
+    return F.broadcast(df) if df.count() <= BROADCAST else df
+
+
+def _compared(words: int, num: int, den: int):
+    """Texts in order of (centre, share of its texts, side), the centre's own first, to links with the centre."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, at, size, centre = WordCodes(), None, 0, None
+        for batch in batches:
+            out = []
+            for a, s, side, fp, n, text in zip(*(batch.column(i).to_pylist() for i in range(5)), batch.column(5), strict=True):
+                if not side:
+                    at, size, centre = (a, s), n, _codes(text.as_py(), words, known)
+                elif at == (a, s) and den * min(n, size) >= num * max(n, size):
+                    own = _codes(text.as_py(), words, known)
+                    both = np.concatenate([centre, own])
+                    both.sort(kind="stable")
+                    same = int((both[1:] == both[:-1]).sum())
+                    if den * same >= num * (len(both) - same):
+                        out.append((a, fp))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
+        known.clear()
+        trim()
+
+    return run
+
+
+def _linked_pairs(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int, name: str) -> DataFrame:
+    """Those of the pairs (a, b) that are similar enough; the texts of a hot centre a go to several tasks."""
+    hot = pairs.groupBy("a").count().filter(F.col("count") > BLOCK).select("a", F.ceil(F.col("count") / BLOCK).alias("shares"))
+    dealt = pairs.join(_sent(hot), "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("shares", F.lit(1))).cast("int").alias("s"))
+    row = ("fp", "n", "text")
+    members = dealt.join(texts, dealt.b == texts.fp).select("a", "s", F.lit(1).alias("side"), *row)
+    centres = dealt.select("a", "s").distinct().join(texts, F.col("a") == texts.fp).select("a", "s", F.lit(0).alias("side"), *row)
+    rows = members.unionByName(centres).repartition(width(pairs.sparkSession), "a", "s").sortWithinPartitions("a", "s", "side")
+    return materialise(rows.mapInArrow(_compared(words, num, den), "a long, b long"), name)
+
+
 def _block(words: int, num: int, den: int):
     """Texts of a pair of blocks to linked pairs, no more than join their members."""
 
@@ -250,105 +301,137 @@ def _block(words: int, num: int, den: int):
             if (p := top(i)) != (q := top(j)):
                 root[max(p, q)] = min(p, q)
                 out.append((int(node[i]), int(node[j])))
-        del same, whole, link, flat, owner, code
         trim()
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
     return run
 
 
-def _common(source: DataFrame, words: int) -> np.ndarray:
+def _linked_blocks(members: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """Links within the groups of ``members`` (sig, fp, m), each pair of a group's blocks in a task of its own."""
+    placed = members.withColumn("b", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("fp"), "b").cast("int"))
+    o = F.col("own")
+    goes = F.transform(F.sequence(F.lit(0), F.col("b") - 1), lambda j: F.struct(F.least(o, j).alias("p"), F.greatest(o, j).alias("q"), F.signum(j - o).cast("int").alias("side")))
+    spread = placed.join(texts, "fp").select("sig", F.explode(goes).alias("x"), "fp", "text").select("sig", "x.*", "fp", "text")
+    return materialise(spread.groupBy("sig", "p", "q").applyInArrow(_block(words, num, den), "a long, b long"), "blocks")
+
+
+def _open(stars: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows (sig, fp, root, m, main, cross) of the signatures whose members have several roots and more pairs than the stars; of equal groups one stays.
+
+    ``main`` is the root of most members, ``cross`` the number of pairs with different roots.
+    """
+    member = stars.select("sig", "fp").unionByName(stars.select("sig", F.col("hub").alias("fp"))).distinct()
+    member = member.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("sig", "fp", F.coalesce("root", "fp").alias("root"))
+    held = member.groupBy("sig", "root").agg(F.count("*").alias("c"), F.sum(F.xxhash64("fp").cast("decimal(20,0)")).alias("h"))
+    held = held.groupBy("sig").agg(F.sum("c").alias("m"), F.max(F.struct("c", "root")).alias("top"), F.sum(F.col("c") * F.col("c")).alias("squares"), F.count("*").alias("roots"), F.sum("h").alias("h"))
+    held = held.filter("roots > 1 and m > 2").groupBy("m", "h").agg(F.min(F.struct("sig", "top", "squares")).alias("x"))
+    held = held.select("x.sig", "m", F.col("x.top.root").alias("main"), ((F.col("m") * F.col("m") - F.col("x.squares")) / 2).alias("cross"))
+    return member.join(held, "sig")
+
+
+def _common(source: DataFrame, rows: int, words: int) -> np.ndarray:
     """Codes of the shingles in at least ``COMMON`` of the documents, by a sample of about ``SAMPLE``.
 
     At most the mean set size / COMMON of them. Which they are bears on the number of candidates only, never on
     the result.
     """
-    fraction = min(1.0, SAMPLE / max(1, source.count()))
+    fraction = min(1.0, SAMPLE / max(1, rows))
 
     def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordCodes()
         for batch in batches:
-            found = [_codes(x.as_py(), words, known) for x in batch.column(1)] or [np.empty(0, np.uint64)]
+            found = [_codes(x.as_py(), words, known) for x in batch.column(0)] or [np.empty(0, np.uint64)]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["code"])
+        known.clear()
+        trim()
 
-    least = max(3, int(COMMON * SAMPLE)) if fraction < 1 else max(3, int(COMMON * source.count()))
-    rows = source.sample(fraction=fraction, seed=1).mapInArrow(codes, "code long").groupBy("code").count().filter(F.col("count") >= least).select("code").toArrow()
-    return np.sort(rows.column(0).to_numpy().astype(np.int64).view(np.uint64))
+    least = max(3, int(COMMON * min(rows, SAMPLE)))
+    found = source.select("text").sample(fraction=fraction, seed=1).mapInArrow(codes, "code long").groupBy("code").count().filter(F.col("count") >= least).select("code").toArrow()
+    return np.sort(found.column(0).to_numpy().astype(np.int64).view(np.uint64))
 
 
-def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """Classes of documents joined by links of shingle Jaccard similarity at least num / den.
+def text_key(text: Column) -> Column:
+    return F.xxhash64(text)
 
-    Returns one row per input row: id, n_shingles (size of the set), component_id (smallest id
-    reachable over links, itself included). Words are runs of bytes other than ASCII white
-    space, A-Z in lower case; a text with fewer than ``words`` words is one shingle; null, empty
-    or blank texts have no shingle, link to nothing and are their own class. Equal sets are one
-    node from the start (rows that repeat an id share a class; a class of null ids only has a null class
-    id). Other columns are left out.
-
-    PartEnum: every node signs the parts of its size band's feature domain; nodes that share a
-    signature are candidates, and no link is lost (codes are 64 bits). Candidates aren't listed
-    as pairs: each signature joins its members to a hub, the connected groups of these stars are
-    compared whole, by pairs of blocks of about BLOCK sets of the same or of neighbouring size classes, and a pair of
-    blocks returns only links that join its members.
+
+def row_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+    """A row for each row of ``docs``: id, tk (:func:`text_key` of its text), n (size of its set), root (its class, a 64-bit number) and least (the class's smallest id).
+
+    See :func:`jaccard_classes`. Rows without shingles have no class.
     """
     spark = docs.sparkSession
     bound_batches(spark)
-    parts = 4 * width(spark)
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    common = _common(source, words)
-    signed = materialise(source.mapInArrow(_signed(words, num, den, parts, common), "id long, fp long, n int, part int, packed binary"), "signed")
-    meta = materialise(signed.filter("part is null").select("id", "fp", "n"), "meta")
-    stars = materialise(signed.filter("part is not null").select("part", "packed").repartition(parts, "part").select("packed").mapInArrow(_matched, "a long, b long"), "stars")
+    source = docs.select(F.col(id_col).cast("long").alias("id"), text_key(F.col(text_col)).alias("tk"), F.col(text_col).cast("binary").alias("text"))
+    size = source.agg(F.count("*").alias("rows"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    parts = min(1 << 30, max(4 * width(spark), (size["bytes"] or 0) // PART_BYTES))
+    common = _common(source, size["rows"], words)
+    signed = materialise(source.mapInArrow(_signed(words, num, den, parts, common), _SIGNED), "signed")
+    meta = materialise(signed.filter("n is not null").select("id", "tk", "fp", "n"), "meta")
+    packed = signed.filter("part is not null").select("part", "packed").repartition(4 * width(spark), "part").sortWithinPartitions("part")
+    matched = packed.mapInArrow(_matched, "sig long, hub long, fp long")
+    stars = materialise(matched.unionByName(signed.filter("hub is not null").select("sig", "hub", "fp")), "stars")
     discard(signed)
 
-    nodes = meta.filter("n > 0").groupBy("fp").agg(F.min("id").alias("rep"), F.min("n").alias("n"))
-    group = components(stars, "groups")
-    # sizes a factor of num / den apart are in the same or the next size class; the width allows for rounding
-    size_class = F.floor(F.log(F.col("n").cast("double")) / (math.log(den / num) * 1.0001)).cast("int")
-    member = group.select(F.col("node").alias("fp"), F.col("root").alias("grp")).join(nodes, "fp").filter("rep is not null").withColumn("cls", size_class)
-    member = materialise(member.select("fp", "grp", "rep", "cls"), "grouped")
-    own = member.groupBy("grp", "cls").agg(F.count("*").alias("m"))
-    blocks = own.select("grp", "cls", F.ceil(F.col("m") / BLOCK).cast("int").alias("b"))
-    whole = own.groupBy("grp").agg((F.sum("m") <= BLOCK).alias("single"))
-    plan = blocks.join(blocks.select("grp", (F.col("cls") - 1).alias("cls"), F.col("b").alias("up")), ["grp", "cls"], "left")
-    plan = plan.join(blocks.select("grp", (F.col("cls") + 1).alias("cls"), F.col("b").alias("down")), ["grp", "cls"], "left").join(whole, "grp").fillna(0, ["up", "down"])
-    # blocks by hash: no order over a group is needed
-    placed = member.join(plan, ["grp", "cls"]).withColumn("own", F.pmod(F.xxhash64("fp"), "b").cast("int"))
-    member = materialise(placed.select("fp", "rep", "grp", "cls", "b", "up", "down", "single", "own"), "members")
-    chosen = F.broadcast(member) if member.count() <= BROADCAST else member
+    nodes = meta.filter("n > 0").groupBy("fp").agg(F.min("id").alias("rep"), F.min("tk").alias("tk"))
+    wanted = stars.select(F.explode(F.array("hub", "fp")).alias("fp")).distinct().join(nodes, "fp").select("fp", F.col("tk").alias("key"))
+    wanted = materialise(wanted, "wanted")
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordCodes()
         for batch in batches:
             sets = [_codes(x.as_py(), words, known) for x in batch.column(1)]
-            # another row may have the same id
+            # another text may have the same key
             keep = pa.array([_fingerprint(c) == fp for c, fp in zip(sets, batch.column(0).to_pylist(), strict=True)], pa.bool_())
-            yield batch.filter(keep)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(c) for c in sets], pa.int32()), batch.column(1)], ["fp", "n", "text"]).filter(keep)
         known.clear()
         trim()
 
-    sets = source.join(chosen, source.id == member.rep).select("fp", "text", *PLACE)
     # texts move, not their codes: they shrink in a shuffle, and a code is as long as a word
-    sets = sets.mapInArrow(checked, "fp long, text binary, grp long, cls int, b int, up int, down int, single boolean, own int").dropDuplicates(["fp"])
-
-    def to(cls, cross, p, q, side):
-        return F.struct(cls.alias("cls"), F.lit(cross).alias("cross"), p.cast("int").alias("p"), q.cast("int").alias("q"), side.cast("int").alias("side"))
-
-    def each(n: str, f):
-        return F.when(F.col(n) > 0, F.transform(F.sequence(F.lit(0), F.col(n) - 1), f)).otherwise(F.array().cast("array<struct<cls:int,cross:boolean,p:int,q:int,side:int>>"))
-
-    o, k, zero = F.col("own"), F.col("cls"), F.lit(0)
-    pairs = F.concat(
-        each("b", lambda j: to(k, False, F.least(o, j), F.greatest(o, j), F.signum(j - o))), each("up", lambda j: to(k, True, o, j, zero)), each("down", lambda j: to(k - 1, True, j, o, F.lit(1))))
-    goes = F.when(F.col("single"), F.array(to(zero, False, zero, zero, zero))).otherwise(pairs)
-    spread = sets.select("grp", "fp", "text", F.explode(goes).alias("x")).select("grp", "x.*", "fp", "text")
-    links = materialise(spread.groupBy("grp", "cls", "cross", "p", "q").applyInArrow(_block(words, num, den), "a long, b long"), "links")
-    root = components(links, "classes")
-    named = nodes.join(root, nodes.fp == root.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    found = materialise(named.join(least, "root").select("fp", "component_id"), "found")
-    for x in (stars, group, member, links, root):
+    chosen = source.join(_sent(wanted), source.tk == wanted.key).select("fp", "text").dropDuplicates(["fp", "text"])
+    texts = materialise(chosen.mapInArrow(checked, "fp long, n int, text binary"), "texts")
+
+    pairs = materialise(stars.select(F.col("hub").alias("a"), F.col("fp").alias("b")).distinct(), "pairs")
+    links = _linked_pairs(pairs, texts, words, num, den, "links")
+    roots = components(links, "classes")
+    # what the stars didn't compare: members of one signature that the links so far leave in different classes
+    open_ = materialise(_open(stars, roots), "open")
+    if not open_.isEmpty():
+        few, many = open_.filter(F.col("cross") <= CROSS * F.col("m")), open_.filter(F.col("cross") > CROSS * F.col("m"))
+        aside = few.filter("root <> main").select("sig", F.col("fp").alias("a"), F.col("root").alias("ra"))
+        listed = aside.join(few.select("sig", F.col("fp").alias("b"), F.col("root").alias("rb"), "main"), "sig").filter("ra <> rb and (rb = main or a < b)").select("a", "b").distinct()
+        for known in (pairs, pairs.select(F.col("a").alias("b"), F.col("b").alias("a"))):
+            listed = listed.join(known, ["a", "b"], "left_anti")
+        listed = materialise(listed, "listed")
+        more = [_linked_pairs(listed, texts, words, num, den, "more"), _linked_blocks(many.select("sig", "fp", "m"), texts, words, num, den)]
+        whole = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more[0]).unionByName(more[1]), "whole")
+        for x in (roots, listed, *more):
+            discard(x)
+        roots = whole
+    named = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+    least = named.groupBy("root").agg(F.min("rep").alias("least"))
+    found = materialise(named.join(least, "root").select("fp", "root", "least"), "found")
+    for x in (stars, wanted, texts, pairs, links, open_, roots):
         discard(x)
     # a hot class is one row here and many in meta: AQE splits the skewed side of the join
-    return meta.join(found, "fp", "left").select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    return meta.join(found, "fp", "left").select("id", "tk", "n", "root", "least")
+
+
+def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+    """Classes of documents joined by links of shingle Jaccard similarity at least num / den.
+
+    Returns one row per input row: id, n_shingles (size of the set), component_id (smallest id
+    reachable over links, itself included). Words are runs of bytes other than ASCII white
+    space, A-Z in lower case; a text with fewer than ``words`` words is one shingle; null, empty
+    or blank texts have no shingle, link to nothing and are their own class. Equal sets are one
+    node from the start (rows that repeat an id share a class; rows without an id are compared and join
+    others like any row, and a class of null ids only has a null class id). Other columns are left out.
+
+    PartEnum: every node signs subsets of second-level parts within first-level parts of its size band's feature
+    domain; nodes that share a signature are candidates, and no link is lost (codes are 64 bits). Signatures are
+    grouped in their own task first, so that of a group of near copies only a hub for each buffer moves. Members are compared with
+    hubs; then only members of one signature that these links leave in different classes are compared with each
+    other, as listed pairs where these are few for the group's size and by pairs of blocks of about BLOCK sets where they are many.
+    """
+    rows = row_classes(docs, id_col, text_col, words, num, den)
+    return rows.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))

@@ -81,16 +81,57 @@ def test_part_enum_loses_no_link():
             assert np.intersect1d(J.part_enum(a, common, 85, 100), J.part_enum(b, common, 85, 100)).size
 
 
-def test_near_copies_of_one_base_are_found(spark, monkeypatch):
-    monkeypatch.setattr(J, "BLOCK", 4)
+def test_part_enum_signs_subsets_of_second_level_parts():
+    rng = np.random.default_rng(4)
+    codes = np.unique(rng.integers(0, 2**63, 400).astype(np.uint64))
+    outer = 40
+    sig, empty = J.subsets(codes, outer, 7)
+    assert sig.shape == empty.shape == (outer, J.INNER) and not empty.any() and len(np.unique(sig)) == sig.size
+    # a difference in one second-level part leaves equal the one subset of its first-level part that leaves it out, and all others
+    for i in range(60):
+        other, _ = J.subsets(np.delete(codes, i), outer, 7)
+        same = (other == sig).sum(1)
+        assert sorted(same)[0] == J.INNER - J.KEPT and (same == J.INNER).sum() == outer - 1
+    plan = J.bands(85, 100, 4096)
+    at = next(i for i in range(len(plan) - 1, -1, -1) if plan[i][0] <= len(codes))
+    assert len(J.part_enum(codes, codes[:0], 85, 100)) >= sum(J.INNER * (plan[i][2] + plan[i][3]) - plan[i][3] * J.INNER for i in (at, at + 1))
+
+
+@pytest.mark.parametrize(("cross", "block"), [(4, 4), (0, 4), (10**9, 256)])  # open pairs by both ways, all by blocks, all listed
+def test_near_copies_of_one_base_are_found(spark, monkeypatch, cross, block):
+    monkeypatch.setattr(J, "BLOCK", block)
+    monkeypatch.setattr(J, "CROSS", cross)
+    monkeypatch.setattr(J, "BUFFER", 3000)
     random.seed(5)
     base = [f"w{i}" for i in range(90)]
     rows = [(i, " ".join(w if random.random() > 0.02 else f"x{i}" for w in base[: random.choice((70, 80, 90))])) for i in range(60)]
     rows += [(100 + i, " ".join(random.choices([f"v{j}" for j in range(40)], k=30))) for i in range(30)]
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in J.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"), words=4, num=85, den=100).collect()}
+    # texts that are half alike: they share signatures and aren't linked
+    rows += [(200 + i, " ".join([f"h{j}" for j in range(150)] + [f"o{i // 2}y{j}" for j in range(45)] + [f"q{i}"])) for i in range(24)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in J.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), words=4, num=85, den=100).collect()}
     assert got == brute_classes(rows, 4, 85, 100)
 
 
+def test_rows_without_id_are_bridges(spark):
+    words = [f"w{i}" for i in range(100)]
+    one, x, two = " ".join(words), " ".join([*words[9:], *(f"a{i}" for i in range(9))]), " ".join([*words[18:], *(f"a{i}" for i in range(18))])
+    for i in (9, None):
+        rows = spark.createDataFrame([(1, one), (i, x), (2, two)], "doc_id long, text string")
+        assert {(r["doc_id"], r["component_id"]) for r in J.jaccard_classes(rows, words=4, num=8, den=10).collect()} == {(1, 1), (i, 1), (2, 1)}
+    alone = spark.createDataFrame([(1, one), (2, two)], "doc_id long, text string")
+    assert {(r["doc_id"], r["component_id"]) for r in J.jaccard_classes(alone, words=4, num=8, den=10).collect()} == {(1, 1), (2, 2)}
+
+
+def test_near_stage_keeps_texts_of_repeated_ids(spark):
+    import corpus_pipeline
+
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(5, b), (5, c), (3, a), (7, a), (7, b + " more"), (None, c), (None, "own words of nobody at all"), (None, None), (8, " "), (5, b)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.near_stage(spark, docs, SF).collect()), key=str)
+    assert got == sorted([(5, b), (5, c), (3, a), (None, "own words of nobody at all"), (None, None), (8, " ")], key=str)
+
+
 def test_jaccard_edge_cases(odd, none):
     got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in J.jaccard_classes(odd, words=4).collect()]
     assert len(got) == odd.count() and (1, 0, 1) in got and (2, 0, 2) in got and (6, 3, 5) in got and (8, 1, 7) in got
