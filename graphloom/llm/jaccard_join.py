@@ -261,11 +261,10 @@ def _linked_pairs(pairs: DataFrame, texts: DataFrame, words: int, num: int, den:
 
 
 def _block(words: int, num: int, den: int):
-    """Texts of a pair of blocks to linked pairs, no more than join their members."""
+    """Texts of a pair of blocks to linked pairs, no more than join the classes of their members."""
 
     def run(table: pa.Table) -> pa.Table:
-        node = table.column("fp").to_numpy()
-        side = table.column("side").to_numpy()
+        node, side, before = (table.column(c).to_numpy() for c in ("fp", "side", "root"))
         known = WordCodes()
         sets = [_codes(x.as_py(), words, known) for x in table.column("text")]
         known.clear()
@@ -288,7 +287,9 @@ def _block(words: int, num: int, den: int):
         link = den * same.astype(np.float64) >= num * whole.astype(np.float64)
         if side.min() != side.max():
             link &= side[:, None] != side[None, :]
-        root = list(range(len(sets)))
+        _, first, of = np.unique(before, return_index=True, return_inverse=True)
+        link &= of[:, None] != of[None, :]
+        root = first[of].tolist()  # members of one class are joined from the start
 
         def top(i: int) -> int:
             while root[i] != i:
@@ -308,12 +309,31 @@ def _block(words: int, num: int, den: int):
 
 
 def _linked_blocks(members: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """Links within the groups of ``members`` (sig, fp, m), each pair of a group's blocks in a task of its own."""
+    """Links within the groups of ``members`` (unit, fp, root, m), each pair of a group's blocks in a task of its own."""
     placed = members.withColumn("b", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("fp"), "b").cast("int"))
     o = F.col("own")
     goes = F.transform(F.sequence(F.lit(0), F.col("b") - 1), lambda j: F.struct(F.least(o, j).alias("p"), F.greatest(o, j).alias("q"), F.signum(j - o).cast("int").alias("side")))
-    spread = placed.join(texts, "fp").select("sig", F.explode(goes).alias("x"), "fp", "text").select("sig", "x.*", "fp", "text")
-    return materialise(spread.groupBy("sig", "p", "q").applyInArrow(_block(words, num, den), "a long, b long"), "blocks")
+    spread = placed.join(texts, "fp").select("unit", F.explode(goes).alias("x"), "fp", "root", "text").select("unit", "x.*", "fp", "root", "text")
+    return materialise(spread.groupBy("unit", "p", "q").applyInArrow(_block(words, num, den), "a long, b long"), "blocks")
+
+
+def _units(members: DataFrame) -> DataFrame:
+    """Groups (sig, fp, root, m) as what is compared whole: (unit, fp, root, m).
+
+    Groups connected by common members become one unit where that is less work, that is, where the square of its size is no
+    more than its groups' together: pairs that meet under many signatures are then compared once.
+    """
+    hubs = members.groupBy("sig").agg(F.min("fp").alias("a"))
+    whole = components(members.join(hubs, "sig").select("a", F.col("fp").alias("b")).distinct(), "units")
+    held = members.join(whole.select(F.col("node").alias("fp"), F.col("root").alias("unit")), "fp")
+    size = held.groupBy("unit", "fp").agg(F.sum("m").alias("work")).groupBy("unit").agg(F.sum("work").alias("work"), F.count("*").alias("size"))
+    held = held.join(size, "unit").withColumn("joint", F.col("size") * F.col("size") <= F.col("work"))
+    pick = lambda yes, no: F.when(F.col("joint"), F.col(yes)).otherwise(F.col(no))
+    # a signature and a class may have one number
+    held = held.select("joint", pick("unit", "sig").alias("unit"), "fp", "root", pick("size", "m").alias("m")).distinct()
+    out = materialise(held.select(F.xxhash64("joint", "unit").alias("unit"), "fp", "root", "m"), "members")
+    discard(whole)
+    return out
 
 
 def _open(stars: DataFrame, roots: DataFrame) -> DataFrame:
@@ -403,9 +423,10 @@ def row_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for known in (pairs, pairs.select(F.col("a").alias("b"), F.col("b").alias("a"))):
             listed = listed.join(known, ["a", "b"], "left_anti")
         listed = materialise(listed, "listed")
-        more = [_linked_pairs(listed, texts, words, num, den, "more"), _linked_blocks(many.select("sig", "fp", "m"), texts, words, num, den)]
+        units = _units(many.select("sig", "fp", "root", "m"))
+        more = [_linked_pairs(listed, texts, words, num, den, "more"), _linked_blocks(units, texts, words, num, den)]
         whole = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more[0]).unionByName(more[1]), "whole")
-        for x in (roots, listed, *more):
+        for x in (roots, listed, units, *more):
             discard(x)
         roots = whole
     named = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
@@ -431,7 +452,8 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     domain; nodes that share a signature are candidates, and no link is lost (codes are 64 bits). Signatures are
     grouped in their own task first, so that of a group of near copies only a hub for each buffer moves. Members are compared with
     hubs; then only members of one signature that these links leave in different classes are compared with each
-    other, as listed pairs where these are few for the group's size and by pairs of blocks of about BLOCK sets where they are many.
+    other, as listed pairs where these are few for the group's size and by pairs of
+    blocks of about BLOCK sets where they are many.
     """
     rows = row_classes(docs, id_col, text_col, words, num, den)
     return rows.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
