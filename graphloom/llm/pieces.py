@@ -5,8 +5,11 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from array import array
 from bisect import bisect_right
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +61,7 @@ class Lattice:
         if any(" " in p.lstrip(" ") or "\n" in p for p in self.id):
             raise ValueError("a piece crosses words")
         self.weight = weight
+        self.log = np.log(np.where(weight > 0, weight, 1.0)).tolist()
         self.longest = max(map(len, self.id))
         self.fallback = math.exp(-alpha * math.log(10 + len(weight)))  # of a character spelt in bytes
         self._index()
@@ -127,26 +131,25 @@ class Lattice:
         return share, ids
 
     def _long(self, word: str, base: int) -> list[int]:
-        """As the other two, for one word too long for tables."""
-        total, back = [1.0], [()]
-        for end in range(1, len(word) + 1):
-            shares, ways, s = [], [], 0.0
+        """As the other two, for one word of any length: logarithms of the forward sums, and the shares of the places passed on the way back."""
+        bare = math.log(self.fallback)
+
+        def ways(end: int) -> Iterator[tuple[int, int | None, float]]:
             for start in range(max(0, end - self.longest), end):
                 i = self.id.get(word[start:end])
-                if i is None and end - start > 1:
-                    continue
-                s += total[start - end] * (self.weight[i] if i is not None else self.fallback)
-                shares.append(s)
-                ways.append((start, i))
-            total.append(s)
-            if s < 1e-100:
-                total[-self.longest :] = [x * 1e100 for x in total[-self.longest :]]
-            back.append((shares, ways))
+                if i is not None or end - start == 1:
+                    # the place before is no further off than a few pieces, so its sum is a safe unit
+                    yield start, i, math.exp(total[start] - total[end - 1] + (bare if i is None else self.log[i]))
+
+        total = array("d", [0.0])
+        for end in range(1, len(word) + 1):
+            total.append(total[end - 1] + math.log(sum(s for _, _, s in ways(end))))
         out, end, step = [], len(word), 0
         while end:
-            shares, ways = back[end]
-            start, i = ways[min(bisect_right(shares, float(_draw(np.uint64(base), step)) * shares[-1]), len(ways) - 1)]
-            out.append([i] if i is not None else [int(self.byte[b]) for b in word[start:end].encode()])
+            own = list(ways(end))
+            shares = list(accumulate(s for _, _, s in own))
+            start, i, _ = own[min(bisect_right(shares, float(_draw(np.uint64(base), step)) * shares[-1]), len(own) - 1)]
+            out.append([i] if i is not None else [int(self.byte[b]) for b in word[start:end].encode("utf-8", "surrogatepass")])
             end, step = start, step + 1
         return [i for own in reversed(out) for i in own]
 
@@ -174,7 +177,7 @@ class Lattice:
         length = np.fromiter(map(len, distinct), np.int64, len(distinct))
         by_length = np.argsort(length[of], kind="stable")
         cuts = np.searchsorted(length[of][by_length], np.arange(length.max() + 2))
-        at, found = [], []  # place in the chunk * 4096 + start in the word, id
+        at, found = [], []  # place in the chunk << 32 | start in the word, id
         for size in range(1, min(int(length.max()), TABLED) + 1):
             occ = by_length[cuts[size] : cuts[size + 1]]
             if not len(occ):
@@ -188,18 +191,18 @@ class Lattice:
                 r, e = row[live], end[live]
                 k = np.minimum((share[r, e] <= _draw(base[occ[live]], step)[:, None]).sum(1), most - 1)
                 e = e - k - 1
-                at.append(occ[live] * 4096 + e)
+                at.append(occ[live] << 32 | e)
                 found.append(ids[r, e + k + 1, k])
                 end[live] = e
                 live, step = live[e > 0], step + 1
         for j in by_length[cuts[min(int(length.max()), TABLED) + 1] :]:
             own = self._long(words[j], int(base[j]))
             # ids of a long word have their order in place of a start
-            at.append(int(j) * 4096 + np.minimum(np.arange(len(own)), 4095))
+            at.append(int(j) << 32 | np.arange(len(own)))
             found.append(np.array(own, np.int32))
         at, found = np.concatenate(at), np.concatenate(found)
         order = np.argsort(at, kind="stable")
-        at, found = at[order] // 4096, found[order]
+        at, found = at[order] >> 32, found[order]
         spelt = found < 0
         if spelt.any():
             raw = [chr(-c).encode("utf-8", "surrogatepass") for c in found[spelt].tolist()]
@@ -236,8 +239,8 @@ _STEP = np.uint64(0x9FB21C651E98DF25)
 TABLE = 20  # bits of the tables from hash to piece
 TABLED = 32  # longest word, in characters, that goes by tables
 CHUNK = 200_000  # words handled at once
-#: a line end, up to 16 spaces with up to 4000 characters of the word after them, or spaces
-_WORD = re.compile(r"\n| {0,16}[^ \n]{1,4000}| {1,32}")
+#: a line end, spaces with the word after them, or spaces
+_WORD = re.compile(r"\n| *+[^ \n]++| ++")
 
 
 @lru_cache(maxsize=2)
@@ -290,7 +293,7 @@ def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mo
 
     ``ids`` is one segmentation drawn from the lattice by forward filtering and backward
     sampling, seeded by the row's id, so equal texts under different ids may differ and a rerun
-    doesn't; words of over 4000 characters, and runs of over 16 spaces, are cut. ``decoded_sha256`` is of the text decoded from ``ids``; ``lossless`` tells whether
+    doesn't; no word or run of spaces is cut, however long. ``decoded_sha256`` is of the text decoded from ``ids``; ``lossless`` tells whether
     it equals the input. Texts aren't normalised. Null texts give null ids, hash and lossless
     and 0 pieces; rows that repeat an id and text repeat their ids. Other columns are left out.
     """
