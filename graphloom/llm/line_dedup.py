@@ -4,43 +4,52 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.shared import bound_batches, discard, materialise, trim
 
 DEPTH = 3  # leading tokens that, after the token count, make the tree's fixed levels
-CELLS = 16  # positions a line is compared by; in longer lines a position is a run of tokens
 MIN_DOCS = 3
 LONG = 50  # a line of more tokens is a passage; where asked, its repetition in PAIR documents is enough
 PAIR = 2
+BITS = 1 << 26  # of the map of leaves that tells which lines need their tokens compared, at most
 _DIGIT = regex.compile(r"[0-9]")
-LINE = "id long, leaf long, line long, passage boolean, cells binary"
 
 
-def parse(line: str) -> tuple[int, int, bool, bytes] | None:
-    """(leaf, whole line, its cells) as 64-bit codes, before the cells whether it has more than LONG tokens; tokens with a digit are the variable <*>. None for a blank line."""
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _tokens(line: str) -> list[str]:
+    """The line's tokens; those with a digit are the variable <*>."""
     tokens = line.split()
-    n = len(tokens)
-    if not n:
-        return None
-    if _DIGIT.search(line):
-        tokens = ["<*>" if _DIGIT.search(t) else t for t in tokens]
-    step = -(-n // CELLS)
-    code = xxhash.xxh3_64_intdigest
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-    leaf = signed(code(f"{n} {' '.join(tokens[:DEPTH])}"))
-    cells = b"".join(xxhash.xxh3_64_digest(" ".join(tokens[i : i + step])) for i in range(0, n, step))
-    return leaf, signed(code(f"{n} {' '.join(tokens)}")), n > LONG, cells
+    return ["<*>" if _DIGIT.search(t) else t for t in tokens] if _DIGIT.search(line) else tokens
+
+
+def _leaf(tokens: list[str]) -> int:
+    return _signed(xxhash.xxh3_64_intdigest(f"{len(tokens)} {' '.join(tokens[:DEPTH])}"))
+
+
+def _whole(tokens: list[str]) -> int:
+    return _signed(xxhash.xxh3_64_intdigest(f"{len(tokens)} {' '.join(tokens)}"))
+
+
+def parse(line: str) -> tuple[int, int, bool] | None:
+    """(leaf, whole line) as 64-bit codes and whether it has more than LONG tokens. None for a blank line."""
+    tokens = _tokens(line)
+    return (_leaf(tokens), _whole(tokens), len(tokens) > LONG) if tokens else None
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, leaves, lines, passages, cells = [], [], [], [], []
+        ids, leaves, lines, passages = [], [], [], []
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             seen = set()
             for line in (text.as_py() or "").split("\n"):
@@ -50,20 +59,68 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     leaves.append(found[0])
                     lines.append(found[1])
                     passages.append(found[2])
-                    cells.append(found[3])
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(leaves, pa.int64()), pa.array(lines, pa.int64()), pa.array(passages, pa.bool_()), pa.array(cells, pa.binary())], ["id", "leaf", "line", "passage", "cells"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(leaves, pa.int64()), pa.array(lines, pa.int64()), pa.array(passages, pa.bool_())], ["id", "leaf", "line", "passage"])
     trim()
 
 
+def _bitmap(leaves: DataFrame) -> np.ndarray:
+    """A bit for each leaf's remainder, 16 a leaf up to BITS: a line whose bit isn't set is in no such leaf."""
+    bits = min(BITS, max(64, 1 << (16 * leaves.count()).bit_length()))
+    at = F.expr(f"pmod(leaf, {bits})")
+    rows = leaves.groupBy((at / 64).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(leaf, {bits}) % 64 as int))")).alias("bits")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[rows.column(0).to_numpy()] = rows.column(1).to_numpy()
+    return out.view(np.uint8)
+
+
+def _cells(sent: Broadcast):
+    """Texts to (leaf, line, codes of the tokens after the leading ones) of the lines whose leaf has its bit set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, seen = sent.value, set()
+        size = 8 * len(bits)
+        out, load = [], 0
+
+        def rows() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["leaf", "line", "cells"])
+
+        for batch in batches:
+            for text in batch.column(0):
+                for line in (text.as_py() or "").split("\n"):
+                    tokens = _tokens(line)
+                    if len(tokens) <= DEPTH:
+                        continue
+                    leaf = _leaf(tokens)
+                    at = leaf % size
+                    if not bits[at >> 3] >> (at & 7) & 1 or (whole := _whole(tokens)) in seen:
+                        continue
+                    if len(seen) >= 100_000:
+                        seen.clear()
+                    seen.add(whole)
+                    out.append((leaf, whole, b"".join(map(xxhash.xxh3_64_digest, tokens[DEPTH:]))))
+                    load += len(tokens)
+                    if load >= 200_000:
+                        yield rows()
+                        out, load = [], 0
+        if out:
+            yield rows()
+        seen.clear()
+        trim()
+
+    return run
+
+
 def _unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A line's cells as rows (place, token code)."""
-    for batch in batches:
-        cells = batch.column(3).to_pylist()
-        size = [len(x) // 8 for x in cells]
-        rows = pa.array([i for i, n in enumerate(size) for _ in range(n)], pa.int32())
-        token = pa.Array.from_buffers(pa.int64(), sum(size), [None, pa.py_buffer(b"".join(cells))])
-        place = pa.array([p for n in size for p in range(n)], pa.int32())
-        yield pa.RecordBatch.from_arrays([pc.take(batch.column(0), rows), pc.take(batch.column(1), rows), pc.take(batch.column(2), rows), place, token], ["leaf", "line", "docs", "place", "token"])
+    for whole in batches:
+        for start in range(0, len(whole), 200):
+            batch = whole.slice(start, 200)
+            cells = batch.column(3).to_pylist()
+            size = np.array([len(x) // 8 for x in cells], np.int64)
+            rows = pa.array(np.repeat(np.arange(len(size)), size))
+            token = pa.Array.from_buffers(pa.int64(), int(size.sum()), [None, pa.py_buffer(b"".join(cells))])
+            place = pa.array((np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pc.take(batch.column(0), rows), pc.take(batch.column(1), rows), pc.take(batch.column(2), rows), place, token], ["leaf", "line", "docs", "place", "token"])
 
 
 def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, passage_docs: int = MIN_DOCS) -> tuple[DataFrame, DataFrame]:
@@ -71,18 +128,25 @@ def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
 
     The tree's levels are a line's token count and its first DEPTH tokens (tokens with digits are
     variable). Within a leaf a token is constant at its place if lines of at least ``min_docs`` documents
-    have it there, else variable. Lines with equal constants are one template, if seven tenths of the places, the
-    leading ones counted, are constant; lines beyond that are templates of their own. A line of more than LONG
+    have it there, else variable. Lines with equal constants are one template, if seven tenths of the places after the
+    leading ones are constant; lines beyond that are templates of their own, and so is a line that has leading tokens only. A line of more than LONG
     tokens under no recurring template recurs by itself in ``passage_docs`` documents. All counts come from
     partial sums over every document, so the outcome doesn't depend on the order of rows.
+
+    Tokens move for the lines of leaves that have several lines and enough documents only; which these are is known in a
+    second reading of the texts from a map of at most BITS bits, and then by an exact join.
     """
     bound_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    lines = materialise(source.mapInArrow(_lines, LINE), "lines")
-    distinct = materialise(lines.groupBy("leaf", "line").agg(F.count("*").alias("docs"), F.min("id").alias("first"), F.first("passage").alias("passage"), F.min("cells").alias("cells")), "distinct")
+    lines = materialise(source.mapInArrow(_lines, "id long, leaf long, line long, passage boolean"), "lines")
+    distinct = materialise(lines.groupBy("leaf", "line").agg(F.count("*").alias("docs"), F.min("id").alias("first"), F.first("passage").alias("passage")), "distinct")
     # a leaf with one line, or with too few documents, has nothing to generalise
     leaves = distinct.groupBy("leaf").agg(F.count("*").alias("variants"), F.sum("docs").alias("all")).filter(f"variants > 1 and all >= {int(min_docs)}").select("leaf")
-    tree = materialise(distinct.join(leaves, "leaf", "left_semi").select("leaf", "line", "docs", "cells").mapInArrow(_unfold, "leaf long, line long, docs long, place int, token long"), "tree")
+    leaves = materialise(leaves, "leaves")
+    open_ = distinct.join(leaves, "leaf", "left_semi").select("leaf", "line", "docs")
+    cells = source.select("text").mapInArrow(_cells(docs.sparkSession.sparkContext.broadcast(_bitmap(leaves))), "leaf long, line long, cells binary")
+    cells = cells.groupBy("leaf", "line").agg(F.first("cells").alias("cells"))
+    tree = materialise(open_.join(cells, ["leaf", "line"]).select("leaf", "line", "docs", "cells").mapInArrow(_unfold, "leaf long, line long, docs long, place int, token long"), "tree")
     fixed = tree.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("own")).filter(F.col("own") >= min_docs).select("leaf", "place", "token", F.lit(1).alias("fixed"))
     voted = tree.select("leaf", "line", "place", "token").join(fixed, ["leaf", "place", "token"], "left")
     shape = voted.groupBy("leaf", "line").agg(
@@ -102,7 +166,7 @@ def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
         passages = templates.filter(F.col("passage") & (F.col("docs") >= passage_docs))
         found = found.unionByName(passages.join(kept, "template", "left_anti").select("leaf", "line", F.col("line").alias("template"), F.col("first").alias("keep")))
     found = materialise(found, "recurring")
-    for x in (distinct, tree, templates):
+    for x in (distinct, leaves, tree, templates):
         discard(x)
     return lines, found
 

@@ -12,7 +12,7 @@ from graphloom.llm.decontaminate import MASKS, WINDOW, contaminated
 from graphloom.llm.fingerprints import compare_with_next
 from graphloom.llm.html_text import extract
 from graphloom.llm.jaccard_join import jaccard_classes
-from graphloom.llm.line_dedup import CELLS, DEPTH, LONG, MIN_DOCS, PAIR, dedup_lines
+from graphloom.llm.line_dedup import DEPTH, LONG, MIN_DOCS, PAIR, dedup_lines
 from graphloom.llm.pieces import tokenize
 from graphloom.llm.quality import classify
 from graphloom.llm.sharding import shard_by_bytes
@@ -147,9 +147,9 @@ FROM s""",
     "op4_line_dedup": rf"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
 k AS (SELECT doc_id, pos, line, list_transform(regexp_extract_all(line, '\S+'), lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS t FROM l),
-c AS (SELECT doc_id, pos, line, array_to_string(t, ' ') AS whole, len(t) || ' ' || array_to_string(t[1:{DEPTH}], ' ') AS leaf, t, (len(t) + {CELLS} - 1) // {CELLS} AS step FROM k WHERE len(t) > 0),
+c AS (SELECT doc_id, pos, line, array_to_string(t, ' ') AS whole, len(t) || ' ' || array_to_string(t[1:{DEPTH}], ' ') AS leaf, t[{DEPTH} + 1:] AS cells FROM k WHERE len(t) > 0),
 d AS (SELECT leaf, whole, count(DISTINCT doc_id) AS docs, min(doc_id) AS first,
-      any_value(list_transform(range(0, len(t), step), lambda i: array_to_string(t[i+1:i+step], ' '))) AS cells FROM c GROUP BY leaf, whole),
+      any_value(cells) AS cells FROM c GROUP BY leaf, whole),
 v AS (SELECT leaf FROM d GROUP BY leaf HAVING count(*) > 1 AND sum(docs) >= {MIN_DOCS}),
 e AS (SELECT leaf, whole, docs, unnest(cells) AS token, generate_subscripts(cells, 1) AS place FROM d SEMI JOIN v USING (leaf)),
 f AS (SELECT leaf, place, token FROM e GROUP BY ALL HAVING sum(docs) >= {MIN_DOCS}),

@@ -323,3 +323,17 @@ def test_pipeline(spark):
     assert out.keys() == texts.keys() and all(lattice.decode(np.array(out[i], np.int32)) == t for i, t in texts.items())
     rows = [(i, t) for i, t in texts.items()]
     assert all(c == i or not n for i, (n, c) in brute_classes(rows, 5, 4, 5).items())
+
+
+@pytest.mark.parametrize("n", [15, 16, 17, 18, 40])
+def test_one_changed_token_is_one_place(spark, n):
+    """The rule is one for lines of any length: a single changed token of n makes a single place variable."""
+    rows = [(i, " ".join(f"t{chr(97 + j // 26)}{chr(97 + j % 26)}" if j != 9 else f"own{chr(97 + i)}" for j in range(n))) for i in range(5)]
+    got = {r["doc_id"]: r["n_dropped"] for r in L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 1, 2: 1, 3: 1, 4: 1}
+
+
+def test_short_lines_with_equal_starts_stay(spark):
+    rows = [(i, f"I am from {x}") for i, x in enumerate(("Paris", "Berlin", "Madrid", "Rome", "Vienna"))]
+    rows += [(10 + i, f"We had some {a} and {b} then") for i, (a, b) in enumerate((("bread", "milk"), ("fish", "rice"), ("soup", "figs")))]
+    assert {r["n_dropped"] for r in L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {0}
