@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from graphloom.llm.shared import bound_batches
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-#: the vocabulary's public pre-token pattern: it looks ahead by one character and never back
+#: the vocabulary's public pre-token pattern: it looks ahead, over a run of white space at most, and never back
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LEAF = 64  # pre-tokens in a leaf
 
@@ -90,12 +90,15 @@ class Tree:
         """Replace text[start:end]; returns how many code points were encoded again.
 
         Encoding restarts at the leaf that holds the character before the edit, since the pre-token
-        that ends there may look at the edit, and stops at the first old leaf end after it
+        that ends there may look at the edit. A leaf that starts after white space or an apostrophe isn't safe to
+        start from: where that pre-token ends depends on all of the run, or on two characters. Encoding stops at the first old leaf end after it
         that is a pre-token's end in the new text: from there on nothing differs.
         """
         start = max(0, min(start, len(self.text)))
         end = max(start, min(end, len(self.text)))
         first = min(bisect_left(self.ends, start), max(0, len(self.ends) - 1))
+        while first and ((last := self.text[self.ends[first - 1] - 1]).isspace() or last == "'"):
+            first -= 1
         begin = self.ends[first - 1] if first else 0
         shift = len(put) - (end - start)
         self.text = self.text[:start] + put + self.text[end:]

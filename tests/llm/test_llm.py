@@ -337,3 +337,18 @@ def test_short_lines_with_equal_starts_stay(spark):
     rows = [(i, f"I am from {x}") for i, x in enumerate(("Paris", "Berlin", "Madrid", "Rome", "Vienna"))]
     rows += [(10 + i, f"We had some {a} and {b} then") for i, (a, b) in enumerate((("bread", "milk"), ("fish", "rice"), ("soup", "figs")))]
     assert {r["n_dropped"] for r in L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {0}
+
+
+def test_edits_at_leaf_ends():
+    own = TC.counter(TC.RANKS)
+    for tail, put in (("\n\n", " edited"), ("\n \n", "x"), (" '", "ll"), (" 'l", "l"), ("   ", "a"), ("'r", "e")):
+        for lead in range(TC.LEAF - 4, TC.LEAF + 4):
+            head = "".join(f" w{chr(97 + i % 26)}" for i in range(lead))
+            tree = TC.Tree.build(head + tail + "ok then", own)
+            for at in range(len(head), len(head) + len(tail) + 1):
+                other = TC.Tree.build(head + tail + "ok then", own)
+                other.edit(at, at, put, own)
+                assert other.tokens == len(own.coder.encode_ordinary(other.text))
+            tree = TC.Tree.build(head + tail, own)
+            tree.edit(len(tree.text), len(tree.text), put, own)
+            assert tree.tokens == len(own.coder.encode_ordinary(tree.text))
