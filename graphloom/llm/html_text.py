@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -19,15 +21,22 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 APART = frozenset("nav aside footer form dialog menu".split())
 MAIN = frozenset("article main".split())
+#: elements whose content is raw to a parser: without an end tag they last to the page's end, the other dropped ones are then passed over
+RAW = frozenset("script style title textarea iframe noscript".split())
+#: elements that an article's start ends or reaches through, closed or not
+PASSED = frozenset("nav form menu header footer".split())
 #: words of class and id names that mark what isn't the article
 NAMES = frozenset(
     "ad ads adv advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies discussion disqus footer gdpr "
     "header login masthead menu modal nav navbar navigation newsletter notice notices pager pagination paywall popup promo promoted promotion recommended "
     "related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar topbar widget".split())
+#: words that may stand beside these in one name; with any other word beside it, a name says something else (no-sidebar, share-price)
+BESIDE = frozenset(
+    "area articles aside bar block blog body bottom box btn button buttons center col column container content en entry form global group holder icons inner item items left "
+    "level line link links list main media more outer page panel placeholder popular post posts primary right secondary section site slot stories sub text thread title to top unit wrap wrapper".split())
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(" + "|".join(DROPPED) + r")\b[^>]*(?<!/)>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>",
-    re.S | re.I)
+_OPEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_STOP = re.compile(r"[>\"']")
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 _PARTS = re.compile(r"[a-z]+")
@@ -41,8 +50,8 @@ LABELLED = np.array([
     (11, 0, 8, 0, 30, 0, 1, 1), (25, 0.1, 90, 0, 0, 0, 1, 1), (8, 0, 1, 1, 9, 0, 1, 1), (400, 0, 5, 0, 9, 0, 1, 1), (5, 0, 40, 0, 10, 0, 1, 1), (12, 0.3, 40, 0, 35, 0, 1, 1),
     (1, 0, 0, 0, 0, 0, 1, 1), (30, 0, 8, 0, 10, 0, 1, 1), (6, 0.2, 33, 0, 41, 0.05, 1, 1), (18, 0.35, 22, 0, 60, 0, 1, 1), (1, 0, 6, 0, 10, 0, 1, 1), (4, 0, 200, 0, 9, 0.1, 1, 1),
     (50, 0, 60, 0, 20, 1, 1, 1), (3, 0, 70, 0, 14, 0.9, 1, 1), (9, 0, 0, 0, 12, 0.8, 1, 1), (80, 0.1, 2, 1, 9, 1, 1, 1),
-    # in an article, but lists of links
-    (2, 1, 60, 0, 2, 1, 1, 0), (3, 1, 2, 1, 2, 1, 1, 0), (5, 1, 3, 1, 0, 0, 1, 0), (8, 0.9, 70, 0, 6, 0.8, 1, 0), (12, 0.95, 9, 0.9, 11, 1, 1, 0), (6, 0.8, 2, 1, 40, 0, 1, 0),
+    # lists of links in an article
+    (2, 1, 60, 0, 2, 1, 1, 1), (3, 1, 2, 1, 2, 1, 1, 1), (5, 1, 3, 1, 0, 0, 1, 1), (8, 0.9, 70, 0, 6, 0.8, 1, 1), (12, 0.95, 9, 0.9, 11, 1, 1, 1), (6, 0.8, 2, 1, 40, 0, 1, 1),
     # in elements apart from the article
     (1, 1, 0, 0, 1, 1, -1, 0), (1, 1, 1, 1, 8, 0, -1, 0), (8, 0, 1, 1, 9, 0, -1, 0), (10, 0, 60, 0, 0, 0, -1, 0), (45, 0, 30, 0, 60, 0, -1, 0), (120, 0, 90, 0, 80, 0, -1, 0),
     (3, 0, 50, 0, 2, 1, -1, 0), (22, 0.1, 8, 0, 25, 0, -1, 0), (5, 0, 5, 0, 5, 0, -1, 0), (70, 0.05, 4, 1, 66, 0, -1, 0), (15, 0, 200, 0, 12, 0, -1, 0), (2, 0, 2, 0, 2, 0, -1, 0),
@@ -50,8 +59,10 @@ LABELLED = np.array([
     (60, 0, 9, 0, 75, 0, 0, 1), (95, 0.05, 60, 0, 22, 0, 0, 1), (30, 0, 3, 1, 45, 0, 0, 1), (25, 0.1, 50, 0, 4, 1, 0, 1), (18, 0, 40, 0, 60, 0, 0, 1), (150, 0.2, 2, 1, 2, 1, 0, 1),
     (9, 0, 2, 1, 70, 0, 0, 1), (7, 0, 80, 0, 64, 0, 0, 1), (5, 0, 33, 0, 38, 0, 0, 1), (10, 0, 45, 0, 28, 0, 0, 1), (12, 0, 70, 0, 20, 0, 0, 1), (20, 0.25, 35, 0, 40, 0, 0, 1),
     (2, 0, 60, 0, 44, 0, 0, 1), (40, 0, 0, 0, 0, 0, 0, 1), (22, 0, 0, 0, 31, 0, 0, 1), (14, 0, 25, 0, 19, 0, 0, 1), (3, 0, 90, 0, 100, 0, 0, 1), (35, 0.3, 12, 0, 16, 0, 0, 1),
+    (1, 0, 0, 0, 30, 0, 0, 1), (3, 0, 0, 0, 45, 0, 0, 1), (5, 0, 2, 1, 28, 0, 0, 1), (20, 0, 30, 0, 0, 0, 0, 1), (16, 0, 45, 0, 0, 0, 0, 1), (24, 0, 18, 0, 2, 1, 0, 1), (13, 0, 22, 0, 15, 0, 0, 1),
     (60, 0, 50, 0, 12, 1, 0, 1), (35, 0, 40, 0, 25, 0.9, 0, 1), (90, 0.1, 70, 0, 10, 0.8, 0, 1),
     # elsewhere: links, labels, notes
+    (1, 1, 0, 0, 40, 0, 0, 0), (2, 1, 0, 0, 25, 0, 0, 0), (3, 0.9, 2, 1, 30, 0, 0, 0), (2, 1, 50, 0, 0, 0, 0, 0), (4, 0.8, 30, 0, 2, 1, 0, 0), (1, 1, 20, 0, 0, 0, 0, 0),
     (1, 1, 1, 1, 1, 1, 0, 0), (2, 1, 0, 0, 3, 1, 0, 0), (4, 1, 60, 0, 3, 1, 0, 0), (15, 0.9, 12, 1, 14, 1, 0, 0), (30, 0.7, 22, 0.8, 25, 0.9, 0, 0), (6, 0.6, 4, 1, 3, 0.5, 0, 0),
     (3, 0, 1, 1, 2, 1, 0, 0), (5, 0, 2, 1, 3, 1, 0, 0), (4, 0, 50, 0, 0, 0, 0, 0), (8, 0, 3, 0, 0, 0, 0, 0), (2, 0, 2, 0, 3, 0, 0, 0), (7, 0.5, 0, 0, 2, 1, 0, 0), (10, 0.4, 5, 1, 6, 1, 0, 0),
     (3, 0, 0, 0, 2, 1, 0, 0), (9, 0.45, 70, 0, 4, 1, 0, 0), (6, 0, 4, 0, 5, 0, 0, 0), (1, 0, 1, 1, 1, 1, 0, 0), (20, 0.8, 40, 0, 3, 1, 0, 0), (8, 0, 2, 1, 9, 1, 0, 0), (12, 0.7, 45, 0, 30, 0, 0, 0),
@@ -90,13 +101,78 @@ def decide(node: tuple | int, features: tuple) -> int:
     return node
 
 
+def _tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(start, end, name, is an end tag, attributes) of a page's tags in one pass; comments, declarations and dropped elements have the name "" or their own with the attributes None.
+
+    A < that opens nothing is text. Quoted attribute values may hold >; once quotes turn out to be left open up to the page's
+    end, they count as plain characters from there on.
+    """
+    at, last, quotes, endless, closing = 0, page.rfind(">"), True, set(), {}
+    while (start := page.find("<", at)) >= 0:
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            at = len(page) if end < 0 else end + 3
+            yield start, at, "", False, ""
+            continue
+        if start > last:
+            return
+        m = _OPEN.match(page, start)
+        if not m:
+            if page.startswith(("<!", "<?"), start):
+                at = page.find(">", start) + 1
+                yield start, at, "", False, ""
+            else:
+                at = start + 1
+            continue
+        end, i = -1, m.end()
+        while quotes and (stop := _STOP.search(page, i)):
+            if stop[0] == ">":
+                end = stop.start()
+                break
+            if (i := page.find(stop[0], stop.end()) + 1) == 0:
+                break
+        if end < 0:
+            quotes = False
+            end = page.find(">", m.end())
+        tag, attrs, at = m[2].lower(), page[m.end() : end], end + 1
+        if tag in DROPPED and not m[1] and not attrs.endswith("/"):
+            if tag not in endless:
+                shut = closing.setdefault(tag, re.compile(rf"</{tag}\s*>", re.I)).search(page, at)
+                if shut or tag in RAW:
+                    at = shut.end() if shut else len(page)
+                    yield start, at, tag, False, None
+                    continue
+                endless.add(tag)
+            yield start, at, "", False, ""
+            continue
+        yield start, at, tag, bool(m[1]), attrs
+
+
+def _apart(tag: str, attrs: str, inside: bool) -> bool:
+    """Whether an element is apart from the article by its kind or its names; in an article it may have headers and banners."""
+    if tag in APART or tag == "header" and not inside:
+        return True
+    if not attrs:
+        return False
+    if _HIDDEN.search(attrs):
+        return True
+    for value in _NAMED.finditer(attrs):
+        for name in _CAMEL.sub(r"\1-\2", value[1] or value[2] or value[3] or "").lower().split():
+            parts = set(_PARTS.findall(name))
+            told = parts & NAMES - ({"header", "banner"} if inside else set())
+            if told and parts <= NAMES | BESIDE and (tag not in MAIN or told & {"comment", "comments", "reply"}):
+                return True
+    return False
+
+
 def blocks(page: str) -> list[tuple[str, int, float, int]]:
     """(text, words, link density, place) of a page's text blocks, in page order."""
     out: list[tuple[str, int, float, int]] = []
     held: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, int]] = []  # open elements with the place they give
-    link, place, head = False, 0, False
+    stack: list[tuple[str, int, bool]] = []  # open elements with the place they give, and whether an article reaches through
+    opened: Counter[str] = Counter()
+    link, place, through, head = False, 0, True, False
 
     def close() -> None:
         if held:
@@ -114,16 +190,19 @@ def blocks(page: str) -> list[tuple[str, int, float, int]]:
             if link:
                 linked.append(text)
 
+    def pop() -> None:
+        opened[stack.pop()[0]] -= 1
+
     at = 0
-    for m in _TOKEN.finditer(page):
-        add(page[at : m.start()])
-        at = m.end()
-        tag = (m[3] or m[6] or "").lower()
+    for start, end, tag, ending, attrs in _tags(page):
+        add(page[at:start])
+        at = end
         if not tag:
-            if (m[1] or "").lower() in ("iframe", "object", "select", "textarea", "audio", "video", "title"):
+            continue
+        if attrs is None:
+            if tag in ("iframe", "object", "select", "textarea", "audio", "video", "title"):
                 close()
             continue
-        ending, attrs = bool(m[2] or m[5]), m[4] or m[7] or ""
         if tag == "head":
             head = not ending
             continue
@@ -142,61 +221,60 @@ def blocks(page: str) -> list[tuple[str, int, float, int]]:
         if tag in VOID or attrs.endswith("/"):
             continue
         if ending:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    if tag in INLINE and stack[-1][0] not in INLINE:
-                        break  # a stray end tag
-                    if stack[i][1] != (stack[i - 1][1] if i else 0):
-                        close()
-                    del stack[i:]
-                    break
-            place = stack[-1][1] if stack else 0
+            # a stray end tag closes nothing
+            if opened[tag] and not (tag in INLINE and stack[-1][0] not in INLINE):
+                i = len(stack) - 1
+                while stack[i][0] != tag:
+                    i -= 1
+                if stack[i][1] != (stack[i - 1][1] if i else 0):
+                    close()
+                while len(stack) > i:
+                    pop()
+            place, through = stack[-1][1:] if stack else (0, True)
             continue
         if tag == "p" or tag == "li":  # their end tags may be left out
             if stack and stack[-1][0] == tag:
-                stack.pop()
+                pop()
             elif tag == "p":
                 while stack and (stack[-1][0] in INLINE or stack[-1][0] == "p"):
-                    stack.pop()
-            place = stack[-1][1] if stack else 0
-        own = place
-        if place >= 0 and tag not in ("html", "body"):
-            inside = place == 1
-            if tag in APART or tag == "header" and not inside:
-                own = -1
-            elif attrs:
-                if _HIDDEN.search(attrs):
-                    own = -1
-                else:
-                    for value in _NAMED.finditer(attrs):
-                        names = set(_PARTS.findall(_CAMEL.sub(r"\1 \2", value[1] or value[2] or value[3] or "").lower()))
-                        if (names - {"header", "banner"} if inside else names) & NAMES and tag not in MAIN:
-                            own = -1
-                        elif names & {"comment", "comments", "reply"}:
-                            own = -1
-                        elif tag in ("div", "section") and "main" in names and "role" in attrs.lower():
-                            own = 1
-            if own == place and tag in MAIN:
+                    pop()
+            place, through = stack[-1][1:] if stack else (0, True)
+        own, reach = place, through
+        main = tag in MAIN or tag in ("div", "section") and bool(attrs) and re.search(r"\brole\s*=\s*[\"']?main\b", attrs, re.I)
+        if main and place < 0 and through and not _apart(tag, attrs, False):
+            own = 1
+        elif place >= 0 and tag not in ("html", "body"):
+            if _apart(tag, attrs, place == 1):
+                own, reach = -1, tag in PASSED
+            elif main:
                 own = 1
+        elif place < 0:
+            reach = through and not _apart(tag, attrs, False) or through and tag in PASSED
         if own != place:
             close()
-        stack.append((tag, own))
-        place = own
+        stack.append((tag, own, reach))
+        opened[tag] += 1
+        place, through = own, reach
     add(page[at:])
     close()
     return out
 
 
-def main_text(page: str | None) -> str:
-    """The page's main text: its blocks that the tree takes, joined by a line end."""
-    found, out, model = blocks(page or ""), [], tree()
-    none = ("", 0, 0.0, 0)
-    for i, (text, n, density, place) in enumerate(found):
+def taken(found: list[tuple[str, int, float, int]]) -> list[bool]:
+    """Which blocks the tree takes; of a page where it takes none, those that are neither apart nor links."""
+    model, none = tree(), ("", 0, 0.0, 0)
+    out = []
+    for i, (_, n, density, place) in enumerate(found):
         before = found[i - 1] if i else none
         after = found[i + 1] if i + 1 < len(found) else none
-        if decide(model, (n, density, before[1], before[2], after[1], after[2], place)):
-            out.append(text)
-    return "\n".join(out)
+        out.append(bool(decide(model, (n, density, before[1], before[2], after[1], after[2], place))))
+    return out if any(out) else [place >= 0 and density < 0.5 for _, _, density, place in found]
+
+
+def main_text(page: str | None) -> str:
+    """The page's main text: the blocks that are taken, joined by a line end."""
+    found = blocks(page or "")
+    return "\n".join(block[0] for block, take in zip(found, taken(found), strict=True) if take)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:
@@ -205,7 +283,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", k
     Blocks end at block-level tags; inside one, white space (line breaks too) becomes one space.
     Besides the word counts and link densities of a block and its neighbours, the tree sees whether the
     block is inside an article or inside an element that is apart from it (menu, header, footer,
-    sidebar, advert, form, notice, comments, hidden). Null, empty and text-less pages give an
+    sidebar, advert, form, notice, comments, hidden). An article's start inside a menu, header, footer or
+    form that is still open isn't apart. Of a page where the tree takes nothing, blocks that are neither
+    apart nor links are the text. Pages of any length are read in one pass. Null, empty and text-less pages give an
     empty text; repeated rows repeat; other columns are left out.
     """
 
