@@ -14,8 +14,8 @@ from pyspark.sql.functions import arrow_udf
 
 from graphloom.llm.shared import bound_batches, trim
 
-SHAPES, WORDS, EXTRA = 384, 128, 16
-TERMS = SHAPES + WORDS + EXTRA
+WORDS, SHAPES, LENGTHS, EXTRA = 1024, 384, 128, 16  # buckets of whole words, of their shapes, of short words and lengths, and counts
+TERMS = WORDS + SHAPES + LENGTHS + EXTRA
 SAMPLE = 6000  # labelled documents that are fitted and broadcast, at most
 LATENT = 64
 NEIGHBOURS = 31
@@ -32,24 +32,25 @@ def _shape(word: str) -> str:
         if times == 1 or not k.isalnum() and times <= 3:
             out.append(k)
         last = k
-    return "".join(out[:12])
+    return "".join(out)
 
 
 class _Terms(dict):
-    """Word to its two term numbers packed in one, remembered within bounds."""
+    """Word to its three term numbers packed in one, remembered within bounds."""
 
     def __missing__(self, word: str) -> int:
         if len(self) > 120_000:
             self.clear()
-        a = xxhash.xxh32_intdigest(_shape(word)) % SHAPES
         plain = word.strip(".,;:!?*#$%&|\"'()[]").lower()
-        b = SHAPES + xxhash.xxh32_intdigest(plain[:24]) % (WORDS // 2) if len(plain) <= 3 else SHAPES + WORDS // 2 + min(len(plain), WORDS // 2 - 1)
-        code = self[word] = a * 4096 + b
+        whole = xxhash.xxh32_intdigest(plain)
+        shape = xxhash.xxh32_intdigest(_shape(word)) % SHAPES
+        length = whole % (LENGTHS // 2) if len(plain) <= 3 else LENGTHS // 2 + min(len(plain), LENGTHS // 2 - 1)
+        code = self[word] = whole % WORDS << 24 | shape << 12 | length
         return code
 
 
 def term_shares(text: str | None, known: _Terms) -> np.ndarray:
-    """Square roots of each term's share of the text; terms are word shapes, short words, word lengths and repetition."""
+    """Square roots of each term's share of the text; terms are hashed words, word shapes, short words, word lengths and repetition."""
     words = (text or "").split()
     n = len(words)
     out = np.zeros(TERMS, np.float32)
@@ -57,9 +58,11 @@ def term_shares(text: str | None, known: _Terms) -> np.ndarray:
         out[TERMS - 1] = 1
         return out
     codes = np.fromiter(map(known.__getitem__, words), np.int64, n)
-    out[:SHAPES] = np.bincount(codes >> 12, minlength=SHAPES)
-    out[SHAPES : SHAPES + WORDS] = np.bincount((codes & 4095) - SHAPES, minlength=WORDS)
-    extra = out[SHAPES + WORDS :]
+    at = 0
+    for shift, size in ((24, WORDS), (12, SHAPES), (0, LENGTHS)):
+        out[at : at + size] = np.bincount(codes >> shift & 4095, minlength=size)
+        at += size
+    extra = out[at:]
     ids = np.fromiter(map(hash, words), np.int64, n)
     extra[0] = (ids[1:] == ids[:-1]).sum()
     extra[1] = n - len(np.unique(ids))
@@ -68,6 +71,20 @@ def term_shares(text: str | None, known: _Terms) -> np.ndarray:
     return np.sqrt(out / n)
 
 
+def _packed(shares: np.ndarray) -> bytes:
+    """The terms that a text has, and their shares."""
+    at = np.flatnonzero(shares).astype(np.uint16)
+    return at.tobytes() + shares[at].tobytes()
+
+
+def _unpacked(rows: list[bytes]) -> np.ndarray:
+    out = np.zeros((len(rows), TERMS), np.float32)
+    for i, x in enumerate(rows):
+        n = len(x) // 6
+        out[i, np.frombuffer(x, np.uint16, n)] = np.frombuffer(x[2 * n :], np.float32)
+    return out
+
+
 @dataclass
 class Model:
     mean: np.ndarray
@@ -84,8 +101,11 @@ def fit(shares: np.ndarray, labels: np.ndarray) -> Model:
     seen = (shares > 0).sum(0)
     weight = (np.log((1 + len(labels)) / (1 + seen)) + 1).astype(np.float32)
     weight /= weight.mean()
-    _, _, axes = np.linalg.svd(shares * weight, full_matrices=False)
-    model = Model(weight, np.ascontiguousarray(axes[:LATENT].T), np.zeros((0, 1)), labels.astype(np.float32), float(labels.mean()))
+    scaled = shares * weight
+    # right singular vectors by way of the terms' products: there are fewer terms than labelled texts
+    _, axes = np.linalg.eigh((scaled.T @ scaled).astype(np.float64))
+    basis = np.ascontiguousarray(axes[:, ::-1][:, :LATENT], np.float32)
+    model = Model(weight, basis, np.zeros((0, 1)), labels.astype(np.float32), float(labels.mean()))
     model.vectors = latent(shares, model)
     return model
 
@@ -114,7 +134,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     Rows whose crc32(id as text) mod 5 is 0 are held out and never read as labels. The bound
     holds whatever the number of labels; ids without a text, and null labels or ids, aren't used. The
-    labelled vectors (sample x LATENT floats) are what is broadcast.
+    labelled vectors (sample x LATENT floats) and the basis (TERMS x LATENT) are what is broadcast.
     """
     bound_batches(docs.sparkSession)
     usable = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 != 0))
@@ -124,15 +144,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Terms()
         for batch in batches:
-            found = [term_shares(x.as_py(), known).tobytes() for x in batch.column(1)]
+            found = [_packed(term_shares(x.as_py(), known)) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), batch.column(2)], ["_id", "shares", "label"])
         known.clear()
         trim()
 
     kept = held.select(F.col("_id").cast("long"), "_text", F.col("_label").cast("int")).mapInArrow(shares, "_id long, shares binary, label int")
     rows = sorted({(r["_id"], bytes(r["shares"]), r["label"]) for r in kept.collect()})
-    data = np.array([np.frombuffer(r[1], np.float32) for r in rows]).reshape(len(rows), TERMS)
-    return fit(data, np.array([r[2] for r in rows], np.float32))
+    return fit(_unpacked([r[1] for r in rows]), np.array([r[2] for r in rows], np.float32))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
