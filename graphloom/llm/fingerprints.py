@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from graphloom.llm.shared import bound_batches, mix, trim, width
 
 CHAIN = 3
+RUN = 8  # characters of a signature where there are no words to chain
 # Common words of English, German, French and Spanish, the anchors.
 ANCHORS = frozenset(
     "a an and are as at be by for from has have he in is it not of on or that the they this to was were when which will with "
@@ -40,8 +41,9 @@ class _Codes(dict):
 def signatures(text: str, known: _Codes | None = None) -> np.ndarray:
     """The text's distinct spot signatures, sorted, 32 bits each.
 
-    A signature is an anchor with the next ``CHAIN`` content words after it. A text that has none is its own signature,
-    so that other texts aren't taken for it; an empty text has no signature.
+    A signature is an anchor with the next ``CHAIN`` content words after it. In a text that has none (code, other languages)
+    every word is an anchor for the ``CHAIN`` next ones; in one of too few words for that, every run of ``RUN`` characters is a
+    signature; a shorter text is its own, so that other texts aren't taken for it, and an empty text has none.
     """
     if not text:
         return np.empty(0, np.uint32)
@@ -55,11 +57,16 @@ def signatures(text: str, known: _Codes | None = None) -> np.ndarray:
     after = np.searchsorted(content, spot)
     ok = after + CHAIN <= len(content)
     spot, after = spot[ok], after[ok]
-    if not len(spot):
-        return np.array([xxhash.xxh32_intdigest(text.encode("utf-8", "surrogatepass"))], np.uint32)
-    out = mix(code[spot])
-    for i in range(CHAIN):
-        out = mix(out + code[content[after + i]] + np.uint64(i + 1))
+    if len(spot):
+        out, rest = mix(code[spot]), [code[content[after + i]] for i in range(CHAIN)]
+    elif len(code) > CHAIN:
+        out, rest = mix(code[:-CHAIN]), [code[i : len(code) - CHAIN + i] for i in range(1, CHAIN + 1)]
+    else:
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        run = min(RUN, len(points))
+        out, rest = mix(points[: len(points) - run + 1]), [points[i : len(points) - run + 1 + i] for i in range(1, run)]
+    for i, x in enumerate(rest):
+        out = mix(out + x + np.uint64(i + 1))
     return np.unique((out >> np.uint64(32)).astype(np.uint32))
 
 

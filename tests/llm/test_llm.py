@@ -398,3 +398,25 @@ def test_extract_edge_cases(spark):
     out = H.extract(pages).collect()
     assert sorted(((r["page_id"], r["url"], r["n_chars"]) for r in out), key=str) == sorted([(1, "u", 0), (1, "u", 0), (2, None, 0), (None, "u", 0), (3, "u", 319_999), (4, "u", 0), (5, "u", 19)], key=str)
     assert all(r["text"] is not None and len(r["text"]) == r["n_chars"] for r in out) and H.extract(pages.limit(0)).count() == 0
+
+
+def test_quality_learns_words_themselves(spark):
+    """Texts that differ by their words only, not by shapes, lengths or repetition."""
+    rng = random.Random(8)
+    bank = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(120)]
+    rows = [(i, " ".join(rng.choices(bank[:60] if i % 2 else bank[60:], k=80))) for i in range(300)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int")
+    out = Q.classify(docs, labels).filter("held_out").collect()
+    assert len(out) > 30 and all((r["score"] > 0.5) == bool(r["doc_id"] % 2) for r in out)
+    shapes = ["".join(x) for x in ("a-" * 7, "a-" * 9)]
+    assert Q._shape(shapes[0]) != Q._shape(shapes[1])  # shapes of any length
+
+
+def test_fingerprints_of_texts_without_anchors():
+    code = "\n".join(f"x{i} <- f{i % 7}({i}); call{i}!" for i in range(200))
+    other = code.replace("x50 ", "y50 ")
+    assert 0.9 < FP.likeness(FP.signatures(code), FP.signatures(other)) < 1
+    assert FP.likeness(FP.signatures(code), FP.signatures("\n".join(f"z{i} -> g{i}" for i in range(200)))) == 0
+    chinese = "".join(chr(0x4E00 + i * 37 % 900) for i in range(400))
+    assert FP.likeness(FP.signatures(chinese), FP.signatures(chinese[:200] + "中" + chinese[200:])) > 0.9
+    assert len(FP.signatures("x")) == len(FP.signatures("a")) == len(FP.signatures("...")) == 1 and FP.likeness(FP.signatures("x"), FP.signatures("y")) == 0
