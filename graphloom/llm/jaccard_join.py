@@ -17,6 +17,7 @@ from graphloom.llm.shared import WordCodes, bound_batches, discard, materialise,
 INNER, KEPT = 3, 2  # second-level parts of a first-level part, and how many of them make a subset
 KINDS = 4  # partitions tried, with other hashes, until a set has few empty subsets
 BLOCK = 256  # sets in a block; texts that go to one centre at a time
+WORK = 4  # times its signatures' squares up to which a group's square is compared as one
 CROSS = 4  # open pairs for each member up to which a group's pairs are listed; beyond, it is compared by blocks
 PART_BYTES = 16_000_000  # bytes of text whose signatures make one part of the hash range
 BUFFER = 300_000  # signatures that a task holds and groups before they move
@@ -170,7 +171,8 @@ def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         node = np.concatenate([np.frombuffer(x, np.int64, m) for x, m in zip(held, sizes, strict=True)])
         low = np.concatenate([np.frombuffer(x, np.uint32, m, 8 * m) for x, m in zip(held, sizes, strict=True)])
         sig, node, hub, first = _grouped(low, node)
-        more = ~first & (node != hub)
+        again = np.r_[False, (sig[1:] == sig[:-1]) & (node[1:] == node[:-1])][: len(sig)]
+        more = ~first & (node != hub) & ~again
         sig, node, hub = (part << 32 | sig[more].astype(np.int64)), node[more], hub[more]
         for at in range(0, len(sig), 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 50_000]) for x in (sig, hub, node)], ["sig", "hub", "fp"])
@@ -318,36 +320,60 @@ def _linked_blocks(members: DataFrame, texts: DataFrame, words: int, num: int, d
 
 
 def _units(members: DataFrame) -> DataFrame:
-    """Groups (sig, fp, root, m) as what is compared whole: (unit, fp, root, m).
+    """Groups (grp, fp, root, m) as what is compared whole: (unit, fp, root, m).
 
     Groups connected by common members become one unit where that is less work, that is, where the square of its size is no
-    more than its groups' together: pairs that meet under many signatures are then compared once.
+    more than its groups' together: pairs that meet in many groups are then compared once.
     """
-    hubs = members.groupBy("sig").agg(F.min("fp").alias("a"))
-    whole = components(members.join(hubs, "sig").select("a", F.col("fp").alias("b")).distinct(), "units")
+    hubs = members.groupBy("grp").agg(F.min("fp").alias("a"))
+    whole = components(members.join(_sent(hubs), "grp").select("a", F.col("fp").alias("b")).distinct(), "units")
     held = members.join(whole.select(F.col("node").alias("fp"), F.col("root").alias("unit")), "fp")
     size = held.groupBy("unit", "fp").agg(F.sum("m").alias("work")).groupBy("unit").agg(F.sum("work").alias("work"), F.count("*").alias("size"))
-    held = held.join(size, "unit").withColumn("joint", F.col("size") * F.col("size") <= F.col("work"))
+    held = held.join(_sent(size), "unit").withColumn("joint", F.col("size") * F.col("size") <= F.col("work"))
     pick = lambda yes, no: F.when(F.col("joint"), F.col(yes)).otherwise(F.col(no))
-    # a signature and a class may have one number
-    held = held.select("joint", pick("unit", "sig").alias("unit"), "fp", "root", pick("size", "m").alias("m")).distinct()
+    # a group and a class may have one number
+    held = held.select("joint", pick("unit", "grp").alias("unit"), "fp", "root", pick("size", "m").alias("m")).distinct()
     out = materialise(held.select(F.xxhash64("joint", "unit").alias("unit"), "fp", "root", "m"), "members")
     discard(whole)
     return out
 
 
-def _open(stars: DataFrame, roots: DataFrame) -> DataFrame:
-    """Rows (sig, fp, root, m, main, cross) of the signatures whose members have several roots and more pairs than the stars; of equal groups one stays.
+def _members(signed: DataFrame, matched: DataFrame) -> DataFrame:
+    """(sig, grp, fp): each signature's members but its hub, and that hub of all tasks, which names the group."""
+    local = signed.filter("hub is not null").select("sig", "hub", "fp")
+    top = materialise(matched, "matched")
+    up = top.select("sig", F.col("fp").alias("hub"), F.col("hub").alias("up"))
+    own = top.select("sig", F.col("hub").alias("grp"), "fp").unionByName(local.join(up, ["sig", "hub"], "left").select("sig", F.coalesce("up", "hub").alias("grp"), "fp"))
+    own = materialise(own.filter("grp <> fp").distinct(), "member")  # copies of a text are signed by every task that has one
+    discard(top)
+    return own
 
-    ``main`` is the root of most members, ``cross`` the number of pairs with different roots.
+
+def _open(member: DataFrame, pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows (grp, fp, root, m, main, cross) of the groups whose members have several roots and more pairs than those with their hub.
+
+    A group holds the members of all signatures that have one hub, unless its square is far more than theirs; then each
+    signature is a group. ``main`` is the root of most members, ``cross`` the number of pairs with different roots.
     """
-    member = stars.select("sig", "fp").unionByName(stars.select("sig", F.col("hub").alias("fp"))).distinct()
-    member = member.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("sig", "fp", F.coalesce("root", "fp").alias("root"))
-    held = member.groupBy("sig", "root").agg(F.count("*").alias("c"), F.sum(F.xxhash64("fp").cast("decimal(20,0)")).alias("h"))
-    held = held.groupBy("sig").agg(F.sum("c").alias("m"), F.max(F.struct("c", "root")).alias("top"), F.sum(F.col("c") * F.col("c")).alias("squares"), F.count("*").alias("roots"), F.sum("h").alias("h"))
-    held = held.filter("roots > 1 and m > 2").groupBy("m", "h").agg(F.min(F.struct("sig", "top", "squares")).alias("x"))
-    held = held.select("x.sig", "m", F.col("x.top.root").alias("main"), ((F.col("m") * F.col("m") - F.col("x.squares")) / 2).alias("cross"))
-    return member.join(held, "sig")
+    of = roots.select(F.col("node").alias("fp"), "root")
+
+    def several(groups: DataFrame) -> DataFrame:
+        held = groups.join(of, "fp", "left").select("grp", "fp", F.coalesce("root", "fp").alias("root"))
+        size = held.groupBy("grp", "root").agg(F.count("*").alias("c"))
+        size = size.groupBy("grp").agg(F.sum("c").alias("m"), F.max(F.struct("c", "root")).alias("top"), F.sum(F.col("c") * F.col("c")).alias("squares"), F.count("*").alias("roots"))
+        size = size.filter("roots > 1 and m > 2").select("grp", "m", F.col("top.root").alias("main"), ((F.col("m") * F.col("m") - F.col("squares")) / 2).alias("cross"))
+        return held.join(_sent(size), "grp")
+
+    work = member.groupBy("grp", "sig").agg((F.count("*") + 1).alias("c")).groupBy("grp").agg(F.sum(F.col("c") * F.col("c")).alias("work"))
+    hubs = pairs.select(F.col("a").alias("grp"), F.col("a").alias("fp")).distinct()
+    whole = materialise(several(pairs.select(F.col("a").alias("grp"), F.col("b").alias("fp")).unionByName(hubs)), "whole")
+    loose = materialise(whole.select("grp", "m").distinct().join(work, "grp").filter(F.col("m") * F.col("m") > WORK * F.col("work")).select("grp"), "loose")
+    apart = member.join(_sent(loose), "grp", "left_semi").select("sig", "grp", "fp")
+    apart = apart.select("sig", "fp").unionByName(apart.select("sig", F.col("grp").alias("fp")).distinct())
+    out = materialise(whole.join(_sent(loose), "grp", "left_anti").unionByName(several(apart.select(F.xxhash64("sig").alias("grp"), "fp"))), "open")
+    discard(whole)
+    discard(loose)
+    return out
 
 
 def _common(source: DataFrame, rows: int, words: int) -> np.ndarray:
@@ -390,11 +416,12 @@ def row_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     meta = materialise(signed.filter("n is not null").select("id", "tk", "fp", "n"), "meta")
     packed = signed.filter("part is not null").select("part", "packed").repartition(4 * width(spark), "part").sortWithinPartitions("part")
     matched = packed.mapInArrow(_matched, "sig long, hub long, fp long")
-    stars = materialise(matched.unionByName(signed.filter("hub is not null").select("sig", "hub", "fp")), "stars")
+    member = _members(signed, matched)
     discard(signed)
+    pairs = materialise(member.select(F.col("grp").alias("a"), F.col("fp").alias("b")).distinct(), "pairs")
 
     nodes = meta.filter("n > 0").groupBy("fp").agg(F.min("id").alias("rep"), F.min("tk").alias("tk"))
-    wanted = stars.select(F.explode(F.array("hub", "fp")).alias("fp")).distinct().join(nodes, "fp").select("fp", F.col("tk").alias("key"))
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(nodes, "fp").select("fp", F.col("tk").alias("key"))
     wanted = materialise(wanted, "wanted")
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -411,19 +438,18 @@ def row_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     chosen = source.join(_sent(wanted), source.tk == wanted.key).select("fp", "text").dropDuplicates(["fp", "text"])
     texts = materialise(chosen.mapInArrow(checked, "fp long, n int, text binary"), "texts")
 
-    pairs = materialise(stars.select(F.col("hub").alias("a"), F.col("fp").alias("b")).distinct(), "pairs")
     links = _linked_pairs(pairs, texts, words, num, den, "links")
     roots = components(links, "classes")
-    # what the stars didn't compare: members of one signature that the links so far leave in different classes
-    open_ = materialise(_open(stars, roots), "open")
+    # what is left: members of one signature that the links with their hub leave in different classes
+    open_ = _open(member, pairs, roots)
     if not open_.isEmpty():
         few, many = open_.filter(F.col("cross") <= CROSS * F.col("m")), open_.filter(F.col("cross") > CROSS * F.col("m"))
-        aside = few.filter("root <> main").select("sig", F.col("fp").alias("a"), F.col("root").alias("ra"))
-        listed = aside.join(few.select("sig", F.col("fp").alias("b"), F.col("root").alias("rb"), "main"), "sig").filter("ra <> rb and (rb = main or a < b)").select("a", "b").distinct()
+        aside = few.filter("root <> main").select("grp", F.col("fp").alias("a"), F.col("root").alias("ra"))
+        listed = aside.join(few.select("grp", F.col("fp").alias("b"), F.col("root").alias("rb"), "main"), "grp").filter("ra <> rb and (rb = main or a < b)").select("a", "b").distinct()
         for known in (pairs, pairs.select(F.col("a").alias("b"), F.col("b").alias("a"))):
             listed = listed.join(known, ["a", "b"], "left_anti")
         listed = materialise(listed, "listed")
-        units = _units(many.select("sig", "fp", "root", "m"))
+        units = _units(many.select("grp", "fp", "root", "m"))
         more = [_linked_pairs(listed, texts, words, num, den, "more"), _linked_blocks(units, texts, words, num, den)]
         whole = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more[0]).unionByName(more[1]), "whole")
         for x in (roots, listed, units, *more):
@@ -432,7 +458,7 @@ def row_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     named = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("rep").alias("least"))
     found = materialise(named.join(least, "root").select("fp", "root", "least"), "found")
-    for x in (stars, wanted, texts, pairs, links, open_, roots):
+    for x in (member, wanted, texts, pairs, links, open_, roots):
         discard(x)
     # a hot class is one row here and many in meta: AQE splits the skewed side of the join
     return meta.join(found, "fp", "left").select("id", "tk", "n", "root", "least")
@@ -451,7 +477,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     PartEnum: every node signs subsets of second-level parts within first-level parts of its size band's feature
     domain; nodes that share a signature are candidates, and no link is lost (codes are 64 bits). Signatures are
     grouped in their own task first, so that of a group of near copies only a hub for each buffer moves. Members are compared with
-    hubs; then only members of one signature that these links leave in different classes are compared with each
+    their hub; then only members of one group that these links leave in different classes are compared with each
     other, as listed pairs where these are few for the group's size and by pairs of
     blocks of about BLOCK sets where they are many.
     """

@@ -102,6 +102,7 @@ def test_part_enum_signs_subsets_of_second_level_parts():
 def test_near_copies_of_one_base_are_found(spark, monkeypatch, cross, block):
     monkeypatch.setattr(J, "BLOCK", block)
     monkeypatch.setattr(J, "CROSS", cross)
+    monkeypatch.setattr(J, "WORK", 0 if cross == 0 else 4)
     monkeypatch.setattr(J, "BUFFER", 3000)
     random.seed(5)
     base = [f"w{i}" for i in range(90)]
