@@ -115,13 +115,15 @@ def shortest_paths(edges: DataFrame, starts: DataFrame, ends: DataFrame, cutoff:
     return seen.join(goal, "node", "left_semi").filter("seed <> node").select("seed", "node", (F.size("path") - 1).cast("long").alias("hops"), "path")
 
 
-def chain_seeds(edges: DataFrame, seeds: DataFrame, cutoff: int = 5) -> DataFrame:
+def chain_seeds(edges: DataFrame, seeds: DataFrame, cutoff: int = 5, most: int = 500) -> DataFrame:
     """Greedy chain over a bounded seed set: from each seed to the nearest one left. step, seed, node, path.
 
-    The seeds of a question are few; their pairwise paths, not the graph, come to the driver.
+    The seeds of a question are few (more than ``most`` are an error); their pairwise paths, not the graph, come to the driver.
     """
+    left = sorted(r["node"] for r in seeds.select("node").distinct().limit(most + 1).collect())
+    if len(left) > most:
+        raise ValueError(f"over {most} seeds: raise ``most`` if their pairs of paths may come to the driver")
     rows = shortest_paths(edges, seeds, seeds, cutoff).collect()
-    left = sorted({r["node"] for r in seeds.select("node").distinct().collect()})
     out, here = [], left.pop(0) if left else None
     while left:
         ways = sorted((r["hops"], r["node"], r["path"]) for r in rows if r["seed"] == here and r["node"] in left)
@@ -384,13 +386,15 @@ def eigenvector(edges: DataFrame, iterations: int = 20) -> DataFrame:
     return x.select("node", F.round("v", 6).alias("eigenvector"))
 
 
-def steiner_tree(edges: DataFrame, terminals: DataFrame, cutoff: int = 8, most: int = 20) -> DataFrame:
-    """src, tgt of a 2-approximate Steiner tree of at most ``most`` terminals in the first one's component.
+def steiner_tree(edges: DataFrame, terminals: DataFrame, cutoff: int = 8, most: int = 500) -> DataFrame:
+    """src, tgt of a 2-approximate Steiner tree of the terminals, which are a question's and so few; more than ``most`` are an error.
 
     Shortest paths between terminals are found on the cluster; Kruskal's choice among these few paths is
     made on the driver.
     """
-    few = [r["node"] for r in terminals.select("node").distinct().orderBy("node").limit(most).collect()]
+    few = sorted(r["node"] for r in terminals.select("node").distinct().limit(most + 1).collect())
+    if len(few) > most:
+        raise ValueError(f"over {most} terminals: raise ``most`` if their pairs of paths may come to the driver")
     spark = edges.sparkSession
     at = spark.createDataFrame([(x,) for x in few], "node string")
     root = {x: x for x in few}

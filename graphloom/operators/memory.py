@@ -38,13 +38,15 @@ def decay(memories: DataFrame, now, factor: float = 0.95) -> DataFrame:
 
 
 def relevance(query: str, memories: DataFrame, now, keys: list[str] | None = None) -> DataFrame:
-    """0.2 word overlap + 0.3 importance + 0.2 / (1 + age in days) + 0.1 min(1, accesses / 10) + 0.2 share of keys, at most 1."""
-    q = F.array(*[F.lit(w) for w in sorted(set(query.lower().split()))])
-    own = F.array_distinct(T.words(F.lower("content")))
-    shared = F.size(F.array_intersect(q, own)) / F.greatest(F.size(q), F.lit(1))
-    days = F.greatest(F.lit(0.0), (F.unix_seconds(F.lit(now).cast("timestamp")) - F.unix_seconds(F.col("ts").cast("timestamp"))) / 86400.0)
-    k = F.lit(0.0) if not keys else F.size(F.array_intersect(F.map_keys("metadata"), F.array(*[F.lit(x) for x in keys]))) / len(keys)
-    score = 0.2 * shared + 0.3 * F.col("importance") + 0.2 / (1 + F.floor(days)) + 0.1 * F.least(F.lit(1.0), F.col("access_count") / 10) + 0.2 * k
+    """0.2 for each shared word + 0.3 importance + 0.2 / (1 + age in days) + 0.1 min(1, accesses / 10) + 0.2 for each shared key, at most 1.
+
+    Ages count fractions of days; a time to come counts as now.
+    """
+    q = F.array(*[F.lit(w) for w in sorted(set(query.lower().split()))]) if query.split() else F.array().cast("array<string>")
+    shared = F.size(F.array_intersect(q, T.words(F.lower("content"))))
+    days = F.greatest(F.lit(0.0), (F.unix_micros(F.lit(now).cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))) / 86_400e6)
+    k = F.size(F.array_intersect(F.map_keys("metadata"), F.array(*[F.lit(x) for x in keys]))) if keys else F.lit(0)
+    score = 0.2 * shared + 0.3 * F.col("importance") + 0.2 / (1 + days) + 0.1 * F.least(F.lit(1.0), F.col("access_count") / 10) + 0.2 * F.coalesce(k, F.lit(0))
     return memories.select("id", F.round(F.least(F.lit(1.0), score), 6).alias("relevance"))
 
 
@@ -66,10 +68,23 @@ def ema(rows: DataFrame, key: str, order: list[str], value: str, alpha: float =
     return r.groupBy(key).agg(F.round(F.sum(weight * F.col("v")), 6).alias("ema"), F.max("n").alias("n"))
 
 
+# Kinds of questions by what they contain, the first that fits; hints of relationships, attributes and actions.
+QUERY_TYPES = {"entity_discovery": "who|person|people|entity", "relationship_analysis": "relationship|connection|between", "summarization": "summarize|overview|explain", "comparison": "compare|difference|similar"}
+ENTITY_KEYWORDS = ("what", "who", "which", "where", "about", "regarding")
+RELATION_HINTS = {
+    "caused": ("caused", "led to", "resulted in", "influence"), "related": ("related to", "connected to", "associated with"), "part_of": ("part of", "belongs to", "member of"),
+    "temporal": ("before", "after", "during", "while"), "comparison": ("compare", "versus", "vs", "different from"), "influence": ("influence", "affect", "impact", "shape")}
+ATTRIBUTE_HINTS = ("main", "primary", "important", "significant", "key", "major", "causes", "effects", "characteristics")
+TIME_HINTS = ("recent", "latest", "historical", "past", "current", "future")
+ACTIONS = {"what": "retrieve_information", "how": "explain_process", "why": "find_causation", "when": "temporal_search", "where": "location_search"}
+
+
 def query_type(c: Column) -> Column:
-    low = F.lower(c)
-    return (F.when(low.rlike(r"\b(compare|difference|versus|vs)\b"), "comparison").when(low.rlike(r"\b(why|cause|because|reason)\b"), "causal").when(low.rlike(r"\b(how many|count|number of)\b"), "counting")
-            .when(low.rlike(r"\b(who|what|where|when|which)\b"), "factual").when(low.rlike(r"\b(how)\b"), "procedural").otherwise("general"))
+    """A question's kind by the words it contains, parts of words too; general without any."""
+    low, out = F.lower(c), None
+    for kind, hints in QUERY_TYPES.items():
+        out = F.when(low.rlike(hints), kind) if out is None else out.when(low.rlike(hints), kind)
+    return out.otherwise("general")
 
 
 def last_turns(turns: DataFrame, n: int) -> DataFrame:
@@ -122,10 +137,12 @@ def sequence_similarity(pairs: DataFrame) -> DataFrame:
     return pairs.withColumns({"jaccard": F.round(j, 6), "similarity": F.round(0.4 * j + 0.6 * lcs("a", "b"), 6)})
 
 
-def structural_similarity(relation_a: Column, relation_b: Column, keys_a: Column, keys_b: Column) -> Column:
-    """Mean of 0.8 for equal relations and the Jaccard similarity of property keys."""
-    union = F.size(F.array_union(keys_a, keys_b))
-    return F.round((F.when(relation_a == relation_b, 0.8).otherwise(0.0) + F.when(union == 0, 0.0).otherwise(F.size(F.array_intersect(keys_a, keys_b)) / union)) / 2, 6)
+def structural_similarity(kind_a: Column, kind_b: Column, relation_a: Column, relation_b: Column, keys_a: Column, keys_b: Column) -> Column:
+    """Of two structures of one kind: relations 0.8 if equal, properties the Jaccard similarity of their keys; else 0."""
+    both = F.size(F.array_intersect(keys_a, keys_b))
+    shared = F.when(both > 0, both / F.size(F.array_union(keys_a, keys_b)))
+    same = F.when(kind_a == "relation", F.when(relation_a == relation_b, 0.8)).when(kind_a == "properties", shared)
+    return F.round(F.coalesce(F.when(kind_a == kind_b, same), F.lit(0.0)), 6)
 
 
 def structure_counts(rows: DataFrame, relation: str, properties: str) -> DataFrame:
@@ -209,19 +226,44 @@ def award(bids: DataFrame, load: Column | None = None) -> DataFrame:
 
 
 def atoms(questions: DataFrame) -> DataFrame:
-    """Typed atoms of each question: id, place, atom (entity or operation), text."""
-    ent = T.mentions(F.col("question"), 1000)
-    ops = F.regexp_extract_all(F.lower("question"), F.lit(r"\b(find|compare|count|list|explain|summarize|who|what|where|when|which|why|how)\b"), F.lit(0))
-    typed = F.concat(F.transform(ops, lambda x: F.struct(F.lit("operation").alias("atom"), x.alias("text"))), F.transform(ent, lambda x: F.struct(F.lit("entity").alias("atom"), x.alias("text"))))
-    return questions.select("id", F.posexplode(typed).alias("place", "t")).select("id", "place", "t.atom", "t.text")
+    """Typed atoms of each question: id, place, atom (entity, relationship, attribute, action), text, depends (places of the atoms it needs).
+
+    Entities are capitalised words, pairs of them and quoted phrases, in order of appearance; a relationship is hinted at by
+    a phrase and needs two entities, the first two; an action needs all entities and relationships.
+    """
+    q, low = F.col("question"), F.lower("question")
+    w = T.words(q)
+    upper = lambda x: x.rlike(r"^\p{Lu}")
+    at = F.transform(w, lambda x, i: F.when(upper(x), F.array_compact(F.array(F.when(~F.lower(x).isin(*ENTITY_KEYWORDS), x), F.when(upper(F.get(w, i + 1)), F.concat(x, F.lit(" "), F.get(w, i + 1)))))).otherwise(F.array().cast("array<string>")))
+    ents = F.array_distinct(F.concat(F.flatten(at), F.regexp_extract_all(q, F.lit('"([^"]*)"'), F.lit(1))))
+    has = lambda hints: F.greatest(*[F.contains(low, F.lit(h)) for h in hints]) if len(hints) > 1 else F.contains(low, F.lit(hints[0]))
+    rels = F.array_compact(F.array(*[F.when(has(hints), F.lit(kind)) for kind, hints in RELATION_HINTS.items()]))
+    attrs = F.array_compact(F.array(*[F.when(has((h,)), F.lit(h)) for h in ATTRIBUTE_HINTS], *[F.when(has((h,)), F.lit(f"temporal:{h}")) for h in TIME_HINTS]))
+    action = None
+    for word, name in ACTIONS.items():
+        action = F.when(F.startswith(low, F.lit(word)), name) if action is None else action.when(F.startswith(low, F.lit(word)), name)
+    action = action.when(F.contains(low, F.lit("compare")), "comparison").when(low.rlike("list|enumerate"), "enumeration").otherwise("general_search")
+    none = F.array().cast("array<int>")
+    kind = lambda atom, texts, needs: F.transform(texts, lambda x: F.struct(F.lit(atom).alias("atom"), x.alias("text"), needs.alias("depends")))
+    found = questions.select("id", ents.alias("e"), rels.alias("r"), attrs.alias("a"), action.alias("act"))
+    found = found.withColumn("r", F.when(F.size("e") >= 2, F.col("r")).otherwise(F.array().cast("array<string>")))
+    before = F.size("e") + F.size("r")
+    needs = F.when(before > 0, F.sequence(F.lit(0), before - 1)).otherwise(none)
+    states = F.concat(kind("entity", F.col("e"), none), kind("relationship", F.col("r"), F.array(F.lit(0), F.lit(1))), kind("attribute", F.col("a"), none), kind("action", F.array("act"), needs))
+    return found.select("id", F.posexplode(states).alias("place", "t")).select("id", "place", "t.atom", "t.text", "t.depends")
 
 
 def transitions(found: DataFrame) -> DataFrame:
-    """Transition weights between consecutive atoms: operation to entity 0.9, to operation 0.3, entity to entity 0.7, to operation 0.8."""
-    w = W.partitionBy("id").orderBy("place")
-    nxt = found.select("id", "place", "atom", F.lead("atom").over(w).alias("next")).filter("next is not null")
-    op = F.col("atom") == "operation"
-    return nxt.withColumn("p", F.when(op & (F.col("next") == "entity"), 0.9).when(op, 0.3).when(F.col("next") == "entity", 0.7).otherwise(0.8))
+    """Ordered pairs of a question's atoms with the weight of going from one to the other: id, place, next, p; pairs without weight go.
+
+    0.9 to an atom that depends on the first, 0.3 within a kind, 0.7 from an entity to a relationship, 0.8 from an entity or
+    relationship to an action. A question's atoms are few, so its pairs are.
+    """
+    a = found.select("id", "place", F.col("atom").alias("x"))
+    b = found.select("id", F.col("place").alias("next"), F.col("atom").alias("y"), "depends")
+    p = (F.when(F.array_contains("depends", F.col("place")), 0.9).when(F.col("x") == F.col("y"), 0.3).when((F.col("x") == "entity") & (F.col("y") == "relationship"), 0.7)
+         .when((F.col("y") == "action") & F.col("x").isin("entity", "relationship"), 0.8))
+    return a.join(b, "id").filter("place <> next").select("id", "place", "next", p.alias("p")).filter("p is not null")
 
 
 def value_shares(rows: DataFrame, col: str) -> DataFrame:

@@ -81,16 +81,16 @@ def summarise_long(nodes: DataFrame, limit: int, summary) -> DataFrame:
     return nodes.withColumn("description", F.when(F.size(T.words(F.col("description"))) >= limit, summary(F.col("description"))).otherwise(F.col("description")))
 
 
-def passage_links(mentions: DataFrame, least: int = 2, most: int = 5) -> DataFrame:
-    """Edges of chunks that share a term found in ``least`` to ``most`` chunks: src, tgt, relation (the least such term).
+def passage_links(mentions: DataFrame, least: float = 0.0) -> DataFrame:
+    """Edges of chunks that mention a common title: src, tgt, relation (the least such title), source_id (both chunks).
 
-    The bound on a term's chunks is the operator's rarity filter and keeps its pairs few.
+    ``mentions`` has chunk_id, term and prior, the probability that the term's title is meant; mentions of no more than ``least``, and
+    empty terms, don't count. Every pair of a title's chunks is an edge, so a title in a share of all chunks has as
+    many edges as that share's square: choose ``least`` so that only telling titles are left.
     """
-    m = mentions.select("chunk_id", "term").distinct()
-    rare = m.groupBy("term").agg(F.count("*").alias("df")).filter(F.col("df").between(least, most)).select("term")
-    m = m.join(rare, "term", "left_semi")
+    m = mentions.filter((F.col("term") != "") & (F.col("prior") > least)).select("chunk_id", "term").distinct()
     pair = m.alias("a").join(m.alias("b"), "term").filter("a.chunk_id < b.chunk_id").select(F.col("a.chunk_id").alias("src"), F.col("b.chunk_id").alias("tgt"), "term")
-    return pair.groupBy("src", "tgt").agg(F.min("term").alias("relation"))
+    return pair.groupBy("src", "tgt").agg(F.min("term").alias("relation")).withColumn("source_id", F.concat_ws(T.SEP, F.col("src").cast("string"), F.col("tgt").cast("string")))
 
 
 def extract_graph(chunks: DataFrame, keywords: bool = False, done: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

@@ -68,10 +68,6 @@ def select_candidate(pool: DataFrame, name: str | None, expected: list[str], thr
     return top.withColumn("needs_revision", ~F.first("type_match").over(W.orderBy(F.desc("type_match"), F.desc("score"), "entity_name")))
 
 
-def signal_tokens(c: Column) -> Column:
-    return F.array_distinct(F.filter(T.tokens(c), lambda t: (F.length(t) >= 2) & ~t.isin(*T.STOPWORDS)))
-
-
 def score_candidates(chunks: DataFrame, mentions: DataFrame, nodes: DataFrame, degree: DataFrame, query: str, per_chunk: int = 4, total: int = 40) -> DataFrame:
     """Entities of ranked chunks (chunk_id, rank, score): chunk_id, entity_name, candidate_score; four a chunk, forty in all.
 
@@ -80,9 +76,9 @@ def score_candidates(chunks: DataFrame, mentions: DataFrame, nodes: DataFrame, d
     """
     best = F.broadcast(chunks.agg(F.greatest(F.max("score"), F.lit(1e-6)).alias("_best"), F.greatest(F.max("rank") - 1, F.lit(1)).alias("_last")))
     own = mentions.join(F.broadcast(chunks), "chunk_id").crossJoin(best).join(nodes.select("entity_name", "entity_type", "description"), "entity_name").join(degree.select(F.col("node").alias("entity_name"), "degree"), "entity_name", "left")
-    q = nodes.sparkSession.createDataFrame([(query,)], "q string").select(signal_tokens(F.col("q")).alias("_q"), T.expected_types(F.col("q")).alias("_e"))
+    q = nodes.sparkSession.createDataFrame([(query,)], "q string").select(T.signal_tokens(F.col("q")).alias("_q"), T.expected_types(F.col("q")).alias("_e"))
     own = own.crossJoin(F.broadcast(q))
-    name = signal_tokens(F.col("description"))
+    name = T.signal_tokens(F.col("description"))
     overlap = F.when((F.size("_q") > 0) & (F.size(name) > 0), F.size(F.array_intersect("_q", name)) / F.size(name)).otherwise(0.0)
     kind = T.coarse_type(F.col("entity_type"))
     match = F.exists("_e", lambda t: F.contains(t, kind) | F.contains(kind, t))
@@ -96,14 +92,14 @@ def score_candidates(chunks: DataFrame, mentions: DataFrame, nodes: DataFrame, d
     return few.orderBy(F.desc("candidate_score"), "rank", "entity_name").limit(total)
 
 
-_MONTH = T.MONTHS
+_MONTH = "January|February|March|April|May|June|July|August|September|October|November|December"
 _DATES = ((rf"\b(?:{_MONTH})\s+[0-9]{{1,2}},?\s+[0-9]{{4}}\b|\b[0-9]{{1,2}}\s+(?:{_MONTH})\s+[0-9]{{4}}\b|\b[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}\b", "day"), (rf"\b(?:{_MONTH})\s+[0-9]{{4}}\b", "month"), (r"\b(?:1[0-9]{3}|20[0-9]{2})\b", "year"))
 
 
-def dates(chunks: DataFrame, most: int = 50) -> DataFrame:
+def dates(chunks: DataFrame, most: int | None = None) -> DataFrame:
     """Date mentions of each chunk: normalized_date, precision, char_start, char_end, snippet; a finer one hides those inside it.
 
-    Each date once a chunk, in order of place, ``most`` a chunk at most (a bound of the operator's result).
+    Each date once a chunk, in order of place; all of them, or the first ``most`` a chunk where asked for.
     """
 
     def run(batches: Iterator) -> Iterator:
@@ -111,7 +107,7 @@ def dates(chunks: DataFrame, most: int = 50) -> DataFrame:
 
         import pandas as pd
 
-        months = {m.lower(): i + 1 for i, m in enumerate(T.MONTHS.split("|"))}
+        months = {m.lower(): i + 1 for i, m in enumerate(_MONTH.split("|"))}
 
         def normal(text: str, precision: str) -> str:
             if precision == "year":

@@ -84,14 +84,14 @@ class Registry:
     def connects(self, a: str, out: str, b: str, name: str) -> bool:
         return out in self.get(a).outputs and self.get(b).takes(name, self.get(a).outputs[out])
 
-    def chains(self, have: set[Kind], goal: Kind, depth: int = 5, needs: set[str] | None = None, most: int = 1000) -> list[list[str]]:
+    def chains(self, have: set[Kind], goal: Kind, depth: int = 5, needs: set[str] | None = None, most: int | None = None) -> list[list[str]]:
         """Chains of operators from kinds at hand to the goal, the shortest first.
 
         A chain is followed no further once it has the goal, and an operator that adds no kind ends
         none, so the search stays small.
         """
         found, queue = [], deque([(frozenset(have), [])])
-        while queue and len(found) < most:
+        while queue and (most is None or len(found) < most):
             kinds, chain = queue.popleft()
             for s in sorted(self.specs.values(), key=lambda s: (s.cost.value, s.id)):
                 if s.id in chain or not set(s.inputs.values()) <= kinds or (needs is not None and not set(s.needs) <= needs):

@@ -43,7 +43,7 @@ def memory_decay(spark, sf):
     return M.decay(_memories(spark, sf), "2024-01-15 00:00:00").select("id", F.round("importance", 6).alias("importance"))
 
 
-@query(f"""WITH {_MEM} SELECT id, round(least(1, 0.2 * (('click' = memory_type)::INT + 1 + (access_count = 7)::INT) / 3.0 + 0.3 * importance + 0.2 / (1 + floor(greatest(0, (epoch(TIMESTAMP '{_NOW}') - floor(epoch(ts))) / 86400))) + 0.1 * least(1, access_count / 10)), 6) AS relevance FROM mem""")
+@query(f"""WITH {_MEM} SELECT id, round(least(1, 0.2 * (('click' = memory_type)::INT + 1 + (access_count = 7)::INT) + 0.3 * importance + 0.2 / (1 + greatest(0, (epoch_us(TIMESTAMP '{_NOW}') - epoch_us(ts)) / 86400e6)) + 0.1 * least(1, access_count / 10)), 6) AS relevance FROM mem""")
 def memory_relevance(spark, sf):
     return M.relevance("click user 7", _memories(spark, sf), _NOW)
 
@@ -75,11 +75,12 @@ def session_dedup(spark, sf):
     return M.dedup_session(K.table(spark, sf, "conversations"), "role", 40)
 
 
-@query("SELECT a.user_id AS x, b.user_id AS y FROM (SELECT DISTINCT user_id FROM events WHERE user_id < 3) a, (SELECT DISTINCT user_id FROM events WHERE user_id < 3) b WHERE a.user_id < b.user_id")
+@query()
 def sequence_pairs(spark, sf):
-    e = _events(spark, sf).filter("user_id < 3").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))), lambda r: r["event_type"]).alias("s"))
-    pair = e.select(F.col("user_id").alias("x"), F.col("s").alias("a")).join(e.select(F.col("user_id").alias("y"), F.col("s").alias("b")), F.col("x") < F.col("y"))
-    return M.sequence_similarity(pair).filter("similarity between 0 and 1").select("x", "y")
+    """Each user with the next one: no SQL, as longest common subsequences are held against brute force."""
+    e = _events(spark, sf).groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))), lambda r: r["event_type"]).alias("s"))
+    pair = e.select(F.col("user_id").alias("x"), F.col("s").alias("a")).join(e.select((F.col("user_id") - 1).alias("x"), F.col("user_id").alias("y"), F.col("s").alias("b")), "x")
+    return M.sequence_similarity(pair).select("x", "y", "jaccard", "similarity")
 
 
 @query("""SELECT 'relation' AS kind, event_type AS name, count(*) AS n FROM events GROUP BY event_type UNION ALL SELECT 'property', 'k', count(*) FROM events WHERE props LIKE '%"k"%'""")
@@ -87,11 +88,13 @@ def structure_counts(spark, sf):
     return M.structure_counts(_events(spark, sf).withColumn("p", F.from_json("props", "map<string,string>")), "event_type", "p")
 
 
-@query("SELECT n_nationkey, round((CASE WHEN n_regionkey = 1 THEN 0.8 ELSE 0 END + CASE WHEN n_nationkey % 2 = 0 THEN 1.0 / 3 ELSE 1.0 END) / 2, 6) AS similarity FROM nation")
+@query("""SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN CASE WHEN n_regionkey = 1 THEN 0.8 ELSE 0 END WHEN 1 THEN CASE WHEN n_nationkey % 2 = 0 THEN round(1.0 / 3, 6) ELSE 1 END ELSE 0 END::DOUBLE AS similarity FROM nation""")
 def structural_similarity(spark, sf):
     n = K.table(spark, sf, "nation")
     own = F.when(F.col("n_nationkey") % 2 == 0, F.array(F.lit("a"), F.lit("c"))).otherwise(F.array(F.lit("b"), F.lit("a")))
-    return n.select("n_nationkey", M.structural_similarity(F.col("n_regionkey"), F.lit(1), own, F.array(F.lit("a"), F.lit("b"))).alias("similarity"))
+    kind = F.when(F.col("n_nationkey") % 3 == 0, "relation").otherwise("properties")
+    other = F.when(F.col("n_nationkey") % 3 == 2, "relation").otherwise(kind)
+    return n.select("n_nationkey", M.structural_similarity(kind, other, F.col("n_regionkey"), F.lit(1), own, F.array(F.lit("a"), F.lit("b"))).alias("similarity"))
 
 
 _STRATEGY = "x AS (SELECT event_type AS query_type, 's' || (user_id % 4) AS strategy_id, least(1, value / 60) AS q FROM events), l AS (SELECT * FROM x WHERE q >= 0.7), g AS (SELECT query_type, strategy_id, count(*) AS n, count(*) AS success_count, avg(q) AS q FROM l GROUP BY ALL)"
@@ -164,18 +167,21 @@ def load_balanced_assign(spark, sf):
     return M.award(_bids(spark, sf), F.col("bidder") % 7)
 
 
-def _questions(spark):
-    return spark.createDataFrame([(1, "Compare Ada Lovelace and Alan Turing, then explain why"), (2, "Who founded Acme Corp and when was it sold"), (3, "List rivers")], "id long, question string")
+def _questions(spark, sf):
+    q = F.when(F.col("n_nationkey") % 2 == 0, "Compare the main exports of Peru and Chile").otherwise("Why did trade change in Rome during 1990")
+    return K.table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), q.alias("question"))
 
 
-@query("""SELECT * FROM (VALUES (1, 0, 'operation', 'compare'), (1, 1, 'operation', 'explain'), (1, 2, 'operation', 'why'), (1, 3, 'entity', 'Compare Ada Lovelace'), (1, 4, 'entity', 'Alan Turing'), (2, 0, 'operation', 'who'), (2, 1, 'operation', 'when'), (2, 2, 'entity', 'Who'), (2, 3, 'entity', 'Acme Corp'), (3, 0, 'operation', 'list'), (3, 1, 'entity', 'List')) v(id, place, atom, text)""")
+@query("""SELECT n_nationkey AS id, place, atom, text, needs FROM nation JOIN (VALUES (0, 0, 'entity', 'Compare', ''), (0, 1, 'entity', 'Peru', ''), (0, 2, 'entity', 'Chile', ''), (0, 3, 'relationship', 'comparison', '0,1'), (0, 4, 'attribute', 'main', ''), (0, 5, 'action', 'comparison', '0,1,2,3'),
+(1, 0, 'entity', 'Why', ''), (1, 1, 'entity', 'Rome', ''), (1, 2, 'relationship', 'temporal', '0,1'), (1, 3, 'action', 'find_causation', '0,1,2')) v(k, place, atom, text, needs) ON n_nationkey % 2 = k""")
 def atom_decomposition(spark, sf):
-    return M.atoms(_questions(spark))
+    return M.atoms(_questions(spark, sf)).select("id", "place", "atom", "text", F.array_join(F.col("depends").cast("array<string>"), ",").alias("needs"))
 
 
-@query("""SELECT * FROM (VALUES (1, 0, 'operation', 'operation', 0.3), (1, 1, 'operation', 'operation', 0.3), (1, 2, 'operation', 'entity', 0.9), (1, 3, 'entity', 'entity', 0.7), (2, 0, 'operation', 'operation', 0.3), (2, 1, 'operation', 'entity', 0.9), (2, 2, 'entity', 'entity', 0.7), (3, 0, 'operation', 'entity', 0.9)) v(id, place, atom, next, p)""")
+@query("""SELECT n_nationkey AS id, place, next, p::DOUBLE AS p FROM nation JOIN (VALUES (0, 0, 1, 0.3), (0, 0, 2, 0.3), (0, 1, 0, 0.3), (0, 1, 2, 0.3), (0, 2, 0, 0.3), (0, 2, 1, 0.3), (0, 0, 3, 0.9), (0, 1, 3, 0.9), (0, 2, 3, 0.7), (0, 0, 5, 0.9), (0, 1, 5, 0.9), (0, 2, 5, 0.9), (0, 3, 5, 0.9),
+(1, 0, 1, 0.3), (1, 1, 0, 0.3), (1, 0, 2, 0.9), (1, 1, 2, 0.9), (1, 0, 3, 0.9), (1, 1, 3, 0.9), (1, 2, 3, 0.9)) v(k, place, next, p) ON n_nationkey % 2 = k""")
 def atom_transitions(spark, sf):
-    return M.transitions(M.atoms(_questions(spark)))
+    return M.transitions(M.atoms(_questions(spark, sf)))
 
 
 @query("SELECT lang AS value, count(*) AS n, round(100 * count(*) / (SELECT count(*) FROM documents), 4) AS percent FROM documents GROUP BY lang")
@@ -216,10 +222,10 @@ def memory_recall(spark, sf):
 
 
 @whole("o_orderkey < 100")
-@query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'comparison' WHEN 1 THEN 'factual' WHEN 2 THEN 'causal' ELSE 'general' END AS kind FROM orders WHERE o_orderkey < 100")
+@query("SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'comparison' WHEN 1 THEN 'entity_discovery' WHEN 2 THEN 'relationship_analysis' WHEN 3 THEN 'summarization' WHEN 4 THEN 'entity_discovery' ELSE 'general' END AS kind FROM orders WHERE o_orderkey < 100")
 def query_classification(spark, sf, rows="o_orderkey < 100"):
-    k = F.col("o_orderkey") % 4
-    q = F.when(k == 0, "How do A versus B differ").when(k == 1, "Who won?").when(k == 2, "why did it fail").otherwise("status")
+    k = F.col("o_orderkey") % 6
+    q = F.when(k == 0, "Compare A versus B").when(k == 1, "Who won?").when(k == 2, "the connection of A to B").when(k == 3, "Explain the difference").when(k == 4, "the whole difference").otherwise("why did it fail")
     return K.table(spark, sf, "orders").filter(rows).select("o_orderkey", M.query_type(q).alias("kind"))
 
 
@@ -227,8 +233,8 @@ def query_classification(spark, sf, rows="o_orderkey < 100"):
 
 
 @query(f"""WITH {K.SQL_PARTS}, {K.SQL_EDGES}, {K.SQL_NODES}, deg AS (SELECT node, count(*) AS d FROM (SELECT src AS node FROM edges UNION ALL SELECT tgt FROM edges) GROUP BY node), c AS (SELECT 'order:' || (l_orderkey) AS chunk_id, row_number() OVER (ORDER BY l_orderkey) AS rank, 1.0 / row_number() OVER (ORDER BY l_orderkey) AS score FROM (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_orderkey < 12)),
-x AS (SELECT c.chunk_id, c.rank, m.entity_name, list_distinct(list_filter(regexp_extract_all(lower(description), '[a-z0-9]+'), lambda t: length(t) >= 2)) AS t, coalesce(d, 0) AS d, c.score FROM c JOIN mentioned m USING (chunk_id) JOIN nodes n USING (entity_name) LEFT JOIN deg ON node = m.entity_name),
-s AS (SELECT chunk_id, rank, entity_name, round(greatest(0, least(1, 0.35 * (len(list_filter(t, lambda w: w IN ('which', 'red', 'widget', 'company')))) / len(t) + 0.2 * least(1, d / 20) + 0.2 * score + 0.15 * (1 - (rank - 1) / ((SELECT max(rank) FROM c) - 1)) - 0.1)), 4) AS candidate_score FROM x),
+x AS (SELECT c.chunk_id, c.rank, m.entity_name, list_distinct(list_filter(regexp_extract_all(lower(description), '[a-z0-9]+'), lambda t: (length(t) > 2 OR regexp_full_match(t, '[0-9]+')) AND t NOT IN ('the', 'of', 'for', 'from', 'by', 'with', 'and', 'are', 'was'))) AS t, coalesce(d, 0) AS d, c.score FROM c JOIN mentioned m USING (chunk_id) JOIN nodes n USING (entity_name) LEFT JOIN deg ON node = m.entity_name),
+s AS (SELECT chunk_id, rank, entity_name, round(greatest(0, least(1, 0.35 * (len(list_filter(t, lambda w: w IN ('red', 'widget', 'company')))) / len(t) + 0.2 * least(1, d / 20) + 0.2 * score + 0.15 * (1 - (rank - 1) / ((SELECT max(rank) FROM c) - 1)) - 0.1)), 4) AS candidate_score FROM x),
 f AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY candidate_score DESC, entity_name) <= 4) SELECT * FROM f ORDER BY candidate_score DESC, rank, entity_name LIMIT 40""")
 def candidate_scoring(spark, sf):
     from pyspark.sql import Window as W
@@ -295,20 +301,22 @@ def bridge_disambiguate(spark, sf):
 
 
 @whole("o_orderkey < 200")
-@query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'yes_no' WHEN 1 THEN 'entity' WHEN 2 THEN 'date' ELSE 'number' END AS kind, o_orderkey % 2 = 0 AS fits FROM orders WHERE o_orderkey < 200")
+@query("""SELECT o_orderkey, kind, fits FROM orders JOIN (VALUES (0, 'yes_no', true), (1, 'entity', false), (2, 'date', true), (3, 'number', true), (4, 'date', true), (5, 'date', false), (6, 'number', false), (7, 'entity', true), (8, 'yes_no', false), (9, 'date', true)) v(k, kind, fits) ON o_orderkey % 10 = k WHERE o_orderkey < 200""")
 def answer_kinds(spark, sf, rows="o_orderkey < 200"):
-    k = F.col("o_orderkey") % 4
-    q = F.when(k == 0, "Is it open?").when(k == 1, "Who was born in 1990?").when(k == 2, "When did it end?").otherwise("How many are there?")
-    said = F.when(k == 0, "Yes").when(k == 1, " ").when(k == 2, "May 1990").otherwise("many")
-    o = K.table(spark, sf, "orders").filter(rows).select("o_orderkey", T.answer_kind(q).alias("kind"), said.alias("said"))
+    cases = (
+        ("Had it closed?", "Yes"), ("Who was born in 1990?", " "), ("When did it end?", "in may"), ("What amount was paid?", "twenty one"), ("In which year did the person who wrote it die?", "1834"), ("Where was the company founded?", "999"),
+        ("The total of all?", "one, two and many more of those"), ("Which river is longest?", "Nile"), ("Is it open?", "maybe"), ("The treaty was signed on what day", "3 Mai 2033"))
+    pick = lambda i: F.element_at(F.array(*[F.lit(x[i]) for x in cases]), (F.col("o_orderkey") % 10 + 1).cast("int"))
+    o = K.table(spark, sf, "orders").filter(rows).select("o_orderkey", T.answer_kind(pick(0)).alias("kind"), pick(1).alias("said"))
     return o.select("o_orderkey", "kind", T.matches_kind(F.col("said"), F.col("kind")).alias("fits"))
 
 
 @whole("o_orderkey < 90")
-@query("SELECT o_orderkey, o_orderkey % 3 = 0 AS dated, o_orderkey % 3 = 1 AS person FROM orders WHERE o_orderkey < 90")
+@query("""SELECT o_orderkey, dated, person FROM orders JOIN (VALUES (0, true, false), (1, false, true), (2, false, false), (3, true, false), (4, false, false), (5, false, true), (6, false, false)) v(k, dated, person) ON o_orderkey % 7 = k WHERE o_orderkey < 90""")
 def name_kinds(spark, sf, rows="o_orderkey < 90"):
-    k = F.col("o_orderkey") % 3
-    o = K.table(spark, sf, "orders").filter(rows).select("o_orderkey", F.when(k == 0, "in March of 1999").when(k == 1, "Ada Lovelace").otherwise("the x").alias("n"))
+    names = ("1999, late March", "Ada Lovelace", "the Iron Duke", " 1815 ", "El Greco", "Émile Zola", "2999")
+    n = F.element_at(F.array(*[F.lit(x) for x in names]), (F.col("o_orderkey") % 7 + 1).cast("int"))
+    o = K.table(spark, sf, "orders").filter(rows).select("o_orderkey", n.alias("n"))
     return o.select("o_orderkey", T.looks_like_date(F.col("n")).alias("dated"), T.looks_like_person(F.col("n")).alias("person"))
 
 

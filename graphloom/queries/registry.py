@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+WHOLE: list[str] = []  # queries whose functions take a filter, which is true in the query
 
 
 def query(sql: str | None = None):
@@ -21,19 +22,19 @@ def query(sql: str | None = None):
 
 
 def whole(cut: str, **more: str):
-    """Registers a query over few keys a second time, as ``NAME_whole`` over the whole table.
+    """Makes a query with a filter as its third argument one over the whole table: the filter is ``true``.
 
-    The query takes a filter as its third argument, by default ``cut``; the whole form passes ``true``. Its SQL is the
-    query's own with ``true`` for ``cut``, and with ``new`` for ``old`` where a figure in it depends on the cut.
+    Its SQL has ``true`` for ``cut``, and ``new`` for ``old`` where a figure in it depends on the cut; the function's own default
+    serves tests on few keys.
     """
 
     def add(f):
-        name = f"{f.__name__}_whole"
-        QUERIES[name] = lambda spark, sf: f(spark, sf, "true")
+        QUERIES[f.__name__] = lambda spark, sf: f(spark, sf, "true")
+        WHOLE.append(f.__name__)
         assert cut in SQL[f.__name__]
-        SQL[name] = SQL[f.__name__].replace(cut, "true")
+        SQL[f.__name__] = SQL[f.__name__].replace(cut, "true")
         if more:
-            SQL[name] = SQL[name].replace(more["old"], more["new"])
+            SQL[f.__name__] = SQL[f.__name__].replace(more["old"], more["new"])
         return f
 
     return add

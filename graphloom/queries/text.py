@@ -145,10 +145,11 @@ def triples_to_edges(spark, sf):
 _TERMS = r"terms AS (SELECT DISTINCT doc_id AS chunk_id, unnest(regexp_extract_all(regexp_replace(text, '[^A-Za-z]+', ' ', 'g'), '[A-Za-z]{12,}')) AS term FROM documents)"
 
 
-@query(f"""WITH {_TERMS}, rare AS (SELECT term FROM terms GROUP BY term HAVING count(*) BETWEEN 2 AND 5) SELECT a.chunk_id AS src, b.chunk_id AS tgt, min(a.term) AS relation FROM terms a JOIN terms b ON a.term = b.term AND a.chunk_id < b.chunk_id WHERE a.term IN (SELECT term FROM rare) GROUP BY ALL""")
+@query(f"""WITH {_TERMS} SELECT a.chunk_id AS src, b.chunk_id AS tgt, min(a.term) AS relation, a.chunk_id || '<SEP>' || b.chunk_id AS source_id FROM terms a JOIN terms b ON a.term = b.term AND a.chunk_id < b.chunk_id WHERE length(a.term) / 20 > 0.7 GROUP BY ALL""")
 def passage_links(spark, sf):
     m = documents(spark, sf).select(F.col("doc_id").alias("chunk_id"), F.explode(F.regexp_extract_all(F.regexp_replace("text", "[^A-Za-z]+", " "), F.lit("[A-Za-z]{12,}"), F.lit(0))).alias("term"))
-    return M.passage_links(m)
+    m = m.withColumn("prior", F.length("term") / 20)
+    return M.passage_links(m, 0.7)
 
 
 _QUERY = "theanedble anea attion eriner instan"
@@ -203,12 +204,17 @@ def similar_vector_pairs(spark, sf):
     return R.similar_pairs(K.table(spark, sf, "embeddings"), 0.35)
 
 
-@query(f"SELECT a.vec_id AS src, b.vec_id AS tgt, round(round({_COS}, 6) * 0.8 * 2, 6) AS weight, 'similarity' AS relation FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE round({_COS}, 6) >= 0.4")
+_NEAR = f"n AS (SELECT a.vec_id AS id, b.vec_id AS other, round({_COS}, 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id)"
+
+
+@query(f"""WITH {_NEAR}, t AS (SELECT * FROM n WHERE score >= 0.4 QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, other) <= 4)
+SELECT least(id, other) AS src, greatest(id, other) AS tgt, round(sum(score * 0.8), 6) AS weight, 'similarity' AS relation FROM t GROUP BY ALL""")
 def similarity_edges(spark, sf):
-    return A.similarity_edges(K.table(spark, sf, "embeddings"), 0.4, 0.8, True)
+    return A.similarity_edges(K.table(spark, sf, "embeddings"), 0.4, 0.8, 5)
 
 
-@query(f"SELECT a.vec_id AS src, b.vec_id AS tgt, round({_COS}, 6) AS score, 'synonym' AS relation FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE round({_COS}, 6) >= 0.35 AND (a.vec_id + b.vec_id) % 3 <> 0")
+@query(f"""WITH {_NEAR}, t AS (SELECT * FROM n WHERE score >= 0.35 QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, other) <= 3)
+SELECT DISTINCT least(id, other) AS src, greatest(id, other) AS tgt, score, 'synonym' AS relation FROM t WHERE (id + other) % 3 <> 0""")
 def synonym_edges(spark, sf):
     v = K.table(spark, sf, "embeddings")
     ids = v.select(F.col("vec_id").alias("src"))

@@ -1,4 +1,4 @@
-"""Forms of queries that leave nothing out, on tables whose keys all lie beyond the cuts of the short forms."""
+"""Queries leave nothing out: on tables whose keys all lie beyond any short range, and on whole texts."""
 
 from __future__ import annotations
 
@@ -13,10 +13,10 @@ import duckdb
 import pytest
 
 from graphloom.queries import QUERIES, SQL
+from graphloom.queries.registry import WHOLE
 from tests.compare import SF, TABLES, same
 
 SHIFT = 200_000
-WHOLE = sorted(n for n in SQL if n.endswith("_whole"))
 
 
 @pytest.fixture(scope="module")
@@ -33,7 +33,7 @@ def far(tmp_path_factory):
 
 
 def test_whole_forms_are_registered():
-    assert len(WHOLE) == 15 and all(n.removesuffix("_whole") in SQL for n in WHOLE)
+    assert len(WHOLE) == 15 and all(n in SQL and "_orderkey <" not in SQL[n].replace("l_orderkey < 2000", "") for n in WHOLE)
 
 
 @pytest.mark.parametrize("name", WHOLE)
@@ -44,12 +44,12 @@ def test_no_key_is_left_out(spark, far, name):
 
 def test_every_line_is_parsed_and_merged(spark, far):
     lines = duckdb.sql(f"SELECT l_partkey, l_suppkey, l_orderkey, l_linenumber FROM read_parquet('{far}/lineitem.parquet')").fetchall()
-    assert QUERIES["parse_entity_records_whole"](spark, far).count() == QUERIES["parse_relation_records_whole"](spark, far).count() == len(lines)
+    assert QUERIES["parse_entity_records"](spark, far).count() == QUERIES["parse_relation_records"](spark, far).count() == len(lines)
     weight = {}
     for part, supplier, _, number in lines:
         pair = (f"part {part}", f"supplier  {supplier}")
         weight[pair] = weight.get(pair, 0) + number
-    assert {(r["src"], r["tgt"]): r["weight"] for r in QUERIES["merge_edges_undirected_whole"](spark, far).collect()} == weight
+    assert {(r["src"], r["tgt"]): r["weight"] for r in QUERIES["merge_edges_undirected"](spark, far).collect()} == weight
 
 
 @pytest.fixture(scope="module")
@@ -109,12 +109,12 @@ def test_answers_are_scored_whole(spark, passages):
     rows = lambda name: {(r["item_id"], r["doc_id"]): r for r in QUERIES[name](spark, top).collect()}
     names = ("em", "f1", "precision", "recall", "accuracy")
     want = {(i, d): brute_scores(docs[d], items[i]) for i, d in HELD}
-    got = rows("qa_em_f1_whole")
+    got = rows("qa_em_f1")
     assert got.keys() == HELD and all(got[k][n] == pytest.approx(v, abs=1e-6) for k in HELD for n, v in zip(names, want[k], strict=True))
     assert want[1, 10][4] == 1.0 and want[4, 16][0] == 1.0
-    mean = QUERIES["qa_short_form_whole"](spark, top).first()
+    mean = QUERIES["qa_short_form"](spark, top).first()
     assert mean["n"] == len(HELD) and all(mean[n] == pytest.approx(100 * sum(v[j] for v in want.values()) / len(HELD), abs=1e-4) for j, n in enumerate(names))
-    got = rows("qa_bleu1_whole")
+    got = rows("qa_bleu1")
     assert got.keys() == HELD and all(got[i, d]["bleu1"] == pytest.approx(brute_bleu(docs[d], items[i], 1, False), abs=1e-6) for i, d in HELD)
     got = rows("qa_bleu4_rouge_l")
     assert got.keys() == HELD and all(got[i, d]["bleu4"] == pytest.approx(brute_bleu(docs[d], items[i], 4, True), abs=1e-6) for i, d in HELD)
@@ -123,7 +123,7 @@ def test_answers_are_scored_whole(spark, passages):
 
 def test_string_hits_read_whole_texts(spark, passages):
     _, docs, top = passages
-    got = {r["doc_id"]: r for r in QUERIES["qa_str_hit_whole"](spark, top).collect()}
+    got = {r["doc_id"]: r for r in QUERIES["qa_str_hit"](spark, top).collect()}
     assert got.keys() == docs.keys()
     for i, t in docs.items():
         t = plain_answer(t or "")
