@@ -40,7 +40,7 @@ def bands(num: int, den: int, top: int) -> tuple[tuple[int, int, int, int], ...]
         high = max(low, low * den // num)
         k = 2 * high * (den - num) // (den + num)
         need = k // (INNER - KEPT + 1) + 1
-        mean = need * INNER * math.exp(-0.9 * low * KEPT / INNER / need)
+        mean = need * INNER * math.exp(-0.8 * low * KEPT / INNER / need)
         out.append((low, k, need, 0 if k < 4 else 1 + math.ceil(mean + math.sqrt(mean))))
         low = high + 1
     return tuple(out)
