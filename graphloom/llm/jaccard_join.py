@@ -16,7 +16,7 @@ from graphloom.llm.shared import WordCodes, bound_batches, discard, materialise,
 
 INNER, KEPT = 3, 2  # second-level parts of a first-level part, and how many of them make a subset
 KINDS = 4  # partitions tried, with other hashes, until a set has few empty subsets
-BLOCK = 256  # sets in a block; texts that go to one centre at a time
+BLOCK = 512  # sets in a block; texts that go to one centre at a time
 WORK = 4  # times its signatures' squares up to which a group's square is compared as one
 CROSS = 4  # open pairs for each member up to which a group's pairs are listed; beyond, it is compared by blocks
 PART_BYTES = 16_000_000  # bytes of text whose signatures make one part of the hash range
