@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from graphloom.functions.expansion import expand_query
 from graphloom.operators import communities as CO
 from graphloom.operators import entities as E
 from graphloom.operators import graph as G
@@ -308,3 +309,17 @@ def community_report(spark, sf):
     f = lambda a, b: F.struct(F.lit(a).alias("summary"), b.alias("explanation"))
     found = F.array(f("size", F.lit("small")), f("place", F.concat(F.lit("region "), F.col("n_regionkey").cast("string"))))
     return n.select("n_nationkey", CO.render_report(F.col("n_name"), F.lit("a nation"), found).alias("report"))
+
+
+@query("""WITH n AS (SELECT c_custkey AS id, c_custkey % 6 AS k, lower(c_mktsegment) || ' ' || c_custkey AS s FROM customer),
+t AS (SELECT id, CASE k WHEN 0 THEN 'what is the ' || s || '?' WHEN 1 THEN 'tell me about ' || s WHEN 2 THEN 'who was emperor ' || s || '?' WHEN 3 THEN 'what caused ' || s || '?' WHEN 4 THEN 'describe ' || s || 's' ELSE s || ' of the north' END AS q,
+CASE k WHEN 0 THEN ['the ' || s, s, 'the ' || s || 's'] WHEN 1 THEN [s, s || 's', s || ' information', s || ' details'] WHEN 2 THEN ['emperor ' || s, s, 'emperor ' || s || ' biography', 'emperor ' || s || ' role']
+WHEN 3 THEN [s, s || ' cause', s || ' reason', s || ' led to', s || ' resulted in'] WHEN 4 THEN [s || 's', s, s || 's information', s || 's details'] ELSE [] END AS more FROM n),
+w AS (SELECT id, q, more, list_filter(string_split(q, ' '), lambda x: length(x) > 2 AND NOT list_contains(['the', 'what', 'who', 'was', 'how', 'for'], x)) AS words FROM t)
+SELECT id, unnest(list_distinct(list_concat([q], more, words))) AS term FROM w""")
+def query_expansion(spark, sf):
+    k = F.col("c_custkey") % 6
+    s = F.concat_ws(" ", "c_mktsegment", F.col("c_custkey").cast("string"))
+    about = lambda before, after="": F.concat(F.lit(before), s, F.lit(after))
+    q = F.when(k == 0, about("What is the ", "?")).when(k == 1, about("Tell me about ")).when(k == 2, about("Who was Emperor ", "?")).when(k == 3, about("What caused ", "?")).when(k == 4, about("Describe ", "s")).otherwise(about("", " of the north"))
+    return K.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.explode(expand_query(q)).alias("term"))

@@ -9,6 +9,7 @@ from graphloom.operators import chunking as C
 from graphloom.operators import enrich as A
 from graphloom.operators import merge as M
 from graphloom.operators import retrieval as R
+from graphloom.operators import vector_index as I
 from graphloom.queries.registry import query, whole
 from graphloom.sources import commerce as K
 
@@ -280,3 +281,10 @@ def nodes_with_centrality(spark, sf):
 def mentions_topk(spark, sf):
     m = documents(spark, sf, "en").select("doc_id", F.explode(T.mentions(F.col("text"), 1_000_000)).alias("term"))
     return m.groupBy("term").agg(F.countDistinct("doc_id").alias("docs")).orderBy(F.desc("docs"), "term").limit(20)
+
+
+@query()
+def vdb_index_topk(spark, sf):
+    """Every vector is indexed; those whose id is divisible by 100 are the queries."""
+    v = K.table(spark, sf, "embeddings")
+    return I.search(I.build(v), v.filter(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), 10)
