@@ -15,8 +15,11 @@ from graphloom.llm.jaccard_join import jaccard_classes
 from graphloom.llm.line_dedup import DEPTH, LONG, MIN_DOCS, PAIR, dedup_lines
 from graphloom.llm.pieces import tokenize
 from graphloom.llm.quality import classify
+from graphloom.llm.resample import resample
+from graphloom.llm.runs import find_runs, run_digests
 from graphloom.llm.sharding import shard_by_bytes
 from graphloom.llm.token_counts import count_with_edits
+from graphloom.llm.trie_dedup import exact_groups
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +79,18 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize(_table(spark, sf_dir, "documents"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), orders=1, buckets=10_000, percent=10, least_words=20, seed=2024)
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_groups(_table(spark, sf_dir, "documents"), keep="largest")
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(find_runs(_table(spark, sf_dir, "documents"), least=24, power=3, plant=True))
+
+
 #: name -> query
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scans": op1_secret_scans,
@@ -89,6 +104,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_exact_dedup": op12_exact_dedup,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
@@ -170,3 +188,28 @@ SQL["op4_line_dedup_passages"] = SQL["op4_line_dedup"].replace(_G, f"""
 p AS (SELECT leaf, whole, keep FROM u JOIN r USING (template) UNION ALL SELECT leaf, whole, u.first FROM u JOIN d USING (leaf, whole) ANTI JOIN r USING (template)
       WHERE d.docs >= {PAIR} AND CAST(split_part(leaf, ' ', 1) AS INTEGER) > {LONG}),
 g AS (SELECT DISTINCT c.doc_id, c.pos FROM c JOIN p USING (leaf, whole) WHERE c.doc_id <> p.keep)""")
+
+_RUNS_OF_LETTERS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+SQL["op11_importance_resampling"] = f"""
+WITH crc AS (SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n) ORDER BY n) AS t FROM range(256) r(n)),
+d AS (SELECT doc_id, {_RUNS_OF_LETTERS} AS words FROM documents),
+b AS (SELECT unnest({_RUNS_OF_LETTERS}) AS word FROM benchmark),
+e AS (SELECT doc_id, unnest(words) AS word FROM d),
+v AS (SELECT DISTINCT word FROM (SELECT word FROM e UNION ALL SELECT word FROM b)),
+h AS (SELECT word, list_transform(regexp_extract_all(hex(encode(word)), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS bytes FROM v),
+k AS (SELECT word, CAST(xor(list_reduce(bytes, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295), 4294967295) % 10000 AS BIGINT) AS bucket FROM h, crc),
+s AS (SELECT bucket, count(*) AS s FROM e JOIN k USING (word) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM b JOIN k USING (word) GROUP BY bucket),
+n AS (SELECT (SELECT count(*) FROM e) AS s_all, (SELECT count(*) FROM b) AS t_all),
+g AS (SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1.0::DOUBLE) * (s_all + 10000) / ((coalesce(s, 0) + 1.0::DOUBLE) * (t_all + 10000)))) AS BIGINT) AS gain
+      FROM s FULL JOIN t USING (bucket), n),
+w AS (SELECT d.doc_id, count(e.word) AS n_features, CAST(coalesce(sum(g.gain), 0) AS BIGINT) AS weight FROM d LEFT JOIN e USING (doc_id) LEFT JOIN k USING (word) LEFT JOIN g USING (bucket) GROUP BY d.doc_id),
+z AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM w),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM z WHERE n_features >= 20)
+SELECT z.doc_id, n_features, weight, score, r.rank FROM z LEFT JOIN (SELECT * FROM r WHERE rank <= (SELECT count(*) FROM r) * 10 // 100) r USING (doc_id)"""
+
+SQL["op12_exact_dedup"] = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, row_number() OVER (same ORDER BY doc_id DESC NULLS LAST) = 1 AS kept,
+       sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))"""
