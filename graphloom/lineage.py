@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,3 +27,10 @@ def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives lost executors and ends the plan's growth."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder, read back. Unlike a checkpoint it carries no constraints from round to round, which slow the optimiser down, and its size is known."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/graphloom/round-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

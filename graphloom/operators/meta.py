@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from graphloom import providers as P
 from graphloom.operators import graph as G
+from graphloom.operators.prize_tree import prize_tree
 
 
 def _prompt(task: str, question, context=None):
@@ -77,6 +78,19 @@ def costs_and_prizes(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, Dat
     return nodes.select("entity_name", prize.alias("prize")), edges.select("src", "tgt", F.round(1 / F.greatest("weight", F.lit(0.01)), 6).alias("cost"))
 
 
+def pcst_optimize(nodes: DataFrame, edges: DataFrame, window: float = 0.0) -> DataFrame:
+    """Edges (with ``cost``) of the tree whose node scores outweigh its edges' costs by most: prizes are scores, costs fall with weights.
+
+    ``nodes`` (entity_name, score) and ``edges`` (src, tgt, weight, more) are a question's sets; with no worthwhile edge there are no rows.
+    """
+    prizes, costs = costs_and_prizes(nodes, edges)
+    tree = prize_tree(prizes.withColumnRenamed("entity_name", "node"), costs, window).filter("parent is not null")
+    kept = tree.select(F.least("node", "parent").alias("src"), F.greatest("node", "parent").alias("tgt"), "cost")
+    least = W.partitionBy("src", "tgt").orderBy(F.desc("weight"), *[c for c in edges.columns if c not in ("src", "tgt", "weight")])
+    one = G.canonical(edges).withColumn("_n", F.row_number().over(least)).filter("_n = 1").drop("_n")
+    return one.join(kept, ["src", "tgt"])
+
+
 def choose_paths(paths: DataFrame, chosen: list[int] | None, most: int = 5) -> DataFrame:
     """The paths (position, path) whose numbers were chosen, at most ``most``; none chosen keeps all."""
     return paths.filter(F.col("position").isin(*chosen)).orderBy("position").limit(most) if chosen else paths
