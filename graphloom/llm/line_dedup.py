@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +21,8 @@ MIN_DOCS = 3
 LONG = 50  # a line of more tokens is a passage; where asked, its repetition in PAIR documents is enough
 PAIR = 2
 BITS = 1 << 26  # of the map of leaves that tells which lines need their tokens compared, at most
-_DIGIT = regex.compile(r"[0-9]")
+MASK = "<*>"
+_DIGIT, _LETTER = regex.compile(r"[0-9]"), regex.compile(r"\p{L}")
 
 
 def _signed(x: int) -> int:
@@ -28,9 +30,13 @@ def _signed(x: int) -> int:
 
 
 def _tokens(line: str) -> list[str]:
-    """The line's tokens; those with a digit are the variable <*>."""
+    """The line's tokens; those with a digit are the variable MASK, unless they are over three tenths of those with a digit or a letter: such a line, as a row of figures or "Chapter 1", is told by them."""
     tokens = line.split()
-    return ["<*>" if _DIGIT.search(t) else t for t in tokens] if _DIGIT.search(line) else tokens
+    if not _DIGIT.search(line):
+        return tokens
+    masked = [MASK if _DIGIT.search(t) else t for t in tokens]
+    figures, words = masked.count(MASK), sum(1 for t in masked if _LETTER.search(t))
+    return masked if 7 * figures <= 3 * words else tokens
 
 
 def _leaf(tokens: list[str]) -> int:
@@ -126,10 +132,10 @@ def _unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, passage_docs: int = MIN_DOCS) -> tuple[DataFrame, DataFrame]:
     """(lines by document, recurring lines with the document that keeps them).
 
-    The tree's levels are a line's token count and its first DEPTH tokens (tokens with digits are
-    variable). Within a leaf a token is constant at its place if lines of at least ``min_docs`` documents
+    The tree's levels are a line's token count and its first DEPTH tokens. Tokens with digits are variable where they are three tenths at most of a line's
+    tokens with letters or digits; a line with more of them recurs as it is only. Within a leaf a token is constant at its place if lines of at least ``min_docs`` documents
     have it there, else variable. Lines with equal constants are one template, if seven tenths of the places after the
-    leading ones are constant; lines beyond that are templates of their own, and so is a line that has leading tokens only. A line of more than LONG
+    leading ones are constant and have no digit; lines beyond that are templates of their own, and so is a line that has leading tokens only. A line of more than LONG
     tokens under no recurring template recurs by itself in ``passage_docs`` documents. All counts come from
     partial sums over every document, so the outcome doesn't depend on the order of rows.
 
@@ -146,13 +152,14 @@ def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     open_ = distinct.join(leaves, "leaf", "left_semi").select("leaf", "line", "docs")
     cells = source.select("text").mapInArrow(_cells(docs.sparkSession.sparkContext.broadcast(_bitmap(leaves))), "leaf long, line long, cells binary")
     cells = cells.groupBy("leaf", "line").agg(F.first("cells").alias("cells"))
+    mask = int(np.frombuffer(xxhash.xxh3_64_digest(MASK), np.int64)[0])  # as _cells and _unfold code it
     tree = materialise(open_.join(cells, ["leaf", "line"]).select("leaf", "line", "docs", "cells").mapInArrow(_unfold, "leaf long, line long, docs long, place int, token long"), "tree")
     fixed = tree.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("own")).filter(F.col("own") >= min_docs).select("leaf", "place", "token", F.lit(1).alias("fixed"))
     voted = tree.select("leaf", "line", "place", "token").join(fixed, ["leaf", "place", "token"], "left")
     shape = voted.groupBy("leaf", "line").agg(
-        F.count("*").alias("places"), F.count("fixed").alias("constant"),
+        F.count("*").alias("places"), F.count("fixed").alias("constant"), F.count_if((F.col("fixed") == 1) & (F.col("token") != mask)).alias("told"),
         F.sum(F.when(F.col("fixed") == 1, F.xxhash64("place", "token").cast("decimal(20,0)"))).alias("template"))
-    shape = shape.filter("10 * constant >= 7 * places").select("leaf", "line", F.xxhash64("leaf", F.col("template").cast("string"), "constant").alias("template"))
+    shape = shape.filter("10 * told >= 7 * places").select("leaf", "line", F.xxhash64("leaf", F.col("template").cast("string"), "constant").alias("template"))
     templates = distinct.select("leaf", "line", "docs", "first", "passage").join(shape, ["leaf", "line"], "left").withColumn("template", F.coalesce("template", "line"))
     templates = materialise(templates, "templates")
     # lines of one template in one document count once: exact where a template has several lines
@@ -183,8 +190,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A document may end with an empty text.
     """
     lines, found = recurring(docs, id_col, text_col, min_docs, passage_docs)
+    # names that no column of docs can have
+    key, lost_lines, done = (f"{x}{uuid.uuid4().hex}" for x in ("id", "gone", "cut"))
     gone = lines.filter("id is not null").join(found.select("leaf", "line", "keep"), ["leaf", "line"]).filter("keep is null or id <> keep")
-    gone = materialise(gone.groupBy(F.col("id").alias("_id")).agg(F.collect_set("line").alias("_gone")), "gone")
+    gone = materialise(gone.groupBy(F.col("id").alias(key)).agg(F.collect_set("line").alias(lost_lines)), "gone")
     discard(lines)
     discard(found)
 
@@ -201,6 +210,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return pa.array(out, pa.struct([("text", pa.string()), ("n_lines", pa.int64()), ("n_dropped", pa.int64())]))
 
     # the documents that lose lines grow with the corpus, so their list is never broadcast
-    joined = docs.join(gone.hint("merge"), docs[id_col] == gone["_id"], "left").withColumn("_cut", cut(F.col(text_col), F.col("_gone")))
-    kept = [F.col("_cut.text").alias(text_col) if c == text_col else F.col(c) for c in docs.columns]
-    return joined.select(*kept, F.col("_cut.n_lines").alias("n_lines"), F.col("_cut.n_dropped").alias("n_dropped"))
+    joined = docs.join(gone.hint("merge"), docs[id_col] == gone[key], "left").withColumn(done, cut(F.col(text_col), F.col(lost_lines)))
+    kept = [F.col(f"{done}.text").alias(text_col) if c == text_col else F.col(c) for c in docs.columns]
+    return joined.select(*kept, F.col(f"{done}.n_lines").alias("n_lines"), F.col(f"{done}.n_dropped").alias("n_dropped"))

@@ -164,7 +164,8 @@ SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
 FROM s""",
     "op4_line_dedup": rf"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
-k AS (SELECT doc_id, pos, line, list_transform(regexp_extract_all(line, '\S+'), lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS t FROM l),
+q AS (SELECT doc_id, pos, line, regexp_extract_all(line, '\S+') AS t FROM l),
+k AS (SELECT doc_id, pos, line, CASE WHEN 7 * len(list_filter(t, lambda x: x = '<*>' OR regexp_matches(x, '[0-9]'))) <= 3 * len(list_filter(t, lambda x: regexp_matches(x, '\p{{L}}') AND NOT regexp_matches(x, '[0-9]'))) THEN list_transform(t, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) ELSE t END AS t FROM q),
 c AS (SELECT doc_id, pos, line, array_to_string(t, ' ') AS whole, len(t) || ' ' || array_to_string(t[1:{DEPTH}], ' ') AS leaf, t[{DEPTH} + 1:] AS cells FROM k WHERE len(t) > 0),
 d AS (SELECT leaf, whole, count(DISTINCT doc_id) AS docs, min(doc_id) AS first,
       any_value(cells) AS cells FROM c GROUP BY leaf, whole),
@@ -172,7 +173,7 @@ v AS (SELECT leaf FROM d GROUP BY leaf HAVING count(*) > 1 AND sum(docs) >= {MIN
 e AS (SELECT leaf, whole, docs, unnest(cells) AS token, generate_subscripts(cells, 1) AS place FROM d SEMI JOIN v USING (leaf)),
 f AS (SELECT leaf, place, token FROM e GROUP BY ALL HAVING sum(docs) >= {MIN_DOCS}),
 s AS (SELECT leaf, whole, leaf || ' / ' || string_agg(place || ':' || f.token, ' / ' ORDER BY place) AS template FROM e LEFT JOIN f USING (leaf, place, token)
-      GROUP BY leaf, whole HAVING 10 * count(f.token) >= 7 * count(*)),
+      GROUP BY leaf, whole HAVING 10 * count(f.token) FILTER (e.token <> '<*>') >= 7 * count(*)),
 u AS (SELECT d.leaf, d.whole, coalesce(s.template, d.leaf || ' // ' || d.whole) AS template, d.first FROM d LEFT JOIN s USING (leaf, whole)),
 r AS (SELECT u.template, count(DISTINCT c.doc_id) AS docs, min(u.first) AS keep FROM u JOIN c USING (leaf, whole) GROUP BY u.template HAVING count(DISTINCT c.doc_id) >= {MIN_DOCS}),
 g AS (SELECT DISTINCT c.doc_id, c.pos FROM c JOIN u USING (leaf, whole) JOIN r USING (template) WHERE c.doc_id <> r.keep),

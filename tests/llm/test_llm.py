@@ -341,6 +341,24 @@ def test_short_lines_with_equal_starts_stay(spark):
     assert {r["n_dropped"] for r in L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {0}
 
 
+def test_lines_told_by_figures_stay(spark):
+    """Rows of figures and numbered headings differ from document to document; equal ones recur as they are."""
+    rows = [(i, f"1.{i} 0 {7 + i}\nChapter {i}\n| {i} | {i}2 | total |\nUpdated 0{i} May by the board\n4 8 15 16 23 42") for i in range(5)]
+    got = {r["doc_id"]: r for r in L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0]["text"] == rows[0][1]
+    for i in range(1, 5):
+        own = rows[i][1].split("\n")
+        assert got[i]["text"].split("\n") == own[:3] and got[i]["n_dropped"] == 2
+
+
+def test_line_dedup_with_clashing_columns(spark):
+    rows = [(i, f"own words {'x' * (i + 1)}\nShared line for all documents", 1, 2, 3) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id int, _gone int, _cut int")
+    out = L.dedup_lines(docs)
+    assert out.columns == [*docs.columns, "n_lines", "n_dropped"]
+    assert sorted((r["doc_id"], r["_id"], r["_gone"], r["_cut"], r["n_dropped"]) for r in out.collect()) == [(i, 1, 2, 3, int(i > 0)) for i in range(4)]
+
+
 def test_edits_at_leaf_ends():
     own = TC.counter(TC.RANKS)
     for tail, put in (("\n\n", " edited"), ("\n \n", "x"), (" '", "ll"), (" 'l", "l"), ("   ", "a"), ("'r", "e")):
