@@ -52,6 +52,15 @@ def cluster(edges: DataFrame, most: int = 10, levels: int = 4) -> DataFrame:
     return out
 
 
+def inner_clusters(membership: DataFrame) -> DataFrame:
+    """level, cluster, sub: the clusters of the next level whose nodes all lie in a cluster."""
+    m = membership.select("node", "level", "cluster").distinct()
+    up, down = m.alias("u"), m.alias("d")
+    shared = up.join(down, F.col("u.node") == F.col("d.node")).filter("d.level = u.level + 1").groupBy(F.col("u.level").alias("level"), F.col("u.cluster").alias("cluster"), F.col("d.level").alias("_l"), F.col("d.cluster").alias("sub")).agg(F.count("*").alias("_n"))
+    size = m.groupBy(F.col("level").alias("_l"), F.col("cluster").alias("sub")).agg(F.count("*").alias("_m"))
+    return shared.join(size, ["_l", "sub"]).filter("_n = _m").select("level", "cluster", "sub")
+
+
 def schema(membership: DataFrame, edges: DataFrame, node_chunks: DataFrame) -> DataFrame:
     """Per (level, cluster): n_nodes, n_edges (with an end in it), n_chunks, occurrence = chunks / most chunks, sub_communities.
 
@@ -62,10 +71,8 @@ def schema(membership: DataFrame, edges: DataFrame, node_chunks: DataFrame) -> D
     ends = edges.select("src", "tgt", F.explode(F.array("src", "tgt")).alias("node")).join(m, "node").select("level", "cluster", "src", "tgt").distinct()
     e = ends.groupBy("level", "cluster").agg(F.count("*").alias("n_edges"))
     c = m.join(node_chunks.select(F.col("entity_name").alias("node"), "chunk_id"), "node").groupBy("level", "cluster").agg(F.countDistinct("chunk_id").alias("n_chunks"))
-    up, down = m.alias("u"), m.alias("d")
-    shared = up.join(down, F.col("u.node") == F.col("d.node")).filter("d.level = u.level + 1").groupBy(F.col("u.level").alias("level"), F.col("u.cluster").alias("cluster"), F.col("d.level").alias("_l"), F.col("d.cluster").alias("_c")).agg(F.count("*").alias("_n"))
-    whole = shared.join(base.select(F.col("level").alias("_l"), F.col("cluster").alias("_c"), F.col("n_nodes").alias("_m")), ["_l", "_c"]).filter("_n = _m")
-    subs = whole.groupBy("level", "cluster").agg(F.array_join(F.array_sort(F.collect_set("_c")), ",").alias("sub_communities"))
+    whole = inner_clusters(m)
+    subs = whole.groupBy("level", "cluster").agg(F.array_join(F.array_sort(F.collect_set("sub")), ",").alias("sub_communities"))
     out = base.join(e, ["level", "cluster"], "left").join(c, ["level", "cluster"], "left").join(subs, ["level", "cluster"], "left").fillna(0, ["n_edges", "n_chunks"]).fillna("", ["sub_communities"])
     top = F.broadcast(out.agg(F.max("n_chunks").alias("_top")))
     return out.crossJoin(top).select("level", "cluster", "n_nodes", "n_edges", "n_chunks", F.round(F.when(F.col("_top") == 0, 0.0).otherwise(F.col("n_chunks") / F.col("_top")), 6).alias("occurrence"), "sub_communities")

@@ -77,10 +77,16 @@ def name_similarity(names: DataFrame, threshold: float = 0.65, bucket: int = 500
     return s.filter(F.col("weight") >= threshold).select(F.col("a").alias("src"), F.col("b").alias("tgt"), "weight", F.lit("name_similarity").alias("relation"))
 
 
-def with_centrality(nodes: DataFrame, edges: DataFrame, iterations: int = 10) -> DataFrame:
-    """Nodes with pagerank and degree centrality; 0 for those without edges."""
+def with_centrality(nodes: DataFrame, edges: DataFrame, iterations: int = 10, most: int = 5000) -> DataFrame:
+    """Nodes with pagerank, degree centrality and betweenness; 0 for those without edges.
+
+    Betweenness needs a row for each pair of nodes; in a graph of over ``most`` nodes it is null, as too large to be worth it.
+    """
     n = nodes.count()
     d = G.degree(edges).select(F.col("node").alias("entity_name"), (F.col("degree") / max(1, n - 1)).alias("d"))
     p = G.pagerank(edges, iterations).select(F.col("node").alias("entity_name"), "score")
     both = nodes.join(d, "entity_name", "left").join(p, "entity_name", "left")
-    return both.select(*nodes.columns, F.round(F.coalesce("score", F.lit(0.0)), 9).alias("pagerank"), F.round(F.coalesce("d", F.lit(0.0)), 9).alias("degree_centrality"))
+    between = F.lit(None).cast("double")
+    if n <= most:
+        both, between = both.join(G.betweenness(edges).select(F.col("node").alias("entity_name"), "betweenness"), "entity_name", "left"), F.coalesce("betweenness", F.lit(0.0))
+    return both.select(*nodes.columns, F.round(F.coalesce("score", F.lit(0.0)), 9).alias("pagerank"), F.round(F.coalesce("d", F.lit(0.0)), 9).alias("degree_centrality"), between.alias("betweenness"))

@@ -5,11 +5,13 @@ Edges are undirected, each held once with src <= tgt, unless a function says oth
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from graphloom.lineage import cut
+from graphloom.lineage import cut, written
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
@@ -100,6 +102,30 @@ def simple_paths(edges: DataFrame, starts: DataFrame, ends: DataFrame, cutoff: i
     return out
 
 
+def ego_paths(edges: DataFrame, starts: DataFrame, hops: int = 2, per_target: int = 2, most: int | None = 10) -> DataFrame:
+    """Around each start, up to ``per_target`` shortest paths without repeated nodes to every node within ``hops``: start, target, hops, path.
+
+    Paths go by (hops, names). At most ``most`` paths are returned, by (start, hops, path); with None all are. A start that has had its
+    ``most`` paths isn't followed further, and until then it has met fewer nodes than that, so only its last round is larger.
+    Without a bound the number of paths is exponential in ``hops``, as such paths are.
+    """
+    adj = written(adjacency(edges.select("src", "tgt")).distinct())
+    last = written(starts.select(F.col("node").alias("start"), F.col("node").alias("target"), F.array("node").alias("path")).filter("start is not null").distinct())
+    found = last.select("start", "target", F.lit(0).cast("long").alias("hops"), "path", F.lit(0).alias("n")).limit(0)
+    for h in range(1, hops + 1):
+        ahead = last.join(adj.withColumnRenamed("src", "target"), "target").filter(~F.array_contains("path", F.col("tgt")))
+        last = written(ahead.select("start", F.col("tgt").alias("target"), F.concat("path", F.array("tgt")).alias("path")))
+        had = found.groupBy("start", "target").agg(F.count("*").alias("had"))
+        place = F.row_number().over(W.partitionBy("start", "target").orderBy("path"))
+        new = last.join(had, ["start", "target"], "left").withColumn("n", place + F.coalesce("had", F.lit(0))).filter(F.col("n") <= per_target)
+        found = written(found.unionByName(new.select("start", "target", F.lit(h).cast("long").alias("hops"), "path", "n")))
+        if most is not None:
+            full = found.groupBy("start").agg(F.count("*").alias("k")).filter(F.col("k") >= most)
+            last = last.join(full, "start", "left_anti")
+    out = found.select("start", "target", "hops", "path")
+    return out if most is None else out.orderBy("start", "hops", "path").limit(most)
+
+
 def shortest_paths(edges: DataFrame, starts: DataFrame, ends: DataFrame, cutoff: int = 5) -> DataFrame:
     """For each pair of a start and an end, its least shortest path in the order of names: seed, node, hops, path."""
     adj = cut(adjacency(edges.select("src", "tgt")).distinct())
@@ -325,51 +351,37 @@ def closeness(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     return d.select("node", F.round(F.col("k") / F.col("s") * F.col("k") / max(1, n - 1), 9).alias("closeness"))
 
 
-def betweenness(edges: DataFrame, most: int = 5000) -> DataFrame:
-    """node, betweenness (normalised) by Brandes' algorithm, refused beyond ``most`` nodes.
+def betweenness(edges: DataFrame, sources: DataFrame | None = None, rows: int = 50_000_000) -> DataFrame:
+    """node, betweenness: the share of shortest paths (in hops) between other nodes that pass through it, over (n - 1)(n - 2).
 
-    Sources are spread over the executors; each holds the bounded graph.
+    Brandes' sums in rounds for many sources at once: numbers of shortest paths go outward level by level, dependencies come
+    back. ``sources`` (node) are all nodes unless given. A batch of sources holds a row for each source and
+    node, so batches are cut to at most about ``rows`` rows; no graph is held in one place. Weights and self-loops play no part.
     """
-    rows = canonical(edges.select("src", "tgt")).filter("src <> tgt").distinct().limit(most * 50 + 1).collect()
-    names = sorted({x for r in rows for x in r})
-    if len(names) > most or len(rows) > most * 50:
-        raise ValueError(f"betweenness holds the graph in memory; it has over {most} nodes")
-    place = {x: i for i, x in enumerate(names)}
-    near: list[list[int]] = [[] for _ in names]
-    for a, b in rows:
-        near[place[a]].append(place[b])
-        near[place[b]].append(place[a])
-
-    def brandes(batches):
-        import pandas as pd
-
-        total = [0.0] * len(near)
-        for batch in batches:
-            for s in batch["s"]:
-                order, before, paths, far = [], [[] for _ in near], [0.0] * len(near), [-1] * len(near)
-                paths[s], far[s], queue = 1.0, 0, [s]
-                for v in queue:
-                    order.append(v)
-                    for w in near[v]:
-                        if far[w] < 0:
-                            far[w] = far[v] + 1
-                            queue.append(w)
-                        if far[w] == far[v] + 1:
-                            paths[w] += paths[v]
-                            before[w].append(v)
-                back = [0.0] * len(near)
-                for w in reversed(order):
-                    for v in before[w]:
-                        back[v] += paths[v] / paths[w] * (1 + back[w])
-                    if w != s:
-                        total[w] += back[w]
-        yield pd.DataFrame({"i": range(len(near)), "x": total})
-
-    n = len(names)
+    adj = written(adjacency(edges.select("src", "tgt")).filter("src <> tgt").distinct())
+    names = written(adj.select(F.col("src").alias("node")).distinct())
+    n = names.count()
+    start = names if sources is None else names.join(sources.select("node").distinct(), "node", "left_semi")
+    batches, found = max(1, -(-n * n // rows)), []
+    for k in range(batches):
+        last = written(start.filter(F.pmod(F.xxhash64("node"), F.lit(batches)) == k).select(F.col("node").alias("s"), "node", F.lit(1.0).alias("paths")))
+        levels = [last]
+        while not last.isEmpty():
+            ahead = last.withColumnRenamed("node", "src").join(adj, "src").groupBy("s", F.col("tgt").alias("node")).agg(F.sum("paths").alias("paths"))
+            for near in levels[-2:]:  # a neighbour of a level is in it, the one before or the next
+                ahead = ahead.join(near.select("s", "node"), ["s", "node"], "left_anti")
+            last = written(ahead)
+            levels.append(last)
+        back = None
+        for level, before in zip(levels[-2:0:-1], levels[-3::-1]):
+            own = level.withColumn("dep", F.lit(0.0)) if back is None else level.join(back, ["s", "node"], "left").withColumn("dep", F.coalesce("dep", F.lit(0.0)))
+            own = written(own)
+            found.append(own.select("node", "dep"))
+            share = own.select("s", F.col("node").alias("src"), ((1 + F.col("dep")) / F.col("paths")).alias("each")).join(adj, "src").select("s", F.col("tgt").alias("node"), "each")
+            back = share.join(before, ["s", "node"]).groupBy("s", "node").agg(F.sum(F.col("each") * F.col("paths")).alias("dep"))
     scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0
-    sums = edges.sparkSession.range(n).select(F.col("id").cast("int").alias("s")).mapInPandas(brandes, "i int, x double").groupBy("i").agg(F.sum("x").alias("x"))
-    known = F.broadcast(edges.sparkSession.createDataFrame(list(enumerate(names)), "i int, node string"))
-    return sums.join(known, "i").select("node", F.round(F.col("x") * scale, 9).alias("betweenness"))
+    none = names.select("node", F.lit(0.0).alias("dep"))
+    return reduce(DataFrame.unionByName, found, none).groupBy("node").agg(F.round(F.sum("dep") * scale, 9).alias("betweenness"))
 
 
 def eigenvector(edges: DataFrame, iterations: int = 20) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as T
+from graphloom.lineage import written
 
 
 def search(memories: DataFrame, kind: str | None = None, concept: str | None = None, since=None, until=None, limit: int = 10) -> DataFrame:
@@ -115,6 +118,29 @@ def subsequences(events: DataFrame, key: str, order: list[str], item: str, lengt
     return out.select("pattern", "length", "n", F.round(F.least(F.lit(0.9), F.col("n") / (2 * support)), 6).alias("confidence"))
 
 
+def all_subsequences(events: DataFrame, key: str, order: list[str], item: str, least: int = 2, support: int = 2) -> DataFrame:
+    """Contiguous runs of items of every length from ``least`` on that are met at least ``support`` times: as :func:`subsequences`, plus frequency = n / number of keys.
+
+    Lengths grow one by one: a run of n is looked at only where both runs of n - 1 in it were frequent, so a level holds frequent places
+    only, and the last level is the first with none. Null items part runs. Every level is written and read back.
+    """
+    w = W.partitionBy(key).orderBy(*order)
+    at = events.select(F.col(key).alias("key"), F.row_number().over(w).alias("place"), F.col(item).cast("string").alias("last")).filter("last is not null")
+    live, out, keys = written(at.withColumn("pattern", F.col("last"))), [], events.select(key).distinct().count()
+    length, step = 1, W.partitionBy("key").orderBy("place")
+    while True:
+        often = written(live.groupBy("pattern").agg(F.count("*").alias("n")).filter(F.col("n") >= support))
+        if often.isEmpty():
+            break
+        if length >= least:
+            out.append(often.withColumn("length", F.lit(length)))
+        known = live.join(often.select("pattern"), "pattern", "left_semi")
+        grown = known.select("key", "place", F.lead("place").over(step).alias("next"), F.lead("last").over(step).alias("last"), "pattern").filter("next = place + 1")
+        live, length = written(grown.select("key", "place", "last", F.concat_ws(">", "pattern", "last").alias("pattern"))), length + 1
+    found = reduce(DataFrame.unionByName, out) if out else live.groupBy("pattern").agg(F.count("*").alias("n")).limit(0).withColumn("length", F.lit(0))
+    return found.select("pattern", "length", "n", F.round(F.col("n") / max(1, keys), 6).alias("frequency"), F.round(F.least(F.lit(0.9), F.col("n") / (2 * support)), 6).alias("confidence"))
+
+
 def sequence_similarity(pairs: DataFrame) -> DataFrame:
     """0.4 Jaccard + 0.6 x 2 LCS / (m + n) of arrays a and b."""
 

@@ -62,6 +62,14 @@ def khop_cumulative(spark, sf):
     return G.khop(K.place_edges(spark, sf), seeds(spark, "supplier:1"), 2, "cumulative")
 
 
+@query(f"""WITH RECURSIVE {K.SQL_PLACES}, adj AS (SELECT src, tgt FROM places UNION SELECT tgt, src FROM places),
+p(start, path, here, hops) AS (SELECT src, [src], src, 0 FROM (SELECT DISTINCT src FROM adj WHERE src LIKE 'region:%' OR src = 'supplier:1') UNION ALL SELECT start, list_append(path, tgt), tgt, hops + 1 FROM p JOIN adj ON src = here WHERE hops < 3 AND NOT list_contains(path, tgt))
+SELECT start, here AS target, hops::BIGINT AS hops, array_to_string(path, '>') AS path FROM p WHERE hops > 0 QUALIFY row_number() OVER (PARTITION BY start, here ORDER BY hops, path) <= 2""")
+def ego_paths_k3(spark, sf):
+    starts = K.nodes(spark, sf, ("region",)).select(F.col("entity_name").alias("node")).union(seeds(spark, "supplier:1"))
+    return G.ego_paths(K.place_edges(spark, sf), starts, 3, most=None).withColumn("path", F.concat_ws(">", "path"))
+
+
 @query(f"""WITH RECURSIVE {K.SQL_PLACES}, adj AS (SELECT src, tgt FROM places UNION SELECT tgt, src FROM places),
 p(path, here, hops) AS (SELECT ['supplier:1'], 'supplier:1', 0 UNION ALL SELECT list_append(path, tgt), tgt, hops + 1 FROM p JOIN adj ON src = here WHERE hops < 4 AND NOT list_contains(path, tgt))
 SELECT array_to_string(path, '>') AS path, hops::BIGINT AS hops FROM p WHERE hops > 0 AND here LIKE 'region:%'""")

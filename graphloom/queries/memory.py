@@ -65,6 +65,12 @@ def events_subsequences(spark, sf):
     return M.subsequences(_events(spark, sf), "user_id", ["ts", "event_id"], "event_type")
 
 
+@query("""WITH s AS (SELECT user_id, list(event_type ORDER BY ts, event_id) AS l FROM events GROUP BY user_id), i AS (SELECT l, unnest(range(1, len(l))) AS i FROM s), r AS (SELECT l, i, unnest(range(2, len(l) - i + 2)) AS n FROM i)
+SELECT array_to_string(l[i:i + n - 1], '>') AS pattern, n::INT AS length, count(*) AS n, round(count(*) / (SELECT count(*) FROM s), 6) AS frequency, round(least(0.9, count(*) / 4), 6) AS confidence FROM r GROUP BY 1, 2 HAVING count(*) >= 2""")
+def events_all_subsequences(spark, sf):
+    return M.all_subsequences(_events(spark, sf), "user_id", ["ts", "event_id"], "event_type")
+
+
 @query("SELECT conv_id, turn, role, text FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 2")
 def session_last_turns(spark, sf):
     return M.last_turns(K.table(spark, sf, "conversations"), 2)

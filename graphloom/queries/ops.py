@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom.functions.expansion import expand_query
 from graphloom.operators import communities as CO
+from graphloom.operators import context as CX
 from graphloom.operators import entities as E
 from graphloom.operators import graph as G
+from graphloom.operators import leiden as LE
 from graphloom.operators import relations as L
+from graphloom.operators import reports as RE
 from graphloom.queries.registry import query, whole
 from graphloom.sources import commerce as K
 
@@ -298,6 +302,66 @@ def community_describe(spark, sf):
     return CO.describe(_membership(spark, sf).filter("level = 1"), nodes, K.place_edges(spark, sf), 10)
 
 
+@query(f"""WITH {K.SQL_TRADE}, member AS (SELECT 'supplier:' || s_suppkey AS node, s_nationkey AS c FROM supplier UNION ALL SELECT 'customer:' || c_custkey, c_nationkey FROM customer UNION ALL SELECT 'part:' || p_partkey, p_size % 25 FROM part),
+e AS (SELECT a.c AS a, b.c AS b, sum(weight) AS w FROM trade JOIN member a ON src = a.node JOIN member b ON tgt = b.node GROUP BY ALL), k AS (SELECT c, sum(w) AS k FROM (SELECT a AS c, w FROM e UNION ALL SELECT b, w FROM e) GROUP BY c), m AS (SELECT sum(k) AS m2 FROM k)
+SELECT round(((SELECT 2 * sum(w) FROM e WHERE a = b) - (SELECT sum(k * k) FROM k) / m2) / m2, 9)::DOUBLE AS modularity, (SELECT count(*) FROM k) AS n_clusters FROM m""")
+def community_modularity(spark, sf):
+    s, c, p = (K.table(spark, sf, t) for t in ("supplier", "customer", "part"))
+    member = s.select(F.concat(F.lit("supplier:"), "s_suppkey").alias("node"), F.col("s_nationkey").alias("cluster")).union(c.select(F.concat(F.lit("customer:"), "c_custkey"), "c_nationkey")).union(p.select(F.concat(F.lit("part:"), "p_partkey"), F.col("p_size") % 25))
+    return LE.modularity(K.trade_edges(spark, sf), member)
+
+
+_CONTEXT = """d AS (SELECT DISTINCT o_custkey AS q, l_partkey AS p FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
+raw AS (SELECT q, 1 AS t, -1 AS place, 'entity_name' || chr(9) || 'content' AS item FROM (SELECT DISTINCT q FROM d) UNION ALL SELECT q, 1, p, 'part:' || p || chr(9) || p_name FROM d JOIN part ON p = p_partkey
+ UNION ALL SELECT q, 2, l.p, 'customer:' || q || chr(9) || 'part:' || l.p || chr(9) || 'bought ' || n FROM (SELECT o_custkey AS q, l_partkey AS p, count(*) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL) l
+ UNION ALL SELECT o_custkey, 3, o_orderkey, '[' || o_orderkey || ']  order of ' || o_orderpriority || chr(10) || '=====' || chr(10) || chr(10) FROM orders),
+rows AS (SELECT q, t, place, item, row_number() OVER (PARTITION BY q, t ORDER BY place, item) AS i, length(item) + 1 AS size FROM raw),
+b AS (SELECT c_custkey AS q, [60 + 10 * c_nationkey, 100 + c_custkey % 90, 5 * (c_custkey % 40)] AS b FROM customer)"""
+
+
+@query(f"""WITH RECURSIVE {_CONTEXT},
+st(q, b, step, i, rest, own, n) AS (SELECT q, b, 1, 1, 0, b[1], [0, 0, 0] FROM b UNION ALL
+ SELECT x.q, x.b, CASE WHEN fit THEN step ELSE step + 1 END, CASE WHEN fit THEN i + 1 ELSE n[step % 3 + 1] + 1 END,
+  CASE WHEN fit AND size <= rest THEN rest - size WHEN fit THEN rest ELSE rest + own END, CASE WHEN fit AND size <= rest THEN own WHEN fit THEN own - size WHEN step < 3 THEN b[step + 1] ELSE 0 END,
+  CASE WHEN fit THEN [n[k] + (k = (step - 1) % 3 + 1)::INT FOR k IN [1, 2, 3]] ELSE n END
+ FROM (SELECT st.*, r.size, coalesce(r.size <= st.rest OR r.size <= st.own, false) AS fit FROM st LEFT JOIN rows r ON r.q = st.q AND r.t = (st.step - 1) % 3 + 1 AND r.i = st.i WHERE st.step <= 6) x)
+SELECT r.q::BIGINT AS question, ['entities', 'relationships', 'chunks'][t] AS "table", r.i AS n, r.item FROM rows r JOIN st ON st.q = r.q AND st.step = 7 AND r.i <= st.n[t]""")
+def context_assembly(spark, sf):
+    """For each customer as a question: parts, purchases and orders within three budgets."""
+    c, p, o, l = (K.table(spark, sf, t) for t in ("customer", "part", "orders", "lineitem"))  # noqa: E741
+    bought = o.join(l, o.o_orderkey == l.l_orderkey).groupBy(F.col("o_custkey").cast("long").alias("question"), "l_partkey").agg(F.count("*").alias("n"))
+    header = bought.select("question", F.lit("entities").alias("table"), F.lit(-1).cast("long").alias("place"), CX.csv_row(F.lit("entity_name"), F.lit("content")).alias("item")).distinct()
+    part = F.concat(F.lit("part:"), F.col("l_partkey").cast("string"))
+    entities = bought.join(p, F.col("l_partkey") == F.col("p_partkey")).select("question", F.lit("entities"), F.col("l_partkey").cast("long"), CX.csv_row(part, F.col("p_name")))
+    edges = bought.select("question", F.lit("relationships"), F.col("l_partkey").cast("long"), CX.csv_row(F.concat(F.lit("customer:"), F.col("question").cast("string")), part, F.concat(F.lit("bought "), F.col("n").cast("string"))))
+    chunks = o.select(F.col("o_custkey").cast("long"), F.lit("chunks"), F.col("o_orderkey").cast("long"), CX.reference_row(F.col("o_orderkey"), F.concat(F.lit("order of "), "o_orderpriority")))
+    budgets = c.select(F.col("c_custkey").cast("long").alias("question"), (60 + 10 * F.col("c_nationkey")).alias("entities"), (100 + F.col("c_custkey") % 90).alias("relationships"), (5 * (F.col("c_custkey") % 40)).alias("chunks"))
+    kept = CX.assemble(header.union(entities).union(edges).union(chunks), budgets)
+    return kept.select("question", "table", F.row_number().over(W.partitionBy("question", "table").orderBy("place", "item")).cast("long").alias("n"), "item")
+
+
+@query("""WITH h AS (SELECT o_custkey AS q, 0 AS side, o_orderkey AS place, o_orderpriority || ',' || o_orderstatus AS item FROM orders WHERE o_orderstatus = 'F'), l AS (SELECT o_custkey AS q, 1 AS side, o_orderkey AS place, o_orderpriority || ',' || o_orderstatus AS item FROM orders WHERE o_orderstatus <> 'F' OR o_orderkey % 2 = 0),
+m AS (SELECT q, item, min(side * 1000000000000 + place) AS first FROM (SELECT * FROM h UNION ALL SELECT * FROM l) GROUP BY ALL), n AS (SELECT q, row_number() OVER (PARTITION BY q ORDER BY first, item) AS n, item FROM m)
+SELECT q::BIGINT AS question, 'id,' || chr(9) || 'priority,' || chr(9) || 'status' || chr(10) || string_agg(n || ',' || chr(9) || item, chr(10) ORDER BY n) AS text FROM n GROUP BY q""")
+def context_merge(spark, sf):
+    o = K.table(spark, sf, "orders").select(F.col("o_custkey").cast("long").alias("question"), F.col("o_orderkey").alias("place"), F.concat_ws(",", "o_orderpriority", "o_orderstatus").alias("item"), "o_orderstatus")
+    return CX.merged_text(CX.merge_contexts(o.filter("o_orderstatus = 'F'"), o.filter("o_orderstatus <> 'F' or place % 2 = 0")), "id,priority,status")
+
+
+@query()
+def community_leiden(spark, sf):
+    """Clusters of the places' graph in levels, none of over 100 nodes at the last."""
+    return LE.hierarchical_leiden(K.place_edges(spark, sf), 100)
+
+
+@query()
+def community_reports(spark, sf):
+    """Reports from nations up to regions over all suppliers, customers and their orders."""
+    nodes = K.nodes(spark, sf, ("supplier", "customer", "nation", "region"))
+    chunks = K.table(spark, sf, "orders").select(F.concat(F.lit("customer:"), F.col("o_custkey").cast("string")).alias("entity_name"), F.col("o_orderkey").alias("chunk_id"))
+    return RE.reports_by_level(_membership(spark, sf), nodes, K.place_edges(spark, sf), chunks, budget=200)
+
+
 @query()
 def community_cluster(spark, sf):
     return CO.cluster(K.place_edges(spark, sf), 100, 2)

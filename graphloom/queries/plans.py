@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from graphloom import providers as P
 from graphloom.operators import meta as M
 from graphloom.operators import trees as T
+from graphloom.operators.prize_tree import prize_tree
 from graphloom.plans import methods
 from graphloom.plans.operators import Context
 from graphloom.queries.ops import _membership, _reports
@@ -125,6 +126,21 @@ def meta_pcst_fallback(spark, sf):
     return M.prune_subgraph(K.place_edges(spark, sf).filter("relation = 'in_region'").select("src", "tgt", "relation"))
 
 
+@query()
+def meta_pcst(spark, sf):
+    """For each region, a tree over its nations, customers and suppliers: prizes are numbers of orders and a supplier's one, costs fall with numbers of lines."""
+    n = K.table(spark, sf, "nation")
+    scope = F.col("n_regionkey").alias("scope")
+    name = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c).cast("string"))
+    orders = K.table(spark, sf, "orders").groupBy("o_custkey").agg(F.count("*").alias("prize"))
+    c = K.table(spark, sf, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(orders, F.col("c_custkey") == F.col("o_custkey"), "left")
+    s = K.table(spark, sf, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey"))
+    nodes = c.select(scope, name("customer", "c_custkey").alias("node"), (F.coalesce("prize", F.lit(0)) / 10).cast("int").cast("double").alias("prize")).union(s.select(scope, name("supplier", "s_suppkey"), F.lit(1.0)))
+    edges = c.select(scope, name("customer", "c_custkey").alias("src"), name("nation", "n_nationkey").alias("tgt"), F.lit(0.5).alias("cost")).union(s.select(scope, name("supplier", "s_suppkey"), name("nation", "n_nationkey"), F.lit(1.5)))
+    edges = edges.union(n.select(scope, name("nation", "n_nationkey"), name("region", "n_regionkey"), F.lit(2.0)))
+    return prize_tree(nodes, edges)
+
+
 @query()
 def tree_balanced(spark, sf):
     return T.balanced_clusters(K.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), 8)
