@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -76,6 +78,28 @@ def upsert_nodes(old: DataFrame, mentions: DataFrame) -> DataFrame:
     return best.join(rest, "entity_name")
 
 
+def upsert_edges(old: DataFrame, mentions: DataFrame) -> DataFrame:
+    """Merge new relation mentions into merged edges: weights add up, relations, descriptions, keywords and sources are united.
+
+    Only pairs that ``mentions`` names are merged again; all other rows of ``old`` pass through as they are. A mention of a source the pair
+    already has is a repeat of a batch and counts for nothing.
+    """
+    new = mentions.withColumns({"src": F.least("src_id", "tgt_id"), "tgt": F.greatest("src_id", "tgt_id")})
+    keys = new.select("src", "tgt").distinct()
+    touched = old.join(keys, ["src", "tgt"], "left_semi")
+    had = touched.select("src", "tgt", F.explode("source_ids").alias("source_id"))
+    fresh = new.join(had, ["src", "tgt", "source_id"], "left_anti").select("src", "tgt", "weight", "relation_name", "description", "keywords", F.array("source_id").alias("source_ids"))
+    parts = lambda c: F.split(c, T.SEP)
+    both = touched.select("src", "tgt", "weight", "relation_name", "description", "keywords", "source_ids").unionByName(fresh)
+    texts = ("relation_name", "description", "keywords")
+    exploded = [both.select("src", "tgt", F.lit(c).alias("field"), F.explode(parts(F.col(c))).alias("part")).filter("part <> ''") for c in texts]
+    united = reduce(DataFrame.unionByName, exploded).groupBy("src", "tgt").pivot("field", list(texts)).agg(F.array_sort(F.collect_set("part")))
+    none = F.array().cast("array<string>")
+    sums = both.groupBy("src", "tgt").agg(F.sum("weight").alias("weight"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("source_ids")))).alias("source_ids"))
+    merged = sums.join(united, ["src", "tgt"], "left").select("src", "tgt", "weight", *[F.array_join(F.coalesce(c, none), T.SEP).alias(c) for c in texts], "source_ids")
+    return old.join(keys, ["src", "tgt"], "left_anti").select(*merged.columns).unionByName(merged)
+
+
 def summarise_long(nodes: DataFrame, limit: int, summary) -> DataFrame:
     """Descriptions of ``limit`` words or more pass through ``summary`` (a column function), others stay."""
     return nodes.withColumn("description", F.when(F.size(T.words(F.col("description"))) >= limit, summary(F.col("description"))).otherwise(F.col("description")))
