@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as T
+from graphloom.functions.alignment import lcs_length
 
 
 def bind(f, *values: Column) -> Column:
@@ -88,12 +89,7 @@ def rouge_l(rows: DataFrame, pred: str = "predicted", gold: str = "gold") -> Dat
         out = []
         for x, y in zip(a, b, strict=True):
             x, y = (x or "").lower().split(), (y or "").lower().split()
-            row = [0] * (len(y) + 1)
-            for w in x:
-                last = 0
-                for j, v in enumerate(y, 1):
-                    row[j], last = (last + 1 if w == v else max(row[j], row[j - 1])), row[j]
-            n = row[-1]
+            n = lcs_length(x, y)
             out.append(round(2 * n / (len(x) + len(y)), 6) if n else 0.0)
         return pd.Series(out)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from graphloom.functions.alignment import alignment_scores
 from graphloom.operators import crossmodal as X
 from graphloom.operators import evaluate as V
 from graphloom.queries.registry import query, whole
@@ -118,6 +119,14 @@ def qa_bleu4_rouge_l(spark, sf):
     return V.rouge_l(_answers(spark, sf).withColumn("bleu4", V.bleu(F.col("predicted"), F.col("gold"), 4, True))).select("item_id", "doc_id", "bleu4", "rouge_l")
 
 
+@query()
+def qa_meteor_rouge_lsum(spark, sf):
+    """Each document against the items that it holds a passage of, as its references: the best of each score."""
+    scored = _answers(spark, sf).select("doc_id", alignment_scores(F.col("predicted"), F.array("gold")).alias("s")).select("doc_id", "s.*")
+    best = [F.max(c).alias(c) for c in ("meteor", "rouge_lsum", "rouge_lsum_precision", "rouge_lsum_recall")]
+    return scored.groupBy("doc_id").agg(F.count("*").alias("n_references"), *best)
+
+
 @query()
 def qa_em_f1(spark, sf):
     return _answers(spark, sf).select("item_id", "doc_id", V.answer_scores(F.col("predicted"), F.col("gold")).alias("s")).select("item_id", "doc_id", "s.*")
