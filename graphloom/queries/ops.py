@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom.functions.expansion import expand_query
+from graphloom.operators import agents as AG
 from graphloom.operators import communities as CO
 from graphloom.operators import context as CX
 from graphloom.operators import entities as E
@@ -49,6 +50,30 @@ def entity_search_expanded(spark, sf):
     return E.search_expanded(_vectors(spark, sf), ask, ask, 4)
 
 
+@query(f"""WITH n AS (SELECT 'kind:' || (vec_id % 6) AS name, vec_id, embedding FROM embeddings), c AS (SELECT a.vec_id AS ask, b.name, b.vec_id, round({_COS}, 6) AS score FROM embeddings a, n b WHERE a.vec_id IN (0, 5, 7, 9, 11)),
+own AS (SELECT ask AS query_id, name, score FROM c WHERE ask IN (0, 5) QUALIFY row_number() OVER (PARTITION BY ask ORDER BY score DESC, name) <= 12), short AS (SELECT query_id FROM own GROUP BY query_id HAVING count(DISTINCT name) < 6),
+more AS (SELECT CASE WHEN ask = 7 THEN 0 ELSE 5 END AS query_id, name, round(score * 0.9, 6) AS score FROM (SELECT * FROM c WHERE ask IN (7, 9, 11)) WHERE CASE WHEN ask = 7 THEN 0 ELSE 5 END IN (SELECT query_id FROM short) QUALIFY row_number() OVER (PARTITION BY CASE WHEN ask = 7 THEN 0 ELSE 5 END ORDER BY score DESC, name) <= 6)
+SELECT query_id, name AS entity_name, max(score) AS score, row_number() OVER (PARTITION BY query_id ORDER BY max(score) DESC, name) AS rank FROM (SELECT * FROM own UNION ALL SELECT * FROM more) GROUP BY query_id, name QUALIFY rank <= 6""")
+def entity_search_expansions(spark, sf):
+    """Many vectors share a name, so that a question's own hits hold too few names and its expansions are searched."""
+    v = K.table(spark, sf, "embeddings")
+    named = v.select(F.concat(F.lit("kind:"), (F.col("vec_id") % 6).cast("string")).alias("entity_name"), "embedding")
+    more = v.filter("vec_id in (7, 9, 11)").select(F.when(F.col("vec_id") == 7, 0).otherwise(5).cast(dict(v.dtypes)["vec_id"]).alias("query_id"), F.col("embedding").alias("q"))
+    return E.search_expanded(named, _ask(spark, sf, 0, 5), more, 6)
+
+
+@query(f"""WITH {K.SQL_PLACES}, t AS (SELECT n_nationkey AS id, 'nation:' || n_nationkey AS topic FROM nation), s AS (SELECT id, topic, relation, src = topic AS head FROM t JOIN places ON src = topic OR tgt = topic),
+r AS (SELECT id, topic, relation, max(head) AS head, count(*) AS n FROM s GROUP BY ALL), f AS (SELECT *, round(n / sum(n) OVER (PARTITION BY id), 6) AS score FROM r QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC, relation) <= 2),
+c AS (SELECT DISTINCT id, topic, relation, head, score, CASE WHEN head THEN tgt ELSE src END AS far FROM f JOIN places USING (relation) WHERE (head AND src = topic) OR (NOT head AND tgt = topic)),
+x AS (SELECT id, topic, relation, head, far, CASE WHEN count(*) OVER w = 1 THEN score ELSE round(1 / count(*) OVER w, 6) END AS score FROM c WINDOW w AS (PARTITION BY id, topic, relation, head))
+SELECT id::BIGINT AS id, far AS entity_name, score, relation, topic AS topic_entity, head FROM x WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, far, relation) <= 4""")
+def agent_step(spark, sf):
+    """From every nation over its two most frequent relations to four far ends, as rated without a provider."""
+    edges = K.place_edges(spark, sf)
+    topics = K.table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.lit("what is there?").alias("question"), F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("entity_name"))
+    return AG.rate_tails(edges, AG.rate_relations(edges, topics, 2), 4)
+
+
 @query(f"WITH {K.SQL_EDGES}, {_DEGREE}, s AS (SELECT unnest(['supplier:1', 'supplier:2', 'region:3']) AS s), n AS (SELECT tgt AS node FROM edges JOIN s ON src = s UNION SELECT src FROM edges JOIN s ON tgt = s) SELECT node AS entity_name, rank FROM n JOIN deg USING (node) WHERE node NOT IN (SELECT s FROM s)")
 def entity_onehop(spark, sf):
     return E.onehop(K.edges(spark, sf), names(spark, "supplier:1", "supplier:2", "region:3"))
