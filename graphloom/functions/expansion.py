@@ -31,7 +31,7 @@ def _variants(subject: Column, kind: str, titles: tuple[str, ...]) -> Column:
     return F.concat(*more)
 
 
-def expand_query(query: Column, related: dict[str, tuple[str, ...]] | None = None, titles: tuple[str, ...] = ("emperor",)) -> Column:
+def expand_query(query: Column, related: dict[str, tuple[str, ...]] | None = None, titles: tuple[str, ...] = ()) -> Column:
     """Sorted distinct search terms of a question: itself in lower case, its subject's variants by the first form that fits, the
     terms ``related`` gives for phrases in it with the words of these phrases, and its words of three characters or more.
 

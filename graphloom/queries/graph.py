@@ -161,12 +161,12 @@ def graph_basic_stats(spark, sf):
     return G.basic_stats(K.nodes(spark, sf), K.edges(spark, sf))
 
 
-_TOGETHER = """mentioned AS (SELECT DISTINCT l_orderkey AS o, 'part:' || l_partkey AS p FROM lineitem WHERE l_quantity > 45),
+_TOGETHER = """mentioned AS (SELECT DISTINCT l_orderkey AS o, 'part:' || l_partkey AS p FROM lineitem),
 together AS (SELECT DISTINCT a.p AS src, b.p AS tgt FROM mentioned a JOIN mentioned b ON a.o = b.o AND a.p < b.p)"""
 
 
 def _together(spark, sf):
-    m = K.table(spark, sf, "lineitem").filter("l_quantity > 45").select("l_orderkey", F.concat(F.lit("part:"), F.col("l_partkey").cast("string")).alias("p")).distinct()
+    m = K.table(spark, sf, "lineitem").select("l_orderkey", F.concat(F.lit("part:"), F.col("l_partkey").cast("string")).alias("p")).distinct()
     return m.alias("a").join(m.alias("b"), "l_orderkey").filter("a.p < b.p").select(F.col("a.p").alias("src"), F.col("b.p").alias("tgt")).distinct()
 
 

@@ -32,10 +32,10 @@ def memory_search(spark, sf):
     return M.search(_memories(spark, sf), "click", "User 1", F.lit("2024-01-05").cast("timestamp"), limit=15).select("id", "importance", "access_count")
 
 
-@query("""WITH e AS (SELECT DISTINCT event_id AS id, 'user' || (user_id % 40) AS p FROM events WHERE ts >= TIMESTAMP '2024-01-20' UNION SELECT event_id, event_type FROM events WHERE ts >= TIMESTAMP '2024-01-20') SELECT p AS participant, count(*) AS n, round(count(*) / (SELECT count(DISTINCT id) FROM e), 6) AS confidence FROM e GROUP BY p HAVING count(*) >= 3""")
+@query("""WITH e AS (SELECT DISTINCT event_id AS id, 'user' || (user_id % 40) AS p FROM events UNION SELECT event_id, event_type FROM events) SELECT p AS participant, count(*) AS n, round(count(*) / (SELECT count(DISTINCT id) FROM e), 6) AS confidence FROM e GROUP BY p HAVING count(*) >= 3""")
 def memory_consolidate(spark, sf):
     e = _events(spark, sf).select(F.col("event_id").alias("id"), "ts", F.array(F.concat(F.lit("user"), (F.col("user_id") % 40).cast("string")), F.col("event_type")).alias("participants"))
-    return M.consolidate(e, F.lit("2024-01-20").cast("timestamp"))
+    return M.consolidate(e, F.lit("1970-01-01").cast("timestamp"))
 
 
 @query(f"WITH {_MEM} SELECT id, round(CASE WHEN ts > TIMESTAMP '2024-01-15' - INTERVAL 1 HOUR THEN importance ELSE importance * 0.95 END, 6) AS importance FROM mem")
@@ -238,16 +238,17 @@ def query_classification(spark, sf, rows="o_orderkey < 100"):
 # server
 
 
-@query(f"""WITH {K.SQL_PARTS}, {K.SQL_EDGES}, {K.SQL_NODES}, deg AS (SELECT node, count(*) AS d FROM (SELECT src AS node FROM edges UNION ALL SELECT tgt FROM edges) GROUP BY node), c AS (SELECT 'order:' || (l_orderkey) AS chunk_id, row_number() OVER (ORDER BY l_orderkey) AS rank, 1.0 / row_number() OVER (ORDER BY l_orderkey) AS score FROM (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_orderkey < 12)),
+@query(f"""WITH {K.SQL_PARTS}, {K.SQL_EDGES}, {K.SQL_NODES}, deg AS (SELECT node, count(*) AS d FROM (SELECT src AS node FROM edges UNION ALL SELECT tgt FROM edges) GROUP BY node), c AS (SELECT 'order:' || o_orderkey AS chunk_id, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS rank, 1.0 / row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS score FROM (SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50)),
 x AS (SELECT c.chunk_id, c.rank, m.entity_name, list_distinct(list_filter(regexp_extract_all(lower(description), '[a-z0-9]+'), lambda t: (length(t) > 2 OR regexp_full_match(t, '[0-9]+')) AND t NOT IN ('the', 'of', 'for', 'from', 'by', 'with', 'and', 'are', 'was'))) AS t, coalesce(d, 0) AS d, c.score FROM c JOIN mentioned m USING (chunk_id) JOIN nodes n USING (entity_name) LEFT JOIN deg ON node = m.entity_name),
 s AS (SELECT chunk_id, rank, entity_name, round(greatest(0, least(1, 0.35 * (len(list_filter(t, lambda w: w IN ('red', 'widget', 'company')))) / len(t) + 0.2 * least(1, d / 20) + 0.2 * score + 0.15 * (1 - (rank - 1) / ((SELECT max(rank) FROM c) - 1)) - 0.1)), 4) AS candidate_score FROM x),
 f AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY candidate_score DESC, entity_name) <= 4) SELECT * FROM f ORDER BY candidate_score DESC, rank, entity_name LIMIT 40""")
 def candidate_scoring(spark, sf):
     from pyspark.sql import Window as W
 
-    o = K.table(spark, sf, "lineitem").filter("l_orderkey < 12").select("l_orderkey").distinct()
-    rank = F.row_number().over(W.orderBy("l_orderkey"))
-    c = o.select(F.concat(F.lit("order:"), F.col("l_orderkey").cast("string")).alias("chunk_id"), rank.alias("rank"), (1.0 / rank).alias("score"))
+    # the ranked chunks: the fifty orders of the highest price
+    o = K.table(spark, sf, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(50)
+    rank = F.row_number().over(W.orderBy(F.desc("o_totalprice"), "o_orderkey"))
+    c = o.select(F.concat(F.lit("order:"), F.col("o_orderkey").cast("string")).alias("chunk_id"), rank.alias("rank"), (1.0 / rank).alias("score"))
     return S.score_candidates(c, K.chunk_parts(spark, sf), K.nodes(spark, sf), G.degree(K.edges(spark, sf)), "which red widget company")
 
 

@@ -73,9 +73,9 @@ def modality_similarity_graph(spark, sf):
     return X.similarity_graph(K.table(spark, sf, "embeddings"), 0.3)
 
 
-@query(f"SELECT a.vec_id AS a, b.vec_id AS b, CASE WHEN a.vec_id = b.vec_id THEN 1.0 ELSE round({_COS}, 6) END AS score FROM embeddings a, embeddings b WHERE a.vec_id < 120 AND b.vec_id < 120")
+@query(f"SELECT a.vec_id AS a, b.vec_id AS b, CASE WHEN a.vec_id = b.vec_id THEN 1.0 ELSE round({_COS}, 6) END AS score FROM embeddings a, embeddings b")
 def modality_similarity_table(spark, sf):
-    return X.similarity_table(K.table(spark, sf, "embeddings").filter("vec_id < 120"))
+    return X.similarity_table(K.table(spark, sf, "embeddings"))
 
 
 @query(f"""WITH RECURSIVE near AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE round({_COS}, 6) >= 0.4), core AS (SELECT a FROM near GROUP BY a HAVING count(*) + 1 >= 3),

@@ -145,11 +145,11 @@ def relationship_vdb(spark, sf):
     return L.vdb(v, _ask(spark, sf, 11), 12, 0.2)
 
 
-_SCORES = "scores AS (SELECT 'supplier:' || s_suppkey AS entity_name, round(s_acctbal / 1000, 3) AS score FROM supplier WHERE s_acctbal > 9000)"
+_SCORES = "scores AS (SELECT 'supplier:' || s_suppkey AS entity_name, round(s_acctbal / 1000, 3) AS score FROM supplier)"
 
 
 def _scores(spark, sf):
-    s = K.table(spark, sf, "supplier").filter("s_acctbal > 9000")
+    s = K.table(spark, sf, "supplier")
     return s.select(F.concat(F.lit("supplier:"), F.col("s_suppkey").cast("string")).alias("entity_name"), F.round(F.col("s_acctbal") / 1000, 3).alias("score"))
 
 
@@ -411,4 +411,4 @@ def query_expansion(spark, sf):
     s = F.concat_ws(" ", "c_mktsegment", F.col("c_custkey").cast("string"))
     about = lambda before, after="": F.concat(F.lit(before), s, F.lit(after))
     q = F.when(k == 0, about("What is the ", "?")).when(k == 1, about("Tell me about ")).when(k == 2, about("Who was Emperor ", "?")).when(k == 3, about("What caused ", "?")).when(k == 4, about("Describe ", "s")).otherwise(about("", " of the north"))
-    return K.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.explode(expand_query(q)).alias("term"))
+    return K.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.explode(expand_query(q, titles=("emperor",))).alias("term"))

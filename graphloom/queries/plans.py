@@ -91,13 +91,13 @@ def json_recovery(spark, sf, rows="o_orderkey < 60"):
 
 def _questions(spark, sf):
     b = K.table(spark, sf, "benchmark")
-    return b.select(F.col("item_id").alias("id"), F.concat(F.lit("Find Acme Corp and New York, then "), F.substring("text", 1, 30)).alias("question"))
+    return b.select(F.col("item_id").alias("id"), F.concat(F.lit("Find Acme Corp and New York, then "), "text").alias("question"))
 
 
-@query("SELECT item_id AS id, p::INT AS position, e AS entity_name FROM benchmark, (VALUES (0, 'Find Acme Corp'), (1, 'New York')) v(p, e) WHERE NOT regexp_matches(text[1:30], '[A-Z][a-z]+')")
+@query(r"""WITH l AS (SELECT item_id AS id, regexp_extract_all('Find Acme Corp and New York, then ' || regexp_replace(text, '[À-ÖØ-öø-ÿŒœ]', '_', 'g'), '\b[A-Z][a-z]+(?: [A-Z][a-z]+){0,2}\b') AS l FROM benchmark), e AS (SELECT id, unnest(l) AS entity_name, generate_subscripts(l, 1) AS i FROM l)
+SELECT id, (row_number() OVER (PARTITION BY id ORDER BY min(i)) - 1)::INT AS position, entity_name FROM e GROUP BY id, entity_name""")
 def meta_extract_entities(spark, sf):
-    b = K.table(spark, sf, "benchmark").filter(~F.col("text").substr(1, 30).rlike("[A-Z][a-z]+")).select("item_id")
-    return M.extract_entities(_questions(spark, sf).join(b, F.col("id") == b["item_id"], "left_semi"))
+    return M.extract_entities(_questions(spark, sf))
 
 
 @query("SELECT n_nationkey::BIGINT AS id, p::INT AS position, q AS question FROM nation, (VALUES (0, 'who lives'), (1, 'who leaves'), (2, 'when')) v(p, q)")
@@ -148,14 +148,14 @@ def tree_balanced(spark, sf):
 
 @query()
 def tree_soft_clusters(spark, sf):
-    v = K.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.slice("embedding", 1, 4).alias("embedding"))
+    v = K.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     return T.soft_clusters(v, 4)
 
 
 @query()
 def tree_of_summaries(spark, sf):
     leaves = K.table(spark, sf, "nation").select(F.col("n_name").alias("id"), F.concat_ws(" ", "n_name", F.lit("in region"), F.col("n_regionkey").cast("string")).alias("content"))
-    return T.build(leaves, lambda v: T.balanced_clusters(v, 5), lambda c: F.substring(c, 1, 200), 2)
+    return T.build(leaves, lambda v: T.balanced_clusters(v, 5), lambda c: c, 2)
 
 
 @query()

@@ -154,7 +154,7 @@ def passage_links(spark, sf):
 
 
 _QUERY = "theanedble anea attion eriner instan"
-_INDEX = f"""d AS (SELECT doc_id, text FROM documents WHERE lang = 'en'), raw AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM d),
+_INDEX = f"""d AS (SELECT doc_id, text FROM documents), raw AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM d),
 tf AS (SELECT doc_id, term, count(*) AS tf FROM raw WHERE length(term) >= 2 GROUP BY ALL), n AS (SELECT count(*) AS n FROM d), idf AS (SELECT term, ln((1 + any_value(n)) / (1 + count(*))) + 1 AS idf FROM tf, n GROUP BY term),
 norms AS (SELECT doc_id, sqrt(sum(tf * idf * tf * idf)) AS norm FROM tf JOIN idf USING (term) GROUP BY doc_id), q0 AS (SELECT term, count(*) AS c FROM (SELECT unnest(regexp_extract_all('{_QUERY}', '[a-z0-9]+')) AS term) GROUP BY term),
 q AS (SELECT term, c * idf / (SELECT sqrt(sum(c * idf * c * idf)) FROM q0 JOIN idf USING (term)) AS q, idf FROM q0 JOIN idf USING (term)),
@@ -163,7 +163,7 @@ scores AS (SELECT doc_id, round(sum(tf * idf.idf * q) / any_value(norm), 6) AS s
 
 @query(f"WITH {_INDEX} SELECT doc_id, score FROM scores ORDER BY score DESC, doc_id LIMIT 20")
 def tfidf_rank(spark, sf):
-    return R.Tfidf(documents(spark, sf, "en"), "doc_id", "text").top(_QUERY, 20)
+    return R.Tfidf(documents(spark, sf), "doc_id", "text").top(_QUERY, 20)
 
 
 @query(f"""WITH {_INDEX}, few AS (SELECT doc_id, score AS tfidf FROM scores ORDER BY score DESC, doc_id LIMIT 50),
@@ -174,7 +174,7 @@ r AS (SELECT f.doc_id, f.tfidf, (SELECT sum(w) FROM wt WHERE list_contains(regex
       FROM few f JOIN d USING (doc_id), grams)
 SELECT doc_id, round(tfidf + 0.45 * coalesce(coverage, 0) + least(0.30, 0.06 * phrase_hits) + CASE WHEN exact THEN 0.2 ELSE 0 END, 5) AS hybrid, round(tfidf, 5) AS tfidf, round(coalesce(coverage, 0), 5) AS coverage, phrase_hits, exact FROM r ORDER BY hybrid DESC, tfidf DESC, doc_id LIMIT 10""")
 def text_search_hybrid(spark, sf):
-    return R.text_search(documents(spark, sf, "en"), "doc_id", "text", _QUERY, 10)
+    return R.text_search(documents(spark, sf), "doc_id", "text", _QUERY, 10)
 
 
 @query(f"""WITH {_INDEX}, a AS (SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scores QUALIFY rank <= 30), b AS (SELECT doc_id, 0.5::DOUBLE AS score, row_number() OVER (ORDER BY length(text) DESC, doc_id) AS rank FROM d QUALIFY rank <= 30)
@@ -182,7 +182,7 @@ SELECT doc_id, round(sum(1 / (50 + rank)), 9) AS rrf, max(score) AS score FROM (
 def rrf_fusion(spark, sf):
     from pyspark.sql import Window as W
 
-    d = documents(spark, sf, "en")
+    d = documents(spark, sf)
     a = R.Tfidf(d, "doc_id", "text").top(_QUERY, 30).withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), "doc_id")))
     b = d.select("doc_id", F.lit(0.5).alias("score"), F.length("text").alias("n")).orderBy(F.desc("n"), "doc_id").limit(30).withColumn("rank", F.row_number().over(W.orderBy(F.desc("n"), "doc_id"))).drop("n")
     return R.rrf(a.unionByName(b), "doc_id")

@@ -44,7 +44,7 @@ def test_index_edge_cases(spark):
 
 def test_query_expansion(spark):
     rows = spark.createDataFrame([("What are the Blue Stones?",), ("who was emperor Otto",), ("Why did the fall come",), ("",), (None,)], "q string")
-    got = [r["t"] for r in rows.select(expand_query(F.col("q"), {"fall": ("decline", "end")}).alias("t")).collect()]
+    got = [r["t"] for r in rows.select(expand_query(F.col("q"), {"fall": ("decline", "end")}, ("emperor",)).alias("t")).collect()]
     assert got[0] == sorted({"what are the blue stones?", "the blue stones", "blue stones", "the blue stone", "blue", "stones?"})
     assert got[1] == sorted({"who was emperor otto", "emperor otto", "otto", "emperor otto biography", "emperor otto role", "emperor"})
     assert got[2] == sorted({"why did the fall come", "decline", "end", "fall", "did", "come"}) and got[3] == [""] and got[4] is None
