@@ -80,7 +80,7 @@ def schema(membership: DataFrame, edges: DataFrame, node_chunks: DataFrame) -> D
 
 def from_entities(membership: DataFrame, seeds: DataFrame, reports: DataFrame, level: int, budget: int | None = None, single: bool = False) -> DataFrame:
     """Communities of the seeds up to ``level``: cluster, hits, rating, tokens; by (hits, rating) falling, within the budget."""
-    hit = membership.filter(F.col("level") <= level).join(F.broadcast(seeds.select(F.col("entity_name").alias("node"))), "node").groupBy("cluster").agg(F.count("*").alias("hits"))
+    hit = membership.filter(F.col("level") <= level).join(seeds.select(F.col("entity_name").alias("node")), "node").groupBy("cluster").agg(F.count("*").alias("hits"))
     out = hit.join(reports.select("cluster", "rating", F.size(T.words(F.col("report_string"))).cast("long").alias("tokens")), "cluster")
     order = [F.desc("hits"), F.desc("rating"), F.col("cluster")]
     if budget is not None:
@@ -96,7 +96,7 @@ def from_level(reports: DataFrame, level: int, most: int, min_rating: float = 0.
 
 def detect(membership: DataFrame, seeds: DataFrame, reports: DataFrame, k: int = 5) -> DataFrame:
     """Communities by the number of seeds among their nodes, then occurrence."""
-    hit = membership.join(F.broadcast(seeds.select(F.col("entity_name").alias("node")).distinct()), "node").groupBy("cluster").agg(F.countDistinct("node").alias("overlap"))
+    hit = membership.join(seeds.select(F.col("entity_name").alias("node")).distinct(), "node").groupBy("cluster").agg(F.countDistinct("node").alias("overlap"))
     return hit.join(reports.select("cluster", "occurrence"), "cluster").orderBy(F.desc("overlap"), F.desc("occurrence"), "cluster").limit(k)
 
 

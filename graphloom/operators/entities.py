@@ -129,6 +129,6 @@ def resolve_fuzzy(nodes: DataFrame, names: DataFrame) -> DataFrame:
     t = names.select("name", F.array_distinct(T.tokens(F.col("name"))).alias("t")).filter(F.size("t") > 0)
     ask = t.select("name", F.size("t").alias("n"), F.explode("t").alias("token"))
     own = nodes.select("entity_name", F.array_distinct(T.tokens(F.col("entity_name"))).alias("o")).select("entity_name", F.size("o").alias("m"), F.explode("o").alias("token"))
-    hit = own.join(F.broadcast(ask), "token").groupBy("name", "n", "entity_name", "m").agg(F.count("*").alias("shared"))
+    hit = own.join(ask, "token").groupBy("name", "n", "entity_name", "m").agg(F.count("*").alias("shared"))
     best = hit.groupBy("name").agg(F.min_by(F.struct("entity_name", "shared"), F.struct((F.col("shared") < F.col("n")).cast("int"), -F.col("shared"), "m", "entity_name")).alias("b"))
     return best.select("name", "b.entity_name", "b.shared")

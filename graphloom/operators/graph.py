@@ -271,9 +271,11 @@ def subgraph_documents(lines: DataFrame) -> DataFrame:
     return lines.groupBy("chunk_id").agg(F.concat_ws("; ", F.array_sort(F.collect_set(F.concat_ws(" ", "src", "relation", "tgt")))).alias("content"))
 
 
-def expand_until(edges: DataFrame, seeds: DataFrame, most: int = 10, rounds: int = 3) -> DataFrame:
-    """Incident edges of the seeds, widened round by round until there are more than ``most``."""
+def expand_until(edges: DataFrame, seeds: DataFrame, most: int = 10, rounds: int = 3, enough: int | None = None) -> DataFrame:
+    """Incident edges of the seeds, widened round by round until there are more than ``most``; with ``enough``, not at all if they are more than that."""
     found = cut(incident(edges, seeds))
+    if enough is not None and found.count() > enough:
+        return found
     for _ in range(rounds):
         if found.count() > most:
             break

@@ -213,7 +213,7 @@ def performance(calls: DataFrame, name: str, value: str, error: Column) -> DataF
 def costs(usage: DataFrame, prices: DataFrame) -> DataFrame:
     """Tokens and cost per (stage, model); prices are per 1000 tokens and few."""
     u = usage.groupBy("stage", "model").agg(F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"))
-    p = u.join(F.broadcast(prices), "model", "left")
+    p = u.join(prices, "model", "left")
     return p.select("stage", "model", "input_tokens", "output_tokens", F.round((F.col("input_tokens") * F.coalesce("input_price", F.lit(0.0)) + F.col("output_tokens") * F.coalesce("output_price", F.lit(0.0))) / 1000, 6).alias("cost"))
 
 
@@ -298,6 +298,43 @@ def value_shares(rows: DataFrame, col: str) -> DataFrame:
     return rows.groupBy(F.col(col).alias("value")).agg(F.count("*").alias("n")).crossJoin(total).select("value", "n", F.round(100 * F.col("n") / F.col("_t"), 4).alias("percent"))
 
 
+def top_terms(rows: DataFrame, terms: str, k: int = 10) -> DataFrame:
+    """The ``k`` values most often in an array column, such as hashtags or mentions: value, n; ties by value."""
+    return rows.select(F.explode(terms).alias("value")).groupBy("value").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "value").limit(k)
+
+
+def keyword_posts(rows: DataFrame, kind: str, text: str, keywords: dict[str, tuple[str, ...]]) -> DataFrame:
+    """``rows`` whose text holds a keyword of its kind, in any case of letters; kinds without keywords have none."""
+    hit = F.lit(False)
+    for k, words in keywords.items():
+        own = F.lit(False)
+        for w in words:
+            own = own | F.contains(F.lower(F.col(text)), F.lit(w.lower()))
+        hit = hit | ((F.col(kind) == k) & own)
+    return rows.filter(hit)
+
+
+def support_rates(rows: DataFrame, kind: str, label: str, support: str = "support", deny: str = "deny") -> DataFrame:
+    """kind, n, support, deny, rate (per cent of all rows of the kind that support)."""
+    g = rows.groupBy(F.col(kind).alias("kind")).agg(F.count("*").alias("n"), F.count_if(F.coalesce(F.col(label) == support, F.lit(False))).alias("support"), F.count_if(F.coalesce(F.col(label) == deny, F.lit(False))).alias("deny"))
+    return g.withColumn("rate", F.round(100 * F.col("support") / F.col("n"), 4))
+
+
+def summaries(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """column, n, mean, deviation (of a sample), least, quarter, median, three_quarters, most of numeric columns, nulls aside; quartiles are exact."""
+    flat = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x")).select("x.*").filter("v is not null")
+    q = F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")
+    g = flat.groupBy("column").agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.stddev("v").alias("deviation"), F.min("v").alias("least"), F.max("v").alias("most"), q)
+    r = lambda c: F.round(c, 4)
+    return g.select("column", "n", r("mean").alias("mean"), r("deviation").alias("deviation"), "least", r(F.col("q")[0]).alias("quarter"), r(F.col("q")[1]).alias("median"), r(F.col("q")[2]).alias("three_quarters"), "most")
+
+
+def last_queries(rows: DataFrame, key: str, order: list[str], most: int = 100) -> DataFrame:
+    """The last ``most`` rows of each key, with ``age``, from 1 for the newest."""
+    w = W.partitionBy(key).orderBy(*[F.desc(c) for c in order])
+    return rows.withColumn("age", F.row_number().over(w)).filter(F.col("age") <= most)
+
+
 def spanning(rows: DataFrame, account: str, kind: str) -> DataFrame:
     """Accounts that appear under more than one kind."""
     return rows.groupBy(account).agg(F.countDistinct(kind).alias("kinds")).filter("kinds > 1")

@@ -98,7 +98,7 @@ def capped_relation_chunks(edges: DataFrame, per_edge: int, total: int) -> DataF
 def occurrence(mentions: DataFrame, edges: DataFrame, seeds: DataFrame, k: int | None = None) -> DataFrame:
     """Chunks of the seeds (entity_name, position): chunk_id, position of the first seed, relation_counts = one-hop
     neighbours of the chunk's seeds that cite it too. Ordered by position, then counts falling."""
-    own = mentions.join(F.broadcast(seeds), "entity_name").select("chunk_id", "entity_name", "position")
+    own = mentions.join(seeds, "entity_name").select("chunk_id", "entity_name", "position")
     near = G.neighbours(edges, seeds.select(F.col("entity_name").alias("node"))).select(F.col("seed").alias("entity_name"), F.col("node"))
     both = own.join(near, "entity_name").join(mentions.select("chunk_id", F.col("entity_name").alias("node")).distinct(), ["chunk_id", "node"]).groupBy("chunk_id").agg(F.countDistinct("node").alias("c"))
     first = own.groupBy("chunk_id").agg(F.min("position").alias("position"))
@@ -108,7 +108,7 @@ def occurrence(mentions: DataFrame, edges: DataFrame, seeds: DataFrame, k: int |
 
 def pair_occurrence(mentions: DataFrame, seeds: DataFrame, k: int | None = None) -> DataFrame:
     """Chunks by the number of pairs of seeds they mention together: chunk_id, pairs."""
-    n = mentions.join(F.broadcast(seeds.select("entity_name").distinct()), "entity_name").groupBy("chunk_id").agg(F.countDistinct("entity_name").alias("n"))
+    n = mentions.join(seeds.select("entity_name").distinct(), "entity_name").groupBy("chunk_id").agg(F.countDistinct("entity_name").alias("n"))
     out = n.filter("n > 1").select("chunk_id", (F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("pairs"))
     return out.orderBy(F.desc("pairs"), "chunk_id").limit(k) if k is not None else out
 
@@ -137,5 +137,5 @@ def aggregate_by_edges(candidates: DataFrame, scores: DataFrame, k: int) -> Data
 def texts_for_entities(mentions: DataFrame, chunks: DataFrame, names: DataFrame, cap: int) -> DataFrame:
     """Per entity up to ``cap`` of its chunks: entity_name, chunk_id, content."""
     w = W.partitionBy("entity_name").orderBy("chunk_id")
-    own = mentions.join(F.broadcast(names), "entity_name", "left_semi").withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= cap)
+    own = mentions.join(names, "entity_name", "left_semi").withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= cap)
     return own.join(chunks.select("chunk_id", "content"), "chunk_id").select("entity_name", "chunk_id", "content")

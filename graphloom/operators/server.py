@@ -48,8 +48,8 @@ def resolve_names(candidates: DataFrame, asked: DataFrame, threshold: float, kin
 
 def profiles(nodes: DataFrame, mentions: DataFrame, names: DataFrame, aliases: int = 12, refs: int = 5) -> DataFrame:
     """Canonical name, type, description (280 characters), aliases and evidence of the named entities."""
-    own = nodes.join(F.broadcast(names), "entity_name", "left_semi")
-    ev = mentions.join(F.broadcast(names), "entity_name", "left_semi").groupBy("entity_name").agg(F.slice(F.array_sort(F.collect_set("chunk_id")), 1, refs).alias("evidence"))
+    own = nodes.join(names, "entity_name", "left_semi")
+    ev = mentions.join(names, "entity_name", "left_semi").groupBy("entity_name").agg(F.slice(F.array_sort(F.collect_set("chunk_id")), 1, refs).alias("evidence"))
     other = F.slice(F.array_distinct(F.array_compact(F.array(F.col("entity_name"), T.clean(F.col("entity_name")), F.col("description")))), 1, aliases)
     return own.join(ev, "entity_name", "left").select(
         "entity_name", F.coalesce(F.nullif("entity_type", F.lit("")), F.lit("unknown")).alias("entity_type"), F.substring("description", 1, 280).alias("description"), F.array_join(other, "|").alias("aliases"),
@@ -75,7 +75,7 @@ def score_candidates(chunks: DataFrame, mentions: DataFrame, nodes: DataFrame, d
     known other type, within 0..1. The ranked chunks are a result list, so a handful.
     """
     best = F.broadcast(chunks.agg(F.greatest(F.max("score"), F.lit(1e-6)).alias("_best"), F.greatest(F.max("rank") - 1, F.lit(1)).alias("_last")))
-    own = mentions.join(F.broadcast(chunks), "chunk_id").crossJoin(best).join(nodes.select("entity_name", "entity_type", "description"), "entity_name").join(degree.select(F.col("node").alias("entity_name"), "degree"), "entity_name", "left")
+    own = mentions.join(chunks, "chunk_id").crossJoin(best).join(nodes.select("entity_name", "entity_type", "description"), "entity_name").join(degree.select(F.col("node").alias("entity_name"), "degree"), "entity_name", "left")
     q = nodes.sparkSession.createDataFrame([(query,)], "q string").select(T.signal_tokens(F.col("q")).alias("_q"), T.expected_types(F.col("q")).alias("_e"))
     own = own.crossJoin(F.broadcast(q))
     name = T.signal_tokens(F.col("description"))

@@ -62,6 +62,12 @@ def khop_cumulative(spark, sf):
     return G.khop(K.place_edges(spark, sf), seeds(spark, "supplier:1"), 2, "cumulative")
 
 
+@query(f"""WITH {K.SQL_PLACES}, s AS (SELECT src, tgt, relation, weight FROM places WHERE src = 'nation:3' OR tgt = 'nation:3') SELECT * FROM s""")
+def expand_enough_direct(spark, sf):
+    """A nation's own edges are more than five, so they aren't widened."""
+    return G.expand_until(K.place_edges(spark, sf), seeds(spark, "nation:3"), 1000, 3, enough=5)
+
+
 @query(f"""WITH RECURSIVE {K.SQL_PLACES}, adj AS (SELECT src, tgt FROM places UNION SELECT tgt, src FROM places),
 p(start, path, here, hops) AS (SELECT src, [src], src, 0 FROM (SELECT DISTINCT src FROM adj WHERE src LIKE 'region:%' OR src = 'supplier:1') UNION ALL SELECT start, list_append(path, tgt), tgt, hops + 1 FROM p JOIN adj ON src = here WHERE hops < 3 AND NOT list_contains(path, tgt))
 SELECT start, here AS target, hops::BIGINT AS hops, array_to_string(path, '>') AS path FROM p WHERE hops > 0 QUALIFY row_number() OVER (PARTITION BY start, here ORDER BY hops, path) <= 2""")

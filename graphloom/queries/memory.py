@@ -71,6 +71,34 @@ def events_all_subsequences(spark, sf):
     return M.all_subsequences(_events(spark, sf), "user_id", ["ts", "event_id"], "event_type")
 
 
+@query(r"""SELECT value, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '@(\w+)', 1)) AS value FROM documents) GROUP BY value ORDER BY n DESC, value LIMIT 10""")
+def social_top_mentions(spark, sf):
+    d = K.table(spark, sf, "documents").select(F.regexp_extract_all("text", F.lit(r"@(\w+)"), F.lit(1)).alias("mentions"))
+    return M.top_terms(d, "mentions")
+
+
+@query("""SELECT source AS kind, count(*) AS n, count(*) FILTER (quality = 1) AS support, count(*) FILTER (quality = 0) AS deny, round(100 * count(*) FILTER (quality = 1) / count(*), 4) AS rate FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source""")
+def social_support_rates(spark, sf):
+    d = K.table(spark, sf, "documents").join(K.table(spark, sf, "labels").select("doc_id", F.when(F.col("quality") == 1, "support").when(F.col("quality") == 0, "deny").alias("label")), "doc_id", "left")
+    return M.support_rates(d, "source", "label")
+
+
+@query("""SELECT doc_id FROM documents WHERE (lang = 'en' AND (contains(lower(text), 'license') OR contains(lower(text), 'chapter'))) OR (lang = 'de' AND contains(lower(text), 'der '))""")
+def social_keyword_posts(spark, sf):
+    return M.keyword_posts(K.table(spark, sf, "documents"), "lang", "text", {"en": ("License", "chapter"), "de": ("der ",)}).select("doc_id")
+
+
+@query("""WITH f AS (SELECT unnest([struct_pack("column" := 'o_totalprice', v := o_totalprice::DOUBLE), struct_pack("column" := 'o_custkey', v := o_custkey::DOUBLE)], recursive := true) FROM orders)
+SELECT "column", count(*) AS n, round(avg(v), 4) AS mean, round(stddev(v), 4) AS deviation, min(v) AS least, round(quantile_cont(v, 0.25), 4) AS quarter, round(quantile_cont(v, 0.5), 4) AS median, round(quantile_cont(v, 0.75), 4) AS three_quarters, max(v) AS most FROM f GROUP BY 1""")
+def social_summaries(spark, sf):
+    return M.summaries(K.table(spark, sf, "orders"), ["o_totalprice", "o_custkey"])
+
+
+@query("SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS age FROM events QUALIFY age <= 20")
+def query_history(spark, sf):
+    return M.last_queries(_events(spark, sf), "user_id", ["ts", "event_id"], 20).select("user_id", "event_id", "age")
+
+
 @query("SELECT conv_id, turn, role, text FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 2")
 def session_last_turns(spark, sf):
     return M.last_turns(K.table(spark, sf, "conversations"), 2)
