@@ -13,12 +13,14 @@ from pyspark.sql import functions as F
 TREES, DEPTH, SEED = 24, 7, 11
 LEAST = 16  # characters of a run; near a telling name 8, and a value given to one may have any
 THRESHOLD = 0.5
+OPEN, CLOSE = "\x01", "\x02"
 
 # Words by what they say of a value next to them, common words and letter pairs.
 TELLING = "token|secret|password|passwd|pwd|passphrase|apikey|api_key|access_key|private_key|secret_key|client_secret|auth|authorization|bearer|credential|credentials"
 # A telling name with its sign, and that with its value: quoted, or up to the next space. Authors, tokenizers and secretaries tell nothing.
 NAME = rf"(?i:{TELLING})(?!(?i:(?<=auth)or(?!iz)|(?<=token)i[sz]|(?<=secret)a))[A-Za-z0-9_.\-]*+[\"'`\]]{{0,2}}[ \t]*+(?:=>|:=|==?|:)[ \t]*+"
-ASSIGNED = NAME + "(?:" + "|".join(rf"{q}[^{q}\\\n]*+(?:\\.[^{q}\\\n]*+)*+{q}" for q in "\"'`") + r"|\S++)"
+VALUE = "(?:" + "|".join(rf"{q}[^{q}\\\n]*+(?:\\.[^{q}\\\n]*+)*+{q}" for q in "\"'`") + r"|\S++)"
+ASSIGNED = NAME + VALUE
 HARMLESS = "sha|sha1|sha256|md5|commit|checksum|hash|digest|revision|integrity|etag|uuid|guid|id|build|version|tree|parent|blob|example|sample|dummy|isbn|phone|tel|card|order|invoice"
 TEST_PATH = "test|tests|spec|example|examples|sample|samples|fixture|fixtures|mock|mocks|doc|docs|vendor|node_modules|lock"
 CONFIG_PATH = "env|conf|config|settings|credentials|secrets|pem|key|yaml|yml|ini|properties"
@@ -127,34 +129,36 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     runs = rf"[A-Za-z0-9][A-Za-z0-9+/_.\-]{{6,}}[A-Za-z0-9]=?=?"
     text = F.coalesce(F.col(text_col), F.lit(""))
-    words = docs.select(
+    # each value between two marks, which the text itself has none of, so that a word tells the values in it
+    marked = F.regexp_replace(F.translate(text, OPEN + CLOSE, "\x03\x03"), f"({NAME})({VALUE})", f"$1{OPEN}$2{CLOSE}")
+    rows = docs.select(
         F.col(id_col).alias("id"), (F.col(path_col) if path_col else F.lit(None).cast("string")).alias("path"), F.split(text, r"\s+").alias("words"),
-        F.split(text, ASSIGNED).alias("between"), F.regexp_extract_all(text, F.lit(ASSIGNED), F.lit(0)).alias("given"))
-    spaces = lambda c: F.size(F.split(c, r"\s+")) - 1
-    total = lambda texts: F.aggregate(texts, F.lit(0), lambda n, x: n + spaces(x))
+        F.split(marked, r"\s+").alias("marked"), F.regexp_extract_all(text, F.lit(ASSIGNED), F.lit(0)).alias("given"))
     at_word = lambda i: F.get("words", i)
 
-    def value(given: Column, i: Column) -> Column:
-        name = F.regexp_extract(given, "^" + NAME, 0)
-        rest = F.substring(given, F.length(name) + 1, F.length(given))
+    def bare(rest: Column) -> Column:
         quoted = (F.length(rest) >= 2) & rest.rlike("^([\"'`])[\\s\\S]*\\1$")
-        token = F.when(quoted, F.substring(rest, F.lit(2), F.length(rest) - 2)).otherwise(F.regexp_replace(rest, "^[\"'`]+|[\"'`,;]+$", ""))
-        p = total(F.slice("between", F.lit(1), i + 1)) + total(F.slice("given", F.lit(1), i)) + spaces(name)
-        last = p + spaces(rest)
-        return F.struct(
-            p.cast("long").alias("word_at"), token.alias("token"), F.concat_ws(" ", at_word(p - 3), at_word(p - 2), at_word(p - 1)).alias("before"),
-            F.concat(F.regexp_extract(name, r"\S*$", 0), rest).alias("within"), F.concat_ws(" ", at_word(last + 1), at_word(last + 2)).alias("after"))
-
-    words = words.select("id", "path", "words", F.filter(F.transform("given", value), lambda v: v["token"] != "").alias("values"))
-    values = words.select("id", "path", F.explode("values").alias("v")).select("id", "v.word_at", "v.token", "v.before", "v.within", "v.after", "path")
-    at = words.withColumn("p", F.explode(F.sequence(F.lit(0), F.size("words") - 1)))
-    word = F.get("words", F.col("p"))
+        return F.when(quoted, F.substring(rest, F.lit(2), F.length(rest) - 2)).otherwise(F.regexp_replace(rest, "^[\"'`]+|[\"'`,;]+$", ""))
+
+    # the words at which values begin, in the values' order; from here on one row a value, so nothing is looked at once for each other value
+    begins = F.flatten(F.transform("marked", lambda w, i: F.array_repeat(i, F.size(F.split(w, OPEN)) - 1)))
+    each = rows.filter(F.size("given") > 0).select("id", "path", "words", F.explode(F.arrays_zip("given", begins.alias("p"))).alias("z")).select("id", "path", "words", F.col("z.given").alias("given"), F.col("z.p").alias("p"))
+    name = F.regexp_extract("given", "^" + NAME, 0)
+    each = each.withColumn("name", name).withColumn("rest", F.substring("given", F.length("name") + 1, F.length("given")))
+    last = F.col("p") + F.size(F.split("rest", r"\s+")) - 1
+    values = each.select(
+        "id", F.col("p").cast("long").alias("word_at"), bare(F.col("rest")).alias("token"), F.concat_ws(" ", *[at_word(F.col("p") - k) for k in (3, 2, 1)]).alias("before"),
+        F.concat(F.regexp_extract("name", r"\S*$", 0), "rest").alias("within"), F.concat_ws(" ", at_word(last + 1), at_word(last + 2)).alias("after"), "path").filter("token <> ''")
+    at = rows.select("id", "path", "words", "marked", F.explode(F.sequence(F.lit(0), F.size("words") - 1)).alias("p"))
+    word = at_word(F.col("p"))
     some = at.filter((F.length(word) >= 8) & word.rlike("[0-9]"))
-    before = F.concat_ws(" ", F.get("words", F.col("p") - 3), F.get("words", F.col("p") - 2), F.get("words", F.col("p") - 1))
-    found = some.select("id", "path", "values", "p", before.alias("before"), word.alias("within"), F.concat_ws(" ", F.get("words", F.col("p") + 1), F.get("words", F.col("p") + 2)).alias("after"))
+    found = some.select(
+        "id", "path", "p", F.get("marked", F.col("p")).alias("mark"), F.concat_ws(" ", *[at_word(F.col("p") - k) for k in (3, 2, 1)]).alias("before"), word.alias("within"),
+        F.concat_ws(" ", at_word(F.col("p") + 1), at_word(F.col("p") + 2)).alias("after"))
     found = found.withColumn("token", F.explode(F.array_distinct(F.regexp_extract_all("within", F.lit(runs), F.lit(0)))))
     told = F.lower(F.concat_ws(" ", "before", "within")).rlike(TELLING)
-    known = F.exists("values", lambda v: (v["word_at"] == F.col("p")) & (v["token"] == F.col("token")))
+    # a value that goes on beyond this word holds a space, and no run does
+    known = F.exists(F.regexp_extract_all("mark", F.lit(f"{OPEN}([^{CLOSE}]*){CLOSE}"), F.lit(1)), lambda v: bare(v) == F.col("token"))
     found = found.filter(F.col("token").rlike("[0-9]") & ((F.length("token") >= LEAST) | told) & ~known)
     return found.select("id", F.col("p").cast("long").alias("word_at"), "token", "before", "within", "after", "path").unionByName(values)
 

@@ -341,6 +341,24 @@ def test_short_lines_with_equal_starts_stay(spark):
     assert {r["n_dropped"] for r in L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {0}
 
 
+def test_secret_values_of_one_long_text(spark):
+    """A value costs no more the more values there are; each is found once, at its word, with its neighbours."""
+    n = 30_000
+    text = "\n".join(f"password_k = 'v{i}xY9 q{i}' end" for i in range(n))
+    start = time.time()
+    got = {r["word_at"]: (r["token"], r["before"], r["within"], r["after"]) for r in S.candidates(spark.createDataFrame([(1, text, None)], "doc_id long, text string, source string")).filter("token like '% %'").collect()}
+    assert time.time() - start < 60 and len(got) == n
+    for i in (0, 1, 17, n - 1):
+        before = "end password_k =" if i else "password_k ="
+        assert got[5 * i + 2] == (f"v{i}xY9 q{i}", before, f"'v{i}xY9 q{i}'", "end password_k" if i < n - 1 else "end")
+
+
+def test_secret_values_in_one_word(spark):
+    rows = [(1, 'a="x1234567" token="k1234567"secret="k7654321" \x01token=abc12345\x02 pwd=' + "'two words1'", None)]
+    got = sorted((r["word_at"], r["token"]) for r in S.candidates(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect())
+    assert got == [(1, "k1234567"), (1, "k7654321"), (2, "abc12345"), (2, "abc12345\x02"), (3, "two words1")]
+
+
 def test_lines_told_by_figures_stay(spark):
     """Rows of figures and numbered headings differ from document to document; equal ones recur as they are."""
     rows = [(i, f"1.{i} 0 {7 + i}\nChapter {i}\n| {i} | {i}2 | total |\nUpdated 0{i} May by the board\n4 8 15 16 23 42") for i in range(5)]
