@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from graphloom.llm.shared import bound_batches, mix, trim, width
 
 CHAIN = 3
+GAP = 16  # words without an anchor before a word after which it is one itself
 RUN = 8  # characters of a signature where there are no words to chain
+LONG = 64  # characters beyond which a word is a stretch without words
 # Common words of English, German, French and Spanish, the anchors.
 ANCHORS = frozenset(
     "a an and are as at be by for from has have he in is it not of on or that the they this to was were when which will with "
@@ -33,40 +35,56 @@ class _Codes(dict):
         if len(self) >= 150_000:
             self.clear()
         plain = word.strip(_EDGES).lower()
-        code = xxhash.xxh3_64_intdigest(plain.encode("utf-8", "surrogatepass")) & ~3
+        code = xxhash.xxh3_64_intdigest((plain or word).encode("utf-8", "surrogatepass")) & ~3
         code = self[word] = code | (_ANCHOR if plain in ANCHORS else 0 if plain else _NO_WORD)
         return code
 
 
+def _far(marked: np.ndarray) -> np.ndarray:
+    """Whether the last marked place lies over ``GAP`` places before, or nowhere before."""
+    at = np.arange(len(marked))
+    return at - np.maximum.accumulate(np.where(marked, at, -GAP - 1)) > GAP if len(marked) else marked
+
+
+def _runs(text: str) -> np.ndarray:
+    """A code for each run of ``RUN`` characters; a shorter text is one."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    run = min(RUN, len(points))
+    out = mix(points[: len(points) - run + 1])
+    for i in range(1, run):
+        out = mix(out + points[i : len(points) - run + 1 + i] + np.uint64(i))
+    return out
+
+
 def signatures(text: str, known: _Codes | None = None) -> np.ndarray:
     """The text's distinct spot signatures, sorted, 32 bits each.
 
-    A signature is an anchor with the next ``CHAIN`` content words after it. In a text that has none (code, other languages)
-    every word is an anchor for the ``CHAIN`` next ones; in one of too few words for that, every run of ``RUN`` characters is a
-    signature; a shorter text is its own, so that other texts aren't taken for it, and an empty text has none.
+    A signature is an anchor with the next ``CHAIN`` content words after it. Where the last ``GAP`` words hold no anchor (code,
+    other languages, a text's beginning) a word is an anchor itself, and where they hold no letter or digit a word of signs
+    counts; of a word of over ``LONG`` characters a quarter of its runs of ``RUN`` characters, by hash, are signatures. Each rule looks at the
+    words around a place only, so an edit changes the signatures beside it and no others. A text that has none by these rules (a few words)
+    has its runs of characters; a shorter text is its own, so that other texts aren't taken for it, and an empty text has none.
     """
     if not text:
         return np.empty(0, np.uint32)
     known = _Codes() if known is None else known
     words = text.split()
     code = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    code = code[code & np.uint64(3) != _NO_WORD]
+    plain = code & np.uint64(3) != _NO_WORD
+    code = code[plain | _far(plain)]
     anchor = code & np.uint64(3) == _ANCHOR
     content = np.flatnonzero(~anchor)
-    spot = np.flatnonzero(anchor)
-    after = np.searchsorted(content, spot)
+    spot = np.flatnonzero(anchor | _far(anchor))
+    after = np.searchsorted(content, spot, "right")
     ok = after + CHAIN <= len(content)
     spot, after = spot[ok], after[ok]
-    if len(spot):
-        out, rest = mix(code[spot]), [code[content[after + i]] for i in range(CHAIN)]
-    elif len(code) > CHAIN:
-        out, rest = mix(code[:-CHAIN]), [code[i : len(code) - CHAIN + i] for i in range(1, CHAIN + 1)]
-    else:
-        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-        run = min(RUN, len(points))
-        out, rest = mix(points[: len(points) - run + 1]), [points[i : len(points) - run + 1 + i] for i in range(1, run)]
-    for i, x in enumerate(rest):
-        out = mix(out + x + np.uint64(i + 1))
+    out = mix(code[spot])
+    for i in range(CHAIN):
+        out = mix(out + code[content[after + i]] + np.uint64(i + 1))
+    long = [_runs(word) for word in words if len(word) > LONG]
+    out = np.concatenate([out, *(x[x & np.uint64(3) == 0] for x in long)])
+    if not len(out):
+        out = _runs(text)
     return np.unique((out >> np.uint64(32)).astype(np.uint32))
 
 

@@ -457,3 +457,18 @@ def test_fingerprints_of_texts_without_anchors():
     chinese = "".join(chr(0x4E00 + i * 37 % 900) for i in range(400))
     assert FP.likeness(FP.signatures(chinese), FP.signatures(chinese[:200] + "中" + chinese[200:])) > 0.9
     assert len(FP.signatures("x")) == len(FP.signatures("a")) == len(FP.signatures("...")) == 1 and FP.likeness(FP.signatures("x"), FP.signatures("y")) == 0
+
+
+def test_fingerprints_of_half_kept_texts():
+    """Which rule gives a signature is told by the words around it, so the kept half of any text keeps its signatures."""
+    prose = "It was the best of times for all who lived in the old town by the sea, and the winter that came was long. " * 20
+    prose = " ".join(f"{w}{i}" if i % 4 == 0 else w for i, w in enumerate(prose.split()))
+    texts = {
+        "code": "\n".join(f"x{i} <- f{i % 7}({i}); call{i}!" for i in range(200)), "signs": " ".join("".join("*#$%&"[i // 5**j % 5] for j in range(5)) for i in range(900)),
+        "chinese": "".join(chr(0x4E00 + i * i * 37 % 9000) for i in range(1500)), "prose": prose}
+    for name, text in texts.items():
+        for other in texts.values():
+            half = len(text) // 2
+            near = FP.likeness(FP.signatures(text), FP.signatures(text[: len(text) - half] + other[:half]))
+            assert near > 0.2 and (near < 0.9 or other is text), (name, near)
+    assert FP.likeness(FP.signatures(texts["code"]), FP.signatures(prose)) == 0.0
