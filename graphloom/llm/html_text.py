@@ -18,18 +18,31 @@ from graphloom.llm.shared import bound_batches
 # Elements by their role in HTML.
 DROPPED = ("script", "style", "noscript", "template", "svg", "iframe", "object", "canvas", "select", "button", "textarea", "datalist", "audio", "video", "title")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-APART = frozenset("nav aside footer form dialog menu".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+APART = frozenset("nav aside footer form dialog menu label legend fieldset".split())
 MAIN = frozenset("article main".split())
 #: elements whose content is raw to a parser: without an end tag they last to the page's end, the other dropped ones are then passed over
 RAW = frozenset("script style title textarea iframe noscript".split())
 #: elements that an article's start ends or reaches through, closed or not
 PASSED = frozenset("nav form menu header footer".split())
+#: elements apart that may be left open, with the elements right inside them that can't be theirs once they have text
+_SECTIONS = frozenset("div section article main".split())
+_PROSE = _SECTIONS | frozenset("p h1 h2 table blockquote pre".split())
+ENDED_BY = {"nav": _PROSE, "menu": _PROSE, "form": _PROSE, "header": _SECTIONS}
 #: words of class and id names that mark what isn't the article
 NAMES = frozenset(
-    "ad ads adv advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies discussion disqus footer gdpr "
-    "header login masthead menu modal nav navbar navigation newsletter notice notices pager pagination paywall popup promo promoted promotion recommended "
-    "related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar topbar widget".split())
+    "ad ads adv advert advertisement adverts advertising banner breadcrumb breadcrumbs colophon comment comments consent cookie cookies copyright discussion disqus footer gdpr "
+    "header imprint impressum legal login masthead menu modal nav navbar navigation newsletter notice notices outbrain pager pagination paywall popup promo promoted promotion recirculation recommended "
+    "related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe taboola teaser teasers toolbar topbar trending widget".split())
+#: names that say so beside any other word, apart or grown together with one of the words above (user-comments-wrapper, commentlist)
+STRONG = frozenset(
+    "advert advertisement adverts advertising breadcrumb breadcrumbs comment comments cookie cookies disqus footer masthead navbar navigation newsletter outbrain "
+    "pagination paywall promo sidebar sponsored subscribe taboola teaser teasers".split())
+#: words beside which a name tells a state or a topic of the whole page or article (no-sidebar, comments-open, tag-cookies)
+STATES = frozenset("active category closed disabled enabled format has have hide is js layout no non not off on open status tag template term theme topic type w with without".split())
+#: pairs of words that mark what isn't the article
+PAIRS = tuple(map(frozenset, (("more", "stories"), ("more", "articles"), ("more", "posts"), ("more", "news"), ("top", "stories"), ("latest", "news"), ("popular", "posts"), ("most", "read"), ("most", "popular"),
+                              ("read", "next"), ("up", "next"), ("also", "like"))))
 #: words that may stand beside these in one name; with any other word beside it, a name says something else (no-sidebar, share-price)
 BESIDE = frozenset(
     "area articles aside bar block blog body bottom box btn button buttons center col column container content en entry form global group holder icons inner item items left "
@@ -41,6 +54,9 @@ _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 _PARTS = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"([a-z])([A-Z])")
+#: how a short note of rights begins, or what it holds
+_RIGHTS = re.compile(r"(?:©|\(c\)|copyright\b)[^.]{0,40}\b(?:19|20)\d\d\b|[^.]{0,80}(?:©|\ball rights reserved\b|\balle rechte vorbehalten\b|\btous droits réservés\b|\btodos los derechos reservados\b)", re.I)
+RIGHTS_WORDS = 30
 
 #: The labelled table. words, link density; the same of the block before and after; place (1 in an
 #: article, -1 in an element that isn't part of one, 0 neither); label (1: main text).
@@ -148,21 +164,52 @@ def _tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
         yield start, at, tag, bool(m[1]), attrs
 
 
+def _grown(word: str) -> bool:
+    halves = [(word[:i], word[i:]) for i in range(2, len(word) - 1)]
+    return any(a in STRONG and b in NAMES | BESIDE or b in STRONG and (a in NAMES | BESIDE or a in ("user", "reader")) for a, b in halves)
+
+
+@lru_cache(maxsize=20_000)
+def _told(name: str, tag: str, inside: bool) -> bool:
+    """Whether a class, id or role name marks what isn't the article; in one there may be headers, banners and comments of code."""
+    parts = set(_PARTS.findall(name))
+    told = parts & NAMES - ({"header", "banner"} if inside else set())
+    if tag in MAIN:
+        return bool(told & {"comment", "comments", "reply"}) and parts <= NAMES | BESIDE
+    if inside and tag in INLINE and parts & {"comment", "comments"}:
+        return False
+    if told and parts <= NAMES | BESIDE:
+        return True
+    if parts & STATES:
+        return False
+    return bool(parts & STRONG) or any(_grown(x) for x in parts if len(x) < 32) or any(pair <= parts for pair in PAIRS)
+
+
 def _apart(tag: str, attrs: str, inside: bool) -> bool:
-    """Whether an element is apart from the article by its kind or its names; in an article it may have headers and banners."""
+    """Whether an element is apart from the article by its kind or its names."""
     if tag in APART or tag == "header" and not inside:
         return True
     if not attrs:
         return False
     if _HIDDEN.search(attrs):
         return True
-    for value in _NAMED.finditer(attrs):
-        for name in _CAMEL.sub(r"\1-\2", value[1] or value[2] or value[3] or "").lower().split():
-            parts = set(_PARTS.findall(name))
-            told = parts & NAMES - ({"header", "banner"} if inside else set())
-            if told and parts <= NAMES | BESIDE and (tag not in MAIN or told & {"comment", "comments", "reply"}):
-                return True
-    return False
+    return any(
+        _told(name, tag, inside)
+        for value in _NAMED.finditer(attrs) for name in _CAMEL.sub(r"\1-\2", value[1] or value[2] or value[3] or "").lower().split())
+
+
+def _left_open(tags: list[tuple]) -> set[int]:
+    """Starts of the elements of ``ENDED_BY`` that have no end tag of their own."""
+    open_, spare = {name: [] for name in ENDED_BY}, set()
+    for start, _, tag, ending, attrs in tags:
+        if tag in ENDED_BY and attrs is not None and not attrs.endswith("/"):
+            if not ending:
+                open_[tag].append(start)
+            elif open_[tag]:
+                open_[tag].pop()
+    for starts in open_.values():
+        spare.update(starts)
+    return spare
 
 
 def blocks(page: str) -> list[tuple[str, int, float, int]]:
@@ -180,7 +227,8 @@ def blocks(page: str) -> list[tuple[str, int, float, int]]:
             if text:
                 n = text.count(" ") + 1
                 m = len(html.unescape(" ".join(linked)).split())
-                out.append((text, n, min(1.0, m / n), place))
+                rights = place == 0 and n <= RIGHTS_WORDS and _RIGHTS.match(text)
+                out.append((text, n, min(1.0, m / n), -1 if rights else place))
         held.clear()
         linked.clear()
 
@@ -193,8 +241,11 @@ def blocks(page: str) -> list[tuple[str, int, float, int]]:
     def pop() -> None:
         opened[stack.pop()[0]] -= 1
 
+    tags = list(_tags(page))
+    spare = _left_open(tags)
+    loose: list[tuple[int, int]] = []  # elements left open: depth, blocks before
     at = 0
-    for start, end, tag, ending, attrs in _tags(page):
+    for start, end, tag, ending, attrs in tags:
         add(page[at:start])
         at = end
         if not tag:
@@ -239,6 +290,12 @@ def blocks(page: str) -> list[tuple[str, int, float, int]]:
                 while stack and (stack[-1][0] in INLINE or stack[-1][0] == "p"):
                     pop()
             place, through = stack[-1][1:] if stack else (0, True)
+        while loose and loose[-1][0] > len(stack):
+            loose.pop()
+        if loose and loose[-1][0] == len(stack) and len(out) > loose[-1][1] and tag in ENDED_BY[stack[-1][0]]:
+            loose.pop()
+            pop()
+            place, through = stack[-1][1:] if stack else (0, True)
         own, reach = place, through
         main = tag in MAIN or tag in ("div", "section") and bool(attrs) and re.search(r"\brole\s*=\s*[\"']?main\b", attrs, re.I)
         if main and place < 0 and through and not _apart(tag, attrs, False):
@@ -255,6 +312,8 @@ def blocks(page: str) -> list[tuple[str, int, float, int]]:
         stack.append((tag, own, reach))
         opened[tag] += 1
         place, through = own, reach
+        if start in spare:
+            loose.append((len(stack), len(out)))
     add(page[at:])
     close()
     return out
@@ -284,7 +343,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", k
     Besides the word counts and link densities of a block and its neighbours, the tree sees whether the
     block is inside an article or inside an element that is apart from it (menu, header, footer,
     sidebar, advert, form, notice, comments, hidden). An article's start inside a menu, header, footer or
-    form that is still open isn't apart. Of a page where the tree takes nothing, blocks that are neither
+    form that is still open isn't apart. A menu, form or header without an end tag ends where an element starts that can't be its own, once it has text.
+    A note of rights of up to ``RIGHTS_WORDS`` words outside an article is apart. Of a page where the tree takes nothing, blocks that are neither
     apart nor links are the text. Pages of any length are read in one pass. Null, empty and text-less pages give an
     empty text; repeated rows repeat; other columns are left out.
     """

@@ -472,3 +472,27 @@ def test_fingerprints_of_half_kept_texts():
             near = FP.likeness(FP.signatures(text), FP.signatures(text[: len(text) - half] + other[:half]))
             assert near > 0.2 and (near < 0.9 or other is text), (name, near)
     assert FP.likeness(FP.signatures(texts["code"]), FP.signatures(prose)) == 0.0
+
+
+def test_main_text_beside_unknown_names():
+    body = "<article><h1>Head line</h1><p>" + "word " * 40 + "</p>{}<p>" + "text " * 30 + "</p></article>{}"
+    want = "Head line\n" + ("word " * 40).strip() + "\n" + ("text " * 30).strip()
+    said = "<p>" + "Not the article but long enough to look like some of it, really. " * 3 + "</p>"
+    for name in ("user-comments-wrapper", "commentlist", "comment-list-v2", "more-stories", "outbrain", "OUTBRAIN_widget", "reader-comments", "teaser-card", "promo-x1", "cookieBanner", "js-newsletter-signup newsletter-box", "advert-slot-3"):
+        for page in (body.format(f'<div class="{name}">{said}</div>', ""), body.format("", f'<section class="{name}">{said}</section>')):
+            assert H.main_text(page) == want, name
+    for inside, after in (('<p class="legal">Terms apply to all of it.</p>', ""), ("<label>Your mail</label>", ""), ("", "<div>© 2024 Example Corp. All rights reserved.</div>"), ("", "<div>Example Corp, all rights reserved</div>")):
+        assert H.main_text(body.format(inside, after)) == want
+    for name in ("no-sidebar", "post comments-open", "tag-cookies hentry", "with-comments", "commentary", "prose"):
+        assert H.main_text(f'<div class="{name}">' + body.format("", "") + "</div>") == want, name
+    code = '<pre><span class="hljs-comment"># a note</span> x = 1</pre>'
+    assert "# a note x = 1" in H.main_text(body.format(code, ""))
+
+
+def test_main_text_after_elements_left_open():
+    prose = "<div class=content><p>" + "word " * 40 + "</p><p>" + "text " * 30 + "</p></div>"
+    want = ("word " * 40).strip() + "\n" + ("text " * 30).strip()
+    menu = "<ul><li><a href=a>Home</a><li><a href=b>News</a></ul>"
+    for start in (f"<nav>{menu}", f"<nav><div>{menu}</div>", "<nav><a href=a>Home</a> <a href=b>News</a>", f"<header><h1>Site</h1><nav>{menu}</nav>", "<form>Search <input>", f"<div><nav>{menu}</div>", f"<nav>{menu}</nav>"):
+        assert H.main_text("<body>" + start + prose + "<footer>me</footer></body>") == want, start
+    assert H.main_text(f"<nav><div>{menu}</div><div>{menu}</div></nav>" + prose) == want
