@@ -156,11 +156,17 @@ FROM m WHERE 5 * same >= 4 * n GROUP BY doc_id, item_id""",
 WITH crc AS (SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n) ORDER BY n) AS t FROM range(256) r(n)),
 d AS (SELECT doc_id, CAST(coalesce(strlen(text), 0) + 1 AS BIGINT) AS size,
       list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: CAST('0x' || h AS BIGINT)) AS b FROM documents),
-c AS (SELECT doc_id, size, CAST(xor(list_reduce(b, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295), 4294967295) AS BIGINT) AS text_crc32 FROM d, crc),
-p AS (SELECT *, sum(size) OVER (ORDER BY doc_id, size, text_crc32 ROWS UNBOUNDED PRECEDING) AS upto, sum(size) OVER () AS total FROM c),
-s AS (SELECT *, CAST((2 * upto - size) * 8 // (2 * total) AS INTEGER) AS shard FROM p)
+c AS (SELECT doc_id, size, b, CAST(xor(list_reduce(b, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295), 4294967295) AS BIGINT) AS text_crc32 FROM d, crc),
+g AS (SELECT *, min(doc_id) OVER (PARTITION BY b) AS first, sum(size) OVER () AS total FROM c),
+o AS (SELECT *, row_number() OVER w AS place, row_number() OVER v AS top, coalesce(sum(size) OVER (v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above
+      FROM g WINDOW w AS (ORDER BY first, doc_id, size, text_crc32), v AS (ORDER BY size DESC, first, doc_id, text_crc32)),
+a AS (SELECT *, coalesce(bool_and(top < 8 AND size * (9 - top) > total - above) OVER (ORDER BY top), false) AS own FROM o),
+n AS (SELECT *, 8 - count(*) FILTER (own) OVER () AS shares, greatest(total - coalesce(sum(size) FILTER (own) OVER (), 0), 1) AS rest,
+      sum(CASE WHEN own THEN 0 ELSE size END) OVER (ORDER BY place ROWS UNBOUNDED PRECEDING) AS upto FROM a),
+h AS (SELECT *, sum(size) OVER (PARTITION BY first, own) AS bytes, min(upto - size) OVER (PARTITION BY first, own) AS start FROM n),
+s AS (SELECT *, CAST(CASE WHEN own THEN 8 - top WHEN 100 * bytes * shares <= rest THEN (2 * start + bytes) * shares // (2 * rest) ELSE (2 * upto - size) * shares // (2 * rest) END AS INTEGER) AS shard FROM h)
 SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
-       CAST(row_number() OVER (PARTITION BY shard ORDER BY doc_id, size, text_crc32) - 1 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
+       CAST(row_number() OVER (PARTITION BY shard ORDER BY place) - 1 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
 FROM s""",
     "op4_line_dedup": rf"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),

@@ -496,3 +496,26 @@ def test_main_text_after_elements_left_open():
     for start in (f"<nav>{menu}", f"<nav><div>{menu}</div>", "<nav><a href=a>Home</a> <a href=b>News</a>", f"<header><h1>Site</h1><nav>{menu}</nav>", "<form>Search <input>", f"<div><nav>{menu}</div>", f"<nav>{menu}</nav>"):
         assert H.main_text("<body>" + start + prose + "<footer>me</footer></body>") == want, start
     assert H.main_text(f"<nav><div>{menu}</div><div>{menu}</div></nav>" + prose) == want
+
+
+def test_sharding_keeps_groups_and_spreads_beside_large_rows(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(i, "x" * 5000 if i == 3 else f"{i} " + "y" * rng.randint(1, 120)) for i in range(200)]
+    rows = [(i, "copy" if i in (17, 90, 150) else t) for i, t in rows]
+    got = SH.shard_by_bytes(spark.createDataFrame(rows, "doc_id long, text string"), 8).collect()
+    by = {r["doc_id"]: r for r in got}
+    sizes = [sum(r["size"] for r in got if r["shard"] == s) for s in range(8)]
+    assert by[3]["shard"] == 7 and by[3]["slot"] == 0 and sizes[7] == 5001 and max(sizes[:7]) - min(sizes[:7]) <= 2 * 130
+    assert len({by[i]["shard"] for i in (17, 90, 150)}) == 1 and by[90]["slot"] == by[17]["slot"] + 1 == by[150]["slot"] - 1
+    for s in range(8):
+        slots = sorted(r["slot"] for r in got if r["shard"] == s)
+        assert slots == list(range(len(slots)))
+    # a group of over a hundredth of a share is cut, smaller ones never are, whatever cut they lie on
+    rows = [(i, f"same {i // 4:04d}") for i in range(8004)]
+    parts = {}
+    for r in SH.shard_by_bytes(spark.createDataFrame(rows, "doc_id long, text string"), 8).collect():
+        parts.setdefault(r["doc_id"] // 4, set()).add(r["shard"])
+    assert all(len(x) == 1 for x in parts.values()) and set().union(*parts.values()) == set(range(8))
+    monkeypatch.setattr(SH, "HOT", 10)
+    one = SH.shard_by_bytes(spark.createDataFrame([(i, "all equal") for i in range(80)], "doc_id long, text string"), 8).groupBy("shard").count().collect()
+    assert sorted((r["shard"], r["count"]) for r in one) == [(s, 10) for s in range(8)]
