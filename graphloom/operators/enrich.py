@@ -11,14 +11,35 @@ from graphloom.operators import graph as G
 from graphloom.operators import retrieval as R
 
 
+BLOCK = 1000  # values of one key that meet in a task at a time
+
+
+def pairs_within(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """Every pair of distinct values (a < b) that share a key: key, a, b; ``rows`` has distinct (key, value).
+
+    The values of a key with over ``BLOCK`` of them are dealt into blocks by hash, and each pair of blocks meets apart from the others,
+    so no task holds more than about two blocks of one key. Null keys and values pair with nothing.
+    """
+    r = rows.select(F.col(key).alias("key"), F.col(value).alias("value"))
+    hot = r.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    own = r.join(hot, "key", "left").select("key", "value", F.coalesce("blocks", F.lit(1)).alias("blocks"))
+    own = own.withColumn("own", F.when(F.col("blocks") == 1, 0).otherwise(F.pmod(F.xxhash64("value"), "blocks").cast("int")))
+    # the left side's block is never the later one, and a pair of blocks meets once
+    meet = F.sequence(F.lit(0), F.col("blocks") - 1)
+    left = own.select("key", F.col("value").alias("x"), F.col("own").alias("low"), F.explode(F.filter(meet, lambda i: i >= F.col("own"))).alias("high"))
+    right = own.select("key", F.col("value").alias("y"), F.explode(F.filter(meet, lambda i: i <= F.col("own"))).alias("low"), F.col("own").alias("high"))
+    both = left.join(right, ["key", "low", "high"]).filter("x <> y and (low < high or x < y)")
+    return both.select(F.col("key").alias(key), F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
 def cooccurrence(mentions: DataFrame, edges: DataFrame | None = None, weight: float = 0.5) -> DataFrame:
     """Edges of entities that share a chunk: src, tgt, weight, relation, source_id (the least shared chunk); known edges are left out.
 
-    A chunk's entities are few by construction (its size is bounded), so its pairs are, too.
+    A chunk's entities are few by construction (its size is bounded); the pairs of one that holds many are dealt to many tasks.
     """
     m = mentions.select("chunk_id", "entity_name").distinct()
-    pair = m.alias("a").join(m.alias("b"), "chunk_id").filter("a.entity_name < b.entity_name").select(F.col("a.entity_name").alias("src"), F.col("b.entity_name").alias("tgt"), "chunk_id")
-    new = pair.groupBy("src", "tgt").agg(F.min("chunk_id").alias("source_id"))
+    pair = pairs_within(m, "chunk_id", "entity_name")
+    new = pair.groupBy(F.col("a").alias("src"), F.col("b").alias("tgt")).agg(F.min("chunk_id").alias("source_id"))
     if edges is not None:
         new = new.join(edges.select("src", "tgt"), ["src", "tgt"], "left_anti")
     return new.select("src", "tgt", F.lit(weight).alias("weight"), F.lit("chunk_cooccurrence").alias("relation"), "source_id")

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as T
+from graphloom.operators.enrich import pairs_within
 
 
 def parse_records(chunks: DataFrame, tuple_mark: str = "<|>", record_mark: str = "##", end_mark: str = "<|COMPLETE|>", keywords: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -110,10 +111,10 @@ def passage_links(mentions: DataFrame, least: float = 0.0) -> DataFrame:
 
     ``mentions`` has chunk_id, term and prior, the probability that the term's title is meant; mentions of no more than ``least``, and
     empty terms, don't count. Every pair of a title's chunks is an edge, so a title in a share of all chunks has as
-    many edges as that share's square: choose ``least`` so that only telling titles are left.
+    many edges as that share's square: choose ``least`` so that only telling titles are left. The pairs of one title are dealt to many tasks.
     """
     m = mentions.filter((F.col("term") != "") & (F.col("prior") > least)).select("chunk_id", "term").distinct()
-    pair = m.alias("a").join(m.alias("b"), "term").filter("a.chunk_id < b.chunk_id").select(F.col("a.chunk_id").alias("src"), F.col("b.chunk_id").alias("tgt"), "term")
+    pair = pairs_within(m, "term", "chunk_id").withColumnsRenamed({"a": "src", "b": "tgt"})
     return pair.groupBy("src", "tgt").agg(F.min("term").alias("relation")).withColumn("source_id", F.concat_ws(T.SEP, F.col("src").cast("string"), F.col("tgt").cast("string")))
 
 

@@ -84,3 +84,17 @@ def test_quoted_entities_and_hints(spark):
         got.setdefault(r["id"], []).append((r["atom"], r["text"], list(r["depends"])))
     assert got[1] == [("entity", "List", []), ("entity", "New", []), ("entity", "New York", []), ("entity", "York", []), ("entity", "old town", []), ("relationship", "temporal", [0, 1]), ("attribute", "temporal:recent", []), ("action", "enumeration", [0, 1, 2, 3, 4, 5])]
     assert got[2] == [("action", "retrieve_information", [])]
+
+
+@pytest.mark.parametrize("block", [1000, 7])
+def test_pairs_of_a_key_that_holds_many(spark, monkeypatch, block):
+    """A hot key's pairs are dealt to many tasks; none is lost or met twice."""
+    monkeypatch.setattr(A, "BLOCK", block)
+    rows = [("hot", f"n{i}") for i in range(60)] + [("b", "n1"), ("b", "n2"), ("one", "n3"), (None, "n4"), (None, "n5"), ("b", None)]
+    got = [tuple(r) for r in A.pairs_within(spark.createDataFrame(rows, "k string, v string"), "k", "v").collect()]
+    names = sorted(f"n{i}" for i in range(60))
+    assert len(got) == len(set(got)) and set(got) == {("hot", x, y) for x in names for y in names if x < y} | {("b", "n1", "n2")}
+    m = spark.createDataFrame(rows + rows, "chunk_id string, entity_name string")
+    edges = A.cooccurrence(m).collect()
+    assert len(edges) == 60 * 59 // 2 and {(r["src"], r["tgt"]): r["source_id"] for r in edges}["n1", "n2"] == "b"
+    assert A.pairs_within(spark.createDataFrame([], "k string, v long"), "k", "v").count() == 0
