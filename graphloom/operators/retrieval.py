@@ -8,25 +8,29 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import text as T
 from graphloom.functions import vectors as V
+from graphloom.lineage import written
+
+BROADCAST = 1_000_000  # terms of an index that go to every task; more meet its texts by a shuffle
 
 
 class Tfidf:
     """TF-IDF over (id, text): smooth idf ln((1 + n) / (1 + df)) + 1, unit rows, cosine. Terms: a-z and 0-9, two or more.
 
-    ``terms`` (id, term, tf), ``idf`` (term, idf) and ``norms`` (id, norm) are lazy; persist or write them to reuse an index.
+    Texts are dealt out by id once and split where they lie, so their terms aren't moved. ``terms`` (id, term, tf) and ``norms`` (id, norm) are
+    lazy; ``idf`` (term, idf) is counted first and written, a row a term.
     """
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, stopwords: tuple[str, ...] = ()):
         self.id = id_col
-        self.docs = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+        self.docs = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text")).repartition(id_col)
         term = self.docs.select(id_col, F.explode(T.tokens(F.col("text"))).alias("term")).filter(F.length("term") >= 2)
         if stopwords:
             term = term.filter(~F.col("term").isin(*stopwords))
         self.terms = term.groupBy(id_col, "term").agg(F.count("*").alias("tf"))
-        n = self.docs.agg(F.count("*").alias("n"))
-        self.idf = self.terms.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-        weighted = self.terms.join(self.idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
-        self.norms = weighted.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+        n = docs.count()
+        self.idf = written(self.terms.groupBy("term").agg(F.count("*").alias("df")).select("term", (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf")))
+        self.weighted = self.terms.join(F.broadcast(self.idf) if self.idf.count() <= BROADCAST else self.idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
+        self.norms = self.weighted.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
 
     def query_weights(self, query: str) -> DataFrame:
         """(term, q): unit weights of the query's known terms, a handful of rows."""
@@ -37,12 +41,11 @@ class Tfidf:
 
     def scores(self, query: str, candidates: DataFrame | None = None) -> DataFrame:
         """(id, score) of the documents that share a term with the query."""
-        q = F.broadcast(self.query_weights(query))
-        hit = self.terms.join(q, "term")
+        own = self.weighted.join(F.broadcast(self.query_weights(query).select("term", "q")), "term", "left")
         if candidates is not None:
-            hit = hit.join(candidates, self.id, "left_semi")
-        dots = hit.groupBy(self.id).agg(F.sum(F.col("tf") * F.col("idf") * F.col("q")).alias("dot"))
-        return dots.join(self.norms, self.id).select(self.id, (F.col("dot") / F.col("norm")).alias("score"))
+            own = own.join(candidates, self.id, "left_semi")
+        both = own.groupBy(self.id).agg(F.sum(F.col("w") * F.col("q")).alias("dot"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+        return both.filter("dot is not null").select(self.id, (F.col("dot") / F.col("norm")).alias("score"))
 
     def top(self, query: str, k: int, candidates: DataFrame | None = None) -> DataFrame:
         return self.scores(query, candidates).withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), self.id).limit(k)

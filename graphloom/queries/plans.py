@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from graphloom import providers as P
+from graphloom.lineage import written
 from graphloom.operators import meta as M
 from graphloom.operators import trees as T
 from graphloom.operators.prize_tree import prize_tree
@@ -38,10 +39,11 @@ def basic_local_plan(spark, sf):
 
     parts = K.nodes(spark, sf, ("part",))
     m = K.chunk_parts(spark, sf)
-    seeds = E.tfidf(parts, "blue ring Brand#11", 5).select("entity_name", (F.col("tfidf_rank") - 1).alias("position"))
+    # five seeds and the edges near them are used several times: each is found once and written
+    seeds = written(E.tfidf(parts, "blue ring Brand#11", 5).select("entity_name", (F.col("tfidf_rank") - 1).alias("position")))
     # only edges at the seeds matter, so co-occurrence starts from their chunks
-    near = m.join(m.join(F.broadcast(seeds), "entity_name", "left_semi").select("chunk_id").distinct(), "chunk_id", "left_semi")
-    return L.occurrence(m, A.cooccurrence(near), seeds, 20)
+    near = written(m.join(written(m.join(F.broadcast(seeds), "entity_name", "left_semi").select("chunk_id").distinct()), "chunk_id", "left_semi"))
+    return L.occurrence(m, written(A.cooccurrence(near)), seeds, 20)
 
 
 @query()

@@ -6,6 +6,9 @@ import itertools
 import random
 
 from graphloom.operators import graph as G
+from graphloom.operators import retrieval as R
+from graphloom.queries import QUERIES
+from tests.compare import SF
 
 
 def test_triangles_by_many_colours(spark, monkeypatch):
@@ -25,3 +28,20 @@ def test_triangles_by_many_colours(spark, monkeypatch):
     wedges = sum(len(x) * (len(x) - 1) / 2 for x in near.values())
     row = G.clustering(edges).first()
     assert row["triangles"] == len(want) and row["transitivity"] == round(sum(per.values()) / wedges, 6)
+
+
+def exchanges(df) -> int:
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+
+
+def test_local_plan_finds_its_seeds_once(spark):
+    assert exchanges(QUERIES["basic_local_plan"](spark, SF)) < 20
+
+
+def test_lexical_index_moves_no_terms(spark, monkeypatch):
+    docs = spark.createDataFrame([(i % 7, f"red {i} blue {i * i} ring" if i % 3 else "green blue blue") for i in range(40)], "id long, text string")
+    few = [tuple(r) for r in R.Tfidf(docs, "id", "text").top("blue ring 4", 9).collect()]
+    plan = R.Tfidf(docs, "id", "text").norms._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(term" not in plan and "hashpartitioning(id" in plan
+    monkeypatch.setattr(R, "BROADCAST", 0)  # the way of a large vocabulary
+    assert [tuple(r) for r in R.Tfidf(docs, "id", "text").top("blue ring 4", 9).collect()] == few and len(few) == 7
