@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -45,28 +45,23 @@ def cooccurrence(mentions: DataFrame, edges: DataFrame | None = None, weight: fl
     return new.select("src", "tgt", F.lit(weight).alias("weight"), F.lit("chunk_cooccurrence").alias("relation"), "source_id")
 
 
-def _nearest(vectors: DataFrame, threshold: float, k: int, id_col: str) -> DataFrame:
-    """(id, other, score): of each vector's ``k`` nearest others those whose score reaches the threshold.
-
-    A vector's scores are divided by its best one, which is its own: 1, as cosines are.
-    """
-    s = R.similar_pairs(vectors, threshold, id_col)
-    both = s.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("other"), "score"), F.struct(F.col("b").alias("id"), F.col("a").alias("other"), "score"))).alias("x")).select("x.*")
-    return both.withColumn("_at", F.row_number().over(W.partitionBy("id").orderBy(F.desc("score"), "other"))).filter(F.col("_at") <= k).drop("_at")
-
-
 def similarity_edges(vectors: DataFrame, threshold: float = 0.7, weight: float = 1.0, top_k: int = 10, id_col: str = "vec_id") -> DataFrame:
     """Edges from each vector to those of its ``top_k`` nearest, itself counted, whose normalised score reaches the threshold.
 
-    An edge found from both ends is one, its weights (weight x score) added up.
+    A vector's scores are divided by its best one, which is its own: 1, as cosines are. An edge found from both ends is one, its weights (weight x score) added up.
     """
-    near = _nearest(vectors, threshold, top_k - 1, id_col)
+    near = R.nearest(vectors, threshold, top_k - 1, id_col)
     return near.groupBy(F.least("id", "other").alias("src"), F.greatest("id", "other").alias("tgt")).agg(F.round(F.sum(F.col("score") * weight), 6).alias("weight"), F.lit("similarity").alias("relation"))
 
 
-def synonym_edges(vectors: DataFrame, edges: DataFrame, threshold: float = 0.92, most: int = 3, id_col: str = "vec_id") -> DataFrame:
-    """Pairs at least ``threshold`` alike, each among the ``most`` nearest of one of its ends, that have no edge yet in either direction."""
-    near = _nearest(vectors, threshold, most, id_col).select(F.least("id", "other").alias("src"), F.greatest("id", "other").alias("tgt"), "score").distinct()
+def synonym_edges(vectors: DataFrame, edges: DataFrame | Column, threshold: float = 0.92, most: int = 3, id_col: str = "vec_id") -> DataFrame:
+    """Pairs at least ``threshold`` alike, each among the ``most`` nearest of one of its ends, that have no edge yet in either direction.
+
+    ``edges`` are rows (src, tgt), or where a rule tells them a condition on src < tgt, which needs no row for each known pair.
+    """
+    near = R.nearest(vectors, threshold, most, id_col).select(F.least("id", "other").alias("src"), F.greatest("id", "other").alias("tgt"), "score").distinct()
+    if isinstance(edges, Column):
+        return near.filter(~F.coalesce(edges, F.lit(False))).withColumn("relation", F.lit("synonym"))
     known = edges.select(F.least("src", "tgt").alias("src"), F.greatest("src", "tgt").alias("tgt"))
     return near.join(known, ["src", "tgt"], "left_anti").withColumn("relation", F.lit("synonym"))
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 import itertools
 import random
 
+import numpy as np
+
+from graphloom.operators import crossmodal as X
 from graphloom.operators import graph as G
 from graphloom.operators import retrieval as R
 from graphloom.queries import QUERIES
@@ -45,3 +48,27 @@ def test_lexical_index_moves_no_terms(spark, monkeypatch):
     assert "hashpartitioning(term" not in plan and "hashpartitioning(id" in plan
     monkeypatch.setattr(R, "BROADCAST", 0)  # the way of a large vocabulary
     assert [tuple(r) for r in R.Tfidf(docs, "id", "text").top("blue ring 4", 9).collect()] == few and len(few) == 7
+
+
+def test_vectors_move_once_a_large_block(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(size=(500, 8)), rng.normal(size=(6, 8)).repeat(100, 0) + rng.normal(size=(600, 8)) / 9])
+    v = spark.createDataFrame([(i, e.tolist()) for i, e in enumerate(x)] + [(5000, None)], "vec_id long, embedding array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = np.round(u @ u.T, 6)
+    np.fill_diagonal(s, -2)
+    want = {(i, j) for i, j in zip(*np.nonzero(np.triu(s >= 0.9, 1)), strict=True)}
+    core = np.nonzero((s >= 0.9).sum(1) + 1 >= 3)[0]
+    for size, blocks in ((R.BLOCK_BYTES, 3), (1100 * 8 * 8 // 5, 5)):  # as large as they may be, and five of them
+        monkeypatch.setattr(R, "BLOCK_BYTES", size)
+        assert {(r["a"], r["b"]) for r in R.similar_pairs(v, 0.9).collect()} == want
+        near = {}
+        for r in R.nearest(v, 0.9, 4).collect():
+            near.setdefault(r["id"], set()).add(r["other"])
+        assert near == {i: {j for j in np.lexsort((np.arange(len(s)), -s[i]))[:4] if s[i, j] >= 0.9} for i in range(len(s)) if s[i].max() >= 0.9}
+        got = {r["vec_id"]: r["cluster"] for r in X.dbscan(v, 0.1, 3).collect()}
+        assert set(core) <= got.keys() and all(got[i] == got[j] for i, j in want if {i, j} <= set(core)) and len({got[i] for i in core}) == len({min(j for j in core if got[j] == got[i]) for i in core})
+
+
+def test_known_edges_told_by_a_rule_need_no_rows(spark):
+    assert "Join" not in QUERIES["synonym_edges"](spark, SF)._jdf.queryExecution().executedPlan().toString()
