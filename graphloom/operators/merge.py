@@ -42,15 +42,25 @@ def _joined(c: str):
     return F.array_join(F.array_sort(F.collect_set(F.when(F.col(c) != "", F.col(c)))), T.SEP)
 
 
+def _united(parts: DataFrame) -> DataFrame:
+    """Rows (entity_name, entity_type, descriptions, source_ids, n) to one per name; rows are moved once, by name."""
+    all_of = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
+    typed = parts.repartition("entity_name").groupBy("entity_name", "entity_type").agg(F.sum("n").alias("n"), all_of("descriptions").alias("descriptions"), all_of("source_ids").alias("source_ids"))
+    out = typed.groupBy("entity_name").agg(F.min_by("entity_type", F.struct(-F.col("n"), F.col("entity_type"))).alias("entity_type"), all_of("descriptions").alias("d"), all_of("source_ids").alias("s"))
+    text = F.array_join(F.array_sort(F.filter("d", lambda x: x != "")), T.SEP)
+    return out.select("entity_name", "entity_type", text.alias("description"), F.array_sort(F.filter("s", lambda x: x.isNotNull())).alias("source_ids"))
+
+
+def _mentioned(mentions: DataFrame) -> DataFrame:
+    return mentions.select("entity_name", "entity_type", F.array("description").alias("descriptions"), F.array("source_id").alias("source_ids"), F.lit(1).cast("long").alias("n"))
+
+
 def merge_nodes(mentions: DataFrame) -> DataFrame:
     """One row per name: the most frequent type (the least of equals), distinct descriptions and sources.
 
-    Counts come first, by (name, type), so a name met everywhere costs no more than its distinct values.
+    Mentions are taken together by (name, type) first, so a name met everywhere costs no more than its distinct values.
     """
-    typed = mentions.groupBy("entity_name", "entity_type").agg(F.count("*").alias("n"))
-    best = typed.groupBy("entity_name").agg(F.min_by("entity_type", F.struct(-F.col("n"), F.col("entity_type"))).alias("entity_type"))
-    rest = mentions.groupBy("entity_name").agg(_joined("description").alias("description"), F.array_sort(F.collect_set("source_id")).alias("source_ids"))
-    return best.join(rest, "entity_name")
+    return _united(_mentioned(mentions))
 
 
 def merge_edges(mentions: DataFrame) -> DataFrame:
@@ -70,13 +80,8 @@ def backfill(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def upsert_nodes(old: DataFrame, mentions: DataFrame) -> DataFrame:
     """Merge new mentions into merged nodes: the old type counts once, descriptions and sources are united."""
-    split = old.select("entity_name", "entity_type", F.explode(F.split("description", T.SEP)).alias("description"), "source_ids")
-    split = split.select("entity_name", "entity_type", "description", F.explode_outer("source_ids").alias("source_id"))
-    united = split.unionByName(mentions.select("entity_name", "entity_type", "description", "source_id"))
-    types = old.select("entity_name", "entity_type").unionByName(mentions.select("entity_name", "entity_type")).groupBy("entity_name", "entity_type").agg(F.count("*").alias("n"))
-    best = types.groupBy("entity_name").agg(F.min_by("entity_type", F.struct(-F.col("n"), F.col("entity_type"))).alias("entity_type"))
-    rest = united.groupBy("entity_name").agg(_joined("description").alias("description"), F.array_sort(F.collect_set("source_id")).alias("source_ids"))
-    return best.join(rest, "entity_name")
+    had = old.select("entity_name", "entity_type", F.split("description", T.SEP).alias("descriptions"), F.coalesce("source_ids", F.array().cast(dict(old.dtypes)["source_ids"])).alias("source_ids"), F.lit(1).cast("long").alias("n"))
+    return _united(had.unionByName(_mentioned(mentions)))
 
 
 def upsert_edges(old: DataFrame, mentions: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ import numpy as np
 
 from graphloom.operators import crossmodal as X
 from graphloom.operators import graph as G
+from graphloom.operators import merge as M
 from graphloom.operators import retrieval as R
 from graphloom.queries import QUERIES
 from tests.compare import SF
@@ -72,3 +73,10 @@ def test_vectors_move_once_a_large_block(spark, monkeypatch):
 
 def test_known_edges_told_by_a_rule_need_no_rows(spark):
     assert "Join" not in QUERIES["synonym_edges"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_mentions_move_once_when_merged(spark):
+    m = spark.createDataFrame([("a", "x", "one", "c1"), ("a", "y", "", "c2"), ("a", "y", "two", "c1"), ("b", "x", "one", "c3")], "entity_name string, entity_type string, description string, source_id string")
+    nodes = M.merge_nodes(m)
+    assert exchanges(nodes) == 1
+    assert {r["entity_name"]: (r["entity_type"], r["description"], r["source_ids"]) for r in nodes.collect()} == {"a": ("y", "one<SEP>two", ["c1", "c2"]), "b": ("x", "one", ["c3"])}
