@@ -82,7 +82,8 @@ def load_index(store: Store, name: str) -> Index | None:
     probes, id_col = meta.first()
     # at most vector_index.CELLS centroids
     cells = [r["centroid"] for r in store.load(f"{name}/centroids").orderBy("cell").collect()]
-    return Index(np.array(cells, np.float64) if cells else np.zeros((0, 0)), store.load(f"{name}/rows"), probes, id_col)
+    rows = store.load(f"{name}/rows")
+    return Index(np.array(cells, np.float64) if cells else np.zeros((0, 0)), rows, probes, id_col, rows.count())
 
 
 def communities(store: Store, name: str, cluster, report, force: bool = False) -> tuple[DataFrame, DataFrame]:

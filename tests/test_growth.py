@@ -11,6 +11,7 @@ from graphloom.operators import crossmodal as X
 from graphloom.operators import graph as G
 from graphloom.operators import merge as M
 from graphloom.operators import retrieval as R
+from graphloom.operators import vector_index as I
 from graphloom.queries import QUERIES
 from tests.compare import SF
 
@@ -80,3 +81,20 @@ def test_mentions_move_once_when_merged(spark):
     nodes = M.merge_nodes(m)
     assert exchanges(nodes) == 1
     assert {r["entity_name"]: (r["entity_type"], r["description"], r["source_ids"]) for r in nodes.collect()} == {"a": ("y", "one<SEP>two", ["c1", "c2"]), "b": ("x", "one", ["c3"])}
+
+
+def test_search_makes_no_row_a_pair(spark, monkeypatch):
+    """Only each query's best leave a task, whatever is compared there; the same with many shares of vectors and of queries."""
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=(300, 8)), np.repeat(rng.normal(size=(1, 8)), 60, 0)])
+    v = spark.createDataFrame([(i, e.tolist()) for i, e in enumerate(x)], "vec_id long, embedding array<double>")
+    asked = v.filter("vec_id % 20 = 0").selectExpr("vec_id AS query_id", "embedding AS q")
+    index = I.build(v, cells=6)
+    want = sorted(tuple(r) for r in R.vector_top(v, asked, 5).select("query_id", "vec_id", "score", "rank").collect())
+    for share in (I.SHARE, 7):
+        monkeypatch.setattr(I, "SHARE", share)
+        monkeypatch.setattr(I, "WAITING", share)
+        found = I.search(index, asked, 5, probes=6)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Arrow" in plan and "Join" not in plan  # vectors and queries meet as matrices
+        assert sorted(tuple(r) for r in found.select("query_id", "vec_id", "score", "rank").collect()) == want
