@@ -18,18 +18,21 @@ def parse_records(chunks: DataFrame, tuple_mark: str = "<|>", record_mark: str =
     Entities need four fields, relations five; a last field that isn't a number gives weight 1.
     Names are cleaned and may not be empty.
     """
-    record = chunks.select("chunk_id", F.explode(T.split_many(F.col("content"), record_mark, end_mark)).alias("record"))
-    inside = record.select("chunk_id", F.regexp_extract("record", r"(?s)\((.*)\)", 1).alias("inside")).filter("inside <> ''")
-    f = inside.select("chunk_id", F.transform(F.split("inside", r"\Q" + tuple_mark + r"\E"), lambda x: F.trim(F.regexp_replace(F.trim(x), '^"|"$', ""))).alias("f"))
-    kind = F.lower(F.get("f", F.lit(0)))
-    e = f.filter((kind == "entity") & (F.size("f") >= 4)).select(T.clean(F.col("f")[1]).alias("entity_name"), T.clean(F.col("f")[2]).alias("entity_type"), F.col("f")[3].alias("description"), F.col("chunk_id").alias("source_id"))
+    # a filter isn't pushed below what explode or inline gives, so a record is split and a name cleaned once
+    parts = lambda x: F.split(F.regexp_extract(x, r"(?s)\((.*)\)", 1), r"\Q" + tuple_mark + r"\E")
+    f = chunks.select(F.col("chunk_id").alias("source_id"), F.explode(F.transform(T.split_many(F.col("content"), record_mark, end_mark), parts)).alias("f"))
+    plain = lambda x: F.trim(F.regexp_replace(F.trim(x), '^"|"$', ""))
+    field = lambda i: plain(F.get("f", F.lit(i)))
+    kind = F.lower(field(0))
+    own = lambda **fields: F.inline(F.array(F.struct(*[c.alias(name) for name, c in fields.items()])))
+    e = f.filter((kind == "entity") & (F.size("f") >= 4)).select("source_id", own(entity_name=T.clean(field(1)), entity_type=T.clean(field(2)), description=field(3)))
     r = f.filter((kind == "relationship") & (F.size("f") >= 5))
-    last = F.element_at("f", -1)
+    last = plain(F.element_at("f", -1))
     weight = F.coalesce(F.when(T.is_number(last), last.try_cast("double")), F.lit(1.0))
-    r = r.select(
-        T.clean(F.col("f")[1]).alias("src_id"), T.clean(F.col("f")[2]).alias("tgt_id"), F.lit("").alias("relation_name"), F.col("f")[3].alias("description"),
-        (F.col("f")[4] if keywords else F.lit("")).alias("keywords"), weight.alias("weight"), F.col("chunk_id").alias("source_id"))
-    return e.filter("entity_name <> ''"), r.filter("src_id <> '' and tgt_id <> ''")
+    r = r.select("source_id", own(src_id=T.clean(field(1)), tgt_id=T.clean(field(2)), description=field(3), keywords=field(4) if keywords else F.lit(""), weight=weight))
+    return (
+        e.filter("entity_name <> ''").select("entity_name", "entity_type", "description", "source_id"),
+        r.filter("src_id <> '' and tgt_id <> ''").select("src_id", "tgt_id", F.lit("").alias("relation_name"), "description", "keywords", "weight", "source_id"))
 
 
 def triples_to_edges(triples: DataFrame) -> DataFrame:

@@ -98,3 +98,9 @@ def test_search_makes_no_row_a_pair(spark, monkeypatch):
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert "Arrow" in plan and "Join" not in plan  # vectors and queries meet as matrices
         assert sorted(tuple(r) for r in found.select("query_id", "vec_id", "score", "rank").collect()) == want
+
+
+def test_records_are_split_once(spark):
+    for name in ("parse_entity_records", "parse_relation_records"):
+        plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("regexp_extract(") == 1 and plan.count("[^a-z0-9 ]") == 2
