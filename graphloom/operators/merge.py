@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -66,10 +64,13 @@ def merge_nodes(mentions: DataFrame) -> DataFrame:
     return _united(_mentioned(mentions))
 
 
+def _paired(mentions: DataFrame) -> DataFrame:
+    return mentions.withColumns({"src": F.least("src_id", "tgt_id"), "tgt": F.greatest("src_id", "tgt_id")})
+
+
 def merge_edges(mentions: DataFrame) -> DataFrame:
     """One row per unordered pair: summed weight, distinct relations, descriptions, keywords and sources."""
-    pair = mentions.withColumns({"src": F.least("src_id", "tgt_id"), "tgt": F.greatest("src_id", "tgt_id")})
-    return pair.groupBy("src", "tgt").agg(
+    return _paired(mentions).groupBy("src", "tgt").agg(
         F.sum("weight").alias("weight"), _joined("relation_name").alias("relation_name"), _joined("description").alias("description"), _joined("keywords").alias("keywords"),
         F.array_sort(F.collect_set("source_id")).alias("source_ids"))
 
@@ -93,20 +94,27 @@ def upsert_edges(old: DataFrame, mentions: DataFrame) -> DataFrame:
     Only pairs that ``mentions`` names are merged again; all other rows of ``old`` pass through as they are. A mention of a source the pair
     already has is a repeat of a batch and counts for nothing.
     """
-    new = mentions.withColumns({"src": F.least("src_id", "tgt_id"), "tgt": F.greatest("src_id", "tgt_id")})
-    keys = new.select("src", "tgt").distinct()
-    touched = old.join(keys, ["src", "tgt"], "left_semi")
-    had = touched.select("src", "tgt", F.explode("source_ids").alias("source_id"))
-    fresh = new.join(had, ["src", "tgt", "source_id"], "left_anti").select("src", "tgt", "weight", "relation_name", "description", "keywords", F.array("source_id").alias("source_ids"))
-    parts = lambda c: F.split(c, T.SEP)
-    both = touched.select("src", "tgt", "weight", "relation_name", "description", "keywords", "source_ids").unionByName(fresh)
     texts = ("relation_name", "description", "keywords")
-    exploded = [both.select("src", "tgt", F.lit(c).alias("field"), F.explode(parts(F.col(c))).alias("part")).filter("part <> ''") for c in texts]
-    united = reduce(DataFrame.unionByName, exploded).groupBy("src", "tgt").pivot("field", list(texts)).agg(F.array_sort(F.collect_set("part")))
-    none = F.array().cast("array<string>")
-    sums = both.groupBy("src", "tgt").agg(F.sum("weight").alias("weight"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("source_ids")))).alias("source_ids"))
-    merged = sums.join(united, ["src", "tgt"], "left").select("src", "tgt", "weight", *[F.array_join(F.coalesce(c, none), T.SEP).alias(c) for c in texts], "source_ids")
-    return old.join(keys, ["src", "tgt"], "left_anti").select(*merged.columns).unionByName(merged)
+    pair, row = ("src", "tgt"), ("weight", *texts, "source_ids")
+    kind = dict(old.dtypes)["source_ids"]
+    held = old.select(*pair, F.lit(True).alias("had"), *row)
+    new = _paired(mentions).select(*pair, F.lit(False).alias("had"), "weight", *texts, F.array("source_id").cast(kind).alias("source_ids"))
+    # rows and mentions are moved once, by pair; all below is within a partition
+    each = held.unionByName(new).repartition(*pair).select(*pair, "had", *row, F.posexplode_outer("source_ids").alias("at", "source_id"))
+    each = each.select(*pair, "had", "source_id", F.when(~F.col("had"), F.struct(*row[:-1])).alias("m"), F.when(F.col("had") & (F.coalesce("at", F.lit(0)) == 0), F.struct(*row)).alias("row"))
+    each = each.groupBy(*pair, "source_id").agg(
+        F.max(F.col("had") & F.col("source_id").isNotNull()).alias("known"), F.collect_list("row").alias("rows"), F.count("m").alias("n"), F.sum("m.weight").alias("weight"),
+        *[F.collect_set(f"m.{c}").alias(c) for c in texts])
+    fresh = lambda c: F.when(~F.col("known") & (F.col("n") > 0), c)
+    all_of = lambda c: F.flatten(F.collect_list(c))
+    out = each.groupBy(*pair).agg(
+        all_of("rows").alias("rows"), F.sum("n").alias("n"), F.sum(fresh(F.col("weight"))).alias("weight"), all_of(fresh(F.array("source_id"))).alias("source_ids"), *[all_of(fresh(F.col(c))).alias(c) for c in texts])
+    weights = F.array_compact(F.concat(F.col("rows")["weight"], F.array("weight")))
+    weight = F.when(F.size(weights) > 0, F.aggregate(weights, F.lit(0.0), lambda s, x: s + x.cast("double")))
+    parts = lambda c: F.filter(F.flatten(F.transform(F.array_compact(F.concat(F.col("rows")[c], F.col(c))), lambda x: F.split(x, T.SEP))), lambda x: x != "")
+    sources = F.array_sort(F.array_distinct(F.concat(F.flatten(F.array_compact(F.col("rows")["source_ids"])), "source_ids")))
+    merged = F.struct(weight.cast(dict(old.dtypes)["weight"]).alias("weight"), *[F.array_join(F.array_sort(F.array_distinct(parts(c))), T.SEP).alias(c) for c in texts], sources.alias("source_ids"))
+    return out.select(*pair, F.inline(F.when(F.col("n") > 0, F.array(merged)).otherwise(F.col("rows"))))
 
 
 def summarise_long(nodes: DataFrame, limit: int, summary) -> DataFrame:

@@ -104,3 +104,13 @@ def test_records_are_split_once(spark):
     for name in ("parse_entity_records", "parse_relation_records"):
         plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert plan.count("regexp_extract(") == 1 and plan.count("[^a-z0-9 ]") == 2
+
+
+def test_edges_move_once_when_merged(spark):
+    schema = "src_id string, tgt_id string, relation_name string, description string, keywords string, weight double, source_id string"
+    m = spark.createDataFrame([("a", "b", "r", "x", "", 1.0, "c1"), ("b", "a", "", "y", "k", 2.0, "c2"), ("a", "c", "r", "x", "", 1.0, "c1")], schema)
+    new = spark.createDataFrame([("a", "b", "q", "z", "", 4.0, "c1"), ("b", "a", "s", "x", "", 8.0, "c3"), ("d", "a", "", "", "", None, None)], schema)
+    edges = M.merge_edges(m)
+    assert exchanges(edges) == 1 and exchanges(M.upsert_edges(edges, new)) == 2  # those of the old edges, and one
+    assert {(r["src"], r["tgt"]): tuple(r)[2:] for r in M.upsert_edges(edges, new).collect()} == {
+        ("a", "b"): (11.0, "r<SEP>s", "x<SEP>y", "k", ["c1", "c2", "c3"]), ("a", "c"): (1.0, "r", "x", "", ["c1"]), ("a", "d"): (None, "", "", "", [None])}
