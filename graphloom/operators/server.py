@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from graphloom.functions import text as T
 from graphloom.operators import retrieval as R
 
+#: citations of one chunk that a task takes
+HOT = 100_000
+
 
 def name_variants(query: str) -> list[str]:
     """The query as it is, cleaned, and without a leading title."""
@@ -161,8 +164,19 @@ def match_atom(tasks: DataFrame, atoms: DataFrame) -> DataFrame:
 
 
 def span_support(answers: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Whether any cited chunk holds the span, as it is or by letters and digits only: id, supported."""
-    cited = answers.select("id", "span", F.explode_outer("chunk_ids").alias("chunk_id")).join(chunks.select("chunk_id", "content"), "chunk_id", "left")
+    """Whether any cited chunk holds the span, as it is or by letters and digits only: id, supported.
+
+    Citations of a chunk that more than HOT answers cite are dealt to several tasks, each with the chunk's content.
+    """
+    cited = answers.select("id", "span", F.explode_outer("chunk_ids").alias("chunk_id"))
+    # at most a row for every HOT citations
+    hot = F.broadcast(cited.filter("chunk_id is not null").groupBy("chunk_id").agg(F.ceil(F.count("*") / HOT).cast("int").alias("shares")).filter("shares > 1"))
+    shares = F.coalesce("shares", F.lit(1))
+    # citations of none are dealt too: they meet nothing
+    deal = F.when(F.col("chunk_id").isNull(), F.pmod(F.xxhash64("id"), F.lit(4096))).otherwise(F.pmod(F.xxhash64("id"), shares)).cast("int")
+    dealt = cited.join(hot, "chunk_id", "left").select("id", "span", "chunk_id", deal.alias("share"))
+    held = chunks.select("chunk_id", "content").join(hot, "chunk_id", "left").select("chunk_id", "content", F.explode(F.sequence(F.lit(0), shares - 1)).alias("share"))
+    both = dealt.join(held, ["chunk_id", "share"], "left")
     bare = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]+", " ")
     hit = F.contains(F.col("content"), F.col("span")) | F.contains(bare("content"), F.trim(bare("span")))
-    return cited.groupBy("id").agg(F.bool_or(F.coalesce(hit, F.lit(False))).alias("supported"))
+    return both.groupBy("id").agg(F.bool_or(F.coalesce(hit, F.lit(False))).alias("supported"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import random
+import re
 
 import numpy as np
 
@@ -11,6 +12,7 @@ from graphloom.operators import crossmodal as X
 from graphloom.operators import graph as G
 from graphloom.operators import merge as M
 from graphloom.operators import retrieval as R
+from graphloom.operators import server as S
 from graphloom.operators import vector_index as I
 from graphloom.queries import QUERIES
 from tests.compare import SF
@@ -114,3 +116,18 @@ def test_edges_move_once_when_merged(spark):
     assert exchanges(edges) == 1 and exchanges(M.upsert_edges(edges, new)) == 2  # those of the old edges, and one
     assert {(r["src"], r["tgt"]): tuple(r)[2:] for r in M.upsert_edges(edges, new).collect()} == {
         ("a", "b"): (11.0, "r<SEP>s", "x<SEP>y", "k", ["c1", "c2", "c3"]), ("a", "c"): (1.0, "r", "x", "", ["c1"]), ("a", "d"): (None, "", "", "", [None])}
+
+
+def test_citations_of_one_chunk_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(S, "HOT", 10)
+    answers = spark.createDataFrame([(i, "red" if i % 2 else "blue", ["hot", "none", f"c{i}"][: i % 4] if i % 5 else None) for i in range(200)], "id long, span string, chunk_ids array<string>")
+    chunks = spark.createDataFrame([("hot", "all RED here"), ("c3", "blue"), ("c7", "a red one")] + [(f"c{i}", "blue-red") for i in range(8, 99)], "chunk_id string, content string")
+    text = {r["chunk_id"]: r["content"].lower() for r in chunks.collect()}
+    want = {r["id"]: any(r["span"] in text.get(c, "") for c in r["chunk_ids"] or []) for r in answers.collect()}
+    found = S.span_support(answers, chunks)
+    assert {r["id"]: r["supported"] for r in found.collect()} == want and sum(want.values()) > 40
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert "hashpartitioning(chunk_id" in (plan := S.span_support(answers, chunks)._jdf.queryExecution().executedPlan().toString()) and re.search(r"hashpartitioning\(chunk_id#\d+, share#\d+", plan)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
