@@ -14,6 +14,7 @@ from graphloom.operators import merge as M
 from graphloom.operators import retrieval as R
 from graphloom.operators import server as S
 from graphloom.operators import vector_index as I
+from graphloom.providers import HashEmbedding
 from graphloom.queries import QUERIES
 from tests.compare import SF
 
@@ -131,3 +132,21 @@ def test_citations_of_one_chunk_are_dealt(spark, monkeypatch):
         assert "hashpartitioning(chunk_id" in (plan := S.span_support(answers, chunks)._jdf.queryExecution().executedPlan().toString()) and re.search(r"hashpartitioning\(chunk_id#\d+, share#\d+", plan)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_vectors_of_names_are_made_where_they_lie(spark):
+    for name in ("method_lightrag", "method_fastgraphrag"):
+        asked = []
+        real, held = R.embed_distinct, R.embed_each
+        R.embed_distinct = lambda *a: asked.append("distinct") or real(*a)
+        R.embed_each = lambda *a: asked.append("each") or held(*a)
+        try:
+            QUERIES[name](spark, SF)
+        finally:
+            R.embed_distinct, R.embed_each = real, held
+        assert asked and set(asked) == {"each"}
+    rows = spark.createDataFrame([(1, "red blue"), (2, None), (3, "red blue"), (4, ""), (5, "Green")], "id long, text string")
+    embed = HashEmbedding(8).embed
+    plain = lambda df: {r["id"]: r["embedding"] for r in df.collect()}
+    each = R.embed_each(rows, "text", embed)
+    assert exchanges(each) == 0 and plain(each) == plain(R.embed_distinct(rows, "text", embed)) and plain(each)[2] is None
