@@ -10,27 +10,33 @@ from graphloom.functions import text as T
 from graphloom.operators.enrich import pairs_within
 
 
+def _bare(c):
+    """Trimmed, without the quote at either end; what has both needs no pattern."""
+    x = F.trim(c)
+    quoted = F.startswith(x, F.lit('"')) & F.endswith(x, F.lit('"')) & (F.length(x) > 1)
+    return F.trim(F.when(quoted, F.substr(x, F.lit(2), F.length(x) - 2)).otherwise(F.regexp_replace(x, '^"|"$', "")))
+
+
 def parse_records(chunks: DataFrame, tuple_mark: str = "<|>", record_mark: str = "##", end_mark: str = "<|COMPLETE|>", keywords: bool = False) -> tuple[DataFrame, DataFrame]:
     """(entity mentions, relation mentions) from delimited text in ``content``.
 
     Entities need four fields, relations five; a last field that isn't a number gives weight 1.
     Names are cleaned and may not be empty.
     """
-    # a filter isn't pushed below what explode or inline gives, so a record is split and a name cleaned once
-    parts = lambda x: F.split(F.regexp_extract(x, r"(?s)\((.*)\)", 1), r"\Q" + tuple_mark + r"\E")
-    f = chunks.select(F.col("chunk_id").alias("source_id"), F.explode(F.transform(T.split_many(F.col("content"), record_mark, end_mark), parts)).alias("f"))
-    plain = lambda x: F.trim(F.regexp_replace(F.trim(x), '^"|"$', ""))
-    field = lambda i: plain(F.get("f", F.lit(i)))
+    # a filter isn't pushed below what explode or inline gives, so a record is split and a name cleaned once; other fields are worked out only where they are asked for
+    inside = F.transform(T.split_at(F.col("content"), record_mark, end_mark), lambda x: F.regexp_extract(x, r"(?s)\((.*)\)", 1))
+    f = chunks.select(F.col("chunk_id").alias("source_id"), F.explode(F.transform(inside, lambda x: T.split_at(x, tuple_mark))).alias("f"))
+    field = lambda i: _bare(F.get("f", F.lit(i)))
     kind = F.lower(field(0))
-    own = lambda **fields: F.inline(F.array(F.struct(*[c.alias(name) for name, c in fields.items()])))
-    e = f.filter((kind == "entity") & (F.size("f") >= 4)).select("source_id", own(entity_name=T.clean(field(1)), entity_type=T.clean(field(2)), description=field(3)))
-    r = f.filter((kind == "relationship") & (F.size("f") >= 5))
-    last = plain(F.element_at("f", -1))
+    named = lambda **names: F.inline(F.array(F.struct(*[T.clean(F.col(c)).alias(name) for name, c in names.items()])))
+    e = f.filter((kind == "entity") & (F.size("f") >= 4)).select("source_id", "f", field(1).alias("a")).select("source_id", "f", named(entity_name="a")).filter("entity_name <> ''")
+    r = f.filter((kind == "relationship") & (F.size("f") >= 5)).select("source_id", "f", field(1).alias("a"), field(2).alias("b"))
+    r = r.select("source_id", "f", named(src_id="a", tgt_id="b")).filter("src_id <> '' and tgt_id <> ''")
+    last = _bare(F.element_at("f", -1))
     weight = F.coalesce(F.when(T.is_number(last), last.try_cast("double")), F.lit(1.0))
-    r = r.select("source_id", own(src_id=T.clean(field(1)), tgt_id=T.clean(field(2)), description=field(3), keywords=field(4) if keywords else F.lit(""), weight=weight))
     return (
-        e.filter("entity_name <> ''").select("entity_name", "entity_type", "description", "source_id"),
-        r.filter("src_id <> '' and tgt_id <> ''").select("src_id", "tgt_id", F.lit("").alias("relation_name"), "description", "keywords", "weight", "source_id"))
+        e.select("entity_name", T.clean(field(2)).alias("entity_type"), field(3).alias("description"), "source_id"),
+        r.select("src_id", "tgt_id", F.lit("").alias("relation_name"), field(3).alias("description"), (field(4) if keywords else F.lit("")).alias("keywords"), weight.alias("weight"), "source_id"))
 
 
 def triples_to_edges(triples: DataFrame) -> DataFrame:
@@ -39,10 +45,6 @@ def triples_to_edges(triples: DataFrame) -> DataFrame:
     return t.filter("src_id <> '' and relation_name <> '' and tgt_id <> ''").select("src_id", "tgt_id", "relation_name", F.lit("").alias("description"), F.lit("").alias("keywords"), F.lit(1.0).alias("weight"), "source_id")
 
 
-def _joined(c: str):
-    return F.array_join(F.array_sort(F.collect_set(F.when(F.col(c) != "", F.col(c)))), T.SEP)
-
-
 def _united(parts: DataFrame) -> DataFrame:
     """Rows (entity_name, entity_type, descriptions, source_ids, n) to one per name; rows are moved once, by name."""
     all_of = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
@@ -68,6 +70,10 @@ def _paired(mentions: DataFrame) -> DataFrame:
     return mentions.withColumns({"src": F.least("src_id", "tgt_id"), "tgt": F.greatest("src_id", "tgt_id")})
 
 
+def _joined(c: str):
+    return F.array_join(F.array_sort(F.collect_set(F.when(F.col(c) != "", F.col(c)))), T.SEP)
+
+
 def merge_edges(mentions: DataFrame) -> DataFrame:
     """One row per unordered pair: summed weight, distinct relations, descriptions, keywords and sources."""
     return _paired(mentions).groupBy("src", "tgt").agg(
@@ -75,11 +81,24 @@ def merge_edges(mentions: DataFrame) -> DataFrame:
         F.array_sort(F.collect_set("source_id")).alias("source_ids"))
 
 
+def _lacking(ends: DataFrame, names: DataFrame) -> DataFrame:
+    """Of the ends (entity_name, source_id) those not among ``names``, as nodes with empty type and description.
+
+    Ends are moved once, by name; names are taken once each and looked up where the ends lie, so neither goes to the driver or is sorted.
+    """
+    new = ends.join(names.select("entity_name").distinct().hint("shuffle_hash"), "entity_name", "left_anti")
+    return new.groupBy("entity_name").agg(F.sort_array(F.collect_set("source_id")).alias("source_ids")).select("entity_name", F.lit("").alias("entity_type"), F.lit("").alias("description"), "source_ids")
+
+
+def missing_ends(entities: DataFrame, relations: DataFrame) -> DataFrame:
+    """What :func:`backfill` adds to the merged nodes, from the mentions themselves: nothing need be merged to know it."""
+    return _lacking(relations.select(F.explode(F.array("src_id", "tgt_id")).alias("entity_name"), "source_id"), entities)
+
+
 def backfill(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes plus the ends of edges that lack one, with empty type and description and the edges' sources."""
-    ends = edges.select(F.explode(F.array("src", "tgt")).alias("entity_name"), "source_ids")
-    new = ends.join(nodes.select("entity_name"), "entity_name", "left_anti").groupBy("entity_name").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("source_ids")))).alias("source_ids"))
-    return nodes.unionByName(new.select("entity_name", F.lit("").alias("entity_type"), F.lit("").alias("description"), "source_ids"))
+    ends = edges.select(F.explode(F.array("src", "tgt")).alias("entity_name"), "source_ids").select("entity_name", F.explode_outer("source_ids").alias("source_id"))
+    return nodes.unionByName(_lacking(ends, nodes))
 
 
 def upsert_nodes(old: DataFrame, mentions: DataFrame) -> DataFrame:

@@ -7,7 +7,9 @@ import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
+from graphloom.functions import text as T
 from graphloom.operators import crossmodal as X
 from graphloom.operators import graph as G
 from graphloom.operators import merge as M
@@ -150,3 +152,32 @@ def test_vectors_of_names_are_made_where_they_lie(spark):
     plain = lambda df: {r["id"]: r["embedding"] for r in df.collect()}
     each = R.embed_each(rows, "text", embed)
     assert exchanges(each) == 0 and plain(each) == plain(R.embed_distinct(rows, "text", embed)) and plain(each)[2] is None
+
+
+def test_missing_ends_are_found_without_merging(spark):
+    df = QUERIES["backfill_endpoints"](spark, SF)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert exchanges(df) == 2 and "SortMergeJoin" not in plan and "BroadcastExchange" not in plan and "sum(" not in plan
+    e = spark.createDataFrame([("a", "t", "d", "c1"), ("a", "t", "d", "c1"), ("b", "", "", None)], "entity_name string, entity_type string, description string, source_id string")
+    r = spark.createDataFrame([("a", "x", "c2"), ("x", "y", "c1"), ("x", "b", "c1"), ("y", "y", None), ("x", "z", "c2")], "src_id string, tgt_id string, source_id string")
+    want = {"x": ["c1", "c2"], "y": ["c1"], "z": ["c2"]}
+    assert {n: s for n, t, d, s in M.missing_ends(e, r).collect() if t == d == ""} == want
+    edges = M.merge_edges(r.selectExpr("src_id", "tgt_id", "'' AS relation_name", "'' AS description", "'' AS keywords", "1.0D AS weight", "source_id"))
+    assert {n: s for n, t, d, s in M.backfill(M.merge_nodes(e), edges).collect()} == want | {"a": ["c1"], "b": []}
+
+
+def test_texts_split_at_marks_as_by_a_pattern(spark):
+    texts = ["a##b<|COMPLETE|>c", "###", "##a\x01b####", "", None, "\x01", "<|COMPLETE|><|COMPLETE|>##", "a<|>b#c<|"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for marks in (("##", "<|COMPLETE|>"), ("<|>",), ("#", "##")):
+        pattern = "|".join(re.escape(m) for m in marks)
+        assert [r[0] for r in df.select(T.split_at(df.t, *marks)).collect()] == [None if t is None else re.split(pattern, t) for t in texts]
+    names = ["A &lt;b&amp;lt; C", " \tx\x01Y\n ", "plain Name 5", "S #5", "", None, "\u00c4b\x85", "&nbsp;q"]
+    rows = spark.createDataFrame([(n,) for n in names], "n string").select(T.clean(F.col("n"))).collect()
+    assert [r[0] for r in rows] == ["a  b lt  c", "xy", "plain name 5", "s  5", "", None, "b", "q"]
+
+
+def test_quotes_at_the_ends_go_once(spark):
+    texts = ['"a"', '""a""', '"', '""', ' "a', 'a" ', '"a"\n', "", None, 'a"b', '" a "']
+    want = spark.createDataFrame([(t,) for t in texts], "t string").select("t", M._bare(F.col("t")), F.expr("""trim(regexp_replace(trim(t), '^"|"$', ''))"""))
+    assert all(r[1] == r[2] for r in want.collect())
