@@ -70,15 +70,21 @@ def _paired(mentions: DataFrame) -> DataFrame:
     return mentions.withColumns({"src": F.least("src_id", "tgt_id"), "tgt": F.greatest("src_id", "tgt_id")})
 
 
-def _joined(c: str):
-    return F.array_join(F.array_sort(F.collect_set(F.when(F.col(c) != "", F.col(c)))), T.SEP)
+def _distinct_text(c: str):
+    lists = F.col("m")[c]
+    return F.when(F.size("m") == 1, F.coalesce(lists[0], F.lit(""))).otherwise(F.array_join(F.sort_array(F.array_distinct(F.array_remove(lists, ""))), T.SEP))
 
 
 def merge_edges(mentions: DataFrame) -> DataFrame:
-    """One row per unordered pair: summed weight, distinct relations, descriptions, keywords and sources."""
-    return _paired(mentions).groupBy("src", "tgt").agg(
-        F.sum("weight").alias("weight"), _joined("relation_name").alias("relation_name"), _joined("description").alias("description"), _joined("keywords").alias("keywords"),
-        F.array_sort(F.collect_set("source_id")).alias("source_ids"))
+    """One row per unordered pair: summed weight, distinct relations, descriptions, keywords and sources.
+
+    Mentions are moved once, by pair. Most pairs have few, so what a pair gathers is one list, made distinct afterwards, instead of a set a column.
+    """
+    texts = ("relation_name", "description", "keywords")
+    rows = _paired(mentions).select("src", "tgt", "weight", F.struct(*texts, "source_id").alias("m")).repartition("src", "tgt")
+    per = rows.groupBy("src", "tgt").agg(F.sum("weight").alias("weight"), F.collect_list("m").alias("m"))
+    sources = F.sort_array(F.array_distinct(F.array_compact(F.col("m")["source_id"])))
+    return per.select("src", "tgt", "weight", *[_distinct_text(c).alias(c) for c in texts], sources.alias("source_ids"))
 
 
 def _lacking(ends: DataFrame, names: DataFrame) -> DataFrame:

@@ -154,6 +154,16 @@ def test_vectors_of_names_are_made_where_they_lie(spark):
     assert exchanges(each) == 0 and plain(each) == plain(R.embed_distinct(rows, "text", embed)) and plain(each)[2] is None
 
 
+def test_a_pair_gathers_one_list(spark):
+    schema = "src_id string, tgt_id string, relation_name string, description string, keywords string, weight double, source_id string"
+    m = spark.createDataFrame([("a", "b", "r", "x", "", 1.0, "c2"), ("b", "a", None, "y", "k", None, "c1"), ("a", "b", "q", "x", "k", 2.0, "c2"), ("c", "a", "", None, "k", None, None), ("d", "a", "r", "x", "", 3.0, "c3")], schema)
+    edges = M.merge_edges(m)
+    plan = edges._jdf.queryExecution().executedPlan().toString()
+    assert "collect_set" not in plan and "hashpartitioning(src" in plan and exchanges(edges) == 1
+    assert {tuple(r)[:2]: tuple(r)[2:] for r in edges.collect()} == {
+        ("a", "b"): (3.0, "q<SEP>r", "x<SEP>y", "k", ["c1", "c2"]), ("a", "c"): (None, "", "", "k", []), ("a", "d"): (3.0, "r", "x", "", ["c3"])}
+
+
 def test_missing_ends_are_found_without_merging(spark):
     df = QUERIES["backfill_endpoints"](spark, SF)
     plan = df._jdf.queryExecution().executedPlan().toString()
