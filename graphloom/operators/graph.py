@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from graphloom.lineage import cut, written
 
+#: rows of a counted side of a join up to which it is broadcast
+BROADCAST = 10_000
+
 
 def adjacency(edges: DataFrame) -> DataFrame:
     """Both directions of every edge in one scan: src, tgt and the other columns."""
@@ -21,6 +24,14 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return edges.select(way, *rest).select("way.src", "way.tgt", *rest)
 
 
+def of_size(side: DataFrame, n: int) -> DataFrame:
+    """A join's side of at most ``n`` rows, counted: it is broadcast up to BROADCAST rows and meets the other side by a shuffle beyond.
+
+    Left to itself Spark goes by the bytes of compressed files, and sends sides that are many times as large to the driver in every round.
+    """
+    return side.hint("broadcast" if n <= BROADCAST else "merge")
+
+
 def canonical(edges: DataFrame) -> DataFrame:
     """Edges with src <= tgt."""
     return edges.withColumns({"src": F.least("src", "tgt"), "tgt": F.greatest("src", "tgt")})
@@ -174,14 +185,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
     ranked = edges.select(rank("src").alias("src"), rank("tgt").alias("tgt"))
     left = cut(canonical(ranked).filter("src <> tgt").distinct())
     label = ranked.select(F.explode(F.array("src", "tgt")).alias("node")).distinct().withColumn("root", F.col("node"))
-    while not left.isEmpty():
+    names = None
+    while n := left.count():
         hook = adjacency(left).groupBy("src").agg(F.least(F.min("tgt"), F.col("src")).alias("up"))
-        jump = cut(hook.join(hook.select(F.col("src").alias("up"), F.col("up").alias("top")), "up").select("src", "top"))
-        label = cut(label.join(jump.select(F.col("src").alias("root"), "top"), "root", "left").select("node", F.coalesce("top", "root").alias("root")))
+        jump = cut(hook.join(of_size(hook.select(F.col("src").alias("up"), F.col("up").alias("top")), 2 * n), "up").select("src", "top"))
+        label = cut(label.join(of_size(jump.select(F.col("src").alias("root"), "top"), 2 * n), "root", "left").select("node", F.coalesce("top", "root").alias("root")))
+        names = names or label.count()
         a, b = jump.select("src", F.col("top").alias("a")), jump.select(F.col("src").alias("tgt"), F.col("top").alias("b"))
-        left = cut(canonical(left.join(a, "src").join(b, "tgt").filter("a <> b").select(F.col("a").alias("src"), F.col("b").alias("tgt"))).distinct())
+        left = cut(canonical(left.join(of_size(a, 2 * n), "src").join(of_size(b, 2 * n), "tgt").filter("a <> b").select(F.col("a").alias("src"), F.col("b").alias("tgt"))).distinct())
     named = label.select(F.expr("substring(node, 18)").alias("node"), "root")
-    return named.join(named.groupBy("root").agg(F.min("node").alias("component")), "root").select("node", "component")
+    least = named.groupBy("root").agg(F.min("node").alias("component"))
+    return named.join(of_size(least, names) if names else least, "root").select("node", "component")
 
 
 def largest_component(edges: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from graphloom.functions import text as T
 from graphloom.operators import crossmodal as X
 from graphloom.operators import graph as G
 from graphloom.operators import merge as M
+from graphloom.operators import prize_tree as PT
 from graphloom.operators import retrieval as R
 from graphloom.operators import server as S
 from graphloom.operators import vector_index as I
@@ -191,3 +192,35 @@ def test_quotes_at_the_ends_go_once(spark):
     texts = ['"a"', '""a""', '"', '""', ' "a', 'a" ', '"a"\n', "", None, 'a"b', '" a "']
     want = spark.createDataFrame([(t,) for t in texts], "t string").select("t", M._bare(F.col("t")), F.expr("""trim(regexp_replace(trim(t), '^"|"$', ''))"""))
     assert all(r[1] == r[2] for r in want.collect())
+
+
+def kinds_of_joins(monkeypatch, module, name) -> list:
+    """(kind, first key) of each join in the frames that ``module`` writes, as they are gathered."""
+    seen, real = [], getattr(module, name)
+
+    def spied(df):
+        seen.extend(re.findall(r"(\w+Join) \[(?:knownfloatingpointnormalized\()?([a-z_0-9]+)", df._jdf.queryExecution().executedPlan().toString()))
+        return real(df)
+
+    monkeypatch.setattr(module, name, spied)
+    return seen
+
+
+def test_components_send_no_large_side_to_the_driver(spark, monkeypatch):
+    edges = spark.createDataFrame([(f"n{i}", f"n{(i * 7) % 40 + 40 * (i > 60)}") for i in range(120)], "src string, tgt string")
+    want = sorted(tuple(r) for r in G.connected_components(edges).collect())
+    monkeypatch.setattr(G, "BROADCAST", 0)
+    seen = kinds_of_joins(monkeypatch, G, "cut")
+    assert sorted(tuple(r) for r in G.connected_components(edges).collect()) == want
+    assert seen and {k for k, _ in seen} == {"SortMergeJoin"}
+
+
+def test_prize_tree_sends_no_large_side_to_the_driver(spark, monkeypatch):
+    random.seed(5)
+    nodes = spark.createDataFrame([(f"s{i % 2}", f"n{i}", float(random.randrange(4))) for i in range(40)], "scope string, node string, prize double")
+    edges = spark.createDataFrame([(f"s{i % 2}", f"n{i}", f"n{(i * 3 + 2 * j) % 40 // 2 * 2 + i % 2}", 0.5 + (i + j) % 3) for i in range(40) for j in (1, 2)], "scope string, src string, tgt string, cost double")
+    want = sorted(map(str, PT.prize_tree(nodes, edges).collect()))
+    monkeypatch.setattr(G, "BROADCAST", 0)
+    seen = kinds_of_joins(monkeypatch, PT, "written")
+    assert sorted(map(str, PT.prize_tree(nodes, edges).collect())) == want and len(want) > 3
+    assert len(seen) > 9 and all(kind == "SortMergeJoin" for kind, key in seen if key != "scope")
