@@ -36,39 +36,39 @@ def modularity(edges: DataFrame, membership: DataFrame, resolution: float = 1.0)
         F.round((F.col("inside") - resolution * F.col("squares") / F.col("m2")) / F.col("m2"), 9).alias("modularity"), "n_clusters")
 
 
-def _nodes(edges: DataFrame, gamma: DataFrame | None, scope: DataFrame | None) -> DataFrame:
+def _nodes(edges: DataFrame, gamma: DataFrame | None, scope: DataFrame | None, n: int) -> DataFrame:
     """node, scope, strength, pull = resolution x strength / total strength of the scope."""
     ends = edges.select(F.explode(F.array("src", "tgt")).alias("node"), "weight").groupBy("node").agg(F.sum("weight").alias("strength"))
-    ends = ends.withColumn("scope", F.lit("")) if scope is None else ends.join(scope, "node")
+    ends = ends.withColumn("scope", F.lit("")) if scope is None else ends.join(G.of_size(scope, n), "node")
     total = ends.groupBy("scope").agg(F.sum("strength").alias("m2"))
     total = total.withColumn("gamma", F.lit(1.0)) if gamma is None else total.join(gamma, "scope")
     return ends.join(total, "scope").select("node", "scope", "strength", (F.col("gamma") * F.col("strength") / F.col("m2")).alias("pull"))
 
 
-def _wishes(adj: DataFrame, state: DataFrame) -> DataFrame:
+def _wishes(adj: DataFrame, state: DataFrame, n: int) -> DataFrame:
     """``state`` with alone (nobody else is in a node's cluster), stay (gain of being where it is) and top (loss, cluster, alone): the
-    best other cluster it has an edge to, of equal ones the least name."""
+    best other cluster it has an edge to, of equal ones the least name. ``n``: no fewer than the nodes, as in all steps below."""
     there = state.select(F.col("node").alias("tgt"), "cluster")
-    to = adj.join(there, "tgt").groupBy(F.col("src").alias("node"), "cluster").agg(F.sum("weight").alias("w"))
+    to = adj.join(G.of_size(there, n), "tgt").groupBy(F.col("src").alias("node"), "cluster").agg(F.sum("weight").alias("w"))
     own = state.select("node", F.col("cluster").alias("own"), "strength", "pull")
     totals = state.groupBy("cluster").agg(F.sum("strength").alias("total"), F.count("*").alias("n"))
     is_own = F.col("cluster") == F.col("own")
     gain = F.col("w") - F.col("pull") * (F.col("total") - F.when(is_own, F.col("strength")).otherwise(0.0))
     stay = state.select("node", "cluster", F.lit(0.0).alias("w"))
-    ways = to.unionByName(stay).groupBy("node", "cluster").agg(F.sum("w").alias("w")).join(own, "node").join(totals, "cluster")
+    ways = to.unionByName(stay).groupBy("node", "cluster").agg(F.sum("w").alias("w")).join(G.of_size(own, n), "node").join(G.of_size(totals, n), "cluster")
     ways = ways.select("node", "own", "cluster", (F.col("n") == 1).alias("alone"), gain.alias("gain"))
     best = ways.groupBy("node").agg(
         F.max(F.when(is_own, F.col("gain"))).alias("stay"), F.max(F.when(is_own, F.col("alone"))).alias("alone"),
         F.min(F.when(~is_own, F.struct((-F.col("gain")).alias("loss"), "cluster", "alone"))).alias("top"))
-    return state.join(best, "node")
+    return state.join(G.of_size(best, n), "node")
 
 
-def _move(adj: DataFrame, state: DataFrame, rounds: int) -> DataFrame:
+def _move(adj: DataFrame, state: DataFrame, rounds: int, n: int) -> DataFrame:
     """Moves to the cluster of the largest gain, in rounds. A share of the nodes (by hash) has its turn, so that two ends
     don't swap; a round that lowers the quality is taken back and the share halved."""
     best, kept, share = None, None, 2
     for r in range(rounds + 1):
-        wish = written(_wishes(adj, state))
+        wish = written(_wishes(adj, state, n))
         # of two nodes alone only the one with the larger cluster name joins the other
         wants = F.col("top").isNotNull() & (-F.col("top.loss") > F.col("stay") + ROUNDING) & ~(F.col("alone") & F.col("top.alone") & (F.col("top.cluster") > F.col("cluster")))
         # what modularity is in proportion to
@@ -90,17 +90,17 @@ def _move(adj: DataFrame, state: DataFrame, rounds: int) -> DataFrame:
     return kept[0]
 
 
-def _refine(adj: DataFrame, state: DataFrame, rounds: int) -> DataFrame:
+def _refine(adj: DataFrame, state: DataFrame, rounds: int, n: int) -> DataFrame:
     """Within each cluster, nodes that are still alone join a neighbouring group with gain; a group so stays connected.
 
     Nodes with a turn join groups that have other nodes or none with a turn. Returns ``state`` with column ``part``.
     """
     own = state.select(F.col("node").alias("tgt"), F.col("cluster").alias("_c"))
-    inside = written(adj.join(state.select(F.col("node").alias("src"), "cluster"), "src").join(own, "tgt").filter("cluster = _c").select("src", "tgt", "weight"))
+    inside = written(adj.join(G.of_size(state.select(F.col("node").alias("src"), "cluster"), n), "src").join(G.of_size(own, n), "tgt").filter("cluster = _c").select("src", "tgt", "weight"))
     part = state.withColumns({"whole": F.col("cluster"), "cluster": F.col("node")})
     for r in range(rounds):
         turn = lambda c, r=r: F.pmod(F.xxhash64(c, F.lit(r), F.lit("part")), F.lit(2)) == 0
-        wish = _wishes(inside, part)
+        wish = _wishes(inside, part, n)
         # a group of one is named by its node: it may be joined unless that node has its turn
         goes = F.col("alone") & turn("node") & F.col("top").isNotNull() & (-F.col("top.loss") > F.col("stay") + ROUNDING) & ~(F.col("top.alone") & turn("top.cluster"))
         part = written(wish.select("node", "scope", "strength", "pull", "whole", F.when(goes, F.col("top.cluster")).otherwise(F.col("cluster")).alias("cluster")))
@@ -116,36 +116,38 @@ def leiden(edges: DataFrame, scope: DataFrame | None = None, gamma: DataFrame |
     is joins and sums on node and cluster names; only two numbers a round come to the driver.
     """
     graph = written(weighted(edges))
-    nodes = written(_nodes(graph, gamma, scope))
+    n = whole = 2 * graph.count()
+    nodes = written(_nodes(graph, gamma, scope, n))
     state = nodes.withColumn("cluster", F.col("node"))
     place = nodes.select("node", F.col("node").alias("at"))
     for level in range(levels):
         adj = written(G.adjacency(graph.filter("src <> tgt")))
-        state = _move(adj, state, rounds if level == 0 else rounds // 2)
+        state = _move(adj, state, rounds if level == 0 else rounds // 2, n)
         state = written(state)
         many, clusters = state.agg(F.count("*"), F.countDistinct("cluster")).first()
         if many == clusters:
             break
-        parts = _refine(adj, state, 3)
+        parts = _refine(adj, state, 3, n)
         where = parts.select(F.col("node").alias("at"), "part", "cluster")
-        place = written(place.join(where, "at").select("node", F.col("part").alias("at"), "cluster"))
+        place = written(place.join(G.of_size(where, n), "at").select("node", F.col("part").alias("at"), "cluster"))
         next_nodes = parts.groupBy(F.col("part").alias("node")).agg(F.first("scope").alias("scope"), F.sum("strength").alias("strength"), F.sum("pull").alias("pull"), F.min("cluster").alias("cluster"))
         next_nodes = written(next_nodes)
         if next_nodes.count() == many:
             break
         a, b = parts.select(F.col("node").alias("src"), F.col("part").alias("_a")), parts.select(F.col("node").alias("tgt"), F.col("part").alias("_b"))
-        graph = written(weighted(graph.join(a, "src").join(b, "tgt").select(F.col("_a").alias("src"), F.col("_b").alias("tgt"), "weight")))
+        graph = written(weighted(graph.join(G.of_size(a, n), "src").join(G.of_size(b, n), "tgt").select(F.col("_a").alias("src"), F.col("_b").alias("tgt"), "weight")))
+        n = 2 * graph.count()
         state, place = next_nodes, place.select("node", "at")
-    label = place.join(state.select(F.col("node").alias("at"), F.col("cluster")), "at").select("node", "cluster") if "cluster" not in place.columns else place.select("node", "cluster")
-    return _connected(edges, written(label))
+    label = place.join(G.of_size(state.select(F.col("node").alias("at"), F.col("cluster")), n), "at").select("node", "cluster") if "cluster" not in place.columns else place.select("node", "cluster")
+    return _connected(edges, written(label), whole)
 
 
-def _connected(edges: DataFrame, label: DataFrame) -> DataFrame:
+def _connected(edges: DataFrame, label: DataFrame, n: int) -> DataFrame:
     """Clusters that moves at once have left in parts become one cluster a part, which never lowers modularity."""
     a, b = label.select(F.col("node").alias("src"), F.col("cluster").alias("_a")), label.select(F.col("node").alias("tgt"), F.col("cluster").alias("_b"))
-    inside = edges.select("src", "tgt").join(a, "src").join(b, "tgt").filter("_a = _b").select("src", "tgt")
+    inside = edges.select("src", "tgt").join(G.of_size(a, n), "src").join(G.of_size(b, n), "tgt").filter("_a = _b").select("src", "tgt")
     joined = G.connected_components(inside)
-    return written(label.select("node").join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("cluster")))
+    return written(label.select("node").join(G.of_size(joined, n), "node", "left").select("node", F.coalesce("component", "node").alias("cluster")))
 
 
 def hierarchical_leiden(edges: DataFrame, most: int = 10, levels: int = 20, rounds: int = 8) -> DataFrame:
@@ -156,6 +158,7 @@ def hierarchical_leiden(edges: DataFrame, most: int = 10, levels: int = 20, roun
     node's cluster isn't split again. Cluster names are unique across levels; deterministic.
     """
     graph = written(weighted(edges))
+    n = 2 * graph.count()
     found = leiden(graph, rounds=rounds)
     own = written(found.select("node", F.lit(0).alias("level"), F.concat(F.lit("0/"), "cluster").alias("cluster"), F.lit(None).cast("string").alias("parent"), F.lit(1.0).alias("gamma")))
     out = []
@@ -169,10 +172,10 @@ def hierarchical_leiden(edges: DataFrame, most: int = 10, levels: int = 20, roun
         inner = written(own.join(large, "cluster", "left_semi"))
         scope = inner.select("node", F.col("cluster").alias("scope"))
         a, b = scope.select(F.col("node").alias("src"), F.col("scope").alias("_a")), scope.select(F.col("node").alias("tgt"), F.col("scope").alias("_b"))
-        part = written(graph.join(a, "src").join(b, "tgt").filter("_a = _b").select("src", "tgt", "weight"))
+        part = written(graph.join(G.of_size(a, n), "src").join(G.of_size(b, n), "tgt").filter("_a = _b").select("src", "tgt", "weight"))
         gamma = inner.groupBy(F.col("cluster").alias("scope")).agg(F.max("gamma").alias("gamma"))
         next_label = leiden(part, scope, gamma, rounds)
-        kids = next_label.join(scope, "node")
+        kids = next_label.join(G.of_size(scope, n), "node")
         split = kids.groupBy("scope").agg((F.countDistinct("cluster") > 1).alias("split"))
         step = F.when(F.col("split"), F.col("gamma")).otherwise(F.col("gamma") * 2)
         own = written(kids.join(split, "scope").join(gamma, "scope").select(

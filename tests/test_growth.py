@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import text as T
 from graphloom.operators import crossmodal as X
 from graphloom.operators import graph as G
+from graphloom.operators import leiden as LE
 from graphloom.operators import merge as M
 from graphloom.operators import prize_tree as PT
 from graphloom.operators import retrieval as R
@@ -224,3 +225,12 @@ def test_prize_tree_sends_no_large_side_to_the_driver(spark, monkeypatch):
     seen = kinds_of_joins(monkeypatch, PT, "written")
     assert sorted(map(str, PT.prize_tree(nodes, edges).collect())) == want and len(want) > 3
     assert len(seen) > 9 and all(kind == "SortMergeJoin" for kind, key in seen if key != "scope")
+
+
+def test_leiden_sends_no_large_side_to_the_driver(spark, monkeypatch):
+    edges = spark.createDataFrame([(f"n{i}", f"n{j}") for i in range(24) for j in range(i) if i // 6 == j // 6 or (i, j) in ((6, 5), (12, 11), (18, 17))], "src string, tgt string")
+    want = sorted(tuple(r) for r in LE.leiden(edges, rounds=2, levels=1).collect())
+    monkeypatch.setattr(G, "BROADCAST", 0)
+    seen = kinds_of_joins(monkeypatch, LE, "written")
+    assert sorted(tuple(r) for r in LE.leiden(edges, rounds=2, levels=1).collect()) == want and len(want) == 24
+    assert len(seen) > 9 and all(kind == "SortMergeJoin" for kind, key in seen if key != "scope")
