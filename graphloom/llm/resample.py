@@ -17,8 +17,10 @@ from graphloom.llm.shared import bound_batches, discard, materialise, trim
 BUCKETS = 10_000
 #: a document of fewer words is never drawn
 LEAST_WORDS = 20
-#: features and rows that one block of the matrix holds; a longer document is a block of its own
-BLOCK_FEATURES, BLOCK_ROWS = 1 << 19, 2000
+#: features and rows that one block of the matrix holds, and those of the document that fills it
+BLOCK_FEATURES, BLOCK_ROWS = 1 << 15, 2000
+#: blocks in a row group, which are read at once: under 30 MB in memory
+BLOCK_GROUP = 64
 #: words and n-grams whose buckets a task remembers
 KNOWN = 300_000
 
@@ -65,7 +67,8 @@ def count_matrix(docs: DataFrame, orders: int = 1, buckets: int = BUCKETS, id_co
     """The document-by-bucket matrix in compressed sparse rows: a row of the frame is a block of documents.
 
     ``ids`` and ``words`` have an entry a document; document k's entries of ``columns`` and ``counts`` are those from
-    ``starts[k]`` on, up to ``starts[k + 1]``. A null text has no words, a null id stays null. Neither a block nor a task's memory grows with the table.
+    ``starts[k]`` on, up to ``starts[k + 1]``. A null text has no words, a null id stays null. Neither a block nor a task's memory grows with the table
+    where the matrix is written in row groups of ``BLOCK_GROUP`` blocks.
     """
     bound_batches(docs.sparkSession)
 
@@ -162,7 +165,7 @@ def resample(
     text; rows that repeat an id have the same noise and are drawn each for itself. An empty target has equal shares; no documents give no rows.
     Ids are whole numbers. Other columns, whatever their names, are left out. What comes to the driver is a number for each bucket.
     """
-    blocks = materialise(count_matrix(docs, orders, buckets, id_col, text_col), "blocks")
+    blocks = materialise(count_matrix(docs, orders, buckets, id_col, text_col), "blocks", BLOCK_GROUP)
     gain = gains(column_sums(blocks, buckets), column_sums(count_matrix(target, orders, buckets, target_id, target_text), buckets))
     noise = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit(""))), 256), 1, 8), 16, 10).cast("double")
     score = F.col("weight") + F.floor(-1000 * F.log(-F.log((noise + 0.5) / 4294967296)))

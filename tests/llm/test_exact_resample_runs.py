@@ -264,3 +264,24 @@ def fast_brute(words):
             if m >= max(24, 3 * q) and not any((x[a + d : a + m] == x[a : a + m - d]).all() for d in range(1, q)):
                 out.append((a, m, q))
     return out
+
+
+def test_blocks_are_read_in_small_row_groups(spark, monkeypatch):
+    import pyarrow.parquet as pq
+
+    docs = spark.createDataFrame([(i, " ".join(f"w{i * j % 997}" for j in range(300))) for i in range(400)], "id long, text string").coalesce(1)
+    want = sorted(map(tuple, R.resample(docs, docs.limit(9), id_col="id", target_id="id").collect()))
+    monkeypatch.setattr(R, "BLOCK_FEATURES", 2000)
+    monkeypatch.setattr(R, "BLOCK_GROUP", 8, raising=False)
+    seen, drop = [], R.discard
+
+    def look(df):
+        for f in df.inputFiles():
+            m = pq.ParquetFile(f.removeprefix("file://")).metadata
+            at = next(i for i in range(m.num_columns) if m.row_group(0).column(i).path_in_schema.startswith("columns"))
+            seen.extend(m.row_group(k).column(at).num_values for k in range(m.num_row_groups))
+        drop(df)
+
+    monkeypatch.setattr(R, "discard", look)
+    assert sorted(map(tuple, R.resample(docs, docs.limit(9), id_col="id", target_id="id").collect())) == want
+    assert sum(seen) > 50_000 and max(seen) < sum(seen) / 3
