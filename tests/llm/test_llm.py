@@ -191,6 +191,28 @@ def test_decontamination_without_broadcast(spark, monkeypatch):
     assert got == want
 
 
+def test_decontamination_moves_no_words_with_places(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(90))), (1, "other words " * 9), (None, "x y " + " ".join(f"w{i}" if i % 7 else "no" for i in range(40, 70))), (3, None), (4, " ".join(f"v{i}" for i in range(50)))], "doc_id long, text string")
+    tests = spark.createDataFrame([(k, " ".join(f"w{i}" for i in range(44, 64))) for k in range(5)] + [(9, " ".join(f"v{i}" for i in range(45, 60))), (None, " ".join(f"v{i}" for i in range(30)))], "item_id long, text string")
+    want = sorted(map(str, D.contaminated(docs, tests).collect()))
+    assert len(want) == 10
+
+    def carried(plan) -> list[set]:
+        own = [{a.name() for a in (x.apply(i) for x in [plan.output()] for i in range(x.size()))}] if plan.nodeName() == "Generate" or plan.nodeName() == "Join" else []
+        return own + [s for i in range(plan.children().size()) for s in carried(plan.children().apply(i))]
+
+    for most in (0, 20):  # 35 words of different items: all places, then those of known pairs
+        monkeypatch.setattr(D, "BROADCAST_WORDS", most)
+        found = D.contaminated(docs, tests)
+        assert sorted(map(str, found.collect())) == want
+        joins = [s for s in carried(found._jdf.queryExecution().optimizedPlan()) if {"seed", "t"} <= s]
+        assert joins and not any("words" in s for s in joins)
+    monkeypatch.setattr(D, "BROADCAST_WORDS", 35)  # copies of an item don't count
+    found = D.contaminated(docs, tests)
+    assert "Exchange hashpartitioning(seed" not in found._jdf.queryExecution().executedPlan().toString() and sorted(map(str, found.collect())) == want
+    assert [r["doc_id"] for r in D.decontaminate(docs, tests).orderBy("doc_id").collect()] == [None, 3, 4]
+
+
 def test_token_counts_equal_whole_encoding(spark, odd, none):
     own = TC.counter(TC.RANKS)
     random.seed(2)
