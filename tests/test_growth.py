@@ -7,6 +7,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as T
@@ -42,6 +43,20 @@ def test_triangles_by_many_colours(spark, monkeypatch):
     assert row["triangles"] == len(want) and row["transitivity"] == round(sum(per.values()) / wedges, 6)
 
 
+def test_triangles_move_packed_blocks(spark):
+    pairs = sorted({(a, b) for a in range(1000, 1400) for b in (a + 1, a + 2, a * 7 % 400 + 1000) if a != b})
+    for kind in ("string", "long"):
+        edges = spark.createDataFrame([(f"n{a}", f"n{b}") if kind == "string" else (a, b) for a, b in pairs * 2], f"src {kind}, tgt {kind}")
+        plan = G.triangles(edges)._jdf.queryExecution().optimizedPlan().toString()
+        assert "three" in plan and "collect_list" not in plan and "edges" in plan
+    data = G._packed(pa.array([f"part:{a}" for a, _ in pairs * 2]), pa.array([f"part:{b}" for _, b in pairs * 2]))
+    names, u, v = G._unpacked(data)
+    assert sorted(zip(names.take(pa.array(u)).to_pylist(), names.take(pa.array(v)).to_pylist(), strict=True)) == sorted((f"part:{a}", f"part:{b}") for a, b in pairs)
+    names, u, v = G._unpacked(G._packed(pa.array([a for a, _ in pairs]), pa.array([b for _, b in pairs])))
+    assert sorted(zip(names.take(pa.array(u)).to_pylist(), names.take(pa.array(v)).to_pylist(), strict=True)) == pairs
+    assert len(data) < 9 * len(pairs)
+
+
 def exchanges(df) -> int:
     return df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
 
