@@ -113,10 +113,16 @@ def pair_occurrence(mentions: DataFrame, seeds: DataFrame, k: int | None = None)
     return out.orderBy(F.desc("pairs"), "chunk_id").limit(k) if k is not None else out
 
 
-def aggregate_chunks(scores: DataFrame, e2r: DataFrame, r2c: DataFrame, k: int) -> DataFrame:
-    """Entity scores over edges to chunks, scaled to 0..1 over all chunks reached: chunk_id, score; ties by the larger id."""
-    r = R.propagate(scores.select(F.col("entity_name").alias("node"), "score"), e2r, "edge_id")
-    c = R.propagate(r.withColumnRenamed("edge_id", "node"), r2c.withColumnRenamed("edge_id", "node"), "chunk_id")
+def aggregate_chunks(scores: DataFrame, edges: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+    """Entity scores over edges (src, tgt, source_ids), each there once, to their known chunks, scaled to 0..1 over all chunks reached: chunk_id, score; ties by the larger id.
+
+    An edge meets its two ends' scores and has its own before its chunks are listed, so no rows of edge and end and none of edge and chunk are moved.
+    """
+    a, b = (scores.select(F.col("entity_name").alias(end), F.col("score").alias(s)) for end, s in (("src", "_a"), ("tgt", "_b")))
+    r = edges.select("src", "tgt", "source_ids").join(a, "src", "left").join(b, "tgt", "left").filter("_a is not null or _b is not null")
+    own = (F.coalesce("_a", F.lit(0.0)) + F.coalesce("_b", F.lit(0.0))).alias("score")
+    c = r.select(F.explode("source_ids").alias("chunk_id"), own).groupBy("chunk_id").agg(F.sum("score").alias("score"))
+    c = c.join(chunks.select("chunk_id"), "chunk_id", "left_semi")
     ends = F.broadcast(c.agg(F.min("score").alias("lo"), F.max("score").alias("hi")))
     scaled = c.crossJoin(ends).select("chunk_id", F.round(F.when(F.col("hi") == F.col("lo"), 0.0).otherwise((F.col("score") - F.col("lo")) / (F.col("hi") - F.col("lo"))), 6).alias("score"))
     return scaled.orderBy(F.desc("score"), F.desc("chunk_id")).limit(k)

@@ -16,6 +16,7 @@ from graphloom.operators import graph as G
 from graphloom.operators import leiden as LE
 from graphloom.operators import merge as M
 from graphloom.operators import prize_tree as PT
+from graphloom.operators import relations as L
 from graphloom.operators import retrieval as R
 from graphloom.operators import server as S
 from graphloom.operators import vector_index as I
@@ -171,6 +172,15 @@ def test_vectors_of_names_are_made_where_they_lie(spark):
     assert exchanges(each) == 0 and plain(each) == plain(R.embed_distinct(rows, "text", embed)) and plain(each)[2] is None
 
 
+def test_edges_are_merged_once_and_scored_before_their_chunks(spark):
+    plan = QUERIES["method_fastgraphrag"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lineitem" not in plan and "l_orderkey" not in plan and "edge_id" not in plan
+    scores = spark.createDataFrame([("a", 0.5), ("b", 0.25), ("d", 0.125)], "entity_name string, score double")
+    edges = spark.createDataFrame([("a", "b", ["c1", "c2"]), ("b", "c", ["c2", "gone"]), ("c", "e", ["c3"]), ("d", "d", ["c4"])], "src string, tgt string, source_ids array<string>")
+    chunks = spark.createDataFrame([(f"c{i}",) for i in range(9)], "chunk_id string")
+    assert [tuple(r) for r in L.aggregate_chunks(scores, edges, chunks, 9).collect()] == [("c2", 1.0), ("c1", round(0.5 / 0.75, 6)), ("c4", 0.0)]
+
+
 def test_a_pair_gathers_one_list(spark):
     schema = "src_id string, tgt_id string, relation_name string, description string, keywords string, weight double, source_id string"
     m = spark.createDataFrame([("a", "b", "r", "x", "", 1.0, "c2"), ("b", "a", None, "y", "k", None, "c1"), ("a", "b", "q", "x", "k", 2.0, "c2"), ("c", "a", "", None, "k", None, None), ("d", "a", "r", "x", "", 3.0, "c3")], schema)
