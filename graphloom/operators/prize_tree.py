@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -34,7 +35,7 @@ def _tight(edges: DataFrame, nodes: DataFrame, moats: DataFrame, n: int) -> Data
     return e.withColumn("at", start + wait).filter("at is not null").select("scope", "src", "tgt", "cost", "m1", "m2", "at")
 
 
-def grow(nodes: DataFrame, edges: DataFrame, window: float = 0.0, rounds: int = 500) -> DataFrame:
+def grow(nodes: DataFrame, edges: DataFrame, window: float = 0.0) -> DataFrame:
     """The forest (scope, src, tgt, cost) of the edges that joined moats; each scope is a graph of its own.
 
     ``nodes`` (scope, node, prize >= 0), ``edges`` (scope, src, tgt, cost >= 0) without self-loops or repeats, names unique over scopes. Each round takes a
@@ -47,7 +48,7 @@ def grow(nodes: DataFrame, edges: DataFrame, window: float = 0.0, rounds: int =
     moats = written(nodes.select(F.col("node").alias("moat"), F.lit(0.0).alias("since"), F.col("prize").cast("double").alias("left")))
     n = at.count()
     left, found = edges.select("scope", "src", "tgt", F.col("cost").cast("double").alias("cost")), []
-    for r in range(rounds):
+    for r in count():
         tight = written(_tight(left, at, moats, n))
         first = tight.groupBy("scope").agg((F.min("at") * (1 + window) + CLOSE).alias("until"))
         both = tight.join(first, "scope").filter("at <= until").select(F.explode(F.array("m1", "m2")).alias("moat"), F.struct("at", "src", "tgt", "scope", "cost", "m1", "m2").alias("e"))
@@ -70,7 +71,7 @@ def grow(nodes: DataFrame, edges: DataFrame, window: float = 0.0, rounds: int =
     return written(reduce(DataFrame.unionByName, found)) if found else edges.select("scope", "src", "tgt", "cost").limit(0)
 
 
-def prune(nodes: DataFrame, forest: DataFrame, rounds: int = 1000) -> DataFrame:
+def prune(nodes: DataFrame, forest: DataFrame) -> DataFrame:
     """Of each scope, the connected part of ``forest`` whose prizes exceed its costs by most: scope, node, prize, parent and cost (null at its top), worth.
 
     Leaves are peeled off round by round; a leaf adds what its branch is worth beyond its edge to the node it hangs on. Of parts
@@ -79,7 +80,7 @@ def prune(nodes: DataFrame, forest: DataFrame, rounds: int = 1000) -> DataFrame:
     worth = written(nodes.select("node", F.col("prize").cast("double").alias("worth")))
     n = worth.count()
     left, done = written(forest.select("src", "tgt", "cost")), []
-    for _ in range(rounds):
+    while True:
         few = 2 * left.count()
         if not few:
             break
@@ -100,7 +101,7 @@ def prune(nodes: DataFrame, forest: DataFrame, rounds: int = 1000) -> DataFrame:
     last = written(top.select("node", F.lit(None).cast("string").alias("parent"), F.lit(None).cast("double").alias("cost")))
     chosen = [last]
     branches = written(reduce(DataFrame.unionByName, done).filter("keep").select("node", "parent", "cost")) if done else None
-    for _ in range(rounds if done else 0):
+    while done:
         last = written(branches.join(G.of_size(last.select(F.col("node").alias("parent")), last.count()), "parent").select("node", "parent", "cost"))
         if last.isEmpty():
             break

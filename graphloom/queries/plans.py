@@ -132,15 +132,22 @@ def meta_pcst_fallback(spark, sf):
 
 @query()
 def meta_pcst(spark, sf):
-    """For each region, a tree over its nations, customers and suppliers: prizes are numbers of orders and a supplier's one, costs fall with numbers of lines."""
+    """For each region, a tree over its nations, customers and suppliers: prizes are tens of orders and a supplier's one, costs fall with numbers of lines.
+
+    A cost is halved for each doubling of the lines that a customer ordered or a supplier delivers, which leaves few different ones, and so few rounds.
+    """
     n = K.table(spark, sf, "nation")
     scope = F.col("n_regionkey").alias("scope")
     name = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c).cast("string"))
-    orders = K.table(spark, sf, "orders").groupBy("o_custkey").agg(F.count("*").alias("prize"))
+    cost = lambda most: (most / F.pow(F.lit(2.0), F.floor(F.log2(1.0 + F.coalesce("lines", F.lit(0)))))).alias("cost")
+    lines = K.table(spark, sf, "lineitem")
+    per_order = lines.groupBy("l_orderkey").agg(F.count("*").alias("lines"))
+    orders = K.table(spark, sf, "orders").join(per_order, F.col("o_orderkey") == F.col("l_orderkey"), "left").groupBy("o_custkey").agg(F.count("*").alias("prize"), F.sum("lines").alias("lines"))
+    delivered = lines.groupBy("l_suppkey").agg(F.count("*").alias("lines"))
     c = K.table(spark, sf, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(orders, F.col("c_custkey") == F.col("o_custkey"), "left")
-    s = K.table(spark, sf, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey"))
+    s = K.table(spark, sf, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).join(delivered, F.col("s_suppkey") == F.col("l_suppkey"), "left")
     nodes = c.select(scope, name("customer", "c_custkey").alias("node"), (F.coalesce("prize", F.lit(0)) / 10).cast("int").cast("double").alias("prize")).union(s.select(scope, name("supplier", "s_suppkey"), F.lit(1.0)))
-    edges = c.select(scope, name("customer", "c_custkey").alias("src"), name("nation", "n_nationkey").alias("tgt"), F.lit(0.5).alias("cost")).union(s.select(scope, name("supplier", "s_suppkey"), name("nation", "n_nationkey"), F.lit(1.5)))
+    edges = c.select(scope, name("customer", "c_custkey").alias("src"), name("nation", "n_nationkey").alias("tgt"), cost(16.0)).union(s.select(scope, name("supplier", "s_suppkey"), name("nation", "n_nationkey"), cost(256.0)))
     edges = edges.union(n.select(scope, name("nation", "n_nationkey"), name("region", "n_regionkey"), F.lit(2.0)))
     return prize_tree(nodes, edges)
 

@@ -84,3 +84,20 @@ def test_operator_takes_scores_and_weights(spark):
     got = ME.pcst_optimize(nodes, edges)
     assert sorted((r["src"], r["tgt"], r["relation"]) for r in got.collect()) == [("a", "b", "r"), ("b", "c", "r")]
     assert got.select(F.round(F.sum("cost"), 6)).first()[0] == 0.2
+
+
+def test_costs_of_regions_fall_with_lines(spark):
+    import duckdb
+
+    from graphloom.queries import QUERIES
+    from tests.compare import SF
+
+    c = duckdb.connect()
+    for t in ("orders", "lineitem"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
+    lines = dict(c.execute("SELECT 'customer:' || o_custkey, count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1 UNION ALL SELECT 'supplier:' || l_suppkey, count(*) FROM lineitem GROUP BY 1").fetchall())
+    tree = [r for r in QUERIES["meta_pcst"](spark, SF).collect() if r["node"].split(":")[0] in ("customer", "supplier") and r["parent"]]
+    assert {r["node"].split(":")[0] for r in tree} == {"customer", "supplier"}
+    for r in tree:
+        most = 16 if r["node"].startswith("customer") else 256
+        assert r["cost"] == most / 2 ** ((1 + lines.get(r["node"], 0)).bit_length() - 1)
